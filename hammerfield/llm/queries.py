@@ -31,3 +31,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"), 24)
+
+
+@query(
+    "op9_warc_normaliser",
+    """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m IS NULL OR m = page_id THEN NULL ELSE m END AS refers_to
+FROM p LEFT JOIN w ON p.d = w.d
+""",
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
