@@ -48,3 +48,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_pages
 
     return archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op6_bpe_transducer")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_and_decode
+
+    return encode_and_decode(table(spark, sf_dir, "documents"))
