@@ -55,3 +55,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_and_decode
 
     return encode_and_decode(table(spark, sf_dir, "documents"))
+
+
+@query("op8_rans_tokens")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))
