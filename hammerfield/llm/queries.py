@@ -62,3 +62,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .rans import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_subword_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
