@@ -40,12 +40,15 @@ class Model:
 def buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words and character n-grams of a chunk of texts, and the number of them in each text.
 
-    Case is kept. N-grams do not cross texts; the features come text by text.
+    Case is kept. N-grams do not cross texts. A word that repeats the one before it also gives one common feature,
+    the part of a word bigram that carries over to words never seen in training.
     """
     n_docs, n = len(off) - 1, len(raw)
     c = X.prefix_hash(raw)
     s, e, doc = X.words(raw, off)
-    parts, docs = [X.span_hash(c, s, e)], [doc]
+    word = X.span_hash(c, s, e)
+    again = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1])) + 1
+    parts, docs = [word, np.full(len(again), _SALT)], [doc, doc[again]]
     at = np.arange(n)
     of = np.repeat(np.arange(n_docs), np.diff(off))
     left = off[1:][of] - at
