@@ -69,3 +69,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_cgk_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -79,12 +79,12 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of every word [^\\x20\\x09-\\x0D]+; off starts at 0."""
+def words(raw: np.ndarray, off: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of every word: by default [^\\x20\\x09-\\x0D]+, else a run of bytes outside `space`; off starts at 0."""
     if not len(raw):
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~IS_SPACE[raw]
+    word = ~space[raw]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()
