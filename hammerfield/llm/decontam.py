@@ -143,7 +143,7 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
         top[h >> _U(48)] = True
         hit.append(top)
     owner = np.repeat(np.arange(len(items)), [len(p) for p in places])
-    least = max(M, int(np.quantile(agree, 0.02)) // 2)
+    least = max(M, int(np.quantile(agree, 0.02)))
     return Index(ids, items, steps, samples, keys, part_of, hit, embedding, owner, np.concatenate(places), least, float(reach[repeats - 1]))
 
 
@@ -209,12 +209,16 @@ def search(index: Index, words: np.ndarray, doc: np.ndarray, n_docs: int, simila
         begin = at - first[doc[at]] - index.offset[part]
         near.update(zip(doc[at].tolist(), index.owner[part].tolist(), (begin // index.steps).tolist()))
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    distinct = {item: set(index.items[item].tolist()) for item in {x[1] for x in near}}
     for d, item, bucket in near:
         pattern = index.items[item]
         most = int((1 - similarity) * len(pattern) + 1e-9)
         lo = max(0, bucket * index.steps - most)
         hi = min(int(count[d]), (bucket + 1) * index.steps + len(pattern) + most)
-        got, end = distance(pattern, words[first[d] + lo : first[d] + hi])
+        stretch = words[first[d] + lo : first[d] + hi]
+        if len(distinct[item].difference(stretch.tolist())) > most:  # each word that is not there costs an edit
+            continue
+        got, end = distance(pattern, stretch)
         if got <= most and (got, lo + end) < best.get((d, item), (1 << 60, 0)):
             best[d, item] = (got, lo + end)
     return [(d, item, got, end) for (d, item), (got, end) in sorted(best.items())]
