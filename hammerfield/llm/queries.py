@@ -76,3 +76,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op10_jaccard_join",
+    r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.g FROM s SEMI JOIN f USING (g)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM r a JOIN r b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * x >= 90 * (na.n + nb.n - x)),
+c AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.m AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS m FROM c GROUP BY a) m ON m.a = d.doc_id
+""",
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
