@@ -102,3 +102,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+@query(
+    "op1_ego_near_dup",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+c AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.a),
+m AS (SELECT a, min(c) AS m FROM c GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.m AS component_id, vec_id = m.m AS kept
+FROM embeddings d JOIN m ON m.a = d.vec_id LEFT JOIN n ON n.a = d.vec_id
+""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ego import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
