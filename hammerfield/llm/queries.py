@@ -125,3 +125,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ego import link_vectors
 
     return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_suffix_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
