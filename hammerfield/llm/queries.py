@@ -132,3 +132,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ppm_scoring")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
