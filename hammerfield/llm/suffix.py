@@ -348,3 +348,61 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd:
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.lit(hashlib.sha256().hexdigest())).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
     )
+
+
+def whole_characters(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The spans without bytes of characters that are not in them whole."""
+
+    def inside(k: int) -> bool:
+        return k < len(text) and text[k] & 0xC0 == 0x80
+
+    out = []
+    for a, b in spans:
+        while a < b and inside(a):
+            a += 1
+        while b > a and inside(b):
+            b -= 1
+        if a < b:
+            out.append([a, b])
+    return out
+
+
+def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """docs with the repeated bytes (see remove_repeats) taken out of text, whole characters only, and n_chars, if there, set.
+
+    A null text stays null. Rows of equal texts of `least` bytes or more lose all of theirs.
+    """
+    rows = _rows(docs)
+    keys = text_keys(rows)
+    marked = repeated_spans(rows, keys, least, gram, crowd)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    keyed = docs.withColumns({"_id": id_, "_k1": F.xxhash64(body), "_k2": F.xxhash64(F.lit(1), body)})
+    gone = rows.select("doc_id", "k1", "k2").distinct().join(keys.filter("copies > 1").select("k1", "k2"), ["k1", "k2"]).withColumn("spans", F.array(F.struct(F.lit(0).alias("first"), F.lit((1 << 31) - 1).alias("last"))))
+    single = marked.join(keys.filter("copies = 1").select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "doc_id", "spans")
+    marks = single.unionByName(gone.select("k1", "k2", "doc_id", "spans")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
+    joined = keyed.join(marks.hint("merge"), ["_id", "_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    chars = "n_chars" in docs.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            columns = dict(zip(names, batch.columns))
+            texts = columns["text"].to_pylist()
+            for i, spans in enumerate(batch.column(len(names))):
+                if spans.is_valid and texts[i] is not None:
+                    raw = texts[i].encode()
+                    found = spans.as_py()
+                    if len(found) == 1 and found[0]["last"] == (1 << 31) - 1 and len(raw) < least:
+                        continue
+                    kept, at = [], 0
+                    for a, b in whole_characters(raw, merge_spans(found, len(raw))):
+                        kept.append(raw[at:a])
+                        at = b
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+            columns["text"] = pa.array(texts, pa.string())
+            if chars:
+                columns["n_chars"] = pa.array([x if t is None else len(t) for t, x in zip(texts, columns["n_chars"].to_pylist())], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names)
+
+    return joined.mapInArrow(cut, docs.schema)
