@@ -20,6 +20,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textops as X
 from .files import write_file
 from .workspace import new_dir, stage
 
@@ -41,7 +43,9 @@ FILE_BYTES = 32 << 20
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and frequencies of at least 1 that sum to 2^BITS."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << BITS
     if len(symbols) > total:
         raise ValueError(f"more than {total} distinct ids")
@@ -56,7 +60,9 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_blocks(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, words of each block, states of each block's lanes). The last block is filled with the commonest id."""
     blocks = -(-len(ids) // BLOCK)
-    at = np.searchsorted(symbols, ids).astype(np.int64)
+    place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 1, np.int64)
+    place[symbols] = np.arange(len(symbols))
+    at = place[ids]
     at = np.concatenate([at, np.full(blocks * BLOCK - len(ids), int(np.argmax(freq)) if len(freq) else 0)])
     at = at.reshape(blocks, STEPS, LANES)
     f_of = freq.astype(np.uint64)
@@ -152,47 +158,58 @@ class File:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct run of non-white-space.
+    """The tokenizers library, asked once for each distinct run of bytes other than ASCII white space.
 
-    Only for vocabularies whose tokenizer drops white space and treats what is between it apart.
+    Only for vocabularies whose tokenizer lower-cases, drops white space and treats what is between it apart. Runs are
+    told apart by a 64-bit hash; their ids are kept in arrays, emptied when they hold `most` runs.
     """
 
-    def __init__(self, path: str, cache: int = 500_000):
+    def __init__(self, path: str, most: int = 3_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.cache: dict[str, bytes] = {}
-        self.size = cache
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
-        parts = [_split(t) for t in texts]
-        wanted = {w for p in parts for w in p}
-        if len(self.cache) + len(wanted) > self.size:
-            self.cache = {w: x for w in wanted if (x := self.cache.get(w)) is not None}
-        new = list(wanted - self.cache.keys())
-        for k in range(0, len(new), 20_000):
-            for w, e in zip(new[k : k + 20_000], self.library.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)):
-                self.cache[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-def _split(text: str) -> list[str]:
-    if _odd().search(text):
-        import regex
-
-        return regex.split(r"\s+", text)
-    return text.split()
-
-
-@lru_cache(1)
-def _odd():
-    import re
-
-    return re.compile("[\x1c-\x1f]")
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key = np.zeros(0, np.uint64)  # sorted
+        self.start = self.size = np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _learn(self, key: np.ndarray, runs: list[str]) -> None:
+        start, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        for k in range(0, len(runs), 20_000):
+            lists = [e.ids for e in self.library.encode_batch_fast(runs[k : k + 20_000], add_special_tokens=False)]
+            count = np.fromiter(map(len, lists), np.int64, len(lists))
+            total = int(count.sum())
+            while self.used + total > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
+            size[k : k + len(lists)], start[k : k + len(lists)] = count, self.used + np.cumsum(count) - count
+            self.used += total
+        at = np.searchsorted(self.key, key)
+        self.key, self.start, self.size = np.insert(self.key, at, key), np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk of texts, and the number of ids of each."""
+        s, e, doc = X.words(raw, off)
+        data = raw.tobytes()
+        # the marks of special tokens are told apart by case, ordinary text is not
+        key = X.span_hash(X.prefix_hash(raw if b"<|" in data else X.LOWER[raw]), s, e)
+        one, first, which = np.unique(key, return_index=True, return_inverse=True)
+        if len(self.key) + len(one) > self.most:
+            self._clear()
+        at = np.searchsorted(self.key, one)
+        new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != one) if len(self.key) else np.arange(len(one))
+        if len(new):
+            self._learn(one[new], [data[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
+            at = np.searchsorted(self.key, one)
+        at = at[which]
+        size = self.size[at]
+        place = np.arange(int(size.sum())) + np.repeat(self.start[at] - np.cumsum(size) + size, size)
+        return self.pool[place], np.bincount(doc, size, minlength=len(off) - 1).astype(np.int64)
 
 
 @lru_cache(2)
@@ -217,34 +234,35 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, name: st
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = END_ID.to_bytes(4, "little")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import tokenizer_path
 
         encode, part = encoder(path or tokenizer_path(name)), TaskContext.get().partitionId()
-        ids, held, size, made = [], [], 0, []
+        ids, lengths, held, size, made = [], [], [], 0, []
 
         def close() -> None:
             nonlocal size
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            each, flat = np.concatenate(lengths), np.concatenate(ids)
             file = f"tokens-{part:06d}-{len(made):06d}.rans"
-            data = pack(list(held), lengths, np.frombuffer(b"".join(ids), "<u4"))
+            data = pack(held, each, flat)
             write_file(f"{folder}/{file}", data)
-            made.append((file, len(held), int(lengths.sum()), len(data)))
-            ids.clear()
-            held.clear()
+            made.append((file, len(held), len(flat), len(data)))
+            for x in (ids, lengths, held):
+                x.clear()
             size = 0
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                piece = batch.slice(k, 500)
-                for doc_id, x in zip(piece.column(0).to_pylist(), encode(piece.column(1).to_pylist())):
-                    ids.append(x + end)
-                    held.append(doc_id)
-                    size += len(x) + 4
-                    if size >= file_bytes:
-                        close()
+            raw, off = X.text_bytes(batch.column(1))
+            doc_ids = batch.column(0).to_pylist()
+            for i, j in X.chunks(off):
+                found, count = encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                ids.append(np.insert(found, np.cumsum(count), END_ID))
+                lengths.append(count + 1)
+                held += doc_ids[i:j]
+                size += 4 * len(ids[-1])
+                if size >= file_bytes:
+                    close()
         if held:
             close()
         if made:
