@@ -1 +1,367 @@
-"""Queries (added below)."""
+"""Queries: scalar functions over table columns and small stated values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import kinds as K
+from ..functions import money as M
+from ..functions import text as T
+from ..operators import lifecycle as L
+from .proxies import NOW, Views
+from .registry import query
+
+#: Other names of a few cities.
+CITY_ALIASES = {"bengaluru": "Bangalore", "bombay": "Mumbai", "new delhi": "Delhi", "cochin": "Kochi", "gurugram": "Gurgaon", "calcutta": "Kolkata", "madras": "Chennai", "vasai-virar": "Vasai"}
+STATE_ALIASES = {"orissa": "Odisha", "uttaranchal": "Uttarakhand", "pondicherry": "Puducherry", "jammu and kashmir": "Jammu and Kashmir"}
+
+
+def values(v: Views, column: str, items: list) -> object:
+    kind = {int: "int", float: "double"}.get(type(items[0]), "string")
+    return v.spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, {column} {kind}")
+
+
+def sql_values(column: str, items: list) -> str:
+    rows = ", ".join(f"({i}, {'NULL' if x is None else repr(x) if isinstance(x, (int, float)) else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)})" for i, x in enumerate(items))
+    return f"(VALUES {rows}) AS t(i, {column})"
+
+
+@query("sc01_slugify", "SELECT s_suppkey, substr(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM supplier")
+def sc01(v: Views):
+    return v.supplier.select("s_suppkey", T.slugify(F.col("s_name")).alias("slug"))
+
+
+@query("sc02_city_slug", "SELECT n_nationkey, regexp_replace(regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM nation")
+def sc02(v: Views):
+    return v.nation.select("n_nationkey", T.city_slug(F.col("n_name")).alias("slug"))
+
+
+_CITIES = ["navi-mumbai east", "  KOCHI ", "new  delhi", "Bombay", "vasai-virar", "pune", "x y-z", None]
+_TITLE = "(SELECT string_agg(upper(w[1]) || w[2:], '' ORDER BY n) FROM (SELECT unnest(regexp_extract_all({0}, '[^ -]*[ -]?')) AS w, generate_subscripts(regexp_extract_all({0}, '[^ -]*[ -]?'), 1) AS n))"
+
+
+@query("sc03_title_case", f"SELECT i, {_TITLE.format('lower(trim(c))')} AS t FROM {sql_values('c', _CITIES)}")
+def sc03(v: Views):
+    return values(v, "c", _CITIES).select("i", T.title_case(F.col("c")).alias("t"))
+
+
+_ALIAS_SQL = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in CITY_ALIASES.items()) + "}"
+_KEY = "lower(regexp_replace(trim(c), '\\s+', ' ', 'g'))"
+
+
+@query("sc04_canon_city", f"SELECT i, coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)}) AS city FROM {sql_values('c', _CITIES)}")
+def sc04(v: Views):
+    return values(v, "c", _CITIES).select("i", T.canon_place(F.col("c"), CITY_ALIASES).alias("city"))
+
+
+@query("sc05_city_in_state", "SELECT i, CASE WHEN c = 'aurangabad|Maharashtra' THEN 'Chhatrapati Sambhajinagar' ELSE 'Aurangabad' END AS city FROM (VALUES (0, 'aurangabad|Maharashtra'), (1, 'aurangabad|Bihar')) t(i, c)")
+def sc05(v: Views):
+    rows = values(v, "c", ["aurangabad|Maharashtra", "aurangabad|Bihar"]).select("i", F.split_part("c", F.lit("|"), F.lit(1)).alias("city"), F.split_part("c", F.lit("|"), F.lit(2)).alias("state"))
+    canon = T.canon_place(F.col("city"), CITY_ALIASES)
+    return rows.select("i", F.when((canon == "Aurangabad") & (F.lower(F.trim("state")) == "maharashtra"), "Chhatrapati Sambhajinagar").otherwise(canon).alias("city"))
+
+
+_STATES = ["Jammu & Kashmir", "orissa", "TAMIL NADU", "Pondicherry", None]
+
+
+@query("sc06_canon_state", f"SELECT i, r AS state FROM (VALUES (0, 'Jammu and Kashmir'), (1, 'Odisha'), (2, 'Tamil Nadu'), (3, 'Puducherry'), (4, NULL)) t(i, r)")
+def sc06(v: Views):
+    return values(v, "c", _STATES).select("i", T.canon_state(F.col("c"), STATE_ALIASES).alias("state"))
+
+
+@query("sc07_state_variants")
+def sc07(v: Views):
+    names = {"Odisha": ["Odisha", "Orissa"], "Jammu and Kashmir": ["Jammu and Kashmir", "Jammu & Kashmir"]}
+    return v.spark.createDataFrame([(k, x) for k, xs in names.items() for x in xs], "state string, variant string")
+
+
+@query("sc08_usable_city", f"SELECT i, CASE WHEN length(c) <= 40 AND lower(coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)})) = lower(trim(c)) THEN coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)}) END AS city FROM {sql_values('c', _CITIES)}")
+def sc08(v: Views):
+    return values(v, "c", _CITIES).select("i", T.usable_place(F.col("c"), CITY_ALIASES).alias("city"))
+
+
+_PLACEHOLDERS = ["", "--", "N/A", "na", " Not Available ", "ok", None, "-x"]
+
+
+@query("sc14_placeholder", f"SELECT i, CASE WHEN regexp_full_match(lower(trim(c)), '-*|–|—|n/?a|not available|not applicable') THEN NULL ELSE c END AS c FROM {sql_values('c', _PLACEHOLDERS)}")
+def sc14(v: Views):
+    return values(v, "c", _PLACEHOLDERS).select("i", T.null_if_placeholder(F.col("c")).alias("c"))
+
+
+@query("sc12_clean_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[→←»«]', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')), '[\s,;:.-]+$', '') AS t FROM documents")
+def sc12(v: Views):
+    return v.documents.select("doc_id", T.clean_text(F.col("text")).alias("t"))
+
+
+@query("sc13_tidy_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM documents")
+def sc13(v: Views):
+    return v.documents.select("doc_id", T.tidy_text(F.col("text")).alias("t"))
+
+
+_CONTACTS = ["A.B@Example.com ", "no mail", "x@y", "+91 98765 43210", "098765-43210", "12345", None]
+
+
+@query("sc16_contacts", r"SELECT i, CASE WHEN regexp_matches(lower(trim(c)), '^[^@\s]+@[^@\s]+\.[a-z]{2,}$') THEN lower(trim(c)) END AS email, CASE WHEN length(d) = 10 THEN d END AS phone FROM (SELECT *, regexp_replace(regexp_replace(c, '[^0-9]', '', 'g'), '^(0|91)([0-9]{10})$', '\2') AS d FROM " + sql_values("c", _CONTACTS) + ")")
+def sc16(v: Views):
+    return values(v, "c", _CONTACTS).select("i", T.email_or_null(F.col("c")).alias("email"), T.phone_digits(F.col("c")).alias("phone"))
+
+
+_SECRETS = ["Authorization: Bearer abc.def x", "token=12345&x=1", "Cookie: sid=1; b", "plain"]
+
+
+@query("sc18_redact", r"SELECT i, substr(regexp_replace(c, '(?i)\b(bearer\s+|token=|cookie:\s*)[^\s;&]+', '\1***', 'g'), 1, 1500) AS t FROM " + sql_values("c", _SECRETS))
+def sc18(v: Views):
+    return values(v, "c", _SECRETS).select("i", T.redact(F.col("c")).alias("t"))
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '')"
+
+
+@query("sc19_host", f"SELECT page_id, {_HOST} AS host FROM pages")
+def sc19(v: Views):
+    return v.pages.select("page_id", T.host(F.col("url")).alias("host"))
+
+
+@query("sc20_source_key", f"SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'feed.example.org' ELSE {_HOST} END AS source FROM pages")
+def sc20(v: Views):
+    own = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("src:feed.example.org:"), F.col("page_id").cast("string")))
+    return v.pages.select("page_id", T.source_key(own, F.col("url")).alias("source"))
+
+
+@query("sc21_source_label", "SELECT page_id, regexp_replace('feed: ' || page_id, '^feed:\\s*', '') AS label FROM pages")
+def sc21(v: Views):
+    return v.pages.select("page_id", F.regexp_replace(F.concat(F.lit("feed: "), F.col("page_id").cast("string")), r"^feed:\s*", "").alias("label"))
+
+
+@query("sc22_normalize_url", r"""SELECT page_id, 'https://' || lower(regexp_extract(u, '^[a-z]+://([^/?#:]+)', 1)) || regexp_replace(regexp_extract(u, '^[a-z]+://[^/?#]+([^?]*)', 1), '/+$', '')
+  || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_sort(q), '&') ELSE '' END AS url
+FROM (SELECT page_id, u, list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid)=')) AS q FROM (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages))""")
+def sc22(v: Views):
+    return v.pages.select("page_id", T.normalize_url(F.col("url")).alias("url"))
+
+
+_PATH = "list_filter(string_split(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]+(.*)$', 1), '/'), lambda p: p <> '')"
+
+
+@query("sc23_url_shape", f"""SELECT page_id, coalesce(p[1], '') || '|' || len(p) || '|' || CASE WHEN len(p) = 0 THEN 'root' WHEN regexp_matches(p[-1], '^[0-9]+$') THEN 'num' WHEN regexp_matches(p[-1], '[0-9]{{4,}}$') THEN 'slugid' WHEN contains(p[-1], '-') THEN 'slug' ELSE 'word' END AS shape FROM (SELECT page_id, {_PATH} AS p FROM pages)""")
+def sc23(v: Views):
+    return v.pages.select("page_id", T.url_shape(F.col("url")).alias("shape"))
+
+
+@query("sc24_url_id", "SELECT page_id, coalesce(try_cast(nullif(regexp_extract(url, '([0-9]{4,})/?$', 1), '') AS BIGINT), 0) AS id FROM pages")
+def sc24(v: Views):
+    return v.pages.select("page_id", T.url_id(F.col("url")).alias("id"))
+
+
+@query("sc25_place_label", "SELECT id, CASE WHEN geo_city IS NOT NULL AND id % 2 = 0 THEN 'Area, ' || geo_city ELSE coalesce(geo_city, address_text) END AS label FROM property")
+def sc25(v: Views):
+    return v.property.select("id", T.place_label(F.when(F.col("id") % 2 == 0, "Area"), F.col("geo_city"), F.col("address_text")).alias("label"))
+
+
+@query("sc26_inr", r"""SELECT o_orderkey, CASE WHEN length(t) <= 3 THEN '₹' || t WHEN length(t) <= 5 THEN '₹' || t[:-4] || ',' || t[-3:] WHEN length(t) <= 7 THEN '₹' || t[:-6] || ',' || t[-5:-4] || ',' || t[-3:] ELSE '₹' || t[:-8] || ',' || t[-7:-6] || ',' || t[-5:-4] || ',' || t[-3:] END AS inr
+FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS t FROM orders)""")
+def sc26(v: Views):
+    return v.orders.select("o_orderkey", T.indian_digits(F.floor("o_totalprice")).alias("inr"))
+
+
+_STOP = ["the", "of", "and", "in"]
+
+
+@query("sc27_tokens", f"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w)))) AS tokens FROM documents")
+def sc27(v: Views):
+    return v.documents.select("doc_id", F.array_sort(T.tokens(F.col("text"), _STOP, 2)).alias("tokens"))
+
+
+@query("sc28_html_text", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(
+  regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg)\b.*?</(script|style|noscript|svg)>', ' ', 'g'), '(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article|table)>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\r\f]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS t FROM pages""")
+def sc28(v: Views):
+    return v.pages.select("page_id", T.html_text(F.col("html")).alias("t"))
+
+
+@query("sc30_page_title", r"SELECT page_id, substr(trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '<[^>]*>', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')), 1, 200) AS title FROM pages")
+def sc30(v: Views):
+    return v.pages.select("page_id", T.page_title(F.col("html")).alias("title"))
+
+
+_MESSAGES = ["timeout after 30 s", "HTTP 403 forbidden", "created 4 records", "robots.txt disallows", ""]
+
+
+@query("sc31_message_kind", f"SELECT i, CASE WHEN contains(lower(c), 'timeout') THEN 'temporary' WHEN regexp_matches(lower(c), '403|forbidden') THEN 'blocked' WHEN contains(lower(c), 'robots') THEN 'robots' WHEN regexp_matches(lower(c), 'created|updated') THEN 'ok' ELSE 'other' END AS kind FROM {sql_values('c', _MESSAGES)}")
+def sc31(v: Views):
+    m = F.lower("c")
+    kind = F.when(m.contains("timeout"), "temporary").when(m.rlike("403|forbidden"), "blocked").when(m.contains("robots"), "robots").when(m.rlike("created|updated"), "ok").otherwise("other")
+    return values(v, "c", _MESSAGES).select("i", kind.alias("kind"))
+
+
+_MONEY = ["32,21,000", "₹ 5000", "--", "abc", "-12.5", "0", None, "1e3", "12.5.6"]
+
+
+@query("sm01_parse_money", r"SELECT i, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(t AS DOUBLE) END AS n FROM (SELECT i, regexp_replace(c, '[₹,\s]', '', 'g') AS t FROM " + sql_values("c", _MONEY) + ")")
+def sm01(v: Views):
+    return values(v, "c", _MONEY).select("i", M.parse_money(F.col("c")).alias("n"))
+
+
+@query("sm02_clean_money", "SELECT i, n FROM (VALUES (0, 5000.13), (1, NULL), (2, 1200.0), (3, NULL)) t(i, n)")
+def sm02(v: Views):
+    return values(v, "c", ["Rs. 5,000.126", "-4", "INR 1200", "x"]).select("i", M.clean_money(F.col("c")).alias("n"))
+
+
+_WORDS = ["Rs. 35,00,000", "1.25 Cr", "40 lakhs", "12k", "nothing", "₹ 7.5 lac only", None]
+
+
+@query("sm03_money_words", "SELECT i, n::BIGINT AS n FROM (VALUES (0, 3500000), (1, 12500000), (2, 4000000), (3, 12000), (4, NULL), (5, 750000), (6, NULL)) t(i, n)")
+def sm03(v: Views):
+    return values(v, "c", _WORDS).select("i", M.money_words(F.col("c")).alias("n"))
+
+
+@query("sm05_least_amount", "SELECT i, n::BIGINT AS n FROM (VALUES (0, NULL), (1, NULL), (2, 1500)) t(i, n)")
+def sm05(v: Views):
+    return values(v, "c", ["10 %", "999", "1,500"]).select("i", M.amount_at_least(F.col("c"), 1000).alias("n"))
+
+
+@query("sm06_lost_unit", "SELECT o_orderkey, CASE WHEN o_orderkey % 700 < 1000 AND o_totalprice >= 100 * (o_orderkey % 700) THEN o_totalprice ELSE o_orderkey % 700 END::DOUBLE AS price FROM orders")
+def sm06(v: Views):
+    return v.orders.select("o_orderkey", M.lost_unit((F.col("o_orderkey") % 700).cast("double"), F.col("o_totalprice").cast("double")).alias("price"))
+
+
+@query("sm07_percent", "SELECT i, p FROM (VALUES (0, '12.5%'), (1, '—'), (2, '100.0%')) t(i, p)")
+def sm07(v: Views):
+    return values(v, "c", [0.125, None, 1.0]).select("i", M.percent(F.col("c"), 1).alias("p"))
+
+
+@query("sm08_drop_class", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 7 >= 0.6 THEN 'CRITICAL' WHEN l_discount * 7 >= 0.3 THEN 'INCOMPLETE' WHEN l_discount * 7 >= 0.1 THEN 'WARNING' ELSE 'HEALTHY' END AS class FROM lineitem")
+def sm08(v: Views):
+    return v.lineitem.select("l_orderkey", "l_linenumber", M.drop_class(F.col("l_discount") * 7).alias("class"))
+
+
+@query("sm09_fnv1a")
+def sm09(v: Views):
+    return v.supplier.select("s_suppkey", F.lower(F.conv(M.fnv1a(F.col("s_name")).cast("string"), 10, 36)).alias("hash"))
+
+
+@query("sm10_haversine", "SELECT c_custkey, round(2 * 6371 * asin(least(1.0, sqrt(pow(sin(radians(28.6 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(28.6)) * pow(sin(radians(77.2 - lng) / 2), 2)))), 6) AS km FROM (SELECT c_custkey, 8 + c_custkey % 25 AS lat, 70 + c_custkey % 20 AS lng FROM customer)")
+def sm10(v: Views):
+    lat, lng = 8 + F.col("c_custkey") % 25, 70 + F.col("c_custkey") % 20
+    return v.customer.select("c_custkey", F.round(M.haversine_km(lat, lng, F.lit(28.6), F.lit(77.2)), 6).alias("km"))
+
+
+@query("fl21_geo_box", "SELECT c_custkey, lat BETWEEN 6 AND 37.6 AND lng BETWEEN 68 AND 97.5 AS ok FROM (SELECT c_custkey, (c_custkey % 60)::DOUBLE AS lat, (50 + c_custkey % 70)::DOUBLE AS lng FROM customer)")
+def fl21(v: Views):
+    lat, lng = (F.col("c_custkey") % 60).cast("double"), (50 + F.col("c_custkey") % 70).cast("double")
+    return v.customer.select("c_custkey", M.valid_point(lat, lng).alias("ok"))
+
+
+@query("fl22_split_mappable", "SELECT CASE WHEN c_custkey % 60 BETWEEN 6 AND 37.6 AND 50 + c_custkey % 70 BETWEEN 68 AND 97.5 THEN 'mapped' ELSE 'unmapped' END AS part, count(*) AS n FROM customer GROUP BY 1")
+def fl22(v: Views):
+    ok = M.valid_point((F.col("c_custkey") % 60).cast("double"), (50 + F.col("c_custkey") % 70).cast("double"))
+    return v.customer.groupBy(F.when(ok, "mapped").otherwise("unmapped").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sd01_ist_day", "SELECT event_id, date_trunc('day', ts + interval 330 minute) - interval 330 minute AS day_start, CAST(ts + interval 330 minute AS DATE) AS day FROM events")
+def sd01(v: Views):
+    return v.events.select("event_id", L.ist_day_start(F.col("ts")).alias("day_start"), L.ist_date(F.col("ts")).alias("day"))
+
+
+_DATES = ["07-10-2026 11:30 am", "31-12-2026 12:05 AM", "01-01-2027 1:00 pm", "31-02-2026 1:00 pm", "2026-10-07", "", None]
+
+
+@query("sd02_indian_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 06:00:00'), (1, '2026-12-30 18:35:00'), (2, '2027-01-01 07:30:00'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) x(i, t)")
+def sd02(v: Views):
+    return values(v, "c", _DATES).select("i", D.indian_date_time(F.col("c")).alias("t"))
+
+
+@query("sd03_listing_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 05:30:00'), (1, '2026-10-07 10:00:00'), (2, '2026-10-07 04:30:00'), (3, NULL)) x(i, t)")
+def sd03(v: Views):
+    return values(v, "c", ["2026-10-07", "2026-10-07T10:00:00Z", "2026-10-07 10:00:00", "soon"]).select("i", D.listing_date(F.col("c")).alias("t"))
+
+
+@query("sd04_sheet_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-12-31 05:30:00'), (1, '2026-12-31 05:30:00'), (2, '2026-03-01 05:30:00'), (3, NULL)) x(i, t)")
+def sd04(v: Views):
+    return values(v, "c", ["31/12/2026", "31 Dec 2026", "1-3-26", "32/1/2026"]).select("i", D.sheet_date(F.col("c")).alias("t"))
+
+
+@query("sd06_date_range", "SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 1997 AND 1999 THEN o_orderdate END AS t FROM orders")
+def sd06(v: Views):
+    return v.orders.select("o_orderkey", D.in_range(F.col("o_orderdate"), 1997, 1999).alias("t"))
+
+
+@query("sd07_noon_dates", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 06:30:00'), (1, NULL)) x(i, t)")
+def sd07(v: Views):
+    return values(v, "c", ["07/10/2026", "30/02/2026"]).select("i", D.sheet_date(F.col("c"), 12).alias("t"))
+
+
+_DERIVED = f"CASE WHEN auction_start IS NULL THEN 'UPCOMING' WHEN timestamp '{NOW}' > coalesce(auction_end, auction_start) THEN 'COMPLETED' WHEN timestamp '{NOW}' >= auction_start THEN 'LIVE' WHEN CAST(auction_start AS DATE) = DATE '1998-06-15' THEN 'AUCTION_TODAY' ELSE 'UPCOMING' END"
+
+
+@query("sd09_derive_status", f"SELECT id, {_DERIVED} AS derived FROM auction")
+def sd09(v: Views):
+    return v.auction.select("id", L.derive_from_dates(F.col("auction_start"), F.col("auction_end"), F.lit(NOW).cast("timestamp_ntz")).alias("derived"))
+
+
+@query("sd10_resolve_status", f"SELECT id, CASE WHEN id % 11 = 0 THEN 'CANCELLED' WHEN status = 'POSTPONED' AND NOT (id % 2 = 0) THEN status ELSE {_DERIVED} END AS resolved FROM auction")
+def sd10(v: Views):
+    derived = L.derive_from_dates(F.col("auction_start"), F.col("auction_end"), F.lit(NOW).cast("timestamp_ntz"))
+    return v.auction.select("id", L.resolve_status(F.when(F.col("id") % 11 == 0, "CANCELLED"), F.col("status"), F.col("id") % 2 == 0, derived).alias("resolved"))
+
+
+@query("sd12_slot", "SELECT event_id, time_bucket(interval 15 minute, ts) AS slot, time_bucket(interval 15 minute, ts) + interval 15 minute AS next FROM events")
+def sd12(v: Views):
+    w = v.events.select("event_id", D.slot(F.col("ts")).alias("w"))
+    return w.select("event_id", F.col("w.start").cast("timestamp_ntz").alias("slot"), F.col("w.end").cast("timestamp_ntz").alias("next"))
+
+
+@query("sd13_retry_after", "SELECT i, n FROM (VALUES (0, 120), (1, 0), (2, NULL)) x(i, n)")
+def sd13(v: Views):
+    rows = values(v, "c", ["120", "-5", "later"])
+    return rows.select("i", F.when(F.trim("c").try_cast("int").isNotNull(), D.retry_after(F.col("c"))).alias("n"))
+
+
+@query("sd14_extension", "SELECT i, n, y FROM (VALUES (0, 5, NULL), (1, NULL, true), (2, NULL, false)) x(i, n, y)")
+def sd14(v: Views):
+    return values(v, "c", ["end time will increase by 5 minutes.", "Yes", "no"]).select("i", D.extension_minutes(F.col("c")).alias("n"), D.yes_no(F.col("c")).alias("y"))
+
+
+@query("sd15_label", "SELECT event_id, strftime(ts + interval 330 minute, '%-d %b %Y, %H:%M') AS label FROM events")
+def sd15(v: Views):
+    return v.events.select("event_id", D.ist_label(F.col("ts")).alias("label"))
+
+
+_TYPES = ["Flat No 3", "Plant and Machinery", "Farm House", "Agricultural land", "Office space", "Open Plot", "Land & Building", "Tractor", "misc", None]
+
+
+@query("sk01_property_kind", "SELECT i, k FROM (VALUES (0, 'RESIDENTIAL'), (1, 'INDUSTRIAL'), (2, 'RESIDENTIAL'), (3, 'AGRICULTURAL'), (4, 'COMMERCIAL'), (5, 'LAND_PLOT'), (6, 'RESIDENTIAL'), (7, 'VEHICLE'), (8, NULL), (9, NULL)) x(i, k)")
+def sk01(v: Views):
+    return values(v, "c", _TYPES).select("i", K.property_kind(F.col("c")).alias("k"))
+
+
+@query("sk05_document_kind", r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'sale\s*notice|auction\s*notice|e-?auction') THEN 'SALE_NOTICE' WHEN regexp_matches(lower(text), 'tender|bid\s*form|terms') THEN 'BID_DOCUMENT' WHEN contains(lower(text), 'possession') THEN 'POSSESSION_NOTICE' WHEN regexp_matches(lower(text), 'photo|image|jpe?g|png') THEN 'PHOTO' ELSE 'OTHER' END AS k FROM documents")
+def sk05(v: Views):
+    return v.documents.select("doc_id", K.document_kind(F.col("text")).alias("k"))
+
+
+@query("sk06_explicit_status", "SELECT i, s FROM (VALUES (0, 'CANCELLED'), (1, NULL), (2, NULL), (3, 'COMPLETED'), (4, NULL)) x(i, s)")
+def sk06(v: Views):
+    return values(v, "c", ["Auction cancelled", "not cancelled", "unsold", "Sold", "live and cancelled"]).select("i", K.explicit_status(F.col("c")).alias("s"))
+
+
+@query("fl16_vehicle", r"SELECT p_partkey, regexp_matches(lower(p_name), '\b(ring|gear)\b') AS hit FROM part")
+def fl16(v: Views):
+    return v.part.select("p_partkey", F.lower("p_name").rlike(r"\b(ring|gear)\b").alias("hit"))
+
+
+@query("fl17_blocked_host", f"SELECT page_id, ({_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net')) AS blocked FROM pages")
+def fl17(v: Views):
+    return v.pages.select("page_id", T.blocked_host(F.col("url"), ["example.net"]).alias("blocked"))
+
+
+@query("fl26_fetch_status", "SELECT i, s FROM (VALUES (0, 'FORBIDDEN'), (1, 'NOT_FOUND'), (2, 'RATE_LIMITED'), (3, 'SERVER_ERROR'), (4, 'CHALLENGE'), (5, 'OK'), (6, 'EMPTY')) x(i, s)")
+def fl26(v: Views):
+    rows = v.spark.createDataFrame([(0, 403, ""), (1, 404, ""), (2, 429, ""), (3, 502, "x"), (4, 200, "Please verify you are human"), (5, 200, "<p>"), (6, 200, " ")], "i int, code int, body string")
+    return rows.select("i", K.fetch_status(F.col("code"), F.col("body")).alias("s"))
+
+
+@query("fl27_private_address", "SELECT i, p FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, true), (5, false), (6, true)) x(i, p)")
+def fl27(v: Views):
+    return values(v, "c", ["10.0.0.1", "172.20.1.1", "8.8.8.8", "192.168.0.4", "not an ip", "172.32.0.1", "999.1.1.1"]).select("i", K.private_address(F.col("c")).alias("p"))
