@@ -1 +1,228 @@
-"""Queries (added below)."""
+"""Queries: run log, coverage, quality and stream-shaped operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import lifecycle as L
+from ..operators import quality as Q
+from ..operators import rollups as R
+from ..operators import search as S
+from .proxies import Views
+from .registry import query
+from .search import NOW_COL, _OVER
+
+AT = F.lit("2024-01-25").cast("timestamp_ntz")
+N = F.count(F.lit(1))
+_FLAGS = f"""f AS (SELECT id, bank_id, current, current AND coalesce(reserve_price > 0, false) AND auction_start IS NOT NULL AS actionable FROM (
+  SELECT a.*, p.status = 'PUBLISHED' AND ((a.status IN ('UPCOMING', 'LIVE', 'AUCTION_TODAY') AND NOT ({_OVER})) OR a.status = 'POSTPONED') AS current FROM auction a JOIN property p ON p.id = a.property_id))"""
+
+
+@query("ag18_coverage", f"WITH {_FLAGS} SELECT bank_id, count(*) AS total, count(*) FILTER (WHERE current) AS current, count(*) FILTER (WHERE actionable) AS actionable, round(count(*) FILTER (WHERE actionable) / nullif(sum(count(*) FILTER (WHERE actionable)) OVER (), 0), 6) AS share FROM f GROUP BY bank_id")
+def ag18(v: Views):
+    flags = Q.coverage_flags(v.auction, v.property, L.is_over(F.col("auction_start"), F.col("auction_end"), NOW_COL))
+    out = flags.groupBy("bank_id").agg(N.alias("total"), F.count_if("current").alias("current"), F.count_if("actionable").alias("actionable"))
+    whole = out.agg(F.sum("actionable").alias("whole"))
+    return out.join(F.broadcast(whole)).select("bank_id", "total", "current", "actionable", F.round(F.col("actionable") / F.nullif("whole", F.lit(0)), 6).alias("share"))
+
+
+@query("ag19_overlap", "SELECT source, CASE WHEN c + d + r > 0 THEN c / (c + d + r) END AS created, CASE WHEN c + d + r > 0 THEN d / (c + d + r) END AS duplicates FROM (SELECT source, sum(created) FILTER (WHERE kind = 'click')::DOUBLE AS c, sum(created) FILTER (WHERE kind = 'view')::DOUBLE AS d, sum(created) FILTER (WHERE kind = 'error')::DOUBLE AS r FROM run_log GROUP BY source)")
+def ag19(v: Views):
+    part = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.greatest(F.lit(0), F.col("created")))), F.lit(0)).cast("double")
+    sums = v.run_log.groupBy("source").agg(part("click").alias("c"), part("view").alias("d"), part("error").alias("r"))
+    all_ = F.col("c") + F.col("d") + F.col("r")
+    return sums.select("source", R.ratio(F.col("c"), all_).alias("created"), R.ratio(F.col("d"), all_).alias("duplicates"))
+
+
+@query("ag20_largest_pass", "SELECT source, id, created FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created DESC, started_at, id) AS n FROM run_log) WHERE n = 1")
+def ag20(v: Views):
+    return S.latest(v.run_log, ["source"], F.col("created").desc(), F.col("started_at").asc(), F.col("id").asc()).select("source", "id", "created")
+
+
+def _base(days: int) -> str:
+    c = f"created) FILTER (WHERE status = 'ok' AND started_at > timestamp '2024-01-25' - interval {days} day AND started_at <= timestamp '2024-01-25')"
+    return f"median({c} AS median_{days}, min({c} AS least_{days}, max({c} AS most_{days}, count({c} AS runs_{days}"
+
+
+@query("ag21_baselines", f"SELECT source, {_base(7)}, {_base(30)} FROM run_log GROUP BY source")
+def ag21(v: Views):
+    return Q.baselines(v.run_log, AT)
+
+
+@query("wn02_trend", """SELECT scope, date, value, value - lag(value) OVER w AS change, greatest(0, date_diff('day', lag(date) OVER w, date) - 1)::INT AS gap_days FROM (
+  SELECT source AS scope, CAST(started_at + interval 330 minute AS DATE) AS date, arg_max(created, (started_at, id)) AS value FROM run_log WHERE id % 9 = 0 GROUP BY ALL) WINDOW w AS (PARTITION BY scope ORDER BY date)""")
+def wn02(v: Views):
+    rows = v.run_log.filter("id % 9 = 0").select(F.col("source").alias("scope"), L.ist_date(F.col("started_at")).alias("date"), F.struct("started_at", "id").alias("at"), F.col("created").alias("value"))
+    out = R.trend(rows)
+    return out.withColumn("gap_days", F.when(F.lag("date").over(Window.partitionBy("scope").orderBy("date")).isNotNull(), F.col("gap_days")).otherwise(F.lit(0)))
+
+
+@query("wn03_tick_gaps", "SELECT source, count(*) AS n, max(started_at) AS last, max(gap)::BIGINT AS longest, count(*) FILTER (WHERE gap > 20) AS long_gaps FROM (SELECT *, floor((floor(epoch(started_at)) - floor(epoch(lag(started_at) OVER (PARTITION BY source ORDER BY started_at, id)))) / 60 + 0.5) AS gap FROM run_log) GROUP BY source")
+def wn03(v: Views):
+    return Q.tick_gaps(v.run_log)
+
+
+@query("wn04_changes_only", "SELECT id FROM (SELECT id, created % 3 AS x, lag(created % 3) OVER w AS p, row_number() OVER w AS n FROM run_log WINDOW w AS (PARTITION BY source ORDER BY started_at, id)) WHERE n = 1 OR x IS DISTINCT FROM p")
+def wn04(v: Views):
+    return R.changes_only(v.run_log, ["source"], ["started_at", "id"], F.col("created") % 3).select("id")
+
+
+_STREAK = "sum(CASE WHEN {c} THEN 1 ELSE 0 END) OVER (PARTITION BY source, {i} ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)"
+
+
+@query("wn05_streaks", """WITH r AS (SELECT *, sum(CASE WHEN created = 0 THEN 0 ELSE 1 END) OVER w AS i1, sum(CASE WHEN created < 5 AND status = 'error' THEN 0 ELSE 1 END) OVER w AS i2 FROM run_log WINDOW w AS (PARTITION BY source ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT id, source, (""" + _STREAK.format(c="created = 0", i="i1") + ")::BIGINT AS zero_streak, (" + _STREAK.format(c="created < 5 AND status = 'error'", i="i2") + """)::BIGINT AS reject_streak FROM r)
+SELECT *, CASE WHEN reject_streak >= 3 THEN 'ALL_REJECTED' WHEN zero_streak >= 3 THEN 'ZERO_YIELD' WHEN zero_streak >= 1 THEN 'EMPTY' ELSE 'PRODUCTIVE' END AS verdict FROM s""")
+def wn05(v: Views):
+    return Q.yield_states(v.run_log)
+
+
+@query("wn06_latest_evaluated", "SELECT source, arg_max(id, (started_at, id)) AS id FROM run_log WHERE kind <> 'error' GROUP BY source")
+def wn06(v: Views):
+    return v.run_log.filter("kind <> 'error'").groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
+
+
+@query("wn07_anomaly_streak", "SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM run_log) WHERE ok = 0 GROUP BY source")
+def wn07(v: Views):
+    w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    return v.run_log.withColumn("ok", F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(w)).filter("ok = 0").groupBy("source").agg(N.alias("streak"))
+
+
+@query("snk04_retention", "SELECT source, count(*) AS kept FROM run_log WHERE started_at >= timestamp '2024-01-30' - interval 14 day GROUP BY source")
+def snk04(v: Views):
+    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")).groupBy("source").agg(N.alias("kept"))
+
+
+@query("sd11_scheduler_health", "SELECT source, CASE WHEN max(started_at) < timestamp '2024-01-30 23:00:00' - interval 60 minute THEN 'late' ELSE 'ok' END AS health FROM run_log GROUP BY source")
+def sd11(v: Views):
+    last = F.max("started_at")
+    now = F.lit("2024-01-30 23:00:00").cast("timestamp_ntz")
+    return v.run_log.groupBy("source").agg(F.when(last.isNull(), "never").when(last < now - F.expr("INTERVAL 60 MINUTES"), "late").otherwise("ok").alias("health"))
+
+
+@query("st08_scan_order", "SELECT source, row_number() OVER (ORDER BY CASE WHEN max(started_at) < timestamp '2024-01-30 20:00:00' THEN 0 ELSE 1 END, max(started_at), source) AS place FROM run_log GROUP BY source")
+def st08(v: Views):
+    last = v.run_log.groupBy("source").agg(F.max("started_at").alias("last"))
+    starved = F.when(F.col("last") < F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"), 0).otherwise(1)
+    return last.select("source", F.row_number().over(Window.orderBy(starved, "last", "source")).cast("long").alias("place"))
+
+
+@query("st09_time_shares")
+def st09(v: Views):
+    """Shares of a tick for each source in turn: its weight of what is left, between a least and a most; less is put off."""
+    left, rows = 262.0, []
+    weights = [("a", 3.0), ("b", 1.0), ("c", 1.0), ("d", 5.0)]
+    for i, (name, weight) in enumerate(weights):
+        share = min(90.0, left * weight / sum(w for _, w in weights[i:]))
+        rows.append((name, share if share >= 20 else None))
+        left -= share if share >= 20 else 0
+    return v.spark.createDataFrame(rows, "source string, seconds double")
+
+
+@query("st22_lease", "SELECT source, arg_min(id, (started_at, id)) AS winner FROM run_log WHERE started_at >= timestamp '2024-01-30' GROUP BY source")
+def st22(v: Views):
+    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz")).groupBy("source").agg(F.min_by("id", F.struct("started_at", "id")).alias("winner"))
+
+
+@query("st23_dedup_state", "SELECT source, message, min(id) AS id FROM run_log GROUP BY source, message")
+def st23(v: Views):
+    return S.latest(v.run_log, ["source", "message"], F.col("id").asc()).select("source", "message", "id")
+
+
+@query("st24_yield_machine", "SELECT source, count(*) FILTER (WHERE created = 0) AS zeros, count(*) AS runs FROM run_log GROUP BY source")
+def st24(v: Views):
+    states = Q.yield_states(v.run_log)
+    return states.groupBy("source").agg(F.count_if(F.col("zero_streak") > 0).alias("zeros"), N.alias("runs"))
+
+
+@query("st25_last_seen", """WITH l AS (SELECT source, kind AS item, max(started_at) AS seen FROM run_log WHERE id % 17 = 0 GROUP BY ALL), p AS (SELECT source, started_at AS pass_at FROM run_log WHERE id % 101 = 0),
+m AS (SELECT l.source, item, count(p.pass_at) FILTER (WHERE pass_at > seen) AS missed FROM l LEFT JOIN p USING (source) GROUP BY l.source, item, seen),
+h AS (SELECT source, count(*) AS n, avg(CASE WHEN missed > 0 THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY source)
+SELECT m.source, item, missed, NOT (n >= 20 AND share > 0.2) AND missed >= 2 AS flagged FROM m JOIN h USING (source)""")
+def st25(v: Views):
+    seen = v.run_log.filter("id % 17 = 0").select("source", F.col("kind").alias("item"), F.col("started_at").alias("seen_at"))
+    passes = v.run_log.filter("id % 101 = 0").select("source", F.col("started_at").alias("pass_at"), F.lit(True).alias("complete"))
+    return Q.last_seen_sweep(seen, passes)
+
+
+@query("st26_recovery")
+def st26(v: Views):
+    return Q.recovery(v.run_log)
+
+
+@query("st27_completeness")
+def st27(v: Views):
+    return Q.completeness(v.run_log)
+
+
+@query("st28_protection", "SELECT source, arg_max(CASE WHEN status = 'error' THEN 'protected' ELSE 'open' END, (started_at, id)) AS gate FROM run_log WHERE kind <> 'view' GROUP BY source")
+def st28(v: Views):
+    gate = F.when(F.col("status") == "error", "protected").otherwise("open")
+    return v.run_log.filter("kind <> 'view'").groupBy("source").agg(F.max_by(gate, F.struct("started_at", "id")).alias("gate"))
+
+
+@query("st29_accept_baseline", "SELECT source, id, created >= 30 AND status = 'ok' AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM run_log) WHERE n = 1")
+def st29(v: Views):
+    last = S.latest(v.run_log, ["source"], F.col("started_at").desc(), F.col("id").desc())
+    return last.select("source", "id", ((F.col("created") >= 30) & (F.col("status") == "ok")).alias("accepted"))
+
+
+@query("st30_daily_snapshot", "SELECT CAST(started_at + interval 330 minute AS DATE) AS day, source, arg_max(created, (started_at, id)) AS reading FROM run_log GROUP BY ALL")
+def st30(v: Views):
+    return v.run_log.groupBy(L.ist_date(F.col("started_at")).alias("day"), "source").agg(F.max_by("created", F.struct("started_at", "id")).alias("reading"))
+
+
+@query("st31_late_observation", "SELECT count(*) AS observations, count(DISTINCT source || created) AS distinct_values FROM run_log")
+def st31(v: Views):
+    return v.run_log.agg(N.alias("observations"), F.countDistinct("source", "created").alias("distinct_values"))
+
+
+@query("pg01_problem_runs", "SELECT id, kind FROM (SELECT * FROM run_log ORDER BY started_at DESC, id DESC LIMIT 150) WHERE status = 'error'")
+def pg01(v: Views):
+    """The newest 150 first, then the filter."""
+    return v.run_log.orderBy(F.desc("started_at"), F.desc("id")).limit(150).filter("status = 'error'").select("id", "kind")
+
+
+@query("pg08_problem_list", "SELECT source, unnest(list_filter([CASE WHEN errors > 150 THEN 'many errors' END, CASE WHEN created < 10000 THEN 'few records' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT source, count(*) FILTER (WHERE status = 'error') AS errors, sum(created) AS created FROM run_log GROUP BY source)")
+def pg08(v: Views):
+    sums = v.run_log.groupBy("source").agg(F.count_if(F.col("status") == "error").alias("errors"), F.sum("created").alias("created"))
+    return sums.select("source", F.explode(F.array_compact(F.array(F.when(F.col("errors") > 150, "many errors"), F.when(F.col("created") < 10000, "few records")))).alias("problem"))
+
+
+@query("pg26_open_request", """SELECT e.event_id FROM events e WHERE e.event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.ts < e.ts AND x.ts >= e.ts - interval 7 day)""")
+def pg26(v: Views):
+    """First of its kind in seven days: the one before decides."""
+    rows = v.events.filter("event_type = 'signup'").withColumn("before", F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return rows.filter("before IS NULL OR before < ts - INTERVAL 7 DAYS").select("event_id")
+
+
+@query("src05_json_path", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k, json_extract_string(props, '$.a.b') AS missing FROM events")
+def src05(v: Views):
+    return v.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.get_json_object("props", "$.a.b").alias("missing"))
+
+
+@query("src07_field_map", "SELECT 'src:events:' || event_id AS external_id, event_type AS title, json_extract_string(props, '$.k') AS price FROM events WHERE event_type <> 'error' AND json_extract_string(props, '$.k') IS NOT NULL")
+def src07(v: Views):
+    """A configured map of names to paths; records without what is required, or of a kind left out, are dropped."""
+    paths = {"price": "$.k"}
+    rows = v.events.select(F.concat(F.lit("src:events:"), F.col("event_id").cast("string")).alias("external_id"), F.col("event_type").alias("title"), *[F.get_json_object("props", p).alias(n) for n, p in paths.items()])
+    return rows.filter("title <> 'error' AND price IS NOT NULL")
+
+
+@query("sj04_header", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 2 = 0")
+def sj04(v: Views):
+    message = F.concat(F.lit("[DATA_ENGINE_V1] "), F.col("props"), F.lit("\nread"))
+    header = F.regexp_extract(message, r"\[DATA_ENGINE_V1\] (\{[^\n]*\})", 1)
+    return v.events.filter("event_id % 2 = 0").select("event_id", F.from_json(header, "k string").getField("k").alias("k"))
+
+
+@query("sj08_state_merge", "SELECT event_id, json_merge_patch(props, '{\"done\":1}') AS state FROM events")
+def sj08(v: Views):
+    merged = F.map_concat(F.map_filter(F.from_json("props", "map<string,int>"), lambda k, _: k != "done"), F.create_map(F.lit("done"), F.lit(1)))
+    return v.events.select("event_id", F.to_json(merged).alias("state"))
+
+
+@query("sj10_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
+def sj10(v: Views):
+    return v.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
