@@ -1 +1,190 @@
-"""Queries (added below)."""
+"""Queries: entity resolution and dictionary matches."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import names as M
+from ..functions import text as T
+from ..operators import resolution as E
+from ..operators import search as S
+from .proxies import Views
+from .registry import query
+from .scalars import sql_values, values
+
+_TOK = "list_distinct(string_split(p_name, ' '))"
+_JAC = "len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"
+_PAIRS = f"SELECT a.p_brand, a.p_size, a.p_partkey AS a, b.p_partkey AS b, {_JAC} AS likeness FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey"
+_P = f"WITH p AS (SELECT *, {_TOK} AS t FROM part)"
+
+
+def parts(v: Views):
+    return v.part.select("p_partkey", "p_brand", "p_size", T.tokens(F.col("p_name"), []).alias("t"))
+
+
+@query("jn08_dictionary", r"""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'exact' ELSE 'normalized' END AS method FROM supplier WHERE s_suppkey % 5 <> 0""")
+def jn08(v: Views):
+    """Match by name as it is, then by its key."""
+    names = v.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.concat(F.lit("The "), F.upper("s_name"), F.lit(" Ltd."))).alias("name"))
+    known = v.supplier.filter("s_suppkey % 5 <> 0").select(F.col("s_name").alias("known"), M.bank_key(F.col("s_name")).alias("key"))
+    found = names.withColumn("key", M.bank_key(F.col("name"))).join(known, "key")
+    return found.select("s_suppkey", F.when(F.col("name") == F.col("known"), "exact").otherwise("normalized").alias("method"))
+
+
+@query("jn09_resolve_or_create", "SELECT k, min(o_orderkey) AS first FROM (SELECT o_orderkey, o_custkey % 50 AS k FROM orders) WHERE k NOT IN (SELECT s_suppkey % 50 FROM supplier WHERE s_suppkey < 30) GROUP BY k")
+def jn09(v: Views):
+    """Keys that no dimension row has; the first row of a key makes it."""
+    rows = v.orders.select("o_orderkey", (F.col("o_custkey") % 50).alias("k"))
+    known = v.supplier.filter("s_suppkey < 30").select((F.col("s_suppkey") % 50).alias("k"))
+    return rows.join(known, "k", "left_anti").groupBy("k").agg(F.min("o_orderkey").alias("first"))
+
+
+@query("jn10_block_pairs", f"{_P} {_PAIRS} WHERE {_JAC} >= 0.3")
+def jn10(v: Views):
+    return E.pairs_in_blocks(parts(v), ["p_brand", "p_size"], "p_partkey", "t").filter("likeness >= 0.3")
+
+
+@query("jn11_first_match", f"{_P} SELECT a AS incoming, known FROM (SELECT a.p_partkey AS a, b.p_partkey AS known, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_partkey % 97 = b.p_partkey % 97 THEN 0 ELSE 1 END, b.p_partkey) AS n FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0 WHERE a.p_partkey % 97 = b.p_partkey % 97 OR {_JAC} >= 0.8) WHERE n = 1")
+def jn11(v: Views):
+    """Of the known rows of the same block that match, the one with the same id, else the first."""
+    p = parts(v)
+    a = p.filter("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("incoming"), F.col("t").alias("ta"))
+    b = p.filter("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("known"), F.col("t").alias("tb"))
+    same = F.col("incoming") % 97 == F.col("known") % 97
+    hits = a.join(b, "p_brand").filter(same | (T.jaccard(F.col("ta"), F.col("tb")) >= 0.8))
+    return S.latest(hits, ["incoming"], F.when(same, 0).otherwise(1).asc(), F.col("known").asc()).select("incoming", "known")
+
+
+@query("jn12_same_price", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON floor(a.o_totalprice) = floor(b.o_totalprice) AND a.o_orderkey < b.o_orderkey AND a.o_custkey <> b.o_custkey")
+def jn12(v: Views):
+    rows = v.orders.select(F.floor("o_totalprice").alias("price"), "o_orderkey", "o_custkey")
+    a, b = rows.toDF("price", "a", "ca"), rows.toDF("price", "b", "cb")
+    return a.join(b, "price").filter("a < b AND ca <> cb").select("a", "b")
+
+
+@query("jn14_within_distance", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE 2 * 6371 * asin(sqrt(pow(sin(radians((b.n_nationkey - a.n_nationkey) / 10.0) / 2), 2))) < 65")
+def jn14(v: Views):
+    from ..functions.money import haversine_km
+
+    a = v.nation.select("n_regionkey", F.col("n_nationkey").alias("a"))
+    b = v.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
+    km = haversine_km(F.col("a") / 10.0, F.lit(77.0), F.col("b") / 10.0, F.lit(77.0))
+    return a.join(b, "n_regionkey").filter((F.col("a") < F.col("b")) & (km < 65)).select("a", "b")
+
+
+@query("sj01_jaccard", f"{_P} {_PAIRS}")
+def sj01(v: Views):
+    return E.pairs_in_blocks(parts(v), ["p_brand", "p_size"], "p_partkey", "t")
+
+
+@query("sj02_digit_tokens", "SELECT s_suppkey, list_filter(string_split(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: regexp_matches(x, '[0-9]')) AS t FROM supplier")
+def sj02(v: Views):
+    return v.supplier.select("s_suppkey", T.with_digit(T.tokens(F.col("s_name"), [])).alias("t"))
+
+
+@query("ag22_duplicate_groups", f"{_P}, q AS ({_PAIRS}) SELECT p_brand, p_size, avg(likeness) AS likeness, (SELECT list_sort(list(p_partkey)) FROM p WHERE p.p_brand = q.p_brand AND p.p_size = q.p_size) AS members FROM q GROUP BY p_brand, p_size")
+def ag22(v: Views):
+    return E.duplicate_groups(parts(v), ["p_brand", "p_size"], "p_partkey", "t")
+
+
+_ADDRESSES = [
+    ("Plot 12 Sector 5 Vashi Navi Mumbai 400703", "plot no 12, sector 5, vashi, navi mumbai - 400703", "match"),
+    ("Plot 12 Sector 5 Vashi Navi Mumbai 400703", "Plot 12 Sector 5 Vashi Navi Mumbai 400705", "conflict"),
+    ("Plot 12 Sector 5 Vashi Navi Mumbai", "Plot 13 Sector 5 Vashi Navi Mumbai", "conflict"),
+    ("Mumbai", "Mumbai", "unknown"),
+    ("Shop 4 Main Bazaar Hadapsar Pune", "Survey 4 Green Hills Lonavala Khandala", "different"),
+]
+
+
+def _pairs(v: Views):
+    return v.spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_ADDRESSES)], "i int, a string, b string")
+
+
+@query("er01_address_relation", "SELECT i, r FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, (_, _, r) in enumerate(_ADDRESSES)) + ") t(i, r)")
+def er01(v: Views):
+    return _pairs(v).select("i", E.address_relation(F.col("a"), F.col("b")).alias("r"))
+
+
+_RULES = ["same_source_id", None, "same_address", "distinctive_title", None]
+
+
+@query("er02_decide_same", "SELECT i, r IS NOT NULL AS match, r AS rule FROM (VALUES " + ", ".join(f"({i}, {'NULL' if r is None else repr(r)})" for i, r in enumerate(_RULES)) + ") t(i, r)")
+def er02(v: Views):
+    a, b = _ADDRESSES[0][0], _ADDRESSES[0][1]
+    rows = [
+        (0, "x", None, "src:h:1", "y", None, "src:h:1"),
+        (1, "Flat 12 Green Park Tower B", a, None, "Flat 12 Green Park Tower B", _ADDRESSES[1][1], None),
+        (2, "x", a, None, "y", b, None),
+        (3, "Shop 12 Green Park Tower B", None, "7", "Shop 12 Green Park Tower B", None, "7"),
+        (4, "House", None, "7", "House", None, "7"),
+    ]
+    df = v.spark.createDataFrame(rows, "i int, t1 string, a1 string, e1 string, t2 string, a2 string, e2 string")
+    d = E.decide_same(*[F.col(c) for c in ("t1", "a1", "e1", "t2", "a2", "e2")])
+    return df.select("i", d.alias("d")).select("i", "d.match", "d.rule")
+
+
+@query("er03_exact_title", "SELECT i, ok FROM (VALUES (0, true), (1, false), (2, false), (3, true), (4, false)) t(i, ok)")
+def er03(v: Views):
+    title = F.when(F.col("i") == 2, "Shops").otherwise("Row House Unit Seven")
+    return _pairs(v).select("i", E.exact_title_merge_allowed(title, F.col("a"), title, F.col("b")).alias("ok"))
+
+
+@query("er04_clean_pass", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keeper FROM part")
+def er04(v: Views):
+    """Equal titles in one block: all point to the first."""
+    return v.part.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand")).alias("keeper"))
+
+
+@query("er05_greedy", f"{_P} SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, list_sort(t)) AS kept_id FROM p")
+def er05(v: Views):
+    rows = v.part.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), T.tokens(F.col("p_name"), []).alias("tokens"))
+    return E.greedy_survivors(rows, ["p_brand"])
+
+
+@query("er06_title_groups", "SELECT p_name, min(p_partkey) AS keeper, count(*) - 1 AS hidden FROM part GROUP BY p_name HAVING count(*) > 1")
+def er06(v: Views):
+    return v.part.groupBy("p_name").agg(F.min("p_partkey").alias("keeper"), (F.count(F.lit(1)) - 1).alias("hidden")).filter("hidden > 0")
+
+
+@query("er07_candidates", f"{_P}, n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS k FROM p) SELECT a, b FROM (SELECT a.p_partkey AS a, b.p_partkey AS b, row_number() OVER (PARTITION BY a.p_partkey ORDER BY {_JAC} DESC, b.p_partkey DESC) AS r FROM p a JOIN n b ON a.p_brand = b.p_brand AND b.k <= 20 AND a.p_partkey <> b.p_partkey WHERE {_JAC} >= 0.3) WHERE r <= 3")
+def er07(v: Views):
+    """Of the 20 newest of a block, the three most alike."""
+    p = parts(v)
+    newest = p.withColumn("k", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_partkey")))).filter("k <= 20")
+    b = newest.select("p_brand", F.col("p_partkey").alias("b"), F.col("t").alias("tb"))
+    hits = p.join(b, "p_brand").filter("p_partkey <> b").withColumn("likeness", T.jaccard(F.col("t"), F.col("tb"))).filter("likeness >= 0.3")
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("likeness"), F.desc("b")))).filter("r <= 3")
+    return ranked.select(F.col("p_partkey").alias("a"), "b")
+
+
+@query("er14_spellings", "SELECT key, spelling, n FROM (SELECT key, spelling, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, spelling) AS r FROM (SELECT regexp_replace(lower(s), '[^a-z]', '', 'g') AS key, s AS spelling, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS s FROM part) GROUP BY 1, 2)) WHERE r = 1")
+def er14(v: Views):
+    return E.unify_spellings(v.part.select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("s")), "s")
+
+
+@query("er15_alias_rewrite", "SELECT c_custkey AS id, n_name AS old, 'RENAMED' AS new FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_7'")
+def er15(v: Views):
+    """What a rewrite changes, kept so that it can be undone."""
+    rows = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("old"))
+    return rows.withColumn("new", F.when(F.col("old") == "NATION_7", "RENAMED").otherwise(F.col("old"))).filter("new <> old")
+
+
+@query("er16_mapping_report", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'MISSING' WHEN s_suppkey % 3 = 0 THEN 'CONFIRMED' ELSE 'UNCERTAIN' END AS status FROM supplier")
+def er16(v: Views):
+    known = v.supplier.filter("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.upper("s_name")).alias("name"))
+    out = v.supplier.join(known, M.bank_key(F.col("s_name")) == M.bank_key(F.col("name")), "left")
+    return out.select("s_suppkey", F.when(F.col("k").isNull(), "MISSING").when(F.col("name") == F.col("s_name"), "CONFIRMED").otherwise("UNCERTAIN").alias("status"))
+
+
+_BANKS = ["The State Bank of India Ltd.", "SBI", "Bank & Co", "PNB", "Some Co operative Bank Limited"]
+
+
+@query("sc10_bank_key", "SELECT i, k FROM (VALUES (0, 'state bank of india'), (1, 'state bank of india'), (2, 'bank and co'), (3, 'punjab national bank'), (4, 'some bank')) t(i, k)")
+def sc10(v: Views):
+    return values(v, "c", _BANKS).select("i", M.canonical_bank_key(F.col("c")).alias("k"))
+
+
+@query("sc11_institution", "SELECT i, k FROM (VALUES (0, 'x arc'), (1, 'saraswat cooperative bank'), (2, 'y finance')) t(i, k)")
+def sc11(v: Views):
+    return values(v, "c", ["X Asset Reconstruction Company Limited", "The Saraswat Co-operative Bank Ltd.", "Y Finance (Pvt)"]).select("i", M.institution_key(F.col("c")).alias("k"))
