@@ -297,7 +297,9 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     split = F.when(F.col("pieces") > 1, F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: F.least(p, own) * F.col("pieces") + F.greatest(p, own))).otherwise(F.array(F.lit(0)))
     chosen = stage(chosen.withColumn("split", split).select("set", "family", "chosen", "split"), "chosen")
     large = not chosen.filter(F.size("split") > 1).isEmpty()
-    texts = rows.select(F.coalesce("doc_id", none).alias("chosen"), "text").join(chosen, "chosen")
+    # joined by sorting at every size: the sets chosen grow with the input, and a plan that sends them to all tasks
+    # while they are few says nothing about larger inputs
+    texts = rows.select(F.coalesce("doc_id", none).alias("chosen"), "text").join(chosen.hint("merge"), "chosen")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1 +1,306 @@
-"""Queries (added below)."""
+"""Queries: sources, sinks, import stages, page and notice extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import ingest as I
+from ..operators import rollups as R
+from ..sources import readers as S
+from .proxies import Views
+from .registry import query
+from .scalars import sql_values, values
+
+N = F.count(F.lit(1))
+
+
+@query("src02_csv_cells", "SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier")
+def src02(v: Views):
+    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), F.replace(F.col("s_name"), F.lit('"'), F.lit('""')), F.lit('"')))
+    cells = F.from_csv(line, "id string, name string", {"quote": '"', "escape": '"'})
+    return v.supplier.select(cells.alias("c")).select("c.*")
+
+
+@query("src03_import_table", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 500)")
+def src03(v: Views):
+    return S.import_table(v.orders.select(F.col("o_orderkey").alias("title"))).agg(N.alias("n"))
+
+
+_EXPORTS = ['[{"a":1},{"a":2}]', '{"total":5,"items":[{"a":3}]}', '{"count":1,"records":[]}', "no json"]
+
+
+@query("src04_export", "SELECT i, n, total::BIGINT AS total FROM (VALUES (0, 2, NULL), (1, 1, 5), (2, 0, 1), (3, NULL, NULL)) t(i, n, total)")
+def src04(v: Views):
+    found = S.export_records(F.col("c"))
+    return values(v, "c", _EXPORTS).select("i", F.when(found.isNotNull(), F.size(found)).alias("n"), S.export_total(F.col("c")).alias("total"))
+
+
+_TABLE = '<table><tr><th>Bank:</th><td>Some <b>Bank</b></td></tr><tr><td>Reserve Price</td><td>12,000</td></tr><tr><td>Bank</td><td>Other</td></tr></table><a rel="next" href="/p2">n</a>'
+
+
+@query("src08_label_table", "SELECT i, bank, price FROM (VALUES (0, 'Some Bank', '12,000'), (1, NULL, NULL)) t(i, bank, price)")
+def src08(v: Views):
+    m = S.page_pairs(F.col("c"))
+    return values(v, "c", [_TABLE, "<p>none</p>"]).select("i", F.try_element_at(m, F.lit("bank")).alias("bank"), F.try_element_at(m, F.lit("reserve price")).alias("price"))
+
+
+@query("src10_list_page", "SELECT i, n, nxt FROM (VALUES (0, 1, '/p2'), (1, 0, NULL)) t(i, n, nxt)")
+def src10(v: Views):
+    return values(v, "c", [_TABLE, "<p>none</p>"]).select("i", F.size(S.page_links(F.col("c"))).alias("n"), S.next_link(F.col("c")).alias("nxt"))
+
+
+_FLIGHT = 'self.push([1,"x"]);data({"id":"7","price":100});data({"id":"9","price":50})'
+
+
+@query("src12_embedded_json", "SELECT id, price FROM (VALUES ('7', 100), ('9', 50)) t(id, price)")
+def src12(v: Views):
+    rows = values(v, "c", [_FLIGHT]).select(F.explode(F.regexp_extract_all("c", F.lit(r"data\((\{[^)]*\})\)"), 1)).alias("j"))
+    return rows.select(F.from_json("j", "id string, price int").alias("r")).select("r.*")
+
+
+@query("src13_record_dedupe", "SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def src13(v: Views):
+    return v.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), N.alias("copies"))
+
+
+@query("src16_sitemap", "SELECT u FROM (VALUES ('https://x.org/auction/1'), ('https://x.org/auction/2')) t(u)")
+def src16(v: Views):
+    xml = "<urlset><url><loc>https://x.org/auction/1</loc></url><url><loc>https://x.org/about</loc></url><url><loc> https://x.org/auction/2 </loc></url></urlset>"
+    return values(v, "c", [xml]).select(F.explode(S.sitemap_urls(F.col("c"))).alias("u"))
+
+
+_NOTICE = "\n".join(f"Lot {k}: Plot {k} in Sector {k}, Navi Mumbai near the lake and the main road junction\nReserve Price: Rs. {k}00,000\nEMD: Rs. {k}0,000\nDate of auction: 1{k}/10/2026" for k in (1, 2, 3))
+
+
+@query("src18_notice_lots", "SELECT doc, status, lot::BIGINT AS lot, reserve::BIGINT AS reserve, emd::BIGINT AS emd, date, complete FROM (VALUES (0, 'LOTS', 1, 100000, 10000, '11/10/2026', true), (0, 'LOTS', 2, 200000, 20000, '12/10/2026', true), (0, 'LOTS', 3, 300000, 30000, '13/10/2026', true), (1, 'SCANNED', NULL, NULL, NULL, NULL, false)) t(doc, status, lot, reserve, emd, date, complete)")
+def src18(v: Views):
+    return S.notice_lots(v.spark.createDataFrame([(0, _NOTICE), (1, "scan")], "doc long, text string"))
+
+
+@query("tx12_lots_to_records", "SELECT doc || '-' || lot AS external_id, reserve::BIGINT AS reserve_price FROM (VALUES (0, 1, 100000), (0, 2, 200000), (0, 3, 300000)) t(doc, lot, reserve)")
+def tx12(v: Views):
+    lots = S.notice_lots(v.spark.createDataFrame([(0, _NOTICE), (1, "scan")], "doc long, text string"))
+    return lots.filter("complete").select(F.concat_ws("-", F.col("doc").cast("string"), F.col("lot").cast("string")).alias("external_id"), F.col("reserve").alias("reserve_price"))
+
+
+@query("src19_collect_pages", "SELECT count(*) AS pages, count(DISTINCT html) AS distinct_pages FROM pages")
+def src19(v: Views):
+    return v.pages.agg(N.alias("pages"), F.countDistinct("html").alias("distinct_pages"))
+
+
+@query("sc29_text_chunks")
+def sc29(v: Views):
+    return S.text_chunks(v.documents.select(F.col("doc_id").alias("doc"), "text"), 2000)
+
+
+@query("snk01_upsert", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS s FROM orders")
+def snk01(v: Views):
+    stored = v.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    incoming = v.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("s"), F.lit(1).alias("seq"))
+    return I.upsert(stored, incoming.unionByName(incoming.withColumn("s", F.lit("old")).withColumn("seq", F.lit(0))), ["k"])
+
+
+@query("snk02_insert_absent", "SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)")
+def snk02(v: Views):
+    return I.insert_absent(v.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k")), v.lineitem.select(F.col("l_suppkey").alias("k")), ["k"])
+
+
+@query("snk03_bulk_update", "SELECT id, CASE WHEN id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) THEN 'FEATURED' ELSE status END AS status FROM property")
+def snk03(v: Views):
+    ids = v.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("id")).distinct().withColumn("hit", F.lit(True))
+    return v.property.select("id", "status").join(ids, "id", "left").select("id", F.when(F.col("hit"), "FEATURED").otherwise(F.col("status")).alias("status"))
+
+
+@query("snk05_csv_rows", """SELECT CASE WHEN p_partkey % 2 = 0 THEN '"' || p_name || ',x",' ELSE p_name || ',' END || p_partkey AS line FROM part""")
+def snk05(v: Views):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit(",x"))).otherwise(F.col("p_name"))
+    return v.part.select(F.to_csv(F.struct(name.alias("a"), F.col("p_partkey").cast("string").alias("b"))).alias("line"))
+
+
+@query("snk06_sitemap", "SELECT 'property' AS kind, id::VARCHAR AS slug FROM (SELECT id FROM property WHERE status = 'PUBLISHED' ORDER BY id DESC LIMIT 400) UNION ALL SELECT 'city', geo_city FROM property WHERE status = 'PUBLISHED' AND geo_city IS NOT NULL GROUP BY geo_city HAVING count(*) >= 5")
+def snk06(v: Views):
+    live = v.property.filter("status = 'PUBLISHED'")
+    newest = live.orderBy(F.desc("id")).limit(400).select(F.lit("property").alias("kind"), F.col("id").cast("string").alias("slug"))
+    cities = live.filter("geo_city IS NOT NULL").groupBy("geo_city").agg(N.alias("n")).filter("n >= 5").select(F.lit("city").alias("kind"), F.col("geo_city").alias("slug"))
+    return newest.unionByName(cities)
+
+
+@query("snk07_api_shape", "SELECT id, '{\"id\":' || id || ',\"title\":\"' || title || '\",\"status\":\"' || status || '\"}' AS body FROM property")
+def snk07(v: Views):
+    return v.property.select("id", F.to_json(F.struct("id", "title", "status")).alias("body"))
+
+
+@query("fl15_quality_gate", "SELECT doc_id, list_filter([CASE WHEN length(text) < 80 THEN 'short title' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'no bank' END, CASE WHEN contains(lower(text), 'tractor') THEN 'vehicle' END], lambda x: x IS NOT NULL) AS why FROM documents")
+def fl15(v: Views):
+    why = I.reasons(short_title=F.length("text") < 80, no_bank=~F.col("lang").isin("en", "de"), vehicle=F.lower("text").contains("tractor"))
+    return v.documents.select("doc_id", why.alias("why"))
+
+
+@query("fl18_row_verdict", "SELECT o_orderkey, CASE WHEN o_totalprice < 5000 THEN 'no title' WHEN o_orderstatus = 'P' THEN 'inactive' WHEN o_orderkey % 50 = 0 THEN 'blocked' END AS verdict FROM orders")
+def fl18(v: Views):
+    verdict = I.first_reason(no_title=F.col("o_totalprice") < 5000, inactive=F.col("o_orderstatus") == "P", blocked=F.col("o_orderkey") % 50 == 0)
+    return v.orders.select("o_orderkey", verdict.alias("verdict"))
+
+
+@query("fl19_validate", "SELECT id, list_filter([CASE WHEN bank_id IS NULL THEN 'no bank' END, CASE WHEN reserve_price <= 0 THEN 'bad price' END, CASE WHEN auction_end < auction_start THEN 'end before start' END], lambda x: x IS NOT NULL) AS errors, bank_id IS NULL OR auction_end IS NULL AS needs_review FROM auction")
+def fl19(v: Views):
+    errors = I.reasons(no_bank=F.col("bank_id").isNull(), bad_price=F.col("reserve_price") <= 0, end_before_start=F.col("auction_end") < F.col("auction_start"))
+    return v.auction.select("id", errors.alias("errors"), (F.col("bank_id").isNull() | F.col("auction_end").isNull()).alias("needs_review"))
+
+
+@query("fl23_location_verdict", "SELECT id, CASE WHEN geo_state = 'ASIA' AND geo_city IS NOT NULL THEN 'accept' WHEN geo_state = 'ASIA' THEN 'review' ELSE 'reject' END AS verdict FROM property")
+def fl23(v: Views):
+    """State given, or a place of its list; the state without a place is for review."""
+    state = F.lower("geo_state") == "asia"
+    basis = F.array_compact(F.array(F.when(state, "state"), F.when(state & F.col("geo_city").isNotNull(), "place")))
+    return v.property.select("id", F.when(F.size(basis) == 2, "accept").when(F.size(basis) == 1, "review").otherwise("reject").alias("verdict"))
+
+
+@query("fl24_two_gates", "SELECT CASE WHEN geo_state <> 'ASIA' THEN 'place' WHEN category IS NULL OR category = 'INDUSTRIAL' THEN 'kind' ELSE 'qualified' END AS outcome, count(*) AS n FROM property GROUP BY 1")
+def fl24(v: Views):
+    outcome = F.coalesce(I.first_reason(place=F.col("geo_state") != "ASIA", kind=F.col("category").isNull() | (F.col("category") == "INDUSTRIAL")), F.lit("qualified"))
+    return R.grouped_count(v.property.select(outcome.alias("outcome")), "outcome")
+
+
+_ROBOTS = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: other\nDisallow: /"
+
+
+@query("fl25_robots", "SELECT url_path, allowed FROM (VALUES ('/', true), ('/private/x', false), ('/private/open/y', true), ('/a.pdf', false), ('/a.pdfx', true)) t(url_path, allowed)")
+def fl25(v: Views):
+    rules = values(v, "c", [_ROBOTS]).select(F.explode(S.robots_rules(F.col("c"))).alias("r")).select("r.*")
+    paths = v.spark.createDataFrame([(p,) for p in ("/", "/private/x", "/private/open/y", "/a.pdf", "/a.pdfx")], "url_path string")
+    return S.robots_decision(paths, rules, "bot")
+
+
+@query("er08_import_outcomes", """WITH s AS (SELECT o_custkey AS key, min(o_orderkey) AS id, max(o_orderdate) AS start FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
+i AS (SELECT o_orderkey AS row, o_custkey AS key, o_orderdate + interval 400 day AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice > 20000),
+j AS (SELECT o_orderkey AS row, NULL AS key, o_orderdate AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 1000 = 1),
+a AS (SELECT * FROM i UNION ALL SELECT * FROM j)
+SELECT row, CASE WHEN a.key IS NULL THEN 'skip: no key' WHEN row_number() OVER (PARTITION BY a.key, a.start ORDER BY row) > 1 THEN 'repeated' WHEN s.id IS NULL THEN 'create' WHEN a.start > s.start + interval 36 hour THEN 'round' ELSE 'enrich' END AS outcome, s.id AS known
+FROM a LEFT JOIN s ON s.key = a.key""")
+def er08(v: Views):
+    stored = v.orders.filter("o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("id"), F.max("o_orderdate").alias("start"))
+    a = v.orders.filter("o_orderkey % 10 = 0 AND o_totalprice > 20000").select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("key"), (F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("start"), F.col("o_totalprice").alias("price"))
+    b = v.orders.filter("o_orderkey % 1000 = 1").select(F.col("o_orderkey").alias("row"), F.lit(None).cast(a.schema["key"].dataType).alias("key"), F.col("o_orderdate").alias("start"), F.col("o_totalprice").alias("price"))
+    return I.import_outcomes(a.unionByName(b), stored)
+
+
+@query("er09_fill_only", "SELECT p.id, coalesce(nullif(geo_city, ''), 'CITY ' || p.id) AS geo_city, category AS category FROM property p WHERE category IS NOT NULL OR true")
+def er09(v: Views):
+    incoming = v.property.select("id", F.concat(F.lit("CITY "), F.col("id").cast("string")).alias("geo_city"), F.lit(None).cast("string").alias("category"))
+    return I.fill_only(v.property, incoming, "id", ["geo_city", "category"])
+
+
+_CHANGED = "SELECT o_orderkey AS id, o_orderstatus AS status, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_custkey END AS cust FROM orders"
+
+
+@query("er10_change_rows", f"SELECT id, field, old, new FROM (SELECT o.o_orderkey AS id, unnest(['status', 'cust']) AS field, unnest([o.o_orderstatus, o.o_custkey::VARCHAR]) AS old, unnest([n.status, n.cust::VARCHAR]) AS new FROM orders o JOIN ({_CHANGED}) n ON n.id = o.o_orderkey) WHERE old IS DISTINCT FROM new")
+def er10(v: Views):
+    old = v.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("cust"))
+    return I.change_rows(old, old.withColumn("cust", F.when(F.col("id") % 4 != 0, F.col("cust"))), "id", ["status", "cust"])
+
+
+@query("er11_transitions", "SELECT id, status AS from_status, 'COMPLETED' AS to_status FROM auction WHERE status <> 'COMPLETED' AND id % 2 = 0")
+def er11(v: Views):
+    to = F.when(F.col("id") % 2 == 0, "COMPLETED").otherwise(F.col("status"))
+    return v.auction.select("id", F.col("status").alias("from_status"), to.alias("to_status")).filter(~F.col("from_status").eqNullSafe(F.col("to_status")))
+
+
+@query("er12_auto_review", "SELECT CASE WHEN category = 'INDUSTRIAL' THEN 'REMOVED' WHEN category IS NOT NULL AND geo_city IS NOT NULL AND length(title) >= 8 THEN 'PUBLISHED' ELSE 'PENDING_REVIEW' END AS verdict, count(*) AS n FROM property GROUP BY 1")
+def er12(v: Views):
+    verdict = F.when(F.col("category") == "INDUSTRIAL", "REMOVED").when(F.col("category").isNotNull() & F.col("geo_city").isNotNull() & (F.length("title") >= 8), "PUBLISHED").otherwise("PENDING_REVIEW")
+    return R.grouped_count(v.property.select(verdict.alias("verdict")), "verdict")
+
+
+@query("er13_hash_skip", "SELECT a.page_id, CASE WHEN a.page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS outcome FROM pages a")
+def er13(v: Views):
+    stored = v.pages.select("page_id", F.sha2(F.when(F.col("page_id") % 3 == 0, F.lit("old")).otherwise(F.col("html")), 256).alias("stored"))
+    seen = v.pages.select("page_id", F.sha2("html", 256).alias("hash"))
+    return seen.join(stored, "page_id", "left").select("page_id", F.when(F.col("hash") == F.col("stored"), "same").otherwise("changed").alias("outcome"))
+
+
+@query("sj03_json_list", "SELECT i, n FROM (VALUES (0, 1), (1, 0), (2, 0)) t(i, n)")
+def sj03(v: Views):
+    urls = F.coalesce(F.filter(F.from_json("c", "array<string>"), lambda u: u.rlike("^https?://")), F.array().cast("array<string>"))
+    return values(v, "c", ['["https://x/a.pdf","ftp://y"]', "broken", None]).select("i", F.size(urls).alias("n"))
+
+
+@query("sj05_yield_marker", "SELECT i, verdict FROM (VALUES (0, 'EMPTY'), (1, NULL)) t(i, verdict)")
+def sj05(v: Views):
+    found = F.from_json(F.regexp_extract("c", r"\[YIELD_V1\] (\{[^\n]*\})", 1), "verdict string")
+    return values(v, "c", ['done [YIELD_V1] {"verdict":"EMPTY"}\nmore', "nothing"]).select("i", found.getField("verdict").alias("verdict"))
+
+
+@query("sj06_observation", "SELECT id, geo_state AS value FROM property WHERE geo_state IS NOT NULL")
+def sj06(v: Views):
+    encoded = v.property.filter("geo_state IS NOT NULL").select("id", F.to_json(F.struct(F.col("geo_state").alias("v"), F.lit("feed").alias("s"))).alias("j"))
+    return encoded.select("id", F.from_json("j", "v string, s string").getField("v").alias("value"))
+
+
+@query("sj07_snapshot", "SELECT i, total FROM (VALUES (0, 3), (1, NULL), (2, NULL)) t(i, total)")
+def sj07(v: Views):
+    r = F.from_json("c", "v int, counts struct<total int>")
+    total = F.when(r.getField("v") == 1, r.getField("counts").getField("total"))
+    return values(v, "c", ['{"v":1,"counts":{"total":3}}', '{"v":2,"counts":{"total":3}}', "x"]).select("i", total.alias("total"))
+
+
+@query("sj09_attributes", "SELECT id, ['Category', 'State'] AS labels FROM property WHERE category IS NOT NULL")
+def sj09(v: Views):
+    m = F.create_map(F.lit("category"), F.col("category"), F.lit("state"), F.col("geo_state"), F.lit("_hidden"), F.lit("x"))
+    shown = F.transform_keys(F.map_filter(m, lambda k, x: ~k.startswith("_") & x.isNotNull()), lambda k, _: F.initcap(k))
+    return v.property.filter("category IS NOT NULL").select("id", F.array_sort(F.map_keys(shown)).alias("labels"))
+
+
+@query("sj11_saved_filters", "SELECT i, k FROM (VALUES (0, ['city', 'q']), (1, [])) t(i, k)")
+def sj11(v: Views):
+    kept = F.map_filter(F.from_json("c", "map<string,string>"), lambda k, x: k.isin("q", "city", "state", "bank") & (F.trim(x) != "") & (F.length(x) <= 80))
+    return values(v, "c", ['{"q":"flat","city":"Pune","evil":"1","state":" "}', "{}"]).select("i", F.array_sort(F.map_keys(kept)).alias("k"))
+
+
+@query("tx10_page_stats", r"SELECT page_id, (length(html) - length(replace(html, '<a ', ''))) // 3 AS links, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs FROM pages")
+def tx10(v: Views):
+    return v.pages.select("page_id", F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+
+
+@query("tx11_page_score", r"SELECT page_id, score::INT AS score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'likely' WHEN score >= 20 THEN 'low' ELSE 'none' END AS band FROM (SELECT page_id, 30 * CAST(contains(lower(html), '<h1>') AS INT) + 30 * CAST(contains(lower(html), 'the') AS INT) + 20 * CAST(contains(lower(html), '<article>') AS INT) AS score FROM pages)")
+def tx11(v: Views):
+    low = F.lower("html")
+    score = sum((F.when(low.contains(word), points).otherwise(0) for word, points in (("<h1>", 30), ("the", 30), ("<article>", 20))), F.lit(0))
+    rows = v.pages.select("page_id", score.alias("score"))
+    return rows.withColumn("band", F.when(F.col("score") >= 80, "high").when(F.col("score") >= 50, "likely").when(F.col("score") >= 20, "low").otherwise("none"))
+
+
+@query("tx14_links", """SELECT page_id, list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*href="([^"]+)"', 1))[1:40] AS links FROM pages WHERE false""")
+def tx14(v: Views):
+    return v.pages.filter("false").select("page_id", S.page_links(F.col("html")).alias("links"))
+
+
+@query("tx14_link_counts", """SELECT page_id, least(40, len(list_distinct(regexp_extract_all(html, '(?i)<a\\b[^>]*href="([^"]+)"', 1))))::INT AS n FROM pages""")
+def tx14b(v: Views):
+    return v.pages.select("page_id", F.size(S.page_links(F.col("html"))).alias("n"))
+
+
+@query("tx15_link_scores", "SELECT page_id, CASE WHEN regexp_matches(url, 'page=[0-9]+') THEN 'pagination' WHEN regexp_matches(url, '/[0-9]+(\\.html|/)?([?#]|$)') THEN 'detail' ELSE 'listing' END AS kind FROM pages")
+def tx15(v: Views):
+    url = F.col("url")
+    return v.pages.select("page_id", F.when(url.rlike("page=[0-9]+"), "pagination").when(url.rlike(r"/[0-9]+(\.html|/)?([?#]|$)"), "detail").otherwise("listing").alias("kind"))
+
+
+@query("tx16_shapes", "SELECT shape, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[0-9]+', '#', 'g') AS shape FROM pages) GROUP BY shape HAVING count(*) >= 3 ORDER BY n DESC, shape LIMIT 4")
+def tx16(v: Views):
+    shape = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+", ""), "[0-9]+", "#")
+    return R.grouped_count(v.pages.select(shape.alias("shape")), "shape").filter("n >= 3").orderBy(F.desc("n"), "shape").limit(4)
+
+
+@query("tx17_value_in_source", "SELECT page_id, contains(regexp_replace(lower(html), '[^a-z0-9]', '', 'g'), regexp_replace(lower(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '[^a-z0-9]', '', 'g')) AS found FROM pages")
+def tx17(v: Views):
+    bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    return v.pages.select("page_id", F.contains(bare(F.col("html")), bare(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1))).alias("found"))
+
+
+@query("tx18_best_candidate", "SELECT lang, arg_max(doc_id, (tier, n_chars, doc_id)) AS best FROM (SELECT *, CASE WHEN n_chars % 100 >= 51 THEN 1 ELSE 0 END AS tier FROM documents WHERE n_chars % 100 >= 30) GROUP BY lang")
+def tx18(v: Views):
+    score = F.col("n_chars") % 100
+    rows = v.documents.filter(score >= 30).withColumn("tier", F.when(score >= 51, 1).otherwise(0))
+    return rows.groupBy("lang").agg(F.max_by("doc_id", F.struct("tier", "n_chars", "doc_id")).alias("best"))
