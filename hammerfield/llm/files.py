@@ -12,12 +12,12 @@ def write_file(uri: str, data: bytes) -> None:
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(part) as out:
+    with system.open_output_stream(part, compression=None) as out:
         out.write(data)
     system.move(part, path)
 
 
 def read_file(uri: str) -> bytes:
     system, path = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(path) as f:
+    with system.open_input_stream(path, compression=None) as f:
         return f.read()

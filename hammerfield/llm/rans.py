@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, name: st
         for batch in batches:
             raw, off = X.text_bytes(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
-            for i, j in X.chunks(off):
+            for i, j in X.chunks(off, min(X.CHUNK_BYTES, file_bytes)):
                 found, count = encode(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids.append(np.insert(found, np.cumsum(count), END_ID))
                 lengths.append(count + 1)

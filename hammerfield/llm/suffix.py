@@ -377,11 +377,15 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: in
     marked = repeated_spans(rows, keys, least, gram, crowd)
     id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    keyed = docs.withColumns({"_id": id_, "_k1": F.xxhash64(body), "_k2": F.xxhash64(F.lit(1), body)})
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    own = [prefix + x for x in ("id", "k1", "k2", "spans")]
+    keyed = docs.withColumns(dict(zip(own, (id_, F.xxhash64(body), F.xxhash64(F.lit(1), body)))))
     gone = rows.select("doc_id", "k1", "k2").distinct().join(keys.filter("copies > 1").select("k1", "k2"), ["k1", "k2"]).withColumn("spans", F.array(F.struct(F.lit(0).alias("first"), F.lit((1 << 31) - 1).alias("last"))))
     single = marked.join(keys.filter("copies = 1").select("k1", "k2"), ["k1", "k2"]).select("k1", "k2", "doc_id", "spans")
-    marks = single.unionByName(gone.select("k1", "k2", "doc_id", "spans")).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"))
-    joined = keyed.join(marks.hint("merge"), ["_id", "_k1", "_k2"], "left").select(*docs.columns, "_spans")
+    marks = single.unionByName(gone.select("k1", "k2", "doc_id", "spans")).select("doc_id", "k1", "k2", "spans").toDF(*own)
+    joined = keyed.join(marks.hint("merge"), own[:3], "left").select(*docs.columns, own[3])
     chars = "n_chars" in docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
