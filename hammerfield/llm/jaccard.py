@@ -29,7 +29,7 @@ from . import textops as X
 from .components import connected_components
 from .workspace import stage
 
-FAMILY = 4_000_000
+FAMILY = 1_500_000
 _U = np.uint64
 
 
@@ -83,24 +83,40 @@ def segments(h: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: in
     return np.concatenate(lists), np.concatenate(docs)
 
 
-def answers(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """For each set, the first set (by position) of its component under Jaccard >= num/den. Sets sorted and distinct."""
-    n = len(sets)
+def ranks(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of each set as ranks by rarity in all of them, sorted within each set; and the number of ranks."""
+    order = np.argsort(flat).astype(np.int32)
+    new = np.ones(len(flat), bool)
+    held = flat[order]
+    np.not_equal(held[1:], held[:-1], out=new[1:])
+    del held
+    which = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    times = np.bincount(which)
+    rank = np.empty(len(times), np.int32)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times), dtype=np.int32)
+    out = np.empty(len(flat), np.int32)
+    out[order] = rank[which]
+    at = 0
+    for n in size.tolist():
+        out[at : at + n].sort()
+        at += n
+    return out, len(times)
+
+
+def answers(flat: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set, the first set (by position) of its component under Jaccard >= num/den.
+
+    flat holds the sets one after another, each distinct; size their lengths.
+    """
+    n = len(size)
     root = np.arange(n)
-    size = np.array([len(s) for s in sets])
+    cut = np.r_[0, np.cumsum(size)]
     if n == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        both = len(np.intersect1d(flat[: cut[1]], flat[cut[1] :], assume_unique=True))
         return np.array([0, 0 if den * both >= num * (size.sum() - both) else 1])
 
-    # Shingles as ranks by rarity in the family, so that the first of a set are in few others.
-    flat = np.concatenate(sets)
-    _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    rank = np.empty(len(times), np.int64)
-    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
-    cut = np.r_[0, np.cumsum(size)]
-    ranked = rank[at]
-    order = np.lexsort((ranked, np.repeat(np.arange(n), size)))
-    ranked = ranked[order]
+    # the first shingles of a set are in few others
+    ranked, n_ranks = ranks(flat, size)
     sets = [ranked[cut[k] : cut[k + 1]] for k in range(n)]
 
     # Lists of the prefixes for the wider threshold 2 t - 1, within which a first set's answers are kept.
@@ -111,7 +127,7 @@ def answers(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     position = np.concatenate([np.arange(p) for p in prefix])
     sort = np.lexsort((position, token))
     token, owner, position = token[sort], owner[sort], position[sort]
-    start = np.searchsorted(token, np.arange(len(times) + 1))
+    start = np.searchsorted(token, np.arange(n_ranks + 1))
 
     def find(k: int) -> int:
         while root[k] != k:
@@ -123,7 +139,7 @@ def answers(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
 
-    mark = np.zeros(len(times), bool)
+    mark = np.zeros(n_ranks, bool)
 
     def common(k: int, others: np.ndarray) -> np.ndarray:
         mark[sets[k]] = True
@@ -320,9 +336,10 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
             names, first = np.unique(group.column("set").to_numpy(), return_index=True)
             if len(names) < 2:
                 continue
-            held = group.column("shingles").combine_chunks() if group.num_rows else None
-            off, flat = held.offsets.to_numpy(), held.values.to_numpy().astype(np.uint64)
-            root = answers([flat[off[f] : off[f + 1]] for f in first], num, den)
+            held = group.column("shingles").take(pa.array(first)).combine_chunks()
+            held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+            del group
+            root = answers(held.flatten().to_numpy(), np.diff(held.offsets.to_numpy()), num, den)
             moved = root != np.arange(len(names))
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
