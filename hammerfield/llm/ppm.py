@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .workspace import stage
 
-ORDER, BLOCK_EDGES, BLOCK_BYTES = 5, 4_000_000, 24 << 20
+ORDER, BLOCK_EDGES, BLOCK_BYTES = 5, 4_000_000, 16 << 20
 END, SYMBOLS = 256, 257
 END_WORD = np.uint64(0xE5D)
 _U = np.uint64
@@ -105,6 +105,11 @@ class Trie:
         spare = SYMBOLS - (self.nodes[0]["kinds"][0] if len(self.nodes[0]["kinds"]) else 0)
         self.rest = -np.log10(max(1, spare))
         self._hash()
+        # what look-ups do not need: the longest edges are in the hash table alone
+        self.edges[-1] = None
+        for e in self.edges[:-1]:
+            e["first"] = e["first"].astype(np.float32)
+            del e["of"]
 
     def _hash(self) -> None:
         """Open addressing of the longest edges: nearly every position is answered by one probe or two."""
@@ -162,15 +167,19 @@ class Trie:
             entered = child[todo] >= 0
             node = np.minimum(np.searchsorted(v["ctx"], short >> _U(9)), len(v["ctx"]) - 1)
             known = v["ctx"][node] == short >> _U(9)
-            at = np.minimum(np.searchsorted(e["code"], short), len(e["code"]) - 1)
-            found = e["code"][at] == short
+            if e is None:  # not in the hash table, so not among the longest edges
+                at = found = np.zeros(len(todo), bool)
+            else:
+                at = np.minimum(np.searchsorted(e["code"], short), len(e["code"]) - 1)
+                found = e["code"][at] == short
             after = found & entered
             if longer is not None:
                 out[todo[after]] += np.log10(e["n"][at[after]]) - longer["above"][child[todo[after]]]
                 on = ~found & entered
                 out[todo[on]] += longer["onward"][child[todo[on]]]
             new = found & ~entered
-            out[todo[new]] += e["first"][at[new]]
+            if new.any():
+                out[todo[new]] += e["first"][at[new]]
             fresh = ~found & ~entered & known
             out[todo[fresh]] += v["escape"][node[fresh]]
             child[todo] = np.where(known, node, -1)
