@@ -108,13 +108,19 @@ class Trie:
         # what look-ups do not need: the longest edges are in the hash table alone
         self.edges[-1] = None
         for e in self.edges[:-1]:
+            e["log"] = np.log10(e["n"]).astype(np.float32)
             e["first"] = e["first"].astype(np.float32)
-            del e["of"]
+            del e["of"], e["n"]
+        for v in self.nodes:
+            for x in ("escape", "above", "onward"):
+                if x in v:
+                    v[x] = v[x].astype(np.float32)
+            del v["total"], v["kinds"]
 
     def _hash(self) -> None:
         """Open addressing of the longest edges: nearly every position is answered by one probe or two."""
         code, value = self.edges[-1]["code"], self.edges[-1]["first"].astype(np.float32)
-        self.bits = max(4, int(2 * len(code) + 1).bit_length())
+        self.bits = max(4, int(1.5 * len(code) + 1).bit_length())
         self.key = np.full(1 << self.bits, np.iinfo(np.uint64).max, np.uint64)
         self.value = np.zeros(1 << self.bits, np.float32)
         slot, todo = self._slot(code), np.arange(len(code))
@@ -174,7 +180,8 @@ class Trie:
                 found = e["code"][at] == short
             after = found & entered
             if longer is not None:
-                out[todo[after]] += np.log10(e["n"][at[after]]) - longer["above"][child[todo[after]]]
+                if after.any():
+                    out[todo[after]] += e["log"][at[after]].astype(np.float64) - longer["above"][child[todo[after]]]
                 on = ~found & entered
                 out[todo[on]] += longer["onward"][child[todo[on]]]
             new = found & ~entered
