@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 SLICE = 1 << 16
-CACHE = 400_000
+CACHE = 100_000
 #: Characters that str.split takes for white space and the pattern does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .components import connected_components
-from .workspace import stage
+from .workspace import stage, text_batches
 
 FAMILY = 1_500_000
 _U = np.uint64
@@ -298,6 +298,7 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
     ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     member = members(rows, k)
     edges = stage(candidates(rows, k, num, den), "candidates")

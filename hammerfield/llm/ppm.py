@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .workspace import stage
+from .workspace import stage, text_batches
 
 ORDER, BLOCK_EDGES, BLOCK_BYTES = 5, 4_000_000, 16 << 20
 END, SYMBOLS = 256, 257
@@ -337,6 +337,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_edges: int = BLOC
     and every symbol equally likely. Extra columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     rows = rows.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

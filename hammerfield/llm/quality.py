@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .workspace import text_batches
 
 #: Bound of the training sample: rows of each class.
 TRAIN_ROWS = 1500
@@ -28,6 +29,8 @@ DIM, EPOCHS, RATE, BATCH, SEED = 8, 12, 0.5, 32, 7
 #: Lengths in bytes of the character n-grams.
 GRAMS = (2, 3, 4)
 THRESHOLD = 0.7
+#: Each byte of text gives several 64-bit features, so chunks are smaller here than elsewhere.
+CHUNK_BYTES = 1 << 18
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -67,7 +70,7 @@ def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets and their shares, for each text."""
     raw, off = X.text_bytes(texts)
     out = []
-    for i, j in X.chunks(off):
+    for i, j in X.chunks(off, CHUNK_BYTES):
         base = off[i]
         b, doc = buckets(raw[base : off[j]], off[i : j + 1] - base)
         key, count = np.unique(doc.astype(np.int64) * BUCKETS + b, return_counts=True)
@@ -123,7 +126,7 @@ def score_texts(texts: pa.Array, model: Model) -> np.ndarray:
     """Probability of label 1 of each whole text; an empty or null text has that of no feature."""
     raw, off = X.text_bytes(texts)
     mean = np.zeros(len(off) - 1)
-    for i, j in X.chunks(off):
+    for i, j in X.chunks(off, CHUNK_BYTES):
         base = off[i]
         b, doc = buckets(raw[base : off[j]], off[i : j + 1] - base)
         count = np.bincount(doc, minlength=j - i)
@@ -168,6 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a double column score (replacing one of that name)."""
+    text_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers, whatever the input
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .jaccard import runs
-from .workspace import stage
+from .workspace import stage, text_batches
 
 LEAST, GRAM, CROWD = 200, 64, 20_000
 _U = np.uint64
@@ -280,6 +280,7 @@ def _crowded(contexts: DataFrame, least: int) -> DataFrame:
 def repeated_spans(rows: DataFrame, keys: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """k1, k2, rep and spans (array of first, last; they may overlap) of each text with repeated bytes."""
     spark = rows.sparkSession
+    text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = _anchor_rows(rows, least, gram)
     name = F.xxhash64("k1", "k2", "place").alias("o")

@@ -21,6 +21,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Hand texts to Python in Arrow batches of at most so many rows, so that a task's memory is a few MB of text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and return a reader of it."""
     path = new_dir(df.sparkSession, name)
