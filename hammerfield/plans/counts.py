@@ -10,18 +10,20 @@ from ..operators import rollups as R
 from ..operators import search as S
 from .proxies import Views
 from .registry import query
-from .search import EFFECTIVE, NOW_COL, _ACTIVE
+from .search import EFFECTIVE, now_col, _ACTIVE
 
-N = F.count(F.lit(1))
+
+def rows_():
+    return F.count(F.lit(1))
 
 
 def active(v: Views):
-    return v.auction.filter(L.status_predicate(set(L.OPEN), F.col("status"), F.col("auction_start"), F.col("auction_end"), NOW_COL))
+    return v.auction.filter(L.status_predicate(set(L.OPEN), F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col()))
 
 
 @query("ag01_count", "SELECT count(*) AS n FROM property WHERE status = 'PUBLISHED'")
 def ag01(v: Views):
-    return v.property.filter("status = 'PUBLISHED'").agg(N.alias("n"))
+    return v.property.filter("status = 'PUBLISHED'").agg(rows_().alias("n"))
 
 
 @query("ag02_group_one", "SELECT category, count(*) AS n FROM property GROUP BY category")
@@ -37,12 +39,12 @@ def ag03(v: Views):
 @query("ag04_run_sums", "SELECT source, sum(created)::BIGINT AS created, count(*) AS runs FROM run_log WHERE started_at >= timestamp '2024-01-10' AND kind NOT IN ('error', 'view') GROUP BY source")
 def ag04(v: Views):
     rows = v.run_log.filter((F.col("started_at") >= F.lit("2024-01-10").cast("timestamp_ntz")) & ~F.col("kind").isin("error", "view"))
-    return rows.groupBy("source").agg(F.sum("created").alias("created"), N.alias("runs"))
+    return rows.groupBy("source").agg(F.sum("created").alias("created"), rows_().alias("runs"))
 
 
 @query("ag05_global", "SELECT coalesce(sum(created), 0)::BIGINT AS total, count(*) AS n FROM run_log WHERE kind = 'no such kind'")
 def ag05(v: Views):
-    return v.run_log.filter("kind = 'no such kind'").agg(F.coalesce(F.sum("created"), F.lit(0)).alias("total"), N.alias("n"))
+    return v.run_log.filter("kind = 'no such kind'").agg(F.coalesce(F.sum("created"), F.lit(0)).alias("total"), rows_().alias("n"))
 
 
 @query("ag06_having", "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
@@ -57,7 +59,7 @@ def ag07(v: Views):
 
 @query("ag08_parents_with_child", f"SELECT count(*) AS n FROM bank b WHERE EXISTS (SELECT 1 FROM auction WHERE bank_id = b.id AND {_ACTIVE})")
 def ag08(v: Views):
-    return v.bank.join(active(v).select(F.col("bank_id").alias("id")), "id", "left_semi").agg(N.alias("n"))
+    return v.bank.join(active(v).select(F.col("bank_id").alias("id")), "id", "left_semi").agg(rows_().alias("n"))
 
 
 @query("ag09_child_counts", "SELECT b.id, b.name, count(a.id) AS n FROM bank b LEFT JOIN auction a ON a.bank_id = b.id AND a.status = 'LIVE' GROUP BY b.id, b.name")
@@ -67,7 +69,7 @@ def ag09(v: Views):
 
 @query("ag10_conditional", "SELECT count(*) AS total, count(*) FILTER (WHERE bank_id IS NULL) AS no_bank, count(*) FILTER (WHERE auction_end < auction_start) AS reversed FROM auction")
 def ag10(v: Views):
-    return v.auction.agg(N.alias("total"), F.count_if(F.col("bank_id").isNull()).alias("no_bank"), F.count_if(F.col("auction_end") < F.col("auction_start")).alias("reversed"))
+    return v.auction.agg(rows_().alias("total"), F.count_if(F.col("bank_id").isNull()).alias("no_bank"), F.count_if(F.col("auction_end") < F.col("auction_start")).alias("reversed"))
 
 
 @query("ag11_distinct_buckets", "SELECT CASE WHEN reserve_price < 50000 THEN 'low' WHEN reserve_price < 200000 THEN 'mid' ELSE 'high' END AS bucket, count(DISTINCT property_id) AS properties FROM auction GROUP BY 1")
@@ -78,18 +80,18 @@ def ag11(v: Views):
 
 @query("ag12_by_day", "SELECT date_trunc('day', started_at) AS day, count(*) AS n FROM run_log GROUP BY 1")
 def ag12(v: Views):
-    return v.run_log.groupBy(F.date_trunc("day", "started_at").cast("timestamp_ntz").alias("day")).agg(N.alias("n"))
+    return v.run_log.groupBy(F.date_trunc("day", "started_at").cast("timestamp_ntz").alias("day")).agg(rows_().alias("n"))
 
 
 @query("ag13_regex_key", "SELECT regexp_extract(title, '([0-9]{3})[0-9]$', 1) AS pin, geo_state, count(*) AS n FROM property p WHERE NOT EXISTS (SELECT 1 FROM auction a WHERE a.property_id = p.id AND a.bank_id IS NULL) GROUP BY ALL ORDER BY n DESC, pin, geo_state LIMIT 300")
 def ag13(v: Views):
     rows = v.property.join(v.auction.filter("bank_id IS NULL").select(F.col("property_id").alias("id")), "id", "left_anti")
-    return rows.groupBy(F.regexp_extract("title", "([0-9]{3})[0-9]$", 1).alias("pin"), "geo_state").agg(N.alias("n")).orderBy(F.desc("n"), "pin", "geo_state").limit(300)
+    return rows.groupBy(F.regexp_extract("title", "([0-9]{3})[0-9]$", 1).alias("pin"), "geo_state").agg(rows_().alias("n")).orderBy(F.desc("n"), "pin", "geo_state").limit(300)
 
 
 @query("ag14_missing_most_first", "SELECT city, geo_state, count(*) AS n FROM property WHERE geo_city IS NULL GROUP BY ALL ORDER BY n DESC, city LIMIT 20")
 def ag14(v: Views):
-    return v.property.filter("geo_city IS NULL").groupBy("city", "geo_state").agg(N.alias("n")).orderBy(F.desc("n"), "city").limit(20)
+    return v.property.filter("geo_city IS NULL").groupBy("city", "geo_state").agg(rows_().alias("n")).orderBy(F.desc("n"), "city").limit(20)
 
 
 @query("ag15_city_summary", f"""WITH act AS (SELECT geo_city AS city, count(*) AS active FROM property p WHERE geo_city IS NOT NULL AND EXISTS (SELECT 1 FROM (SELECT *, {EFFECTIVE} AS eff FROM auction) a WHERE a.property_id = p.id AND eff IN ('UPCOMING', 'LIVE', 'AUCTION_TODAY')) GROUP BY 1),
@@ -114,7 +116,7 @@ def ag17(v: Views):
 @query("ag23_reasons", "SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN bank_id IS NULL THEN 'no bank' END, CASE WHEN auction_end IS NULL THEN 'no end' END, CASE WHEN reserve_price < 10000 THEN 'low price' END], lambda x: x IS NOT NULL)) AS reason FROM auction) GROUP BY reason")
 def ag23(v: Views):
     reasons = F.array_compact(F.array(F.when(F.col("bank_id").isNull(), "no bank"), F.when(F.col("auction_end").isNull(), "no end"), F.when(F.col("reserve_price") < 10000, "low price")))
-    return v.auction.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(N.alias("n"))
+    return v.auction.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(rows_().alias("n"))
 
 
 @query("ag24_missing_fields", """SELECT field, missing, round(100.0 * missing / total, 1)::DOUBLE AS percent FROM (
@@ -122,13 +124,13 @@ def ag23(v: Views):
   UNPIVOT (missing FOR field IN (bank_id, auction_end, reserve_price))""")
 def ag24(v: Views):
     fields = ["bank_id", "auction_end", "reserve_price"]
-    one = v.auction.agg(N.alias("total"), *[F.count_if(F.col(f).isNull()).alias(f) for f in fields])
+    one = v.auction.agg(rows_().alias("total"), *[F.count_if(F.col(f).isNull()).alias(f) for f in fields])
     return one.unpivot(["total"], fields, "field", "missing").select("field", "missing", F.round(100.0 * F.col("missing") / F.col("total"), 1).alias("percent"))
 
 
 @query("ag25_pins", "SELECT round(c_acctbal / 1000, 1) AS spot, count(*) AS n, list_sort(list(c_custkey)) AS ids FROM customer GROUP BY 1")
 def ag25(v: Views):
-    return v.customer.groupBy(F.round(F.col("c_acctbal") / 1000, 1).alias("spot")).agg(N.alias("n"), F.array_sort(F.collect_list("c_custkey")).alias("ids"))
+    return v.customer.groupBy(F.round(F.col("c_acctbal") / 1000, 1).alias("spot")).agg(rows_().alias("n"), F.array_sort(F.collect_list("c_custkey")).alias("ids"))
 
 
 @query("ag26_premium", """WITH stop AS (SELECT user_id, max(ts) AS t FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -152,14 +154,14 @@ def ag27(v: Views):
 
 @query("ag28_key_sets", "SELECT (SELECT count(*) FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7)) AS keys, (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS repeated")
 def ag28(v: Views):
-    keys = v.orders.filter("o_orderkey % 3 = 0").select("o_orderkey").union(v.lineitem.filter("l_linenumber = 7").select("l_orderkey")).distinct().agg(N.alias("keys"))
-    return keys.join(v.orders.groupBy("o_custkey").count().filter("count > 1").agg(N.alias("repeated")))
+    keys = v.orders.filter("o_orderkey % 3 = 0").select("o_orderkey").union(v.lineitem.filter("l_linenumber = 7").select("l_orderkey")).distinct().agg(rows_().alias("keys"))
+    return keys.join(v.orders.groupBy("o_custkey").count().filter("count > 1").agg(rows_().alias("repeated")))
 
 
 @query("ag29_verified", "SELECT count(*) AS read, count(DISTINCT o_orderkey) AS distinct_ids, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) AS accounted, count(*) = count(*) FILTER (WHERE o_orderstatus IN ('F', 'O', 'P')) AND count(*) = 15000 AS verified FROM orders")
 def ag29(v: Views):
     accounted = F.count_if(F.col("o_orderstatus").isin("F", "O", "P"))
-    return v.orders.agg(N.alias("read"), F.countDistinct("o_orderkey").alias("distinct_ids"), accounted.alias("accounted"), ((N == accounted) & (N == 15000)).alias("verified"))
+    return v.orders.agg(rows_().alias("read"), F.countDistinct("o_orderkey").alias("distinct_ids"), accounted.alias("accounted"), ((rows_() == accounted) & (rows_() == 15000)).alias("verified"))
 
 
 @query("wn01_latest_row", "SELECT source, arg_max(id, (started_at, id)) AS id FROM run_log GROUP BY source")

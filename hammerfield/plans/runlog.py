@@ -11,18 +11,22 @@ from ..operators import rollups as R
 from ..operators import search as S
 from .proxies import Views
 from .registry import query
-from .search import NOW_COL, _OVER
+from .search import now_col, _OVER
 
-AT = F.lit("2024-01-25").cast("timestamp_ntz")
-N = F.count(F.lit(1))
+
+def at_():
+    return F.lit("2024-01-25").cast("timestamp_ntz")
+
+def rows_():
+    return F.count(F.lit(1))
 _FLAGS = f"""f AS (SELECT id, bank_id, current, current AND coalesce(reserve_price > 0, false) AND auction_start IS NOT NULL AS actionable FROM (
   SELECT a.*, p.status = 'PUBLISHED' AND ((a.status IN ('UPCOMING', 'LIVE', 'AUCTION_TODAY') AND NOT ({_OVER})) OR a.status = 'POSTPONED') AS current FROM auction a JOIN property p ON p.id = a.property_id))"""
 
 
 @query("ag18_coverage", f"WITH {_FLAGS} SELECT bank_id, count(*) AS total, count(*) FILTER (WHERE current) AS current, count(*) FILTER (WHERE actionable) AS actionable, round(count(*) FILTER (WHERE actionable) / nullif(sum(count(*) FILTER (WHERE actionable)) OVER (), 0), 6) AS share FROM f GROUP BY bank_id")
 def ag18(v: Views):
-    flags = Q.coverage_flags(v.auction, v.property, L.is_over(F.col("auction_start"), F.col("auction_end"), NOW_COL))
-    out = flags.groupBy("bank_id").agg(N.alias("total"), F.count_if("current").alias("current"), F.count_if("actionable").alias("actionable"))
+    flags = Q.coverage_flags(v.auction, v.property, L.is_over(F.col("auction_start"), F.col("auction_end"), now_col()))
+    out = flags.groupBy("bank_id").agg(rows_().alias("total"), F.count_if("current").alias("current"), F.count_if("actionable").alias("actionable"))
     whole = out.agg(F.sum("actionable").alias("whole"))
     return out.join(F.broadcast(whole)).select("bank_id", "total", "current", "actionable", F.round(F.col("actionable") / F.nullif("whole", F.lit(0)), 6).alias("share"))
 
@@ -47,7 +51,7 @@ def _base(days: int) -> str:
 
 @query("ag21_baselines", f"SELECT source, {_base(7)}, {_base(30)} FROM run_log GROUP BY source")
 def ag21(v: Views):
-    return Q.baselines(v.run_log, AT)
+    return Q.baselines(v.run_log, at_())
 
 
 @query("wn02_trend", """SELECT scope, date, value, value - lag(value) OVER w AS change, greatest(0, date_diff('day', lag(date) OVER w, date) - 1)::INT AS gap_days FROM (
@@ -86,12 +90,12 @@ def wn06(v: Views):
 @query("wn07_anomaly_streak", "SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM run_log) WHERE ok = 0 GROUP BY source")
 def wn07(v: Views):
     w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    return v.run_log.withColumn("ok", F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(w)).filter("ok = 0").groupBy("source").agg(N.alias("streak"))
+    return v.run_log.withColumn("ok", F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(w)).filter("ok = 0").groupBy("source").agg(rows_().alias("streak"))
 
 
 @query("snk04_retention", "SELECT source, count(*) AS kept FROM run_log WHERE started_at >= timestamp '2024-01-30' - interval 14 day GROUP BY source")
 def snk04(v: Views):
-    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")).groupBy("source").agg(N.alias("kept"))
+    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")).groupBy("source").agg(rows_().alias("kept"))
 
 
 @query("sd11_scheduler_health", "SELECT source, CASE WHEN max(started_at) < timestamp '2024-01-30 23:00:00' - interval 60 minute THEN 'late' ELSE 'ok' END AS health FROM run_log GROUP BY source")
@@ -133,7 +137,7 @@ def st23(v: Views):
 @query("st24_yield_machine", "SELECT source, count(*) FILTER (WHERE created = 0) AS zeros, count(*) AS runs FROM run_log GROUP BY source")
 def st24(v: Views):
     states = Q.yield_states(v.run_log)
-    return states.groupBy("source").agg(F.count_if(F.col("zero_streak") > 0).alias("zeros"), N.alias("runs"))
+    return states.groupBy("source").agg(F.count_if(F.col("zero_streak") > 0).alias("zeros"), rows_().alias("runs"))
 
 
 @query("st25_last_seen", """WITH l AS (SELECT source, kind AS item, max(started_at) AS seen FROM run_log WHERE id % 17 = 0 GROUP BY ALL), p AS (SELECT source, started_at AS pass_at FROM run_log WHERE id % 101 = 0),
@@ -175,7 +179,7 @@ def st30(v: Views):
 
 @query("st31_late_observation", "SELECT count(*) AS observations, count(DISTINCT source || created) AS distinct_values FROM run_log")
 def st31(v: Views):
-    return v.run_log.agg(N.alias("observations"), F.countDistinct("source", "created").alias("distinct_values"))
+    return v.run_log.agg(rows_().alias("observations"), F.countDistinct("source", "created").alias("distinct_values"))
 
 
 @query("pg01_problem_runs", "SELECT id, kind FROM (SELECT * FROM run_log ORDER BY started_at DESC, id DESC LIMIT 150) WHERE status = 'error'")

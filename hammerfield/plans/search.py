@@ -9,7 +9,9 @@ from ..operators import search as S
 from .proxies import NOW, Views
 from .registry import query
 
-NOW_COL = F.lit(NOW).cast("timestamp_ntz")
+
+def now_col():
+    return F.lit(NOW).cast("timestamp_ntz")
 _NOW = f"timestamp '{NOW}'"
 _TODAY = "timestamp '1998-06-14 18:30:00'"
 _TOMORROW = "timestamp '1998-06-15 18:30:00'"
@@ -35,8 +37,8 @@ ORDER BY a.created_at DESC NULLS FIRST, p.id DESC LIMIT 24
 def flagship(v: Views):
     """First page of active listings, newest round first, with that round, its bank and its status now."""
     newest = S.latest(v.auction, ["property_id"], F.col("created_at").desc_nulls_first(), F.col("id").desc())
-    a = newest.select(F.col("property_id").alias("id"), F.col("id").alias("auction_id"), "reserve_price", "bank_id", "created_at", L.effective_status(F.col("status"), F.col("auction_start"), F.col("auction_end"), NOW_COL).alias("effective_status"))
-    found = S.published(v.property, v.auction, S.Filters(group="active"), NOW_COL).join(a, "id")
+    a = newest.select(F.col("property_id").alias("id"), F.col("id").alias("auction_id"), "reserve_price", "bank_id", "created_at", L.effective_status(F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col()).alias("effective_status"))
+    found = S.published(v.property, v.auction, S.Filters(group="active"), now_col()).join(a, "id")
     top = found.orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()).limit(24)
     return top.join(v.bank.select(F.col("id").alias("bank_id"), F.col("name").alias("bank")), "bank_id", "left").select("id", "title", "geo_city", "auction_id", "reserve_price", "effective_status", "bank")
 
@@ -58,28 +60,28 @@ _FL02 = f"""SELECT id, title FROM property p WHERE status = 'PUBLISHED' AND cate
 
 @query("fl02_published", _FL02)
 def fl02(v: Views):
-    return S.published(v.property, v.auction, S.Filters(category="RESIDENTIAL", min_price=50000, max_price=250000, group="active"), NOW_COL).select("id", "title")
+    return S.published(v.property, v.auction, S.Filters(category="RESIDENTIAL", min_price=50000, max_price=250000, group="active"), now_col()).select("id", "title")
 
 
 @query("fl03_effective_status", f"SELECT id, {EFFECTIVE} AS effective_status FROM auction")
 def fl03(v: Views):
-    return v.auction.select("id", L.effective_status(F.col("status"), F.col("auction_start"), F.col("auction_end"), NOW_COL).alias("effective_status"))
+    return v.auction.select("id", L.effective_status(F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col()).alias("effective_status"))
 
 
 @query("fl04_over", f"SELECT id, {_OVER} AS is_over FROM auction")
 def fl04(v: Views):
-    return v.auction.select("id", L.is_over(F.col("auction_start"), F.col("auction_end"), NOW_COL).alias("is_over"))
+    return v.auction.select("id", L.is_over(F.col("auction_start"), F.col("auction_end"), now_col()).alias("is_over"))
 
 
 @query("fl05_status_ranges", f"SELECT id, s AS wanted FROM (SELECT id, {EFFECTIVE} AS s FROM auction) WHERE s IN ('UPCOMING', 'LIVE', 'AUCTION_TODAY', 'COMPLETED')")
 def fl05(v: Views):
-    parts = [v.auction.filter(L.status_predicate({w}, F.col("status"), F.col("auction_start"), F.col("auction_end"), NOW_COL)).select("id", F.lit(w).alias("wanted")) for w in ("UPCOMING", "LIVE", "AUCTION_TODAY", "COMPLETED")]
+    parts = [v.auction.filter(L.status_predicate({w}, F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col())).select("id", F.lit(w).alias("wanted")) for w in ("UPCOMING", "LIVE", "AUCTION_TODAY", "COMPLETED")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("fl06_groups", f"SELECT id, {_ACTIVE} AS active FROM auction")
 def fl06(v: Views):
-    return v.auction.select("id", L.status_predicate(set(L.OPEN), F.col("status"), F.col("auction_start"), F.col("auction_end"), NOW_COL).alias("active"))
+    return v.auction.select("id", L.status_predicate(set(L.OPEN), F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col()).alias("active"))
 
 
 @query("fl07_keyword", "SELECT doc_id FROM documents WHERE contains(lower(text), 'thing') AND contains(lower(text), 'of')")
@@ -123,7 +125,7 @@ def fl13(v: Views):
 @query("fl14_api_filters", _FL02.replace("category = 'RESIDENTIAL' AND", "").replace("a.reserve_price BETWEEN 50000 AND 250000 AND", "a.bank_id = 5 AND") + " ORDER BY id DESC LIMIT 20")
 def fl14(v: Views):
     limit = min(50, max(1, 20))
-    return S.published(v.property, v.auction, S.Filters(bank_id=5, group="active"), NOW_COL).orderBy(F.col("id").desc()).limit(limit).select("id", "title")
+    return S.published(v.property, v.auction, S.Filters(bank_id=5, group="active"), now_col()).orderBy(F.col("id").desc()).limit(limit).select("id", "title")
 
 
 @query("fl20_thin", "SELECT id FROM property p WHERE status = 'PUBLISHED' AND EXISTS (SELECT 1 FROM auction a WHERE a.property_id = p.id AND a.bank_id IS NULL AND coalesce(a.reserve_price, 0) < 20000)")

@@ -92,7 +92,7 @@ def page_pairs(html: Column) -> Column:
 
     def cell(row: Column, k: int) -> Column:
         cells = F.regexp_extract_all(row, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1)
-        return F.trim(F.regexp_replace(F.coalesce(F.try_element_at(cells, F.lit(k)), F.lit("")), r"<[^>]*>|\s+", " "))
+        return F.trim(F.regexp_replace(F.coalesce(F.try_element_at(cells, F.lit(k)), F.lit("")), r"(?:<[^>]*>|\s)+", " "))
 
     pairs = F.transform(rows, lambda r: F.struct(F.lower(F.regexp_replace(cell(r, 1), r"[:\s]+$", "")).alias("k"), cell(r, 2).alias("v")))
     pairs = F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != ""))
