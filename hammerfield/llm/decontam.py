@@ -4,8 +4,10 @@ Texts become sequences of words (runs of letters, digits and bytes beyond ASCII,
 a sequence with shared random bits: at step j it writes the word it stands on and moves on if the word's j-th bit is
 set. Sequences a few edits apart fall back into step after each edit, so their embeddings agree at most steps: edit
 distance becomes Hamming distance. Each repetition samples M steps; a window of a document whose sampled words equal
-those of a window of an item is a candidate. The number of repetitions is what simulated edits of the items need to
-reach the target recall. Candidates whose embeddings agree too rarely go; an exact edit distance decides the others.
+those of a window of an item is a candidate. The number of repetitions, and how rarely the embeddings of a candidate
+may agree, are what simulated edits need to reach the target recall in every class of items of about equal length. Items
+of a class that misses it are found by their pieces instead: cut into one piece more than the edits allowed, an item has
+a piece that no edit touches, so these are all found. An exact edit distance decides about the candidates of both kinds.
 
 Windows are as long as the shortest item (at most WINDOW words); longer items are covered by several windows. Every
 word of every document starts a window. Documents never move: the items are a stated query set, sent in blocks of a
@@ -26,6 +28,7 @@ from . import textops as X
 
 SIMILARITY, TARGET, LEAST_WORDS = 0.8, 0.95, 5
 WINDOW, M, MAX_REPEATS, SEED = 24, 3, 24, 11
+COPIES, COPY_WORDS = 400, 400
 BLOCK_BYTES = 4 << 20
 _U = np.uint64
 _M = _U(0x9FB21C651E98DF25)
@@ -69,8 +72,9 @@ class Index:
     embedding: np.ndarray  # windows x steps
     owner: np.ndarray  # item of each window
     offset: np.ndarray  # and its first word there
-    least: int  # agreeing steps that a candidate needs
-    recall: float
+    least: np.ndarray  # agreeing steps that a candidate of each window needs
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by words: sorted keys, their items and first words, top 16 bits
+    recall: dict[int, float]  # of the items of so many edits, up to the next number; simulated, or 1 by pieces
 
 
 def _keys(written: list[np.ndarray] | np.ndarray, sample: np.ndarray) -> np.ndarray:
@@ -102,6 +106,82 @@ def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray
     return np.array(out, np.uint64)
 
 
+def edits_allowed(words: int, similarity: float) -> int:
+    return int((1 - similarity) * words + 1e-9)
+
+
+def _places(words: int, size: int) -> np.ndarray:
+    return np.unique(np.append(np.arange(0, words - size + 1, size), words - size))
+
+
+def _classes(items: list[np.ndarray], similarity: float) -> dict[int, list[int]]:
+    """The items by the edits allowed: each number to 12, then ranges of an eighth, then all of over COPY_WORDS words."""
+    top = max(1, edits_allowed(COPY_WORDS, similarity))
+    held: dict[int, list[int]] = {}
+    for i, w in enumerate(items):
+        e = min(top, max(1, edits_allowed(len(w), similarity)))
+        if 12 < e < top:
+            e = int(12 * 1.125 ** int(np.log(e / 12) / np.log(1.125) + 1e-9))
+        held.setdefault(e, []).append(i)
+    return dict(sorted(held.items()))
+
+
+def _agreement(items: list[np.ndarray], size: int, steps: int, samples: np.ndarray, similarity: float, rng: np.random.Generator) -> np.ndarray:
+    """Most agreeing steps of a candidate of each simulated copy after each repeat (copies x repeats), -1 without one.
+
+    All items are cut to the length of the shortest (COPY_WORDS at most): as many edits in fewer words and windows than
+    the others have. Other words follow each copy, as they do in a document.
+    """
+    words = min(COPY_WORDS, min(len(w) for w in items))
+    most, places = max(1, edits_allowed(words, similarity)), _places(words, size)
+    pick = [items[k][:words] for k in rng.integers(len(items), size=COPIES)]
+    copies = [edited(w, most, rng) for w in pick]
+    flat = np.concatenate([x for c in copies for x in (c, rng.integers(1 << 62, size=steps + 1).astype(np.uint64))])
+    base = np.cumsum([0] + [len(c) + steps + 1 for c in copies])[:-1]
+    of = np.repeat(np.arange(COPIES), [len(c) for c in copies])
+    near = list(walk(flat, np.concatenate([b + np.arange(len(c)) for b, c in zip(base, copies)]), steps))
+    own = list(_embed(pick, [places] * COPIES, steps).T)
+    own_of = np.repeat(np.arange(COPIES), len(places))
+    best, out = np.full(COPIES, -1), []
+    for s in samples:
+        # a copy meets its own item alone
+        h, g = (X.mix(_keys(x, s) + o.astype(np.uint64) * _M) for x, o in ((near, of), (own, own_of)))
+        order = np.argsort(g)
+        lo, hi = np.searchsorted(g[order], h, "left"), np.searchsorted(g[order], h, "right")
+        at, part = _spread(np.flatnonzero(hi > lo), lo, hi, order)
+        np.maximum.at(best, of[at], sum((x[at] == y[part]).astype(np.int64) for x, y in zip(near, own)))
+        out.append(best.copy())
+    return np.stack(out, 1)
+
+
+def _spread(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of at with each of its entries lo..hi."""
+    more = hi[at] - lo[at]
+    pick = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more - lo[at], more)
+    return np.repeat(at, more), entries[pick]
+
+
+def _pieces(items: list[np.ndarray], which: list[int], similarity: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    held: dict[int, list[tuple[int, int, int]]] = {}
+    for i in which:
+        w, n = items[i].tolist(), len(items[i])
+        parts = min(n, edits_allowed(n, similarity) + 1)
+        for k in range(parts):
+            a, b = k * n // parts, (k + 1) * n // parts
+            h = 0
+            for x in w[a:b]:
+                h = (h * int(_M) + x) & 0xFFFFFFFFFFFFFFFF
+            held.setdefault(b - a, []).append((h, i, a))
+    out = {}
+    for size, rows in held.items():
+        key = X.mix(np.array([h for h, _, _ in rows], np.uint64))
+        order = np.argsort(key, kind="stable")
+        top = np.zeros(1 << 16, bool)
+        top[key >> _U(48)] = True
+        out[size] = key[order], np.array([i for _, i, _ in rows])[order], np.array([a for _, _, a in rows])[order], top
+    return out
+
+
 def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, target: float = TARGET) -> Index | None:
     """Index of items; those of fewer than LEAST_WORDS words have no window. None if no item has one."""
     raw, off = X.text_bytes(texts)
@@ -113,26 +193,33 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
     ids, items = [i for i, _ in found], [w for _, w in found]
     size = min(WINDOW, *(len(w) for w in items)) if len(items) > 1 else min(WINDOW, len(items[0]))
     steps = 2 * size
-    places = [np.unique(np.append(np.arange(0, len(w) - size + 1, size), len(w) - size)) for w in items]
-    embedding = _embed(items, places, steps)
     rng = np.random.default_rng(SEED)
     samples = np.stack([np.sort(rng.choice(steps - 2, M, replace=False)) for _ in range(MAX_REPEATS)])
 
-    # What as many edits as the limit allows leave: a bounded number of simulated copies.
-    few = rng.permutation(len(items))[:200]
-    met, agree = np.zeros((0, MAX_REPEATS), bool), []
-    for k in few:
-        most = max(1, int((1 - similarity) * len(items[k]) + 1e-9))
-        copy = edited(items[k], most, rng)
-        near = _embed([copy], [np.arange(len(copy))], steps)
-        own = _embed([items[k]], [places[k]], steps)
-        same = np.stack([[(_keys(list(near.T), s)[:, None] == _keys(list(own.T), s)).any() for s in samples]])
-        met = np.concatenate([met, same])
-        agree.append(max((near == x).sum(1).max() for x in own))
-    reach = np.maximum.accumulate(met, axis=1).mean(axis=0)
-    repeats = int(np.argmax(reach >= target)) + 1 if (reach >= target).any() else MAX_REPEATS
+    # What as many edits as the limit allows leave, class by class; two standard errors for so many copies.
+    safe = target + 2 * (target * (1 - target) / COPIES) ** 0.5
+    repeats, least, recall, walked, pieced = 0, np.zeros(len(items), np.int64), {}, [], []
+    reached = {}
+    for e, which in _classes(items, similarity).items():
+        agree = _agreement([items[i] for i in which], size, steps, samples, similarity, rng)
+        reach = (agree >= 0).mean(axis=0)
+        if reach[-1] >= safe:
+            reached[e] = agree
+            repeats = max(repeats, int(np.argmax(reach >= safe)) + 1)
+            walked += which
+        else:
+            pieced += which
+            recall[e] = 1.0
+    for e, which in _classes(items, similarity).items():
+        if e in reached:
+            last = reached[e][:, repeats - 1]
+            least[which] = last[last >= 0].min()  # costs no copy that was met
+            recall[e] = float((last >= 0).mean())
     samples = samples[:repeats]
 
+    walked = np.array(sorted(walked), np.int64)
+    places = [_places(len(items[i]), size) for i in walked]
+    embedding = _embed([items[i] for i in walked], places, steps)
     keys, part_of, hit = [], [], []
     for s in samples:
         h = _keys(list(embedding.T), s)
@@ -142,9 +229,9 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
         top = np.zeros(1 << 16, bool)
         top[h >> _U(48)] = True
         hit.append(top)
-    owner = np.repeat(np.arange(len(items)), [len(p) for p in places])
-    least = max(M, int(np.quantile(agree, 0.02)))
-    return Index(ids, items, steps, samples, keys, part_of, hit, embedding, owner, np.concatenate(places), least, float(reach[repeats - 1]))
+    owner = np.repeat(walked, [len(p) for p in places])
+    offset = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    return Index(ids, items, steps, samples, keys, part_of, hit, embedding, owner, offset, least[owner], _pieces(items, pieced, similarity), recall)
 
 
 def distance(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -180,39 +267,52 @@ def search(index: Index, words: np.ndarray, doc: np.ndarray, n_docs: int, simila
         return []
     count = np.bincount(doc, minlength=n_docs)
     first = np.cumsum(count) - count
-    padded = np.zeros(len(words) + n_docs * (index.steps + 1), np.uint64)
+    padded = np.zeros(len(words) + n_docs * (index.steps + 1) + max(index.pieces, default=0), np.uint64)
     place = np.arange(len(words)) + doc * (index.steps + 1)
     padded[place] = words
     near: set[tuple[int, int, int]] = set()
+
+    def add(at: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> None:
+        # starts that name the same place of the same item within a window are one
+        begin = at - first[doc[at]] - offset
+        near.update(zip(doc[at].tolist(), owner.tolist(), (begin // index.steps).tolist()))
+
     for k in range(0, len(words), 1 << 15):
         start = place[k : k + (1 << 15)]
+        h = np.zeros(len(start), np.uint64)
+        for n in range(1, max(index.pieces, default=0) + 1):
+            h = h * _M + padded[start + (n - 1)]
+            if n in index.pieces:
+                keys, owner, offset, top = index.pieces[n]
+                x = X.mix(h)
+                at = np.flatnonzero(top[x >> _U(48)])
+                lo, hi = np.searchsorted(keys, x[at], "left"), np.searchsorted(keys, x[at], "right")
+                of, part = _spread(np.flatnonzero(hi > lo), lo, hi, np.arange(len(keys)))
+                add(at[of] + k, owner[part], offset[part])
+        if not len(index.samples):
+            continue
         written = list(walk(padded, start, index.steps))
         pairs = []
         for r, sample in enumerate(index.samples):
             h = _keys(written, sample)
             at = np.flatnonzero(index.hit[r][h >> _U(48)])
             lo, hi = np.searchsorted(index.keys[r], h[at], "left"), np.searchsorted(index.keys[r], h[at], "right")
-            more = hi - lo
-            if more.any():
-                at = np.repeat(at, more)
-                pick = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more) + np.repeat(lo, more)
-                pairs.append(at * len(index.owner) + index.part_of[r][pick])
+            of, part = _spread(np.flatnonzero(hi > lo), lo, hi, index.part_of[r])
+            if len(of):
+                pairs.append(at[of] * len(index.owner) + part)
         if not pairs:
             continue
         at, part = np.divmod(np.unique(np.concatenate(pairs)), len(index.owner))
         agree = np.zeros(len(at), np.int64)
         for j, x in enumerate(written):
             agree += x[at] == index.embedding[part, j]
-        good = agree >= index.least
-        at, part = at[good] + k, part[good]
-        # starts that name the same place of the same item within a window are one
-        begin = at - first[doc[at]] - index.offset[part]
-        near.update(zip(doc[at].tolist(), index.owner[part].tolist(), (begin // index.steps).tolist()))
+        good = agree >= index.least[part]
+        add(at[good] + k, index.owner[part[good]], index.offset[part[good]])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     distinct = {item: set(index.items[item].tolist()) for item in {x[1] for x in near}}
     for d, item, bucket in near:
         pattern = index.items[item]
-        most = int((1 - similarity) * len(pattern) + 1e-9)
+        most = edits_allowed(len(pattern), similarity)
         lo = max(0, bucket * index.steps - most)
         hi = min(int(count[d]), (bucket + 1) * index.steps + len(pattern) + most)
         stretch = words[first[d] + lo : first[d] + hi]

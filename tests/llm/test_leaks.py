@@ -62,3 +62,23 @@ def test_blocks_of_items_and_empty_tables(spark, monkeypatch):
     assert len(whole & blocks) >= 0.95 * len(whole | blocks)
     assert decontam.find_leaks(spark.createDataFrame([], DOCS), table).collect() == []
     assert decontam.find_leaks(frame, spark.createDataFrame([], ITEMS)).collect() == []
+
+
+def test_recall_of_each_length_of_items():
+    """As many edits as the limit allows, other words around: short items in a block of long ones, and each length alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    for lengths in ([5] * 20 + [9] * 20 + [100] * 300, [16] * 40 + [45] * 40, [5] * 40, [24] * 40, [29] * 40):
+        items = [rng.choices(vocabulary, k=n) for n in lengths]
+        index = decontam.build(list(range(len(items))), pa.array([" ".join(w) for w in items]))
+        short = [i for i, n in enumerate(lengths) if n < 100]
+        docs = [(i, [*rng.choices(vocabulary, k=30), *decontam.edited(np.arange(lengths[i]), int(0.2 * lengths[i] + 1e-9), np.random.default_rng(i * 10 + k)).tolist(), *rng.choices(vocabulary, k=30)]) for i in short for k in range(8)]
+        texts = [" ".join(x if isinstance(x, str) else items[i][x] if x < lengths[i] else f"new{x}" for x in words) for i, words in docs]
+        raw, off = decontam.X.text_bytes(pa.array(texts))
+        found = {(d, i) for d, i, *_ in decontam.search(index, *decontam.word_hashes(raw, off), len(texts), 0.8)}
+        for n in {lengths[i] for i in short}:
+            own = [(d, i) for d, (i, _) in enumerate(docs) if lengths[i] == n]
+            assert len(found & set(own)) >= 0.95 * len(own), (n, len(own))
