@@ -239,18 +239,13 @@ def tries(counts: DataFrame, order: int = ORDER, most: int = BLOCK_EDGES) -> Ite
     order_ = np.argsort(branches)
     branches, n = branches[order_], n[order_]
     block = np.cumsum(n) // most if n.sum() > most else np.zeros(len(n), np.int64)
-    for b in np.unique(block) if len(block) else [0]:
+    # blocks are ranges of branches that leave no branch out: each reaches to the next one's first
+    starts = branches[np.searchsorted(block, np.unique(block))].astype(int).tolist()
+    stops = [*starts[1:], 1 << 16]
+    for first, stop in zip([0, *starts[1:]], stops):
         mask = np.zeros(1 << 16, bool)
-        held = branches[block == b] if len(block) else branches
-        mask[held] = True
-        if not len(block) or len(np.unique(block)) == 1:
-            mask[:] = True
-            got = counts.toArrow()
-        else:
-            # blocks are ranges of branches; those that no training text has go to the last
-            first, last = int(held[0]), int(held[-1])
-            mask[first : last + 1] = True
-            got = counts.filter(branch.between(first, last)).toArrow()
+        mask[first:stop] = True
+        got = counts.toArrow() if mask.all() else counts.filter(branch.between(first, stop - 1)).toArrow()
         yield Trie(got.column("code").to_numpy().astype(np.uint64), got.column("n").to_numpy(), low_code, low_count, order), mask
 
 

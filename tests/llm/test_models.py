@@ -121,3 +121,28 @@ def test_ppm_probabilities_sum_to_one():
         context = int.from_bytes(ctx, "big")
         every = np.array([context << 9 | s for s in range(257)], np.uint64)
         assert (10 ** trie.log10(every)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_ppm_in_blocks_scores_contexts_that_no_training_text_has(spark):
+    learnt, held = (next(i for i in range(99) if (out(i, 5) == 1) == x) for x in (False, True))
+    unseen = "zzz qxq \x01\x02\x03 élan ÿÿÿ the mat aa bb mm 00 99"  # pairs of bytes below, between and above the blocks
+    rows = [(learnt, "the cat sat on the mat and the dog sat on the log " * 3, *"abcde"), (held, unseen, *"abcde")]
+    want = {learnt: None, held: None}
+    for edges in (1 << 20, 60, 7):
+        got = {r.doc_id: r.score for r in ppm.score_documents(spark.createDataFrame(rows, DOCS), block_edges=edges).collect()}
+        want = got if want[held] is None else want
+        assert got == pytest.approx(want, rel=1e-5, abs=1e-5)
+    model = Ppm([rows[0][1]], 5)
+    assert want[held] == pytest.approx(model.score(unseen), rel=1e-5)
+
+
+def test_ppm_masks_cover_every_context_once(spark):
+    import numpy as np
+
+    counts = spark.createDataFrame([((a << 8 | b) << 9 | s, 1) for a in (0, 97, 104) for b in (97, 120) for s in (97, 256)], "code long, n long")
+    for edges in (1000, 3, 1):
+        masks = [mask for _, mask in ppm.tries(counts, 5, edges)]
+        assert (np.sum(masks, axis=0) == 1).all()
+    assert len(masks) > 2
+    (only,) = [mask for _, mask in ppm.tries(counts.limit(0), 5, 3)]
+    assert only.all()
