@@ -1,19 +1,21 @@
 """Jaccard join of shingle sets: documents linked when their sets are similar enough, as connected components.
 
 1. Sets. A document's set is its distinct k-word shingles; equal sets are one set, named by a hash of its shingles.
-2. Index lists. A set of size n is cut by position in hash order into so many segments that two similar sets must
-   share a whole one: with at most D shingles in only one of two sets, D + 1 + spare segments leave spare + 1 equal.
-   Sets of a size class are cut alike; a set is also listed under the next class, where its larger partners are. A list
-   holds one segment at one position, so common words or passages alone never bring sets together.
-3. Families. Sets on a common list are joined into families (components of the candidate graph), so a set's shingles
+2. Index lists. Shingles are ordered by hash. Of its first ones in that order, as many as may differ and DEPTH per cent
+   more are posted for each set; of the first ones of the set that ends earlier, all but those that may differ are among
+   the first ones of the other. So a set of which fewer than that are in other sets too, as where only a passage is
+   shared, has no partner. The others are searched by the rarest of their shared shingles: all but one less than a
+   partner must have in common with them.
+3. Families. Sets that meet in a list are joined into families (components of the candidate graph), so a set's shingles
    are sent to one place whatever its number of lists.
 4. Answers, in a family. A first set's answers are read from position-blocked lists of its rarest shingles, skipping
    the blocks whose positions or sizes leave too little in common. A set in those answers derives its own from them:
    Jaccard distance is a metric, so its partners are within (1 - threshold) more of the first set than it is; those
    already in its component are skipped.
 
-Only set names move in steps 2 and 3, each list or component as a minimum and its members, never as a group. Texts move
-once, to meet their families. A family of over FAMILY shingles is dealt into pieces, each pair of pieces a task.
+Only names and hashes move in steps 2 and 3; a list of many sets is dealt by set, and a list or component is handled as
+a minimum and its members, never as a group. Texts move once, to meet their families. A family of over FAMILY shingles
+is dealt into pieces, each pair of pieces a task.
 """
 
 from __future__ import annotations
@@ -22,28 +24,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
 from .components import connected_components
-from .workspace import stage, text_batches
+from .workspace import discard, stage, text_batches
 
 FAMILY = 1_500_000
+#: Per cent of a set that is searched beyond what may differ: more of it costs postings and leaves fewer candidates.
+DEPTH = 15
+#: Kinds of postings; sets of a batch that make a shingle common; its place in the order of rarity.
+PLAIN, COMMON, IN_COMMON, HOT, HELD = 0, 1, 2, 16, (1 << 31) - 1
 _U = np.uint64
 
 
-def classes(most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(least size, segments, spare segments) of each size class up to that of size most, and one more; threshold num/den."""
-    low = [1]
-    while low[-1] <= most:
-        low.append(low[-1] * den // num + 1)
-    low.append(low[-1] * den // num + 1)
-    low.append(low[-1] * den // num + 1)
-    b = np.array(low, np.int64)
-    apart = 2 * (b[1:] - 1) * (den - num) // (den + num)
-    spare = np.where(apart > 0, 3 + apart * 6 // 100, 0)
-    return b[:-1], apart + 1 + spare, spare
+def allowance(n, num: int, den: int):
+    """Shingles that a set of size n may have outside a similar set."""
+    return n - -(-n * num // den)
+
+
+def depth(n):
+    """Shingles that two similar sets have in common, at least, among the first ones of each; n: size of the smaller set."""
+    return np.maximum(1, n * DEPTH // 100)
+
+
+def demand(n, num: int, den: int):
+    """depth() for the smallest partner that a set of size n may have."""
+    return depth(-(-n * num // den))
 
 
 def set_names(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -55,34 +63,6 @@ def set_names(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray,
     return size, X.mix(c[end] - c[end - size] + size.astype(np.uint64)).astype(np.int64)
 
 
-def segments(h: np.ndarray, doc: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(list name, document) of each segment of each set."""
-    if not len(h):
-        return h, doc
-    low, count, spare = classes(int(size.max()), num, den)
-    own = np.searchsorted(low, size, "right") - 1
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(X.mix(h), out=c[1:])
-    lists, docs = [], []
-    for more in (0, 1):
-        p = np.maximum(own + more, 0)
-        m = count[p]
-        seg = ((h >> _U(32)) * m[doc].astype(np.uint64) >> _U(32)).astype(np.int64)
-        new = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (doc[1:] != doc[:-1])])
-        end = np.r_[new[1:], len(h)]
-        d, s = doc[new], seg[new]
-        place = (p[d].astype(np.uint64) << _U(40)) + s.astype(np.uint64)
-        lists.append(X.mix(X.mix(place + _U(1)) + c[end] - c[new] + (end - new).astype(np.uint64)))
-        docs.append(d)
-        # sets with more empty segments than spare ones may share only empty segments with each other
-        empty = np.where(size > 0, m - np.bincount(d, minlength=len(size)), 0)
-        for x in np.flatnonzero(empty > spare[p]):
-            gone = np.setdiff1d(np.arange(m[x]), s[d == x])
-            lists.append(X.mix(X.mix((_U(p[x]) << _U(40)) + gone.astype(np.uint64) + _U(1)) ^ _U(0x5851F42D4C957F2D)))
-            docs.append(np.full(len(gone), x))
-    return np.concatenate(lists), np.concatenate(docs)
-
-
 def ranks(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, int]:
     """The shingles of each set as ranks by rarity in all of them, sorted within each set; and the number of ranks."""
     order = np.argsort(flat).astype(np.int32)
@@ -224,46 +204,125 @@ def _sets(text: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def members(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and set (its name; null for an empty set) of each row, staged."""
+    """doc_id, row, n_shingles and set (its name; null for an empty set) of each row (doc_id, text, row), staged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, name = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, j, h, doc in _sets(batch.column(1), k):
                 size[i:j], name[i:j] = set_names(h, doc, j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(name, mask=size == 0)], ["doc_id", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(name, mask=size == 0)], ["doc_id", "row", "n_shingles", "set"])
+
+    return stage(docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n_shingles long, set long"), "members")
 
-    return stage(docs.mapInArrow(run, "doc_id long, n_shingles long, set long"), "sets")
 
+def post(docs: DataFrame, k: int, num: int, den: int, hot: int = HOT) -> DataFrame:
+    """Postings (code, set) of the first shingles in hash order of each set.
 
-def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (u, v) between sets on a common list, each list as a star around its smallest set."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    code: 62 bits of the shingle and a kind. A shingle of `hot` sets of a batch or more is common: its sets (IN_COMMON)
+    need not meet anywhere, one row (COMMON) tells the others. Else PLAIN.
+    """
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings (list, set, null) of the smallest set of each list in a batch; the others become edges (any key, u, v)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, names = [], []
+            codes, sets = [], []
             for i, j, h, doc in _sets(batch.column(1), k):
                 size, name = set_names(h, doc, j - i)
-                name_list, of = segments(h, doc, size, num, den)
-                lists.append(name_list.astype(np.int64))
-                names.append(name[of])
-            if not lists or not sum(map(len, lists)):
+                once = np.zeros(j - i, bool)
+                once[np.unique(name, return_index=True)[1]] = True
+                first = np.cumsum(size) - size
+                keep = (np.arange(len(h)) - first[doc] < (allowance(size, num, den) + depth(size))[doc]) & once[doc]
+                codes.append((h[keep] & ~_U(3)).astype(np.int64))
+                sets.append(name[doc[keep]])
+            if not sum(map(len, codes)):
+                continue
+            code, of = np.concatenate(codes), np.concatenate(sets)
+            order = np.argsort(code, kind="stable")
+            code, of = code[order], of[order]
+            new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            times = np.diff(np.r_[new, len(code)])
+            common = times >= hot
+            code = np.r_[code + np.repeat(common, times) * IN_COMMON, code[new[common]] + COMMON]
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(np.r_[of, of[new[common]]])], ["code", "set"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "code long, set long")
+
+
+def shared(postings: DataFrame) -> DataFrame:
+    """set, place and shingle of the postings whose shingle several sets have; place: how many, HELD for a common one."""
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(code: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        """Whole lists, sorted by code and set."""
+        kind, shingle = code & 3, code & ~3
+        told = np.unique(shingle[kind == COMMON])
+        mine = kind == IN_COMMON
+        plain = kind == PLAIN
+        a, b = shingle[plain], of[plain]
+        one = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        a, b = a[one], b[one]
+        new = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, int)
+        times = np.diff(np.r_[new, len(a)])
+        place = np.repeat(np.where(np.isin(a[new], told), HELD, np.minimum(times, HELD - 1)), times)
+        several = place > 1
+        cols = [np.r_[b[several], of[mine]], np.r_[place[several], np.full(mine.sum(), HELD)].astype(np.int32), np.r_[a[several], shingle[mine]]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["set", "place", "shingle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_code, held_set = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, of = np.r_[held_code, batch.column(0).to_numpy()], np.r_[held_set, batch.column(1).to_numpy()]
+            # the last list may go on
+            cut = int(np.searchsorted(code, code[-1] & ~3))
+            held_code, held_set = code[cut:], of[cut:]
+            if cut:
+                yield rows(code[:cut], of[:cut])
+        if len(held_code):
+            yield rows(held_code, held_set)
+
+    code = F.col("code")
+    key = F.when(code.bitwiseAND(F.lit(3)) == IN_COMMON, F.col("set")).otherwise(code.bitwiseAND(F.lit(~3)))
+    dealt = postings.repartition(parts, key).sortWithinPartitions("code", "set")
+    return dealt.mapInArrow(run, "set long, place int, shingle long")
+
+
+def stars(key: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, least set of each, distinct edges from the other sets to the least)."""
+    order = np.lexsort((of, key))
+    key, of = key[order], of[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    least = of[new][np.cumsum(new) - 1]
+    edge = of != least
+    return key[new], of[new], np.unique(np.stack([of[edge], least[edge]], 1), axis=0)
+
+
+def candidates(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) between sets that have one of their rarest shared shingles in common, each list as a star.
+
+    found: rows of shared(). A set with fewer shared shingles among its first ones than any partner would have with it
+    has no partner. Of the others, all but one less than that number are searched, the rarest first.
+    """
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (k, u, null) of the least set of each list of a batch, and edges (any k, u, v)."""
+        for group in whole_runs(batches):
+            of, place, shingle = (group.column(c).to_numpy() for c in range(3))
+            one = np.r_[True, (of[1:] != of[:-1]) | (place[1:] != place[:-1]) | (shingle[1:] != shingle[:-1])]
+            of, place, shingle = of[one], place[one], shingle[one]
+            first = np.flatnonzero(place < 0)
+            times = np.diff(np.r_[first, len(of)])
+            most = np.maximum(times - demand(shingle[first], num, den), 0)
+            at = np.arange(len(of)) - np.repeat(first, times)
+            keep = (at > 0) & (at <= np.repeat(most, times))
+            if not keep.any():
                 continue
-            a, b = np.concatenate(lists), np.concatenate(names)
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.r_[True, a[1:] != a[:-1]]
-            least = b[new][np.cumsum(new) - 1]
-            edge = b != least
-            pair = np.unique(np.stack([b[edge], least[edge]], 1), axis=0)
-            out_k, out_u = np.r_[a[new], pair[:, 0]], np.r_[b[new], pair[:, 0]]
-            out_v = np.r_[np.zeros(new.sum(), np.int64), pair[:, 1]]
-            mask = np.r_[np.ones(new.sum(), bool), np.zeros(len(pair), bool)]
-            for c in range(0, len(out_k), 200_000):
-                s = slice(c, c + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(out_k[s]), pa.array(out_u[s]), pa.array(out_v[s], mask=mask[s])], ["k", "u", "v"])
+            key, least, edge = stars(shingle[keep], of[keep])
+            k, u = np.r_[key, edge[:, 0]], np.r_[least, edge[:, 0]]
+            v, none = np.r_[np.zeros(len(key), np.int64), edge[:, 1]], np.r_[np.ones(len(key), bool), np.zeros(len(edge), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(u), pa.array(v, mask=none)], ["k", "u", "v"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stars of the lists; rows come sorted by list and set, edges are passed on."""
@@ -285,42 +344,73 @@ def candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 pair = np.unique(np.stack([u, v], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["u", "v"])
 
-    posted = docs.mapInArrow(post, "k long, u long, v long").repartition(parts, "k").sortWithinPartitions("k", "u")
+    # the size of each set comes before its shingles
+    sized = found.select("set", "place", "shingle").unionByName(sets.select("set", F.lit(-1).alias("place"), F.col("n").alias("shingle")))
+    posted = sized.repartition(parts, "set").sortWithinPartitions("set", "place", "shingle")
+    posted = posted.mapInArrow(search, "k long, u long, v long").repartition(parts, "k").sortWithinPartitions("k", "u")
     return posted.mapInArrow(link, "u long, v long").distinct()
 
 
-def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, family: int = FAMILY) -> DataFrame:
+def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The rows in tables of about so many that leave rows of equal first column together; the input is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            of = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(of, of[-1]))
+            if cut:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]).combine_chunks()
+                held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of the id and the text of a row."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, family: int = FAMILY, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text); linked when Jaccard >= num / den.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased. A text of fewer than k words is one shingle;
     a null or blank text has the empty set, links with nothing and is its own component. component_id is the smallest
     doc_id of the component; null ids are never it unless there is no other. Repeated rows are kept. Extra columns are
-    ignored.
+    ignored. More columns: row, the row_key() of the row; leads, true for one row of each component (with the smallest
+    id, the rows equal to it included) and for every row without words.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row_key(docs).alias("row"))
     member = members(rows, k)
-    edges = stage(candidates(rows, k, num, den), "candidates")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("first")
+    sets = member.filter("set IS NOT NULL").groupBy("set").agg(first, F.max("n_shingles").alias("n"))
+    sets = stage(sets.select("set", "n", F.col("first.doc_id").alias("least"), F.col("first.row").alias("chosen")), "sets")
+    found = stage(shared(post(rows, k, num, den, hot)), "shared")
+    edges = stage(candidates(found, sets, num, den), "candidates")
+    discard(found)
     families = stage(connected_components(edges).select(F.col("node").alias("set"), F.col("component").alias("family")), "families")
+    discard(edges)
 
     # The text of one row of each set that has a family.
-    none = F.lit(-(1 << 63))
-    chosen = member.join(families, "set").groupBy("set", "family").agg(F.min(F.coalesce("doc_id", none)).alias("chosen"), F.max("n_shingles").alias("n"))
-    weight = chosen.groupBy("family").agg(F.sum("n").alias("weight"))
-    pieces = F.ceil(F.col("weight") * 2 / F.lit(family)).cast("int")
-    chosen = chosen.join(weight, "family").withColumn("pieces", F.when(F.col("weight") > family, pieces).otherwise(1))
-    own = F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int")
-    split = F.when(F.col("pieces") > 1, F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: F.least(p, own) * F.col("pieces") + F.greatest(p, own))).otherwise(F.array(F.lit(0)))
-    chosen = stage(chosen.withColumn("split", split).select("set", "family", "chosen", "split"), "chosen")
-    large = not chosen.filter(F.size("split") > 1).isEmpty()
+    chosen = stage(sets.join(families, "set"), "chosen")
+    weight = chosen.groupBy("family").agg(F.sum("n").alias("weight")).filter(F.col("weight") > family)
+    weight = stage(weight.select("family", F.ceil(F.col("weight") * 2 / F.lit(family)).cast("int").alias("pieces")), "weights")
+    large = not weight.isEmpty()
+    pieces = F.coalesce("pieces", F.lit(1))
+    own = F.pmod(F.xxhash64("set"), pieces).cast("int")
+    split = F.when(pieces > 1, F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.least(p, own) * pieces + F.greatest(p, own))).otherwise(F.array(F.lit(0)))
+    chosen = chosen.join(weight, "family", "left").select("set", "family", "chosen", split.alias("split"))
     # joined by sorting at every size: the sets chosen grow with the input, and a plan that sends them to all tasks
     # while they are few says nothing about larger inputs
-    texts = rows.select(F.coalesce("doc_id", none).alias("chosen"), "text").join(chosen.hint("merge"), "chosen")
+    texts = rows.select(F.col("row").alias("chosen"), "text").join(chosen.hint("merge"), "chosen")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """set, family, split and shingles; rows whose id is another set's are left out."""
+        """set, family, split and shingles; rows whose key is another set's as well are left out."""
         for batch in batches:
             wanted, family_of, split_of = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             for i, j, h, doc in _sets(batch.column(3), k):
@@ -345,11 +435,24 @@ def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100
             if moved.any():
                 yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[root[moved]])], ["u", "v"])
 
-    sets = texts.select("set", "family", "split", "text").mapInArrow(shingled, "set long, family long, split array<int>, shingles array<long>")
-    sets = sets.withColumn("split", F.explode("split")).repartition(parts, "family", "split").sortWithinPartitions("family", "split")
-    links = stage(sets.mapInArrow(solve, "u long, v long"), "links")
-    solved = connected_components(links) if large else links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-    joined = member.join(solved.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = joined.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    solved = texts.select("set", "family", "split", "text").mapInArrow(shingled, "set long, family long, split array<int>, shingles array<long>")
+    solved = solved.withColumn("split", F.explode("split")).repartition(parts, "family", "split").sortWithinPartitions("family", "split")
+    links = stage(solved.mapInArrow(solve, "u long, v long"), "links")
+    discard(families, weight)
+    if large:
+        roots_ = stage(connected_components(links).select(F.col("node").alias("set"), "component"), "roots")
+        discard(links)
+    else:
+        roots_ = links.select(F.col("u").alias("set"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("set"), F.col("v").alias("component")).distinct())
+
+    # The least id of each component, by sets; rows meet it by the name of their set. Tables that are joined are written
+    # first, so that a name which many rows share can be dealt to several tasks.
+    named = stage(sets.join(roots_, "set", "left").select("set", "least", "chosen", F.coalesce("component", "set").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("x"), "least", "set")).alias("first"))
+    least = stage(least.select("component", F.col("first.least").alias("component_id"), F.col("first.set").alias("leader")), "least")
+    led = named.join(least.hint("merge"), "component").select("set", "component_id", F.when(F.col("leader") == F.col("set"), F.col("chosen")).alias("leads"))
+    led = stage(led, "led")
+    discard(sets, named, least)
+    joined = member.join(led.hint("merge"), "set", "left")
+    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "row", F.coalesce(F.col("leads") == F.col("row"), F.col("set").isNull()).alias("leads"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def base_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset: a temporary one of our own on a local master, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="hammerfield-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -21,15 +23,36 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{base_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Hand texts to Python in Arrow batches of at most so many rows, so that a task's memory is a few MB of text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+#: Bytes of the Arrow batches in which rows are handed to Python.
+BATCH_BYTES = 2 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in Arrow batches bounded by bytes; every operator on texts sets the same bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and return a reader of it."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once as Parquet in the shared folder and return a reader of it; the shuffle files of the job go at its end."""
+    spark = df.sparkSession
+    path = new_dir(spark, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables written by stage() that no later job reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

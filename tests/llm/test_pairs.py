@@ -87,9 +87,11 @@ def test_jaccard_join_equals_brute_force(spark):
         least = components([i for i, _ in docs], jaccard_links(docs, k, num, 100))
         want = sorted((i, len(shingles(t, k)), least[i]) for i, t in docs)
         frame = spark.createDataFrame(rows, DOCS)
-        assert sorted(map(tuple, similar_documents(frame, k, num, 100).collect())) == want
-        # families cut into pieces give the same
-        assert sorted(map(tuple, similar_documents(frame, k, num, 100, family=300).collect())) == want
+        for family in (1 << 20, 300):  # families cut into pieces give the same
+            got = similar_documents(frame, k, num, 100, family=family).collect()
+            assert sorted(r[:3] for r in got) == want
+            leads = {r.doc_id for r in got if r.leads}
+            assert leads == {least[i] for i in least}
 
 
 def test_jaccard_join_of_nothing_nulls_and_repeated_rows(spark):
@@ -98,7 +100,34 @@ def test_jaccard_join_of_nothing_nulls_and_repeated_rows(spark):
     rows = [(None, text), (4, text), (4, text), (9, text + " i"), (None, None), (2, None)]
     got = similar_documents(spark.createDataFrame([r + ("", "", "") for r in rows], DOCS), 3, 80, 100)
     want = [(None, 6, 4), (4, 6, 4), (4, 6, 4), (9, 7, 4), (None, 0, None), (2, 0, 2)]
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sorted((r[:3] for r in got.collect()), key=str) == sorted(want, key=str)
+    leads = sorted((r.doc_id, r.n_shingles) for r in got.collect() if r.leads and r.doc_id is not None)
+    assert leads == [(2, 0), (4, 6), (4, 6)]
+
+
+def random_sets(seed, n, words):
+    """Documents of shared and own words, so that many pairs are close to the threshold and some words are very common."""
+    rng = random.Random(seed)
+    passages = [[f"p{i}x{j}" for j in range(40)] for i in range(4)]
+    rows = []
+    for i in range(n):
+        base = rng.randrange(n // 6)
+        own = [f"d{base}y{j}" for j in range(words)]
+        for _ in range(rng.randrange(0, words // 6)):
+            own[rng.randrange(words)] = f"z{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(own + rng.choice(passages))))
+    return rows
+
+
+def test_jaccard_join_near_the_threshold_and_with_common_shingles(spark):
+    for seed, num in ((1, 90), (2, 80), (3, 60)):
+        docs = random_sets(seed, 240, 60)
+        least = components([i for i, _ in docs], jaccard_links(docs, 3, num, 100))
+        assert len(set(least.values())) < len(docs)
+        frame = spark.createDataFrame([r + ("", "", "") for r in docs], DOCS).repartition(3)
+        for hot in (16, 2):
+            got = {r.doc_id: r.component_id for r in similar_documents(frame, 3, num, 100, hot=hot).collect()}
+            assert got == least
 
 
 def test_components_of_chains_stars_and_cycles(spark):
