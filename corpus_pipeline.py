@@ -1,8 +1,8 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, token counts.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet and rereads it as
-the next stage's docs. Every stage but the last returns the columns of documents. Documents that several rows share by
-id are handled row by row where the stage allows it; ids without a value are kept.
+the next stage's docs. Every stage but the last returns the columns of documents. Rows are judged one by one, by what
+they hold: ids may repeat or be null.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from hammerfield.llm import bpe, decontam, jaccard, quality, suffix
 from hammerfield.llm.workspace import stage
 
-#: Shingles of a family solved in one task: its sets are shorter and more alike than at higher thresholds.
-FAMILY = 3_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -22,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents whose quality score reaches the threshold.
 
     The classifier learns from the labelled documents outside its held-out fold; labels of documents that are not in
-    docs are not used.
+    docs are not used. Each row is scored by its own text, whatever its id; a null or empty text scores as no feature.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     seen = labels.filter(quality.remainder(labels["doc_id"], 4) != 2).select("doc_id", labels["quality"].alias("label"))
@@ -31,29 +29,38 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (Jaccard of five-word shingles of 0.8 or more): the smallest id.
+    """One row of each group of near duplicates (Jaccard of five-word shingles of 0.8 or more): that with the smallest id.
 
-    Rows that repeat an id stand or fall together; a document without words, or without an id, is kept.
+    Rows are judged one by one, also where they share an id or have none (these come last in a group); of rows equal in
+    id and text one stays. Rows without words are in no group and stay.
     """
-    found = jaccard.similar_documents(docs, k=5, num=80, den=100, family=FAMILY)
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    found = stage(jaccard.similar_documents(docs, k=5, num=80, den=100), "groups")
+    rows = docs.select(*COLUMNS, jaccard.row_key(docs).alias("row"))
+    kept = rows.join(found.filter("NOT leads").select("row").distinct(), "row", "left_anti")
+    twice = stage(found.filter("leads AND n_shingles > 0").groupBy("row").count().filter("count > 1").select("row"), "twice")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "row", "left_anti").unionByName(kept.join(twice, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.select(COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of passages of 200 bytes or more that occur elsewhere too."""
+    """All documents, without the bytes of passages of 200 bytes or more that occur elsewhere too.
+
+    Rows that share an id are documents of their own; a null text stays null.
+    """
     return suffix.cut_repeats(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = leaks.filter("doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Documents in whose text no benchmark item is found; rows are judged by their texts, whatever their ids."""
+    text = F.xxhash64("text")
+    leaks = decontam.find_leaks(docs.select(text.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = leaks.select(F.col("doc_id").alias("leak")).distinct()
+    return docs.select(COLUMNS).join(gone, text == F.col("leak"), "left_anti").select(COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the decoded text of every document left."""
+    """doc_id, n_tokens and the digests of the ids and of the decoded text of every row left; a null text is empty."""
     return bpe.encode_and_decode(docs)
 
 
