@@ -1,9 +1,11 @@
 """BPE encoding as a bounded-lookahead transducer, and decoding as an incremental state machine.
 
 The model is read from a public tokenizer file (byte-level BPE with an end-of-word suffix: NFC, white space collapsed,
-lower case, split by a pattern). Text streams through in slices cut after white space; a piece of the pattern is
-encoded in one go when it is no longer than the merge list's sufficient lookahead, and otherwise by a transducer that
-emits a token as soon as no continuation can change it. Memory is a slice, a window and bounded caches.
+lower case, split by a pattern). Text streams through in slices, cut after white space or else inside a word, and each
+piece of the pattern through a transducer, which goes back and forth in a window of a few times the merge list's
+sufficient lookahead and emits a token once that many symbols follow it or the piece ends. A piece may go on over any
+number of slices. Memory is a slice, a window and bounded caches; short pieces and words that came before are looked up.
+Only a run of combining marks or Hangul letters without end cannot be cut: its normal form is not settled before it ends.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .workspace import text_batches
+
 #: Fixed value: the split pattern of the word_bpe vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 SLICE = 1 << 16
 CACHE = 100_000
+PAIRS = 1 << 18
 #: Characters that str.split takes for white space and the pattern does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -50,10 +55,11 @@ class Bpe:
         self.written = {v: k for k, v in (self.vocab | self.special).items()}
         self.alphabet = byte_alphabet()
         self.lookahead = sufficient_lookahead(pairs)
-        self.longest = max(len(symbols(t)) for t in self.vocab)
+        self.table = {b: c for b, c in enumerate(self.alphabet)}
+        self._lengths = _lengths(self.vocab)
+        self._apart: dict[tuple[str, str], bool] = {}
         self._pieces: dict[str, bytes] = {}
         self._chunks = _Cache(self._encode_chunk)
-        self._pair = lru_cache(1 << 18)(self._stay_apart)
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     # -- one piece -------------------------------------------------------------------------------------------
@@ -72,72 +78,59 @@ class Bpe:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
-    def _stay_apart(self, left: str, right: str) -> bool:
-        return self.merge(symbols(left) + symbols(right)) == [left, right]
+    def stay_apart(self, left: str, right: str) -> bool:
+        """Whether two tokens side by side are left as they are by the merges."""
+        known = self._apart.get((left, right))
+        if known is None:
+            if len(self._apart) >= PAIRS:
+                self._apart.clear()
+            known = self._apart[left, right] = self.merge(symbols(left) + symbols(right)) == [left, right]
+        return known
 
-    def transduce(self, stream: Iterable[str]) -> Iterator[str]:
-        """Tokens of a stream of symbols, each given as soon as it is stable.
+    def path(self, window: str, before: str | None, ended: bool) -> list[str]:
+        """The tokens of a stretch of symbols after the token `before`; ended: the stretch is the last of its piece.
 
-        Every prefix has one tokenisation, whose last token is the only one that stays apart from the last token of
-        the prefix before it. A window keeps the last token of each prefix that a later token may follow; what all of
-        them have in common can no longer change.
+        The only tokens of which each stays apart from the one before it: the longest are tried first, and a place from
+        which none leads on is not tried again.
         """
-        window: list[str] = []  # symbols not emitted yet
-        last: list[tuple[int, str] | None] = [None]  # for each prefix of the window: start and text of its last token
-        before = ""  # the last token emitted
-        for s in stream:
-            window.append(s)
-            n, token = len(window), ""
-            found = None
-            for start in range(n - 1, max(-1, n - 1 - self.longest), -1):
-                token = window[start] + token
-                if token in self.vocab and (start == 0 or last[start]):
-                    previous = last[start][1] if start else before
-                    if not previous or self._pair(previous, token):
-                        found = (start, token)
-                        break
-            last.append(found)
-            if n >= 2 * self.lookahead:
-                yield from (emitted := self._stable(last))
-                if emitted:
-                    cut = sum(len(symbols(t)) for t in emitted)
-                    before = emitted[-1]
-                    window = window[cut:]
-                    last = [None] + [x and (x[0] - cut, x[1]) if not x or x[0] >= cut else None for x in last[cut + 1 :]]
-        yield from self._path(last, len(last) - 1)
-
-    def _path(self, last: list, n: int) -> list[str]:
-        out = []
-        while n > 0:
-            n, token = last[n]
-            out.append(token)
-        return out[::-1]
-
-    def _stable(self, last: list) -> list[str]:
-        """The tokens that the tokenisations of all prefixes still open have in common."""
-        n = len(last) - 1
-        paths = []
-        for end in range(max(1, n - self.longest), n + 1):
-            if last[end]:
-                path, k = [], end
-                while k > 0:
-                    path.append((last[k][0], last[k][1]))
-                    k = last[k][0]
-                paths.append(path[::-1])
-        common = []
-        for step in zip(*paths):
-            if len(set(step)) > 1:
+        n, vocab, lengths, apart, start = len(window), self.vocab, self._lengths, self._apart, before
+        out: list[str] = []
+        back: list[tuple[int, Iterator[int]]] = []
+        closed: set[int] = set()
+        at, tries = 0, iter(lengths.get(window[:3], _SHORT))
+        while at < n:
+            for k in tries:
+                stop = at + k
+                if stop > n or stop in closed:
+                    continue
+                token = window[at:stop] + END if ended and stop == n else window[at:stop]
+                if token not in vocab:
+                    continue
+                if before is not None and not (apart.get((before, token)) or self.stay_apart(before, token)):
+                    continue
+                out.append(token)
+                back.append((at, tries))
+                before, at = token, stop
+                tries = iter(lengths.get(window[at : at + 3], _SHORT))
                 break
-            common.append(step[0][1])
-        return common
+            else:
+                closed.add(at)
+                at, tries = back.pop()
+                out.pop()
+                before = out[-1] if out else start
+        return out
+
+    def symbols_of(self, text: str) -> str:
+        """A character for each byte of a text."""
+        return text if text.isascii() and text.isprintable() else text.encode("utf-8").decode("latin-1").translate(self.table)
+
+    def ids(self, tokens: list[str]) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return struct.pack(f"<{len(tokens)}I", *map(self.vocab.__getitem__, tokens))
 
     def encode_piece(self, piece: str) -> bytes:
-        """Ids of one piece of the pattern, as little-endian unsigned 32-bit integers."""
-        parts = [self.alphabet[b] for b in piece.encode("utf-8")]
-        parts[-1] += END
-        tokens = self.merge(parts) if len(parts) <= self.lookahead else self.transduce(parts)
-        ids = [self.vocab[t] for t in tokens]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        """Ids of one whole piece of the pattern."""
+        return self.ids(Transducer(self).feed(self.symbols_of(piece), True))
 
     def _encode_chunk(self, chunk: str) -> bytes:
         pieces, out = self._pieces, []
@@ -160,20 +153,108 @@ class Bpe:
             if k % 2:
                 yield self.special[part].to_bytes(4, "little")
                 continue
-            at = 0
-            while at < len(part):
-                end = min(len(part), at + SLICE)
-                while end < len(part) and not part[end - 1].isspace():
-                    end = (m.end() if (m := _space().search(part, end)) else len(part))
-                yield self._encode_slice(part[at:end])
-                at = end
-
-    def _encode_slice(self, text: str) -> bytes:
+            open_: Transducer | None = None
+            for cut, goes_on in slices(part):
+                ids, open_ = self._encode_slice(cut, open_, goes_on)
+                yield ids
+
+    def _encode_slice(self, text: str, open_: Transducer | None, goes_on: bool) -> tuple[bytes, Transducer | None]:
+        """Ids of a slice. open_: the piece that the slice before left open; goes_on: the next slice may go on in the last word."""
         text = unicodedata.normalize("NFC", text)
         # lower-casing is by character: no final sigma
         text = (text if text.isascii() else text.replace("Σ", "σ")).lower()
-        words = _space().split(text) if _NOT_SPACE.search(text) else text.split()
-        return b"".join(map(self._chunks.__getitem__, words))
+        out = []
+        if open_ is not None:
+            k = m.end() if (m := open_.kind.match(text)) else 0
+            if goes_on and k == len(text):
+                return self.ids(open_.feed(self.symbols_of(text))), open_
+            out.append(self.ids(open_.feed(self.symbols_of(text[:k]), True)))
+            text, open_ = text[k:], None
+        words = _space().split(text) if goes_on or _NOT_SPACE.search(text) else text.split()
+        if goes_on and (pieces := _pattern().findall(words[-1])):
+            kind = next((x for x in _runs() if x.fullmatch(pieces[-1])), None)
+            out += [*map(self._chunks.__getitem__, words[:-1]), *map(self.encode_piece, pieces if kind is None else pieces[:-1])]
+            if kind is not None:
+                open_ = Transducer(self, kind)
+                out.append(self.ids(open_.feed(self.symbols_of(pieces[-1]))))
+        else:
+            out += map(self._chunks.__getitem__, words)
+        return b"".join(out), open_
+
+
+class Transducer:
+    """Tokens of one piece that comes in parts of any length; a token is given once nothing that follows can change it."""
+
+    def __init__(self, model: Bpe, kind=None):
+        self.model, self.kind, self.window, self.before = model, kind, "", None
+
+    def feed(self, part: str, ended: bool = False) -> list[str]:
+        """The tokens that are stable after more symbols; ended: there are no more."""
+        out: list[str] = []
+        step, at = 4 * self.model.lookahead, 0
+        while len(self.window) + len(part) - at > step:
+            take = step - len(self.window)
+            self.window += part[at : at + take]
+            at += take
+            out += self._stable()
+        self.window += part[at:]
+        if ended and self.window:
+            out += self.model.path(self.window, self.before, True)
+            self.window, self.before = "", None
+        return out
+
+    def _stable(self) -> list[str]:
+        """The tokens followed by the sufficient lookahead, taken out of the window."""
+        out, end, most = [], 0, len(self.window) - self.model.lookahead
+        for token in self.model.path(self.window, self.before, False):
+            if end + len(token) > most:
+                break
+            out.append(token)
+            end += len(token)
+        if out:
+            self.window, self.before = self.window[end:], out[-1]
+        return out
+
+
+def slices(text: str, size: int | None = None) -> Iterator[tuple[str, bool]]:
+    """Slices of a text of about `size` characters, and whether a word may go on from each into the next.
+
+    They are cut after white space, or where there is none before a character that no normal form and no contraction
+    joins with what comes before it.
+    """
+    size, at, n = size or SLICE, 0, len(text)
+    while at < n:
+        end = at + size
+        if end >= n:
+            yield text[at:], False
+            return
+        if (space := max(text.rfind(" ", at, end), text.rfind("\n", at, end))) >= at:
+            end = space + 1
+            yield text[at:end], False
+        else:
+            while end < n and not _loose(text, end):
+                end += 1
+            yield text[at:end], end < n
+        at = end
+
+
+def _loose(text: str, k: int) -> bool:
+    a, b = text[k - 1], text[k]
+    return not ("'" in text[max(0, k - 3) : k + 1] or unicodedata.category(b)[0] == "M" or "\u1100" <= a <= "\u11ff" or "\u1100" <= b <= "\u11ff" or "\uac00" <= a <= "\ud7a3")
+
+
+#: Lengths tried at a place where no token of three symbols or more starts.
+_SHORT = (2, 1)
+
+
+def _lengths(vocab: Iterable[str]) -> dict[str, tuple[int, ...]]:
+    """By the first three symbols, the lengths of the tokens that start with them and the shorter ones, longest first."""
+    found: dict[str, set[int]] = {}
+    for token in vocab:
+        n = len(token.removesuffix(END)) or len(token)
+        if n >= 3:
+            found.setdefault(token[:3], {1, 2}).add(n)
+    return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
 
 
 class _Cache(dict):
@@ -197,6 +278,12 @@ def _pattern():
     return regex.compile(PATTERN)
 
 
+@lru_cache(1)
+def _runs():
+    """The kinds of pieces that may go on: letters, and what is neither letter, digit nor white space."""
+    return regex.compile(r"[\p{L}]+"), regex.compile(r"[^\s\p{L}\p{N}]+")
+
+
 @lru_cache(1)
 def _space():
     return regex.compile(r"\s+")
@@ -316,6 +403,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, name: str = "wor
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], [x.split()[0] for x in SCHEMA.split(", ")])
 
+    text_batches(docs.sparkSession)
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
+from .workspace import text_batches
 
 SIMILARITY, TARGET, LEAST_WORDS = 0.8, 0.95, 5
 WINDOW, M, MAX_REPEATS, SEED = 24, 3, 24, 11
@@ -347,6 +348,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     repeated rows of docs each give their own rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     out = None
     for ids, texts in item_blocks(items):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .files import write_file
-from .workspace import new_dir, stage
+from .workspace import new_dir, stage, text_batches
 
 MAGIC = b"RANS0001"
 BITS, LANES, STEPS = 18, 32, 512
@@ -231,6 +231,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, name: st
     the order of a hash of their texts; null ids come first; a null text has the end id alone.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id")
     rows = rows.sortWithinPartitions("doc_id", F.xxhash64("text"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import read_file, write_file
-from .workspace import new_dir, stage
+from .workspace import new_dir, stage, text_batches
 
 ROTATE = 32 << 20
 LEVEL = 6
@@ -223,6 +223,7 @@ def archive_pages(pages: DataFrame, least: int = 1000, rotate: int = ROTATE) ->
     An empty table gives no archive and an empty result; extra columns are ignored.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     whole, split = new_dir(spark, "warc-whole"), new_dir(spark, "warc")
     if write_monolithic(with_revisits(pages, least), whole, rotate).isEmpty():
         return spark.createDataFrame([], READ_SCHEMA)

@@ -1,8 +1,10 @@
 """BPE encoding (op6) and token files (op8) against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -49,6 +51,41 @@ def test_op6_equals_library(spark, library):
     assert bpe.encode_and_decode(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def small_model(tmp_path, rng, letters="abc", merges=14):
+    """A random merge list over a few letters, in which each pair could come up in training: the merges before leave it so."""
+
+    def model():
+        path = tmp_path / f"{rng.random()}.json"
+        path.write_text(json.dumps({"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": pairs}, "added_tokens": []}))
+        return bpe.Bpe(str(path))
+
+    tokens = [*letters, *(c + bpe.END for c in letters)]
+    pairs = []
+    while len(pairs) < merges:
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if not a.endswith(bpe.END) and a + b not in tokens and model().stay_apart(a, b):
+            pairs.append((a, b))
+            tokens.append(a + b)
+    return model()
+
+
+def merged(model, word):
+    parts = [model.alphabet[b] for b in word.encode()]
+    parts[-1] += bpe.END
+    return model.merge(parts)
+
+
+def fed(model, word, rng, most):
+    """Tokens of a word fed in parts of up to `most` symbols."""
+    machine, rest, out = bpe.Transducer(model), model.symbols_of(word), []
+    while len(rest) > 1:
+        k = min(rng.randrange(1, most + 1), len(rest) - 1)
+        out += machine.feed(rest[:k])
+        rest = rest[k:]
+        assert len(machine.window) <= 4 * model.lookahead
+    return out + machine.feed(rest, True)
+
+
 def test_transducer_equals_whole_merge():
     model, rng = bpe.load(bpe.tokenizer_path(NAME)), random.Random(1)
     assert 2 <= model.lookahead < 1000
@@ -56,22 +93,61 @@ def test_transducer_equals_whole_merge():
     for n in (1, 5, 60, 900):
         for _ in range(20):
             word = "".join(rng.choices(pieces, k=n))[: 4 * n]
-            parts = [model.alphabet[b] for b in word.encode()]
-            parts[-1] += bpe.END
-            assert list(model.transduce(iter(parts))) == model.merge(list(parts))
-
-
-def test_tokens_come_before_the_end_of_the_stream():
-    model, pulled = bpe.load(bpe.tokenizer_path(NAME)), 0
-
-    def stream():
-        nonlocal pulled
-        for _ in range(100_000):
-            pulled += 1
-            yield "a"
-
-    next(model.transduce(stream()))
-    assert pulled <= 4 * model.lookahead
+            assert fed(model, word, rng, 700) == merged(model, word)
+
+
+def test_lookahead_suffices_for_random_merge_lists(tmp_path):
+    rng = random.Random(4)
+    for _ in range(60):
+        model = small_model(tmp_path, rng)
+        for n in (1, 2, 7, 40, 300):
+            for _ in range(6):
+                word = "".join(rng.choices("aab" if rng.random() < 0.5 else "abc", k=n))
+                assert fed(model, word, rng, 9) == merged(model, word)
+
+
+def test_tokens_come_before_the_end_of_the_piece():
+    model = bpe.load(bpe.tokenizer_path(NAME))
+    machine = bpe.Transducer(model)
+    got = sum(len(machine.feed("aab" * 10)) for _ in range(200))
+    assert got > 0 and len(machine.window) <= 4 * model.lookahead
+
+
+def test_every_piece_goes_through_the_transducer(monkeypatch):
+    model, fed_ = bpe.Bpe(bpe.tokenizer_path(NAME)), []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, part, ended=False: fed_.append(part) or feed(self, part, ended))
+    text = "Plain words, 42 plain words's é " + "long" * 50_000
+    ids = b"".join(model.encode(text))
+    pieces = {"plain", "words", ",", "4", "2", "'s", "\u00c3\u00a9".replace("\u00c3", model.alphabet[0xC3]).replace("\u00a9", model.alphabet[0xA9])}
+    assert pieces <= set(fed_) and sum(map(len, fed_)) >= 200_000 and len(fed_) < 20
+    assert len(ids) > 4 * 50_000
+
+
+def test_slices_without_white_space_equal_library(monkeypatch, library):
+    monkeypatch.setattr(bpe, "SLICE", 50)
+    rng = random.Random(7)
+    alphabets = ["abcdefghij", "abc'stREllve", "0123456789", "!?.,'-", "éàüßΣσς中文", "한글각", "e\u0301a\u0308\u0323", "\t\x1c\u2028 ", "\u1112\u1161\u11ab"]
+    for _ in range(300):
+        text = "".join("".join(rng.choices(rng.choice(alphabets), k=rng.choice([1, 3, 20, 90]))) for _ in range(rng.choice([2, 8, 30])))
+        assert np.frombuffer(b"".join(bpe.load(bpe.tokenizer_path(NAME)).encode(text)), "<u4").tolist() == ids_of(library, text), repr(text)
+        assert "".join(x for x, _ in bpe.slices(text)) == text
+
+
+def test_memory_does_not_grow_with_a_piece():
+    model = bpe.load(bpe.tokenizer_path(NAME))
+
+    def most(n):
+        text = "abcdefghijklmnopqrstuvwxy" * n
+        tracemalloc.start()
+        for _ in model.encode(text):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    most(4000)
+    assert most(40_000) < most(8000) + 300_000
 
 
 def test_incremental_decoder_is_the_same_for_any_cuts():
