@@ -8,10 +8,11 @@ context all 257 symbols (bytes and the end) are equally likely. A document's sco
 What is coded is the token sequence: words with A-Z lower-cased, each ended by a space, the last by the end symbol.
 That is also what the unigram base scores, so the two are probabilities of the same thing.
 
-Counts are added up on the executors over all training documents. The trie is cut by the last two bytes of the context
-into blocks of at most BLOCK_EDGES edges; a block is on the driver and broadcast, and the documents are read once for
-each block (one, for ordinary text). Word counts never meet in one place: each block of documents has its own words
-counted, sends one row for each, and gets the corpus counts of its own words back.
+Nothing of the model passes through the driver. Counts of contexts and words are added up on the executors and written
+once: the dictionary. It is cut into parts, contexts by their last two bytes (a branch of over PART_EDGES by the third
+as well), words by hash. Each block of documents asks each part once for the distinct contexts and words it has there,
+the parts answer with log-probabilities, and the answers go back to their blocks, where the documents are added up. The
+documents are read once for the counts, once for the questions and once for the sums, however large the trie is.
 """
 
 from __future__ import annotations
@@ -20,16 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .workspace import stage, text_batches
+from .workspace import discard, stage, text_batches
 
-ORDER, BLOCK_EDGES, BLOCK_BYTES = 5, 4_000_000, 16 << 20
+ORDER, PART_EDGES, BLOCK_BYTES = 5, 1_000_000, 16 << 20
 END, SYMBOLS = 256, 257
 END_WORD = np.uint64(0xE5D)
 _U = np.uint64
+#: Keys of the dictionary: contexts are positive, words negative; counts of two-byte contexts of a branch that is cut carry CUT.
+_WORD, CUT = np.int64(-(1 << 63)), 1 << 60
 
 
 def symbols(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +73,17 @@ def codes(sym: np.ndarray, doc: np.ndarray, order: int) -> np.ndarray:
 
 
 class Trie:
-    """A block of the trie, ready for look-ups; built from the counts of (longest context, symbol) codes.
+    """A part of the trie, ready for look-ups; built from the counts of (longest context, symbol) codes.
 
-    low: counts of (1-byte context, symbol) codes of the whole corpus, from which the shortest contexts come.
+    low: counts of (1-byte context, symbol) codes of the whole corpus, from which the shortest contexts come; middle:
+    those of (2-byte context, symbol) codes where the part has not all of them.
     """
 
-    def __init__(self, code: np.ndarray, count: np.ndarray, low_code: np.ndarray, low_count: np.ndarray, order: int = ORDER):
+    def __init__(self, code: np.ndarray, count: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int = ORDER, middle: tuple[np.ndarray, np.ndarray] | None = None):
         self.order, self.edges, self.nodes = order, [], []
         for k in range(order + 1):
-            source, times, keep = (code, count, k) if k >= 2 else (low_code, low_count, k)
+            source, times = low if k < 2 else middle if k == 2 and middle is not None else (code, count)
+            keep = k
             short = source & _U((1 << (8 * keep + 9)) - 1)
             edge, at = np.unique(short, return_inverse=True)
             n = np.bincount(at, times, minlength=len(edge))
@@ -199,26 +204,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(5) == 1, F.lit(False))
 
 
-def context_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
-    """code and n over the training rows (train, text), added up in each task before they are shuffled."""
+def word_keys(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and document of each token: the words and one end for each document."""
+    h, doc = X.word_hashes(raw, off)
+    n = len(off) - 1
+    return np.r_[h, np.full(n, END_WORD)].astype(np.int64) | _WORD, np.r_[doc, np.arange(n)]
+
+
+def _keys(raw: np.ndarray, off: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the positions and the document of each, keys of the tokens and the document of each."""
+    sym, doc = symbols(raw, off)
+    return codes(sym, doc, order).astype(np.int64), doc, *word_keys(raw, off)
+
+
+def dictionary(rows: DataFrame, order: int = ORDER) -> DataFrame:
+    """key and n over the training rows (train, text), added up in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            code, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return code, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            key, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
-        def send(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(code), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(code[k : k + 200_000].astype(np.int64)), pa.array(n[k : k + 200_000])], ["code", "n"])
+        def send(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 200_000]), pa.array(n[k : k + 200_000])], ["key", "n"])
 
         for batch in batches:
             batch = batch.filter(batch.column(0))
             raw, off = X.text_bytes(batch.column(1))
             for i, j in X.chunks(off):
-                sym, doc = symbols(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                held.append(np.unique(codes(sym, doc, order), return_counts=True))
+                code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
+                held.append(np.unique(np.r_[code, word], return_counts=True))
                 if len(held) >= 12:
                     held = [merged()]
                     if len(held[0][0]) > 2_000_000:
@@ -226,110 +244,187 @@ def context_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
         if held:
             yield from send(*merged())
 
-    return rows.select("train", "text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def tries(counts: DataFrame, order: int = ORDER, most: int = BLOCK_EDGES) -> Iterator[tuple[Trie, np.ndarray]]:
-    """The trie in blocks of about `most` edges, each with a mask of the last two context bytes that it covers."""
-    branch = F.shiftright("code", 9).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    sizes = counts.groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # 65,536 rows at most
-    low = counts.groupBy(F.col("code").bitwiseAND(F.lit((1 << 17) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 65,792 rows at most
-    low_code, low_count = low.column("code").to_numpy().astype(np.uint64), low.column("n").to_numpy()
-    branches, n = sizes.column("branch").to_numpy(), sizes.column("n").to_numpy()
-    order_ = np.argsort(branches)
-    branches, n = branches[order_], n[order_]
-    block = np.cumsum(n) // most if n.sum() > most else np.zeros(len(n), np.int64)
-    # blocks are ranges of branches that leave no branch out: each reaches to the next one's first
-    starts = branches[np.searchsorted(block, np.unique(block))].astype(int).tolist()
-    stops = [*starts[1:], 1 << 16]
-    for first, stop in zip([0, *starts[1:]], stops):
-        mask = np.zeros(1 << 16, bool)
-        mask[first:stop] = True
-        got = counts.toArrow() if mask.all() else counts.filter(branch.between(first, stop - 1)).toArrow()
-        yield Trie(got.column("code").to_numpy().astype(np.uint64), got.column("n").to_numpy(), low_code, low_count, order), mask
-
-
-def score_chunk(trie: Trie, mask: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Log-probability of each text, of the positions whose context the block covers."""
-    sym, doc = symbols(raw, off)
-    code = codes(sym, doc, trie.order)
-    if not mask.all():
-        own = mask[(code >> _U(9) & _U(0xFFFF)).astype(np.int64)]
-        code, doc = code[own], doc[own]
-    return np.bincount(doc, trie.log10(code), minlength=len(off) - 1)
+    return rows.select("train", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def word_table(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of each token: the words and one end for each document."""
-    h, doc = X.word_hashes(raw, off)
-    n = len(off) - 1
-    return np.r_[h, np.full(n, END_WORD)], np.r_[doc, np.arange(n)]
+class Layout:
+    """Which part of the dictionary a key is in; a few arrays of 65,536 numbers, whatever the input."""
 
+    def __init__(self, branch: np.ndarray, edges: np.ndarray, words: int, most: int):
+        size = np.zeros(1 << 16, np.int64)
+        size[branch] = edges
+        # branches in order, as many to a part as fit; a larger one has parts of its own, by the third byte
+        self.cut = np.where(size > most, np.minimum(256, -(-size // most)), 1).astype(np.int32)
+        alone = self.cut > 1
+        fill = np.cumsum(np.where(alone, 0, size)) // most
+        step = np.r_[False, (fill[1:] != fill[:-1]) | alone[1:] | alone[:-1]]
+        self.first = np.cumsum(np.where(step, np.r_[1, self.cut[:-1]], 0)).astype(np.int32)
+        self.tries = int(self.first[-1] + self.cut[-1])
+        self.words = max(1, -(-words // most))
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    def part(self, key: np.ndarray) -> np.ndarray:
+        branch = (key >> 9) & 0xFFFF
+        code = self.first[branch] + ((key >> 25) & 0xFF) % self.cut[branch]
+        return np.where(key < 0, self.tries + (key >> 8 & 0xFFFFFF) % self.words, code).astype(np.int32)
 
+    @property
+    def parts(self) -> int:
+        return self.tries + self.words
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, word and its count in training documents, for the distinct words of each block of documents."""
-
-    def rows(block: int, held: list) -> pa.RecordBatch:
-        word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block, np.int64)), pa.array(word.astype(np.int64)), pa.array(n)], ["block", "word", "n"])
-
-    held: list = []
-    now = None
-    for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        for block in dict.fromkeys(blocks.tolist()):
-            if held and block != now:
-                yield rows(now, held)
-                held = []
-            now = block
-            part = batch.filter(pa.array(blocks == block))
-            train = part.column(1).to_numpy(zero_copy_only=False)
-            raw, off = X.text_bytes(part.column(2))
-            for i, j in X.chunks(off):
-                h, doc = word_table(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                word, at = np.unique(h, return_inverse=True)
-                held.append((word, np.bincount(at, train[i:j][doc].astype(np.float64))))
-            if len(held) >= 16:
-                word, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-                held = [(word, np.bincount(at, np.concatenate([c for _, c in held])))]
-    if held:
-        yield rows(now, held)
+
+def packed(key: np.ndarray) -> bytes:
+    """Sorted keys as the bytes of their differences, the first bytes of all together: most of them are zero."""
+    return np.diff(key, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _in_order(key: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys by part and value, the parts there are, and where each starts."""
+    key = np.unique(key)
+    part = layout.part(key)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    return key[order], part[start], start
+
+
+ASK = "part int, block long, key long, n long, keys binary"
+
+
+def questions(dealt: DataFrame, layout: Layout, order: int) -> DataFrame:
+    """The distinct keys of each block of documents (block, text), a row for each part they are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            for now in np.unique(block).tolist():
+                raw, off = X.text_bytes(batch.column(1).filter(pa.array(block == now)))
+                for i, j in X.chunks(off):
+                    code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
+                    found = held.setdefault(now, [])
+                    found.append(np.unique(np.r_[code, word]))
+                    if len(found) >= 12:
+                        held[now] = [np.unique(np.concatenate(found))]
+        for now in list(held):
+            key, part, start = _in_order(np.concatenate(held.pop(now)), layout)
+            stop = np.r_[start[1:], len(key)]
+            zero = np.zeros(len(part), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(zero + now), pa.array(zero), pa.array(zero), pa.array([packed(key[a:b]) for a, b in zip(start, stop)], pa.binary())], [x.split()[0] for x in ASK.split(", ")])
+
+    return dealt.select("block", "text").mapInArrow(run, ASK)
+
+
+def answers(told: DataFrame, asked: DataFrame, layout: Layout, low: tuple[np.ndarray, np.ndarray], order: int) -> DataFrame:
+    """block, part and values (doubles for words, else floats) for each row of questions().
+
+    told: the dictionary (key, n). A part is in memory once, and the questions of all blocks pass by it.
+    """
+    spark = told.sparkSession
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            part, middle = layout.part(key), np.zeros(0, np.int64)
+            at = np.flatnonzero((key >= 0) & (layout.cut[(key >> 9) & 0xFFFF] > 1))
+            if len(at):  # each part of a branch that is cut gets the branch's counts
+                short, of = np.unique(key[at] & ((1 << 25) - 1), return_inverse=True)
+                times = layout.cut[(short >> 9) & 0xFFFF]
+                middle = np.repeat(short, times)
+                sub = np.arange(len(middle)) - np.repeat(np.cumsum(times) - times, times)
+                part = np.r_[part, layout.first[(middle >> 9) & 0xFFFF] + sub].astype(np.int32)
+                n = np.r_[n, np.repeat(np.bincount(of, n[at]).astype(np.int64), times)]
+            key = np.r_[key, middle | CUT]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(key), -1)), pa.array(key), pa.array(n), pa.nulls(len(key), pa.binary())], [x.split()[0] for x in ASK.split(", ")])
+
+    def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, told_, look_up = None, [], None
+        for batch in batches:
+            part, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | ((block[1:] < 0) != (block[:-1] < 0))) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if part[a] != now:
+                    now, told_, look_up = int(part[a]), [], None
+                if block[a] < 0:
+                    told_.append((batch.column(2).to_numpy()[a:b], batch.column(3).to_numpy()[a:b]))
+                    continue
+                if look_up is None:
+                    key, n = (np.concatenate(x) for x in zip(*told_)) if told_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    look_up, told_ = (_words if now >= layout.tries else _contexts)(key, n, low, order), []
+                values = [look_up(unpacked(x.as_py())).tobytes() for x in batch.column(4)[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(block[a:b]), pa.array(part[a:b]), pa.array(values, pa.binary())], ["block", "part", "values"])
+
+    rows = told.select("key", "n").mapInArrow(deal, ASK).unionByName(asked)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), layout.parts)
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(reply, "block long, part int, values binary")
+
+
+def _words(key: np.ndarray, n: np.ndarray, low, order):
+    """log10(count + 0.5) of words."""
+    sort = np.argsort(key)
+    key, n = np.r_[key[sort], np.iinfo(np.int64).max], np.r_[n[sort], 0]
+
+    def look_up(asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(key, asked)
+        return np.log10(np.where(key[at] == asked, n[at], 0) + 0.5)
+
+    return look_up
+
+
+def _contexts(key: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], order: int):
+    """Log-probabilities of symbols in their contexts."""
+    cut = key >= CUT
+    middle = None
+    if cut.any():
+        code, of = np.unique(key[cut] ^ CUT, return_inverse=True)
+        middle = code.astype(np.uint64), np.bincount(of, n[cut])
+    trie = Trie(key[~cut].astype(np.uint64), n[~cut], low, order, middle)
+    return lambda asked: trie.log10(asked.astype(np.uint64)).astype(np.float32)
+
+
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scorer(shared):
-    """Scores of a block of documents from its words' corpus counts and a block of the trie."""
+def _scorer(layout: Layout, order: int):
+    """Sums of a block of documents from the answers to its questions."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        trie, mask = shared.value
-        text = left.column("text").combine_chunks()
-        word = right.column("word").to_numpy().astype(np.uint64)
-        sort = np.argsort(word)
-        word, n = word[sort], right.column("n").to_numpy()[sort]
-        raw, off = X.text_bytes(text)
+        raw, off = X.text_bytes(left.column("text").combine_chunks())
+        chunks = [(i, j) for i, j in X.chunks(off)]
+        found = []
+        for i, j in chunks:
+            code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
+            found.append(np.unique(np.r_[code, word]))
+        key, part, start = _in_order(np.concatenate(found) if found else np.zeros(0, np.int64), layout)
+        got = dict(zip(right.column("part").to_pylist(), right.column("values")))
+        value = np.concatenate([np.frombuffer(got[p].as_py(), np.float64 if p >= layout.tries else np.float32) for p in part.tolist()] or [np.zeros(0)])
+        sort = np.argsort(key)
+        key, value = key[sort], value[sort].astype(np.float64)
         tokens, known, base, score = (np.zeros(len(off) - 1) for _ in range(4))
-        for i, j in X.chunks(off):
-            part, cut = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-            h, doc = word_table(part, cut)
-            c = n[np.searchsorted(word, h)]
-            tokens[i:j] = np.bincount(doc, minlength=j - i)
-            known[i:j] = np.bincount(doc, c > 0, minlength=j - i)
-            base[i:j] = np.bincount(doc, np.log10(c + 0.5), minlength=j - i)
-            score[i:j] = score_chunk(trie, mask, part, cut)
-        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "score": score, "row": left.column("row")})
+        for i, j in chunks:
+            code, doc, word, of = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
+            score[i:j] = np.bincount(doc, value[np.searchsorted(key, code)], minlength=j - i)
+            v = value[np.searchsorted(key, word)]
+            tokens[i:j] = np.bincount(of, minlength=j - i)
+            known[i:j] = np.bincount(of, v > 0, minlength=j - i)  # log10(1.5) at least
+            base[i:j] = np.bincount(of, v, minlength=j - i)
+        return pa.table({"doc_id": left.column("doc_id"), "train": left.column("train"), "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "base": base, "score": score})
 
     return run
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, block_edges: int = BLOCK_EDGES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, part_edges: int = PART_EDGES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
 
     Both models learn from the rows that are not held out. A null or blank text is its end alone. Repeated rows are
     kept, and count again in training. A null id is not held out. With nothing to learn from, every token is unknown
-    and every symbol equally likely. Extra columns are ignored.
+    and every symbol equally likely. Extra columns are ignored. order: 2 at least. Rows are dealt into blocks by a hash
+    of id and text, so only rows equal in both are sure to meet in one task.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -337,28 +432,20 @@ def score_documents(docs: DataFrame, order: int = ORDER, block_edges: int = BLOC
     rows = rows.select("doc_id", "text", (~held_out(F.col("doc_id"))).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    counts = stage(context_counts(rows, order), "contexts")
-
-    dealt = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod("row", F.lit(n_blocks)))
-    dealt = dealt.select("block", "train", "text", "doc_id", "row").repartition(n_blocks, "block")
-    own = dealt.mapInArrow(_word_rows, "block long, word long, n long")
-    # a word has one row for each block of documents, whatever its count
-    every = Window.partitionBy("word")
-    own = own.select("block", "word", F.sum("n").over(every).alias("n"), (F.col("block") == F.min("block").over(every)).alias("first"))
-    totals = own.filter("first AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count(F.lit(1)).alias("kinds"))
-
-    out = None
-    for k, (trie, mask) in enumerate(tries(counts, order, block_edges)):
-        shared = spark.sparkContext.broadcast((trie, mask))  # block_edges edges at most
-
-        both = dealt.groupBy("block").cogroup(own.select("block", "word", "n").groupBy("block"))
-        part = both.applyInArrow(_scorer(shared), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double, row long")
-        if k:
-            part = stage(part.select("row", F.col("score").alias("more")), "scores")
-            out = stage(out, "scores").join(part, "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
-        else:
-            out = part
-    # one row, joined on a constant
-    out = out.withColumn("all", F.lit(1)).join(F.broadcast(totals.withColumn("all", F.lit(1))), "all")
-    base = F.col("base") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("kinds") + 1))
-    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    told = stage(dictionary(rows, order), "dictionary")
+
+    contexts = told.filter("key >= 0")
+    branch = F.shiftright("key", 9).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    sizes = contexts.groupBy(branch.alias("branch")).agg(F.count(F.lit(1)).alias("n")).toArrow()  # 65,536 rows at most
+    low = contexts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 17) - 1)).alias("code")).agg(F.sum("n").alias("n")).toArrow()  # 65,792 rows at most
+    low = low.column("code").to_numpy().astype(np.uint64), low.column("n").to_numpy()
+    train_tokens, kinds = told.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    layout = Layout(sizes.column("branch").to_numpy(), sizes.column("n").to_numpy(), kinds, part_edges)
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition(n_blocks, "block")
+    got = stage(answers(told, questions(dealt, layout, order), layout, low, order), "answers")
+    discard(told)
+    both = dealt.select("block", "train", "text", "doc_id").groupBy("block").cogroup(got.groupBy("block"))
+    out = both.applyInArrow(_scorer(layout, order), "doc_id long, train boolean, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(train_tokens + 0.5 * (kinds + 1))))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
