@@ -10,8 +10,12 @@ of equal k-grams are the suffixes that share a prefix, and whatever is repeated
   the longest common left extension of each member with any other gives repeats with all of their occurrences;
 * from them each anchor gets the farthest bytes to its left and right that a repeat of `least` bytes covers.
 
-k-grams with more than `crowd` suffixes are not gathered: their windows are hashed, counted and joined back instead.
-Texts move once (equal ones are one), to be cut at their anchors and again at the spans found.
+A k-gram with more than `crowd` different surroundings is made longer first: a repeat of `least` bytes around it goes on
+for half of what is missing to the right, or for the other half to the left, so its suffixes are dealt by the bytes there
+on either side, again and again while a group is crowded; when nothing is missing a group has one string and needs no
+array. Texts move once (equal ones are one), to be cut at their anchors and again at the spans found.
+
+repeat_groups() gives the groups themselves, each with all of its occurrences.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .jaccard import runs
-from .workspace import stage, text_batches
+from .workspace import discard, stage, text_batches
 
 LEAST, GRAM, CROWD = 200, 64, 20_000
 _U = np.uint64
@@ -131,19 +135,6 @@ def _matrix(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
 
 
-def _pair(a: tuple[bytes, bytes], b: tuple[bytes, bytes], least: int) -> tuple[int, int]:
-    """extents() of two suffixes."""
-
-    def same(x: bytes, y: bytes) -> int:
-        n = min(len(x), len(y))
-        if x[:n] == y[:n]:
-            return n
-        return int((np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n)).argmax())
-
-    reach, length = same(a[0][::-1], b[0][::-1]), same(a[1], b[1])
-    return (reach, length) if reach + length >= least else (0, 0)
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id (null as the least long), text as bytes and the 128-bit key of the text."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -179,102 +170,192 @@ def _anchor_rows(rows: DataFrame, least: int, gram: int, remember: int = 500_000
 SPAN = "k1 long, k2 long, first int, last int"
 
 
-def _contexts(cut: DataFrame, least: int, gram: int) -> DataFrame:
-    """Surroundings of each repeated anchor: gram, crowd, k1, k2, place, before (bytes to the left), around.
+CONTEXTS = "gram long, k1 long, k2 long, place int, before int, around binary, to_left int, to_right int"
 
-    Of equal surroundings in a batch one is kept; all of them are covered whole, which rows without `around` say:
+
+def _contexts(cut: DataFrame, least: int, gram: int, merge: bool = True) -> DataFrame:
+    """Surroundings of each repeated anchor: gram, k1, k2, place, before (bytes to the left), around, to_left, to_right.
+
+    The last two are the bytes to the left of the place and from it on that all suffixes of the gram have in common. With
+    merge, of equal surroundings in a batch one is kept; all of them are covered whole, which rows without `around` say:
     place and before are then the first and last byte.
     """
     reach = least - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["gram", "crowd", "k1", "k2", "place", "before", "around"]
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        names, types = [x.split()[0] for x in CONTEXTS.split(", ")], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
         for batch in batches:
             k1, k2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            groups: dict[tuple[int, bytes], list] = {}
+            groups: dict[tuple, list] = {}
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
                 for x in batch.column(3)[i].as_py():
                     p = x["place"]
                     around = text[max(0, p - reach) : p + least]
-                    groups.setdefault((x["gram"], around), []).append((x["crowd"], k1[i], k2[i], p, min(p, reach)))
+                    groups.setdefault((x["gram"], min(p, reach), around) if merge else (x["gram"], min(p, reach), around, i, p), []).append((k1[i], k2[i], p))
             out = []
-            for (g, around), found in groups.items():
-                where = set(x[1:4] for x in found)
-                crowd, a, b, p, before = found[0]
-                out.append((g, crowd, a, b, p, before, around))
+            for (g, before, around, *_), found in groups.items():
+                where = set(found)
+                a, b, p = found[0]
+                out.append((g, a, b, p, before, around, 0, gram))
                 if len(where) > 1:
-                    out += [(a, False, a, b, p - before, p - before + len(around), None) for a, b, p in where]
+                    out += [(a, a, b, p - before, p - before + len(around), None, 0, gram) for a, b, p in where]
                 if len(out) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
                     out = []
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return cut.mapInArrow(run, "gram long, crowd boolean, k1 long, k2 long, place int, before int, around binary")
+    return cut.mapInArrow(run, CONTEXTS)
 
 
-def _solve(least: int):
-    """Spans around the suffixes of each k-gram; rows come sorted by k-gram."""
+def _longer(contexts: DataFrame, least: int) -> DataFrame:
+    """The suffixes with their gram made longer by half of what is missing, to the right and to the left."""
+    missing = F.lit(least) - F.col("to_left") - F.col("to_right")
+    right = F.ceil(missing / 2).cast("int")
+    left = missing - right + 1
+    at = F.col("before") + F.col("to_right")
+    to_right = contexts.filter(at + right <= F.octet_length("around")).select(
+        F.xxhash64("gram", F.lit(1), F.col("around").substr(at + 1, right)).alias("gram"), "k1", "k2", "place", "before", "around", "to_left", (F.col("to_right") + right).cast("int").alias("to_right")
+    )
+    to_left = contexts.filter(F.col("before") >= F.col("to_left") + left).select(
+        F.xxhash64("gram", F.lit(2), F.col("around").substr(F.col("before") - F.col("to_left") - left + 1, left)).alias("gram"), "k1", "k2", "place", "before", "around", (F.col("to_left") + left).cast("int").alias("to_left"), "to_right"
+    )
+    return to_right.unionByName(to_left)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+
+def _uncrowded(contexts: DataFrame, least: int, crowd: int) -> DataFrame:
+    """The contexts with every gram made longer until no more than `crowd` suffixes share it, or nothing is missing."""
+    done = None
+    while True:
+        open_ = (F.col("to_left") + F.col("to_right") < least) & F.col("around").isNotNull()
+        many = stage(contexts.filter(open_).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("gram"), "crowded")
+        if many.isEmpty():
+            return contexts if done is None else done.unionByName(contexts)
+        many = many.hint("merge")
+        rest = contexts.filter(~open_).unionByName(contexts.filter(open_).join(many, "gram", "left_anti"))
+        done = rest if done is None else done.unionByName(rest)
+        contexts = stage(_longer(contexts.filter(open_).join(many, "gram", "left_semi"), least), "contexts")
+
+
+def _chosen(text: bytes, place: int, least: int, gram: int) -> bool:
+    """Whether a string chooses the place as an anchor by its own bytes, so that all of its occurrences do."""
+    return place in anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]), least, gram)[2]
+
+
+def _solve(least: int, named: int = 0):
+    """Spans around the suffixes of each k-gram; rows come sorted by k-gram.
+
+    named, the length of the k-grams: instead the occurrences of each repeated string that chooses the anchor itself.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        """Where all suffixes of a group have the whole string in common."""
+        now, first = None, {}
+        for batch in batches:
+            out = []
+            for g, a, b, p, l, around, to_left, to_right in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != now:
+                    now, first = g, {}
+                text = around[l - to_left : l + to_right]
+                if named and not _chosen(text, to_left, least, named):
+                    continue
+                row = (a, b, p - to_left, p + to_right, *([_name(text)] if named else []))
+                if text not in first:
+                    first[text] = row
+                else:
+                    if first[text] is not None:
+                        out.append(first[text])
+                        first[text] = None
+                    out.append(row)
+            yield out
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for group in runs(batches, ["gram"]):
-            _, _, k1, k2, place, before, around = (c.to_pylist() for c in group.columns)
-            merged: dict[bytes, set] = {}
+            out: list[tuple] = []
+            k1, k2, place, before, around = (group.column(c).to_pylist() for c in ("k1", "k2", "place", "before", "around"))
+            merged: dict[tuple[int, bytes], set] = {}
             for a, b, p, l, text in zip(k1, k2, place, before, around):
                 if text is None:
                     out.append((a, b, p, l))
                 else:
                     merged.setdefault((l, text), set()).add((a, b, p))
             distinct = list(merged)
-            if len(distinct) == 2:
-                reach, length = _pair(*((t[:l], t[l:]) for l, t in distinct), least)
-                far = [(reach, length)] * 2
-            elif len(distinct) > 2:
-                far_left, far_right, _ = extents([t[:l] for l, t in distinct], [t[l:] for l, t in distinct], least)
+            if len(distinct) > 1:
+                far_left, far_right, groups = extents([t[:l] for l, t in distinct], [t[l:] for l, t in distinct], least)
                 far = list(zip(far_left.tolist(), far_right.tolist()))
             else:
-                far = [(0, 0)] * len(distinct)
+                far, groups = [(0, 0)] * len(distinct), []
+            if named:
+                groups += [(l, len(t) - l, [i]) for i, (l, t) in enumerate(distinct) if len(merged[l, t]) > 1 and len(t) >= least]
+                for reach, length, member in groups:
+                    l, t = distinct[member[0]]
+                    if not _chosen(t[l - reach : l + length], reach, least, named):
+                        continue
+                    name = _name(t[l - reach : l + length])
+                    out += [(a, b, p - reach, p + length, name) for i in member for a, b, p in merged[distinct[i]]]
+                yield out
+                continue
             for (l, text), (reach, length) in zip(distinct, far):
                 where = merged[l, text]
                 if len(where) > 1:
                     reach, length = l, len(text) - l
                 if length:
                     out += [(a, b, p - reach, p + length) for a, b, p in where]
-            if len(out) >= 20_000:
-                yield _spans(out)
-                out = []
-        if out:
-            yield _spans(out)
+            yield out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def split(batch: pa.RecordBatch, one: bool) -> pa.RecordBatch:
+            full = batch.column(6).to_numpy() + batch.column(7).to_numpy() >= least
+            return batch.filter(pa.array(full == one))
+
+        # both kinds come in one stream; what is whole is looked at as it comes
+        ended: list[pa.RecordBatch] = []
+
+        def open_ones() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ended.append(split(batch, True))
+                yield split(batch, False)
+
+        ready = whole(iter(lambda: ended.pop(0), None))
+        for out in arrays(open_ones()):
+            held += out
+            while ended:
+                held += next(ready)
+            if len(held) >= 20_000:
+                yield _spans(held, bool(named))
+                held = []
+        while ended:
+            held += next(ready)
+        if held:
+            yield _spans(held, bool(named))
 
     return run
 
 
-def _spans(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["k1", "k2", "first", "last"])
+def _name(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _crowded(contexts: DataFrame, least: int) -> DataFrame:
-    """Spans around the suffixes of crowded k-grams, by hashing each window of their surroundings."""
+def _spans(out: list[tuple], named: bool = False) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *([pa.int64()] if named else [])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["k1", "k2", "first", "last", *(["name"] if named else [])])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                k1, k2, place, before, around = (batch.column(c)[k].as_py() for c in (2, 3, 4, 5, 6))
-                raw = np.frombuffer(around, np.uint8)
-                start = np.arange(len(raw) - least + 1)
-                c = X.prefix_hash(raw)
-                w1 = X.span_hash(c, start, start + least).astype(np.int64)
-                w2 = X.span_hash(X.prefix_hash(raw[::-1]), len(raw) - least - start, len(raw) - start).astype(np.int64)
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array([k1] * n), pa.array([k2] * n), pa.array((place - before + start).astype(np.int32))], ["w1", "w2", "k1", "k2", "first"])
-
-    windows = contexts.mapInArrow(run, "w1 long, w2 long, k1 long, k2 long, first int")
-    where = F.struct("k1", "k2", "first")
-    again = windows.groupBy("w1", "w2").agg(F.min(where).alias("a"), F.max(where).alias("b")).filter("a <> b").select("w1", "w2")
-    return windows.join(again, ["w1", "w2"]).select("k1", "k2", "first", (F.col("first") + least).alias("last"))
+
+def _repeated_anchors(rows: DataFrame, keys: DataFrame | None, least: int, gram: int) -> DataFrame:
+    """k1, k2, text and anchors (gram, place) of one row of each key (every row without keys) with k-grams that occur at several places."""
+    found = _anchor_rows(rows, least, gram)
+    name = F.xxhash64("k1", "k2", "place").alias("o")
+    often = found.select("gram", name).groupBy("gram").agg(F.min("o").alias("a"), F.max("o").alias("b")).filter("a <> b").select("gram")
+    # written before it is joined: the rows of a common k-gram can then be dealt to several tasks
+    often = stage(often, "grams")
+    cut = found.join(often.hint("merge"), "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "place")).alias("anchors"))
+    on = ["k1", "k2"]
+    if keys is not None:
+        cut, on = cut.join(keys.select(*on, F.col("rep").alias("doc_id")), on), ["doc_id", *on]
+    return rows.join(cut, on).select("k1", "k2", "text", "anchors")
 
 
 def repeated_spans(rows: DataFrame, keys: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -282,21 +363,34 @@ def repeated_spans(rows: DataFrame, keys: DataFrame, least: int = LEAST, gram: i
     spark = rows.sparkSession
     text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = _anchor_rows(rows, least, gram)
-    name = F.xxhash64("k1", "k2", "place").alias("o")
-    often = found.select("gram", name).groupBy("gram").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.count(F.lit(1)).alias("n")).filter("a <> b").select("gram", (F.col("n") > crowd).alias("crowd"))
-    cut = found.join(often, "gram").groupBy("k1", "k2").agg(F.collect_set(F.struct("gram", "crowd", "place")).alias("anchors"))
-    cut = cut.join(keys.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"])
-    texts = rows.join(cut, ["doc_id", "k1", "k2"]).select("k1", "k2", "text", "anchors")
-    contexts = stage(_contexts(texts, least, gram), "contexts")
-    few = contexts.filter("NOT crowd").repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_solve(least), SPAN)
-    spans = few
-    if not contexts.filter("crowd").isEmpty():
-        spans = spans.unionByName(_crowded(contexts.filter("crowd"), least))
-    spans = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    contexts = stage(_contexts(_repeated_anchors(rows, keys, least, gram), least, gram), "contexts")
+    dealt = _uncrowded(contexts, least, crowd).repartition(parts, "gram").sortWithinPartitions("gram")
+    spans = dealt.mapInArrow(_solve(least), SPAN)
+    spans = stage(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
+    discard(contexts)
     return spans.join(keys.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"])
 
 
+def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """name, n_bytes, doc_id, row, first, last: each occurrence of each repeated string found, in every row of docs.
+
+    The strings are those of the common-prefix interval trees: of `least` bytes or more around an anchor (at most
+    `least` - `gram` bytes before it and `least` from it on) that several places have in common and no further byte within
+    these bounds extends, and that choose the anchor by their own bytes. name is a 64-bit hash of the string; texts are UTF-8 bytes, a null one is empty. Every
+    occurrence is listed, also in equal texts and repeated rows, which row, a number of the row of docs, tells apart.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # every row is a text of its own here, under a number that is written with it
+    rows = stage(_rows(docs).withColumns({"k1": F.monotonically_increasing_id(), "k2": F.lit(0).cast("long")}), "rows")
+    contexts = stage(_contexts(_repeated_anchors(rows, None, least, gram), least, gram, False), "contexts")
+    dealt = _uncrowded(contexts, least, crowd).repartition(parts, "gram").sortWithinPartitions("gram")
+    found = dealt.mapInArrow(_solve(least, gram), SPAN + ", name long").distinct()
+    found = found.join(rows.select("doc_id", "k1"), "k1")
+    return found.select("name", (F.col("last") - F.col("first")).alias("n_bytes"), F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), F.col("k1").alias("row"), "first", "last")
+
+
 def merge_spans(spans: list, size: int) -> list[list[int]]:
     """Overlapping and touching spans as one, in order."""
     out: list[list[int]] = []

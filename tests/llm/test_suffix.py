@@ -5,7 +5,7 @@ import random
 
 from brute import repeated, spans
 
-from hammerfield.llm.suffix import cut_repeats, extents, intervals, remove_repeats
+from hammerfield.llm.suffix import cut_repeats, extents, intervals, remove_repeats, repeat_groups
 
 DOCS = "doc_id long, text string, k1 string, place string, spans string, _id string, n_chars int"
 
@@ -46,8 +46,32 @@ def test_equals_brute_force(spark):
 
 def test_crowded_grams_give_the_same(spark):
     texts = corpus(5, "abc", 24)
-    got = remove_repeats(spark.createDataFrame(rows_of(texts), DOCS), 24, 8, crowd=2)
-    assert sorted(map(tuple, got.collect())) == want(texts, 24)
+    for crowd in (1, 5):
+        got = remove_repeats(spark.createDataFrame(rows_of(texts), DOCS), 24, 8, crowd=crowd)
+        assert sorted(map(tuple, got.collect())) == want(texts, 24)
+
+
+def test_groups_have_all_occurrences(spark):
+    for crowd, alphabet in ((1 << 20, "abc"), (3, "ab"), (1 << 20, "abcdefgh é中")):
+        texts = corpus(6, alphabet, 24)
+        raw = [(t or "").encode() for t in texts]
+        found = {}
+        for r in repeat_groups(spark.createDataFrame(rows_of(texts), DOCS), 24, 8, crowd=crowd).collect():
+            assert r.n_bytes == r.last - r.first >= 24
+            found.setdefault((r.name, raw[r.doc_id][r.first : r.last]), set()).add((r.doc_id, r.first))
+        assert len({name for name, _ in found}) == len(found) > 20
+        covered = [bytearray(len(t)) for t in raw]
+        for (_, text), places in found.items():
+            every = {(i, k) for i, t in enumerate(raw) for k in range(len(t)) if t.startswith(text, k)}
+            assert places == every and len(every) > 1
+            for i, k in every:
+                covered[i][k : k + len(text)] = b"\1" * len(text)
+        assert covered == repeated(raw, 24)
+
+
+def test_groups_of_nothing(spark):
+    assert repeat_groups(spark.createDataFrame([], DOCS)).collect() == []
+    assert repeat_groups(spark.createDataFrame(rows_of(["abc", None, "x" * 199]), DOCS)).collect() == []
 
 
 def test_very_long_text(spark):
