@@ -9,8 +9,8 @@ may agree, are what simulated edits need to reach the target recall in every cla
 of a class that misses it are found by their pieces instead: cut into one piece more than the edits allowed, an item has
 a piece that no edit touches, so these are all found. An exact edit distance decides about the candidates of both kinds.
 
-Windows are as long as the shortest item (at most WINDOW words); longer items are covered by several windows. Every
-word of every document starts a window. Documents never move: the items are a stated query set, sent in blocks of a
+Items are taken by length: windows are as long as the shortest item of a length class (at most WINDOW words), and longer
+items are covered by several windows. Every word of every document starts one walk, which serves all classes. Documents never move: the items are a stated query set, sent in blocks of a
 bounded number of bytes.
 """
 
@@ -60,11 +60,9 @@ def walk(words: np.ndarray, start: np.ndarray, steps: int) -> Iterator[np.ndarra
 
 
 @dataclass
-class Index:
-    """Windows of a block of items, hashed for each repetition."""
+class Windows:
+    """Windows of the items of a length class, hashed for each repetition."""
 
-    item_ids: list
-    items: list[np.ndarray]  # word hashes
     steps: int
     samples: np.ndarray  # repeats x M steps
     keys: list[np.ndarray]  # for each repeat the sorted keys
@@ -74,8 +72,21 @@ class Index:
     owner: np.ndarray  # item of each window
     offset: np.ndarray  # and its first word there
     least: np.ndarray  # agreeing steps that a candidate of each window needs
+
+
+@dataclass
+class Index:
+    """A block of items."""
+
+    item_ids: list
+    items: list[np.ndarray]  # word hashes
+    windows: list[Windows]
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by words: sorted keys, their items and first words, top 16 bits
-    recall: dict[int, float]  # of the items of so many edits, up to the next number; simulated, or 1 by pieces
+    recall: dict[int, float]  # of the items of so many edits, up to the next number, and windows; simulated, or 1 by pieces
+
+    @property
+    def steps(self) -> int:
+        return max((w.steps for w in self.windows), default=2 * WINDOW)
 
 
 def _keys(written: list[np.ndarray] | np.ndarray, sample: np.ndarray) -> np.ndarray:
@@ -192,16 +203,33 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
     if not found:
         return None
     ids, items = [i for i, _ in found], [w for _, w in found]
-    size = min(WINDOW, *(len(w) for w in items)) if len(items) > 1 else min(WINDOW, len(items[0]))
-    steps = 2 * size
     rng = np.random.default_rng(SEED)
+    windows, pieced, recall = [], [], {}
+    # from LEAST_WORDS words, each class to half as many again, then all of WINDOW words or more
+    bounds = [LEAST_WORDS]
+    while bounds[-1] < WINDOW:
+        bounds.append(min(WINDOW, bounds[-1] * 3 // 2))
+    for low, high in zip(bounds, [*bounds[1:], 1 << 60]):
+        own = [i for i, w in enumerate(items) if low <= len(w) < high]
+        if own:
+            made, missed, reached = _windows(items, own, similarity, target, rng)
+            windows += [made] if len(made.owner) else []
+            pieced += missed
+            recall |= {e: min(r, recall.get(e, 1.0)) for e, r in reached.items()}
+    return Index(ids, items, windows, _pieces(items, pieced, similarity), recall)
+
+
+def _windows(items: list[np.ndarray], own: list[int], similarity: float, target: float, rng: np.random.Generator) -> tuple[Windows, list[int], dict[int, float]]:
+    """Windows of the items of a length class, the items left to pieces, and the recall by edits allowed."""
+    size = min(WINDOW, *(len(items[i]) for i in own), WINDOW)
+    steps = 2 * size
     samples = np.stack([np.sort(rng.choice(steps - 2, M, replace=False)) for _ in range(MAX_REPEATS)])
+    classes = {e: [own[k] for k in which] for e, which in _classes([items[i] for i in own], similarity).items()}
 
     # What as many edits as the limit allows leave, class by class; two standard errors for so many copies.
     safe = target + 2 * (target * (1 - target) / COPIES) ** 0.5
-    repeats, least, recall, walked, pieced = 0, np.zeros(len(items), np.int64), {}, [], []
-    reached = {}
-    for e, which in _classes(items, similarity).items():
+    repeats, least, recall, walked, pieced, reached = 0, np.zeros(len(items), np.int64), {}, [], [], {}
+    for e, which in classes.items():
         agree = _agreement([items[i] for i in which], size, steps, samples, similarity, rng)
         reach = (agree >= 0).mean(axis=0)
         if reach[-1] >= safe:
@@ -211,11 +239,10 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
         else:
             pieced += which
             recall[e] = 1.0
-    for e, which in _classes(items, similarity).items():
-        if e in reached:
-            last = reached[e][:, repeats - 1]
-            least[which] = last[last >= 0].min()  # costs no copy that was met
-            recall[e] = float((last >= 0).mean())
+    for e, agree in reached.items():
+        last = agree[:, repeats - 1]
+        least[classes[e]] = last[last >= 0].min()  # costs no copy that was met
+        recall[e] = float((last >= 0).mean())
     samples = samples[:repeats]
 
     walked = np.array(sorted(walked), np.int64)
@@ -232,7 +259,7 @@ def build(item_ids: list, texts: pa.Array, similarity: float = SIMILARITY, targe
         hit.append(top)
     owner = np.repeat(walked, [len(p) for p in places])
     offset = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
-    return Index(ids, items, steps, samples, keys, part_of, hit, embedding, owner, offset, least[owner], _pieces(items, pieced, similarity), recall)
+    return Windows(steps, samples, keys, part_of, hit, embedding, owner, offset, least[owner]), pieced, recall
 
 
 def distance(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -290,25 +317,24 @@ def search(index: Index, words: np.ndarray, doc: np.ndarray, n_docs: int, simila
                 lo, hi = np.searchsorted(keys, x[at], "left"), np.searchsorted(keys, x[at], "right")
                 of, part = _spread(np.flatnonzero(hi > lo), lo, hi, np.arange(len(keys)))
                 add(at[of] + k, owner[part], offset[part])
-        if not len(index.samples):
-            continue
-        written = list(walk(padded, start, index.steps))
-        pairs = []
-        for r, sample in enumerate(index.samples):
-            h = _keys(written, sample)
-            at = np.flatnonzero(index.hit[r][h >> _U(48)])
-            lo, hi = np.searchsorted(index.keys[r], h[at], "left"), np.searchsorted(index.keys[r], h[at], "right")
-            of, part = _spread(np.flatnonzero(hi > lo), lo, hi, index.part_of[r])
-            if len(of):
-                pairs.append(at[of] * len(index.owner) + part)
-        if not pairs:
-            continue
-        at, part = np.divmod(np.unique(np.concatenate(pairs)), len(index.owner))
-        agree = np.zeros(len(at), np.int64)
-        for j, x in enumerate(written):
-            agree += x[at] == index.embedding[part, j]
-        good = agree >= index.least[part]
-        add(at[good] + k, index.owner[part[good]], index.offset[part[good]])
+        written = list(walk(padded, start, index.steps)) if index.windows else []
+        for part_ in index.windows:
+            pairs = []
+            for r, sample in enumerate(part_.samples):
+                h = _keys(written, sample)
+                at = np.flatnonzero(part_.hit[r][h >> _U(48)])
+                lo, hi = np.searchsorted(part_.keys[r], h[at], "left"), np.searchsorted(part_.keys[r], h[at], "right")
+                of, part = _spread(np.flatnonzero(hi > lo), lo, hi, part_.part_of[r])
+                if len(of):
+                    pairs.append(at[of] * len(part_.owner) + part)
+            if not pairs:
+                continue
+            at, part = np.divmod(np.unique(np.concatenate(pairs)), len(part_.owner))
+            agree = np.zeros(len(at), np.int64)
+            for j, x in enumerate(written[: part_.steps]):
+                agree += x[at] == part_.embedding[part, j]
+            good = agree >= part_.least[part]
+            add(at[good] + k, part_.owner[part[good]], part_.offset[part[good]])
     best: dict[tuple[int, int], tuple[int, int]] = {}
     distinct = {item: set(index.items[item].tolist()) for item in {x[1] for x in near}}
     for d, item, bucket in near:

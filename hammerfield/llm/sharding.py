@@ -53,7 +53,11 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda acc: acc["b"].cast("int"))
 
 
-def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+#: Sub-lists in which each shard is numbered; the slots follow from this number, not from the cluster's settings.
+PIECES = 512
+
+
+def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", pieces: int = PIECES) -> DataFrame:
     """Every row of df with size, text_crc32, law, shard, slot and grown_shard.
 
     size: UTF-8 bytes of the text plus 8; a null text counts 0 bytes and has the CRC-32 of no bytes. A null key is
@@ -63,8 +67,6 @@ def assign_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str = "
     A shard is numbered in pieces: its rows are dealt into sub-lists by a hash of the row, counted, and each sub-list
     is numbered from the sum of the counts before it, so no task holds a whole shard.
     """
-    spark = df.sparkSession
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = df.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
     rows = rows.withColumn("shard", jump_shard(F.col("doc_id"), shards)).withColumn("grown_shard", jump_shard(F.col("doc_id"), shards + 1))

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -75,6 +76,90 @@ def test_held_out_accuracy_on_test_tables(spark):
     assert rank > 0.9
 
 
+def plain_features(text):
+    """Buckets of a text by the definition."""
+    raw = (text or "").encode()
+    import numpy as np
+
+    out = []
+    for k in quality.GRAMS:
+        for i in range(len(raw) - k + 1):
+            g = int.from_bytes(raw[i : i + k], "big")
+            out.append(((g + k) * int(quality._SALT) % (1 << 64)) >> 48)
+    c = quality.X.prefix_hash(np.frombuffer(raw, np.uint8))
+    before = None
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        out.append(int(quality.X.span_hash(c, np.array([m.start()]), np.array([m.end()]))[0]) >> 48)
+        if m.group() == before:
+            out.append(int(quality._SALT) >> 48)
+        before = m.group()
+    return out
+
+
+def test_features_and_scores_equal_brute_force():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["The cat cat sat", "", None, "é中 é中 x", " a ", "word " * 300]
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS).astype(np.float32), 0.3)
+    got = quality.score_texts(pa.array(texts), model)
+    for text, score, (ids, shares) in zip(texts, got, quality.bags(pa.array(texts))):
+        counts = Counter(plain_features(text))
+        total = sum(counts.values())
+        assert dict(zip(ids.tolist(), shares.tolist())) == pytest.approx({k: n / total for k, n in counts.items()})
+        mean = sum(n * float(model.bucket[k]) for k, n in counts.items()) / max(1, total)
+        assert score == pytest.approx(1 / (1 + math.exp(-mean - 0.3)), rel=1e-6)
+
+
+def test_training_equals_plain_gradient_descent(monkeypatch):
+    """Two epochs in Python loops: an average of vectors, a softmax layer, classes weighted equally."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "BUCKETS", 8)
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    monkeypatch.setattr(quality, "BATCH", 2)
+    rows = [([0, 3], [0.5, 0.5]), ([1], [1.0]), ([], []), ([3, 5, 7], [0.25, 0.25, 0.5]), ([2, 6], [0.75, 0.25])]
+    labels = np.array([1, 0, 1, 1, 0])
+    got = quality.train([(np.array(i, np.int32), np.array(w, np.float32)) for i, w in rows], labels)
+    rng = np.random.default_rng(quality.SEED)
+    emb = ((rng.random((8, quality.DIM), np.float32) - 0.5) / quality.DIM).astype(float).tolist()
+    out, bias = [[0.0, 0.0] for _ in range(quality.DIM)], [0.0, 0.0]
+    steps = done = 0
+    steps = 2 * 3
+    for _ in range(2):
+        order = rng.permutation(5)
+        for k in (0, 2, 4):
+            rate = quality.RATE * (1 - done / steps)
+            done += 1
+            grads = []
+            for i in order[k : k + 2]:
+                hidden = [sum(w * emb[b][d] for b, w in zip(*rows[i])) for d in range(quality.DIM)]
+                z = [math.exp(sum(hidden[d] * out[d][c] for d in range(quality.DIM)) + bias[c]) for c in (0, 1)]
+                weight = 5 / (2 * 3) if labels[i] else 5 / (2 * 2)
+                g = [(z[c] / sum(z) - (labels[i] == c)) * weight for c in (0, 1)]
+                grads.append((i, hidden, g, [sum(g[c] * out[d][c] for c in (0, 1)) for d in range(quality.DIM)]))
+            for i, hidden, g, back in grads:
+                for c in (0, 1):
+                    bias[c] -= rate * 0.1 * g[c] / len(grads)
+                    for d in range(quality.DIM):
+                        out[d][c] -= rate * hidden[d] * g[c]
+                for b, w in zip(*rows[i]):
+                    for d in range(quality.DIM):
+                        emb[b][d] -= rate * 30 * w * back[d]
+    want = [sum(e[d] * (out[d][1] - out[d][0]) for d in range(quality.DIM)) for e in emb]
+    assert got.bucket.tolist() == pytest.approx(want, abs=1e-4)
+    assert got.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+
+
+def test_sample_is_of_labelled_documents_and_one_row_of_an_id(spark):
+    rows, labels = corpus(60)
+    frame = spark.createDataFrame(rows + [rows[5]] * 50 + [(5, "another text", *"abcde")], DOCS)
+    many = labels + [(i, i % 2, 0, "x", "y") for i in range(10**6, 10**6 + 3000)]
+    a = quality.fit(frame, spark.createDataFrame(many, LABELS).selectExpr("doc_id", "quality AS label"), rows=40)
+    b = quality.fit(spark.createDataFrame(rows + [(5, "another text", *"abcde")], DOCS), spark.createDataFrame(labels, LABELS).selectExpr("doc_id", "quality AS label"), rows=40)
+    assert (a.bucket == b.bucket).all() and a.bias == b.bias and a.bucket.any()
+
+
 TEXTS = ["The cat sat on the mat", "the CAT sat\ton the dog", "abracadabra abracadabra", "", None, "  ", "zzz", "the the the the", "é中 é中", "a", "The cat sat on the mat"] * 6
 
 
