@@ -83,3 +83,37 @@ def yes_no(c: Column) -> Column:
 def slot(ts: Column, minutes: int = 15) -> Column:
     """Start of the slot that ts is in, and of the next: the Indian offset is a whole number of quarter hours."""
     return F.window(ts.cast("timestamp"), f"{minutes} minutes")
+
+
+def _month(name: Column) -> Column:
+    return F.nullif(F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(name)), F.lit(0)).cast("int")
+
+
+def date_and_time(date: Column, time: Column, hour: int = 11) -> Column:
+    """"30 Sep 2026" or 30-09-2026 with a clock time of its own column, Indian; the given hour where there is no time."""
+    worded, numeric = r"([0-9]{1,2})[\s-]+([A-Za-z]{3})[a-z]*[\s,-]+([0-9]{4})", r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})"
+    clock = r"(?i)([0-9]{1,2}):([0-9]{2})\s*(am|pm)?"
+    get = lambda c, p, k: F.regexp_extract(c, p, k)
+    by_word = date.rlike(worded)
+    year = F.when(by_word, get(date, worded, 3)).otherwise(get(date, numeric, 3)).try_cast("int")
+    month = F.when(by_word, _month(get(date, worded, 2))).otherwise(get(date, numeric, 2).try_cast("int"))
+    day = F.when(by_word, get(date, worded, 1)).otherwise(get(date, numeric, 1)).try_cast("int")
+    time = F.coalesce(time, F.lit(""))
+    half, h = F.lower(get(time, clock, 3)), get(time, clock, 1).try_cast("int")
+    h = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
+    at = F.try_make_timestamp_ntz(year, month, day, F.coalesce(h, F.lit(hour)), F.coalesce(get(time, clock, 2).try_cast("int"), F.lit(0)), F.lit(0))
+    return _utc(at)
+
+
+def notice_date(c: Column) -> Column:
+    """The first date a notice prints, numeric or worded, as yyyy-mm-dd; "invalid" when no such day is in 2020 to 2100."""
+    numeric = r"(?s)^(.*?)([0-9]{1,2})\s*[./-]\s*([0-9]{1,2})\s*[./-]\s*([0-9]{4})"
+    worded = r"(?is)^(.*?)([0-9]{1,2})(?:st|nd|rd|th)?[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s,.-]+([0-9]{4})"
+    get = lambda p, k: F.regexp_extract(c, p, k)
+    is_n, is_w = c.rlike(numeric), c.rlike(worded)
+    first_n = is_n & (~is_w | (F.length(get(numeric, 1)) <= F.length(get(worded, 1))))
+    year = F.when(first_n, get(numeric, 4)).otherwise(get(worded, 4)).try_cast("int")
+    month = F.when(first_n, get(numeric, 3).try_cast("int")).otherwise(_month(get(worded, 3)))
+    day = F.when(first_n, get(numeric, 2)).otherwise(get(worded, 2)).try_cast("int")
+    made = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
+    return F.when(is_n | is_w, F.coalesce(F.when(year.between(2020, 2100), F.date_format(made, "yyyy-MM-dd")), F.lit("invalid")))

@@ -67,3 +67,15 @@ def fnv1a(c: Column) -> Column:
         return (low * F.lit(16777619) + F.shiftleft((high * F.lit(16777619)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
 
     return F.aggregate(codes, F.lit(2166136261).cast("long"), step)
+
+
+#: Fixed value: an amount as notices print it.
+NOTICE_AMOUNT = r"(?i)(?:rs\.?|₹|inr)?\s*(\d{1,3}(?:,\d{2,3})+|\d+)(\.\d+)?\s*(?:/-)?\s*(lakhs?|lacs?|crores?|cr\b)?"
+
+
+def notice_amount(c: Column) -> Column:
+    """The first amount of a notice: Indian grouping, "/-", lakhs and crores; a whole number."""
+    part = lambda k: F.regexp_extract(c, NOTICE_AMOUNT, k)
+    n = F.concat(F.replace(part(1), F.lit(","), F.lit("")), part(2)).try_cast("double")
+    unit = F.lower(part(3))
+    return F.floor(n * F.when(unit.startswith("la"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0) + 0.5).cast("long")

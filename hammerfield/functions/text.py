@@ -29,22 +29,24 @@ def collapse(c: Column) -> Column:
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
     """The value of c in a fixed table, null where it has none."""
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c] if table else F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
 
 
-def canon_place(c: Column, aliases: dict[str, str]) -> Column:
-    key = F.lower(collapse(c))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), key), title_case(key))
+#: Words that stay small inside a title, and those written in capitals.
+SMALL_WORDS = ["of", "in", "at", "the", "and", "for", "to", "on", "a", "an"]
+CAPITAL_WORDS = "sbi pnb hdfc icici idbi uco bob boi nh sh rd st bhk rcc mig lig hig ews ii iii iv vi sez gidc midc dlf dda hsr btm cbd".split()
 
 
-def usable_place(c: Column, aliases: dict[str, str]) -> Column:
-    """The canonical name where c is it apart from case and has at most 40 characters, else null."""
-    canon = canon_place(c, aliases)
-    return F.when((F.length(c) <= 40) & (F.lower(canon) == F.lower(F.trim(c))), canon)
+def tidy_case(c: Column) -> Column:
+    """A text of mostly capitals (seven letters in ten, of six or more) as a title; any other as it is."""
+    letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
+    capitals = F.length(F.regexp_replace(c, "[^A-Z]", ""))
+    parts = F.regexp_extract_all(F.lower(c), F.lit("[a-z][a-z']*|[^a-z]+"), F.lit(0))
 
+    def written(word: Column, place: Column) -> Column:
+        return F.when(word.isin(*CAPITAL_WORDS), F.upper(word)).when(word.isin(*SMALL_WORDS) & (place > 0), word).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20)))
 
-def canon_state(c: Column, aliases: dict[str, str]) -> Column:
-    return canon_place(F.regexp_replace(c, r"\s*&\s*", " and "), aliases)
+    return F.when((letters >= 6) & (capitals >= 0.7 * letters), F.array_join(F.transform(parts, written), "")).otherwise(c)
 
 
 def null_if_placeholder(c: Column) -> Column:
@@ -52,10 +54,9 @@ def null_if_placeholder(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Without markdown links, arrows, doubled spaces and punctuation at the end."""
-    plain = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    plain = collapse(F.regexp_replace(plain, "[→←»«]", " "))
-    return F.regexp_replace(plain, r"[\s,;:.-]+$", "")
+    """Without markdown links, arrows, doubled spaces and separators at the end; null counts as empty."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), r"\[([^\]]*)\]\([^)]*\)|→", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, SPACE, " "), r"[\s·,;|-]+$", ""))
 
 
 def tidy_text(c: Column) -> Column:
@@ -174,3 +175,59 @@ def phone_digits(c: Column) -> Column:
 def redact(c: Column, most: int = 1500) -> Column:
     hidden = F.regexp_replace(c, r"(?i)\b(bearer\s+|token=|cookie:\s*)[^\s;&]+", "$1***")
     return F.substring(hidden, 1, most)
+
+
+#: Phone numbers, e-mail addresses and the words around them in an officer's line.
+PHONE = r"(?:\+?91[\s-]?)?\d[\d\s-]{6,}\d"
+EMAIL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
+CONTACT_WORDS = r"(?i)Contact\s+the\s+Authori[sz]ed\s+Officers?\s*:?-?"
+PHONE_WORDS = r"(?i)\b(ph|phone|tel|mob(?:ile)?|m|mob no|email|e-?mail id)\b\.?\s*:?-?"
+LABEL_WORDS = "ph phone tel telephone mob mobile m no contact email e-mail id officer authorised authorized the and for inspection call".split()
+
+
+def first_of_each(items: Column, key) -> Column:
+    """The items of an array without those whose key an earlier one has."""
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def officer(c: Column) -> Column:
+    """struct(name, phone, email) of a contact line: at most three names and three numbers of 8 to 13 digits."""
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), CONTACT_WORDS, " "), r"\s+", " ")
+    email = F.regexp_extract(text, EMAIL, 0)
+    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
+    found = F.filter(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda x: F.length(digits(x)).between(8, 13))
+    phones = F.transform(first_of_each(found, digits), lambda x: F.regexp_replace(F.trim(x), r"\s{2,}", " "))
+
+    def name(part: Column) -> Column:
+        out = F.regexp_replace(F.regexp_replace(part, PHONE, " "), PHONE_WORDS, " ")
+        out = F.regexp_replace(out, r"(?i)[\s\-–]+(mo|mob|mobile|ph|no)\.?$", "")
+        out = F.regexp_replace(F.regexp_replace(out, r"[:()\-+.,]+\s*$", ""), r"^[\s:()\-+.,]+", "")
+        return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+    def real(x: Column) -> Column:
+        labels = F.forall(F.split(x, " "), lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z-]", "")).isin(*LABEL_WORDS))
+        return (F.length(F.regexp_replace(x, "[^A-Za-z]", "")) >= 3) & ~labels & ~x.rlike("[0-9@]")
+
+    parts = F.split(F.when(email == "", text).otherwise(F.replace(text, email, F.lit(" "))), r"(?i)[;/&]|,|\band\b|\(\d\)")
+    names = F.transform(first_of_each(F.filter(F.transform(parts, name), real), F.lower), lambda x: F.substring(x, 1, 40))
+    return F.struct(
+        F.substring(F.array_join(F.slice(names, 1, 3), ", "), 1, 120).alias("name"), F.substring(F.array_join(F.slice(phones, 1, 3), ", "), 1, 80).alias("phone"), email.alias("email")
+    )
+
+
+def longest_run(numbers: Column) -> Column:
+    """struct(first, length) of the longest run n, n + 1, n + 2 ... in an array of numbers, others between them passed over.
+
+    Of equally long runs the first counts. One pass from the end: the run from a place is one longer than that from the
+    nearest later place of the next number.
+    """
+    start = F.struct(F.create_map(F.lit(-1).cast("long"), F.lit(0)).alias("runs"), F.lit(None).cast("long").alias("first"), F.lit(0).alias("length"))
+
+    def step(acc: Column, n: Column) -> Column:
+        run = F.coalesce(F.try_element_at(acc["runs"], n + 1), F.lit(0)) + 1
+        runs = F.map_concat(F.map_filter(acc["runs"], lambda k, _: k != n), F.create_map(n, run))
+        better = run >= acc["length"]
+        return F.struct(runs.alias("runs"), F.when(better, n).otherwise(acc["first"]).alias("first"), F.when(better, run).otherwise(acc["length"]).alias("length"))
+
+    return F.aggregate(F.reverse(numbers), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["length"].alias("length")))

@@ -177,14 +177,6 @@ def er16(v: Views):
     return out.select("s_suppkey", F.when(F.col("k").isNull(), "MISSING").when(F.col("name") == F.col("s_name"), "CONFIRMED").otherwise("UNCERTAIN").alias("status"))
 
 
-_BANKS = ["The State Bank of India Ltd.", "SBI", "Bank & Co", "PNB", "Some Co operative Bank Limited"]
-
-
-@query("sc10_bank_key", "SELECT i, k FROM (VALUES (0, 'state bank of india'), (1, 'state bank of india'), (2, 'bank and co'), (3, 'punjab national bank'), (4, 'some bank')) t(i, k)")
-def sc10(v: Views):
-    return values(v, "c", _BANKS).select("i", M.canonical_bank_key(F.col("c")).alias("k"))
-
-
 @query("sc11_institution", "SELECT i, k FROM (VALUES (0, 'x arc'), (1, 'saraswat cooperative bank'), (2, 'y finance')) t(i, k)")
 def sc11(v: Views):
     return values(v, "c", ["X Asset Reconstruction Company Limited", "The Saraswat Co-operative Bank Ltd.", "Y Finance (Pvt)"]).select("i", M.institution_key(F.col("c")).alias("k"))

@@ -133,38 +133,6 @@ def snk07(v: Views):
     return v.property.select("id", F.to_json(F.struct("id", "title", "status")).alias("body"))
 
 
-@query("fl15_quality_gate", "SELECT doc_id, list_filter([CASE WHEN length(text) < 80 THEN 'short title' END, CASE WHEN lang NOT IN ('en', 'de') THEN 'no bank' END, CASE WHEN contains(lower(text), 'tractor') THEN 'vehicle' END], lambda x: x IS NOT NULL) AS why FROM documents")
-def fl15(v: Views):
-    why = I.reasons(short_title=F.length("text") < 80, no_bank=~F.col("lang").isin("en", "de"), vehicle=F.lower("text").contains("tractor"))
-    return v.documents.select("doc_id", why.alias("why"))
-
-
-@query("fl18_row_verdict", "SELECT o_orderkey, CASE WHEN o_totalprice < 5000 THEN 'no title' WHEN o_orderstatus = 'P' THEN 'inactive' WHEN o_orderkey % 50 = 0 THEN 'blocked' END AS verdict FROM orders")
-def fl18(v: Views):
-    verdict = I.first_reason(no_title=F.col("o_totalprice") < 5000, inactive=F.col("o_orderstatus") == "P", blocked=F.col("o_orderkey") % 50 == 0)
-    return v.orders.select("o_orderkey", verdict.alias("verdict"))
-
-
-@query("fl19_validate", "SELECT id, list_filter([CASE WHEN bank_id IS NULL THEN 'no bank' END, CASE WHEN reserve_price <= 0 THEN 'bad price' END, CASE WHEN auction_end < auction_start THEN 'end before start' END], lambda x: x IS NOT NULL) AS errors, bank_id IS NULL OR auction_end IS NULL AS needs_review FROM auction")
-def fl19(v: Views):
-    errors = I.reasons(no_bank=F.col("bank_id").isNull(), bad_price=F.col("reserve_price") <= 0, end_before_start=F.col("auction_end") < F.col("auction_start"))
-    return v.auction.select("id", errors.alias("errors"), (F.col("bank_id").isNull() | F.col("auction_end").isNull()).alias("needs_review"))
-
-
-@query("fl23_location_verdict", "SELECT id, CASE WHEN geo_state = 'ASIA' AND geo_city IS NOT NULL THEN 'accept' WHEN geo_state = 'ASIA' THEN 'review' ELSE 'reject' END AS verdict FROM property")
-def fl23(v: Views):
-    """State given, or a place of its list; the state without a place is for review."""
-    state = F.lower("geo_state") == "asia"
-    basis = F.array_compact(F.array(F.when(state, "state"), F.when(state & F.col("geo_city").isNotNull(), "place")))
-    return v.property.select("id", F.when(F.size(basis) == 2, "accept").when(F.size(basis) == 1, "review").otherwise("reject").alias("verdict"))
-
-
-@query("fl24_two_gates", "SELECT CASE WHEN geo_state <> 'ASIA' THEN 'place' WHEN category IS NULL OR category = 'INDUSTRIAL' THEN 'kind' ELSE 'qualified' END AS outcome, count(*) AS n FROM property GROUP BY 1")
-def fl24(v: Views):
-    outcome = F.coalesce(I.first_reason(place=F.col("geo_state") != "ASIA", kind=F.col("category").isNull() | (F.col("category") == "INDUSTRIAL")), F.lit("qualified"))
-    return R.grouped_count(v.property.select(outcome.alias("outcome")), "outcome")
-
-
 _ROBOTS = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: other\nDisallow: /"
 
 
@@ -209,12 +177,6 @@ def er11(v: Views):
     return v.auction.select("id", F.col("status").alias("from_status"), to.alias("to_status")).filter(~F.col("from_status").eqNullSafe(F.col("to_status")))
 
 
-@query("er12_auto_review", "SELECT CASE WHEN category = 'INDUSTRIAL' THEN 'REMOVED' WHEN category IS NOT NULL AND geo_city IS NOT NULL AND length(title) >= 8 THEN 'PUBLISHED' ELSE 'PENDING_REVIEW' END AS verdict, count(*) AS n FROM property GROUP BY 1")
-def er12(v: Views):
-    verdict = F.when(F.col("category") == "INDUSTRIAL", "REMOVED").when(F.col("category").isNotNull() & F.col("geo_city").isNotNull() & (F.length("title") >= 8), "PUBLISHED").otherwise("PENDING_REVIEW")
-    return R.grouped_count(v.property.select(verdict.alias("verdict")), "verdict")
-
-
 @query("er13_hash_skip", "SELECT a.page_id, CASE WHEN a.page_id % 3 = 0 THEN 'changed' ELSE 'same' END AS outcome FROM pages a")
 def er13(v: Views):
     stored = v.pages.select("page_id", F.sha2(F.when(F.col("page_id") % 3 == 0, F.lit("old")).otherwise(F.col("html")), 256).alias("stored"))

@@ -9,7 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 #: The fixed instant of lifecycle queries.
 NOW = "1998-06-15 08:00:00"
 
+#: Wordings of listing fields; each row of the view `listing` has one of each, by its key.
+WORDINGS = {
+    "kind_text": ["Flat No 3, Shanti Nagar", "Movable Plant and Machinery", "Plant & Machinery with tractor shed", "Farm House at Lonavala", "Farmland near lake", "Agricultural land", "Office space", "Open land and building", "Open Plot", "Land & Building", "Commercial Vehicle", "Two-Wheeler (Honda)", "misc assets", None, "", "SCHOOL BUILDING", "gold ornaments", "Vacant site with villa", "Row House 4BHK", "Industrial Shed"],
+    "title": ["FLAT NO 12, SHANTI APARTMENTS OF SBI", "Plot at Pune [Open in Maps →](https://maps.example.org/?q=21.01,73.15) ·", "Car (Honda City)", "the car park unit", "Sale of TRACTORS lot", "Short", None, "  House   in the  Nagpur city | - ", "2 BHK flat near o'hare road", "bus", "THE SHOP IN BUS STAND ROAD, THANE", "NH 4 GODOWN"],
+    "city_text": ["navi-mumbai east", "  KOCHI ", "new  delhi", "Bombay", "vasai virar", "Vasai-Virar", "pune", "aurangabad", "AURANGABAD", None, "mira road", "greater  Mumbai", "x y-z"],
+    "state_text": ["Jammu & Kashmir", "orissa", "TAMIL NADU", "Pondicherry", None, "maharashtra", " Maharashtra ", "Dadra & Nagar Haveli & Daman & Diu", "Bihar", "nct of delhi", "Andaman &Nicobar Islands"],
+    "bank_text": ["SBI", "State Bank Of India Ltd.", "The Punjab National Bank Limited", "uco  bank", "Axis Bank & Co", "XYZ CO-OPERATIVE BANK LTD", None, "", "union bank", "PRIVATE LENDER PVT LTD", "Asset Reconstruction Company (India) Ltd"],
+    "price_text": ["Rs. 35,00,000", "1.25 Cr", "40 lakhs", "12k", "nothing", "₹ 7.5 lac only", None, "10 %", "999", "Rs 45,00,000/-", "INR 1200", "-4", "5000.126", "1,00,00,000"],
+    "emd_text": ["50,000", "10%", "99", "100", None, "Rs. 2 lakh", "1.5 crore/-", "nil", "45,00,000"],
+    "date_text": ["07-10-2026 11:30 am", "31/12/2026", "31 Dec 2026", "12th November 2026 at 3", "32/1/2026", "31.02.2026 noon", "on 5/6/2019", "no date", None, "30 Sep 2026", "1-3-26", "date 03 . 04 . 2030 or 1st May 2027", "2nd may, 2031 or 01/01/2030"],
+    "time_text": ["12:00 PM", "12:05 am", "3:15 pm", "14:20", None, "noon", "11:59 AM"],
+    "status_text": ["Auction cancelled", "not cancelled", "unsold", "Sold", "live and cancelled", "cancelled / sold", "put on hold", "called off", "Withdrawn", "never been postponed", "closed", "", None, "a long description of the terms, under which it may be cancelled"],
+    "document_text": ["Sale Notice", "Bid form and terms", "E-Auction notice", "corrigendum", "Inspection schedule", "Demand notice", "annexure II", "Proclamation of sale", "photo.jpg", "Possession Notice", "Application form", "tender document", "", "sale-notice.pdf", "Project brochure", "Notice of e-auction"],
+    "officer_text": ["Contact The Authorized Officer : Mr Satish Trapasiya +91 9726962491, Mr Jitendra Patel +91 9974848487", "Ph: 022-26541234 email a.b@bank.co.in", "Mr. A K Rao; Ms B (2) / M: 98765 43210", None, "no contact", "John and Mary, 9876543210, 9876543210; John"],
+}
+
+
+def _wording(place: int, name: str, key: str) -> str:
+    """A column of one of the wordings; strides without common factors with their number give every combination in time."""
+    texts = WORDINGS[name]
+    cases = " ".join(f"when {i} then " + ("null" if x is None else "'" + x.replace("'", "''") + "'") for i, x in enumerate(texts))
+    return f"case ({key} * {2 * place + 1} + cast(floor({key} / {7 + 4 * place}) as bigint)) % {len(texts)} {cases} end as {name}"
+
+
 VIEWS = {
+    "listing": "\nselect o_orderkey as id, o_custkey as customer, o_totalprice as price, o_orderdate as start, " + ", ".join(_wording(i, name, "o_orderkey") for i, name in enumerate(WORDINGS)) + " from {orders}",
     "property": """
 select c.c_custkey as id, c.c_name as title, c.c_acctbal as acctbal,
   case c.c_mktsegment when 'BUILDING' then 'RESIDENTIAL' when 'FURNITURE' then 'COMMERCIAL' when 'HOUSEHOLD' then 'LAND_PLOT' when 'MACHINERY' then 'INDUSTRIAL' end as category,

@@ -12,10 +12,6 @@ from ..operators import lifecycle as L
 from .proxies import NOW, Views
 from .registry import query
 
-#: Other names of a few cities.
-CITY_ALIASES = {"bengaluru": "Bangalore", "bombay": "Mumbai", "new delhi": "Delhi", "cochin": "Kochi", "gurugram": "Gurgaon", "calcutta": "Kolkata", "madras": "Chennai", "vasai-virar": "Vasai"}
-STATE_ALIASES = {"orissa": "Odisha", "uttaranchal": "Uttarakhand", "pondicherry": "Puducherry", "jammu and kashmir": "Jammu and Kashmir"}
-
 
 def values(v: Views, column: str, items: list) -> object:
     kind = {int: "int", float: "double"}.get(type(items[0]), "string")
@@ -46,41 +42,6 @@ def sc03(v: Views):
     return values(v, "c", _CITIES).select("i", T.title_case(F.col("c")).alias("t"))
 
 
-_ALIAS_SQL = "MAP {" + ", ".join(f"'{k}': '{x}'" for k, x in CITY_ALIASES.items()) + "}"
-_KEY = "lower(regexp_replace(trim(c), '\\s+', ' ', 'g'))"
-
-
-@query("sc04_canon_city", f"SELECT i, coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)}) AS city FROM {sql_values('c', _CITIES)}")
-def sc04(v: Views):
-    return values(v, "c", _CITIES).select("i", T.canon_place(F.col("c"), CITY_ALIASES).alias("city"))
-
-
-@query("sc05_city_in_state", "SELECT i, CASE WHEN c = 'aurangabad|Maharashtra' THEN 'Chhatrapati Sambhajinagar' ELSE 'Aurangabad' END AS city FROM (VALUES (0, 'aurangabad|Maharashtra'), (1, 'aurangabad|Bihar')) t(i, c)")
-def sc05(v: Views):
-    rows = values(v, "c", ["aurangabad|Maharashtra", "aurangabad|Bihar"]).select("i", F.split_part("c", F.lit("|"), F.lit(1)).alias("city"), F.split_part("c", F.lit("|"), F.lit(2)).alias("state"))
-    canon = T.canon_place(F.col("city"), CITY_ALIASES)
-    return rows.select("i", F.when((canon == "Aurangabad") & (F.lower(F.trim("state")) == "maharashtra"), "Chhatrapati Sambhajinagar").otherwise(canon).alias("city"))
-
-
-_STATES = ["Jammu & Kashmir", "orissa", "TAMIL NADU", "Pondicherry", None]
-
-
-@query("sc06_canon_state", f"SELECT i, r AS state FROM (VALUES (0, 'Jammu and Kashmir'), (1, 'Odisha'), (2, 'Tamil Nadu'), (3, 'Puducherry'), (4, NULL)) t(i, r)")
-def sc06(v: Views):
-    return values(v, "c", _STATES).select("i", T.canon_state(F.col("c"), STATE_ALIASES).alias("state"))
-
-
-@query("sc07_state_variants")
-def sc07(v: Views):
-    names = {"Odisha": ["Odisha", "Orissa"], "Jammu and Kashmir": ["Jammu and Kashmir", "Jammu & Kashmir"]}
-    return v.spark.createDataFrame([(k, x) for k, xs in names.items() for x in xs], "state string, variant string")
-
-
-@query("sc08_usable_city", f"SELECT i, CASE WHEN length(c) <= 40 AND lower(coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)})) = lower(trim(c)) THEN coalesce({_ALIAS_SQL}[{_KEY}], {_TITLE.format(_KEY)}) END AS city FROM {sql_values('c', _CITIES)}")
-def sc08(v: Views):
-    return values(v, "c", _CITIES).select("i", T.usable_place(F.col("c"), CITY_ALIASES).alias("city"))
-
-
 _PLACEHOLDERS = ["", "--", "N/A", "na", " Not Available ", "ok", None, "-x"]
 
 
@@ -89,11 +50,6 @@ def sc14(v: Views):
     return values(v, "c", _PLACEHOLDERS).select("i", T.null_if_placeholder(F.col("c")).alias("c"))
 
 
-@query("sc12_clean_text", r"SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[→←»«]', ' ', 'g'), '[\s\x{00A0}]+', ' ', 'g')), '[\s,;:.-]+$', '') AS t FROM documents")
-def sc12(v: Views):
-    return v.documents.select("doc_id", T.clean_text(F.col("text")).alias("t"))
-
-
 @query("sc13_tidy_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM documents")
 def sc13(v: Views):
     return v.documents.select("doc_id", T.tidy_text(F.col("text")).alias("t"))
@@ -203,24 +159,6 @@ def sm01(v: Views):
     return values(v, "c", _MONEY).select("i", M.parse_money(F.col("c")).alias("n"))
 
 
-@query("sm02_clean_money", "SELECT i, n FROM (VALUES (0, 5000.13), (1, NULL), (2, 1200.0), (3, NULL)) t(i, n)")
-def sm02(v: Views):
-    return values(v, "c", ["Rs. 5,000.126", "-4", "INR 1200", "x"]).select("i", M.clean_money(F.col("c")).alias("n"))
-
-
-_WORDS = ["Rs. 35,00,000", "1.25 Cr", "40 lakhs", "12k", "nothing", "₹ 7.5 lac only", None]
-
-
-@query("sm03_money_words", "SELECT i, n::BIGINT AS n FROM (VALUES (0, 3500000), (1, 12500000), (2, 4000000), (3, 12000), (4, NULL), (5, 750000), (6, NULL)) t(i, n)")
-def sm03(v: Views):
-    return values(v, "c", _WORDS).select("i", M.money_words(F.col("c")).alias("n"))
-
-
-@query("sm05_least_amount", "SELECT i, n::BIGINT AS n FROM (VALUES (0, NULL), (1, NULL), (2, 1500)) t(i, n)")
-def sm05(v: Views):
-    return values(v, "c", ["10 %", "999", "1,500"]).select("i", M.amount_at_least(F.col("c"), 1000).alias("n"))
-
-
 @query("sm06_lost_unit", "SELECT o_orderkey, CASE WHEN o_orderkey % 700 < 1000 AND o_totalprice >= 100 * (o_orderkey % 700) THEN o_totalprice ELSE o_orderkey % 700 END::DOUBLE AS price FROM orders")
 def sm06(v: Views):
     return v.orders.select("o_orderkey", M.lost_unit((F.col("o_orderkey") % 700).cast("double"), F.col("o_totalprice").cast("double")).alias("price"))
@@ -328,40 +266,11 @@ def sd15(v: Views):
     return v.events.select("event_id", D.ist_label(F.col("ts")).alias("label"))
 
 
-_TYPES = ["Flat No 3", "Plant and Machinery", "Farm House", "Agricultural land", "Office space", "Open Plot", "Land & Building", "Tractor", "misc", None]
-
-
-@query("sk01_property_kind", "SELECT i, k FROM (VALUES (0, 'RESIDENTIAL'), (1, 'INDUSTRIAL'), (2, 'RESIDENTIAL'), (3, 'AGRICULTURAL'), (4, 'COMMERCIAL'), (5, 'LAND_PLOT'), (6, 'RESIDENTIAL'), (7, 'VEHICLE'), (8, NULL), (9, NULL)) x(i, k)")
-def sk01(v: Views):
-    return values(v, "c", _TYPES).select("i", K.property_kind(F.col("c")).alias("k"))
-
-
-@query("sk05_document_kind", r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'sale\s*notice|auction\s*notice|e-?auction') THEN 'SALE_NOTICE' WHEN regexp_matches(lower(text), 'tender|bid\s*form|terms') THEN 'BID_DOCUMENT' WHEN contains(lower(text), 'possession') THEN 'POSSESSION_NOTICE' WHEN regexp_matches(lower(text), 'photo|image|jpe?g|png') THEN 'PHOTO' ELSE 'OTHER' END AS k FROM documents")
-def sk05(v: Views):
-    return v.documents.select("doc_id", K.document_kind(F.col("text")).alias("k"))
-
-
-@query("sk06_explicit_status", "SELECT i, s FROM (VALUES (0, 'CANCELLED'), (1, NULL), (2, NULL), (3, 'COMPLETED'), (4, NULL)) x(i, s)")
-def sk06(v: Views):
-    return values(v, "c", ["Auction cancelled", "not cancelled", "unsold", "Sold", "live and cancelled"]).select("i", K.explicit_status(F.col("c")).alias("s"))
-
-
-@query("fl16_vehicle", r"SELECT p_partkey, regexp_matches(lower(p_name), '\b(ring|gear)\b') AS hit FROM part")
-def fl16(v: Views):
-    return v.part.select("p_partkey", F.lower("p_name").rlike(r"\b(ring|gear)\b").alias("hit"))
-
-
 @query("fl17_blocked_host", f"SELECT page_id, ({_HOST} = 'example.net' OR ends_with({_HOST}, '.example.net')) AS blocked FROM pages")
 def fl17(v: Views):
     return v.pages.select("page_id", T.blocked_host(F.col("url"), ["example.net"]).alias("blocked"))
 
 
-@query("fl26_fetch_status", "SELECT i, s FROM (VALUES (0, 'FORBIDDEN'), (1, 'NOT_FOUND'), (2, 'RATE_LIMITED'), (3, 'SERVER_ERROR'), (4, 'CHALLENGE'), (5, 'OK'), (6, 'EMPTY')) x(i, s)")
-def fl26(v: Views):
-    rows = v.spark.createDataFrame([(0, 403, ""), (1, 404, ""), (2, 429, ""), (3, 502, "x"), (4, 200, "Please verify you are human"), (5, 200, "<p>"), (6, 200, " ")], "i int, code int, body string")
-    return rows.select("i", K.fetch_status(F.col("code"), F.col("body")).alias("s"))
-
-
 @query("fl27_private_address", "SELECT i, p FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, true), (5, false), (6, true)) x(i, p)")
 def fl27(v: Views):
     return values(v, "c", ["10.0.0.1", "172.20.1.1", "8.8.8.8", "192.168.0.4", "not an ip", "172.32.0.1", "999.1.1.1"]).select("i", K.private_address(F.col("c")).alias("p"))
