@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rollups import streaks
@@ -19,13 +23,46 @@ def baselines(runs: DataFrame, now) -> DataFrame:
     return runs.groupBy("source").agg(*out)
 
 
+#: Runs and hours before an empty source is called so, and days that a productive channel vouches for it.
+EMPTY_RUNS, EMPTY_HOURS, REJECTED_RUNS, FRESH_DAYS = 3, 6, 3, 14
+YIELD_SEVERITY = ["PRODUCTIVE", "EMPTY", "ALL_REJECTED", "ZERO_YIELD", "DROPPED"]
+#: Verdicts under which nothing that a source no longer shows is removed.
+PROTECTIVE = ["WARNING", "INCOMPLETE", "CRITICAL", "BLOCKED", "FAILED", "NO_DATA"]
+
+
 def yield_states(runs: DataFrame) -> DataFrame:
-    """Each run's verdict and the streaks of zero and of rejected runs up to it, for each source."""
-    zero, rejected = F.col("created") == 0, (F.col("created") < 5) & (F.col("status") == "error")
-    a = streaks(runs, ["source"], ["started_at", "id"], zero).withColumnRenamed("streak", "zero_streak")
-    b = streaks(a, ["source"], ["started_at", "id"], rejected).withColumnRenamed("streak", "reject_streak")
-    verdict = F.when(F.col("reject_streak") >= 3, "ALL_REJECTED").when(F.col("zero_streak") >= 3, "ZERO_YIELD").when(F.col("zero_streak") >= 1, "EMPTY").otherwise("PRODUCTIVE")
-    return b.select("id", "source", "zero_streak", "reject_streak", verdict.alias("verdict"))
+    """State of each (source, channel) after each run (id, started_at, discovered, created, duplicates, rejected).
+
+    A run that shows nothing lengthens the zero streak: DROPPED where the channel was productive before, ZERO_YIELD after
+    EMPTY_RUNS such runs over EMPTY_HOURS, else EMPTY. A run that shows something is PRODUCTIVE, or ALL_REJECTED at the
+    third in a row without one valid record.
+    """
+    keys, order = ["source", "channel"], ["started_at", "id"]
+    empty = F.coalesce(F.col("discovered"), F.lit(0)) <= 0
+    rejected = ~empty & (F.col("created") + F.col("duplicates") == 0) & (F.col("rejected") > 0)
+    rows = streaks(streaks(runs, keys, order, empty).withColumnRenamed("streak", "zero_streak"), keys, order, rejected).withColumnRenamed("streak", "reject_streak")
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last_good = F.last(F.when(~empty, F.col("started_at")), ignorenulls=True).over(before)
+    # the zero streak began with the first run after the last productive one
+    first_zero = F.min(F.when(empty, F.col("started_at"))).over(Window.partitionBy(*keys, "_good").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("last_productive", last_good).withColumn("_good", F.sum(F.when(empty, 0).otherwise(1)).over(before)).withColumn("_first_zero", first_zero)
+    long = F.col("started_at") - F.expr(f"INTERVAL {EMPTY_HOURS} HOURS") >= F.col("_first_zero")
+    verdict = (
+        F.when(~empty, F.when(F.col("reject_streak") >= REJECTED_RUNS, "ALL_REJECTED").otherwise("PRODUCTIVE"))
+        .when(F.col("last_productive").isNotNull(), "DROPPED")
+        .when((F.col("zero_streak") >= EMPTY_RUNS) & long, "ZERO_YIELD")
+        .otherwise("EMPTY")
+    )
+    return rows.select("id", "source", "channel", "started_at", "zero_streak", "reject_streak", verdict.alias("verdict"))
+
+
+def overall_yield(states: DataFrame, now) -> DataFrame:
+    """One verdict a source: PRODUCTIVE while one of its channels was within FRESH_DAYS, else the worst of its channels."""
+    last = states.groupBy("source", "channel").agg(F.max_by("verdict", F.struct("started_at", "id")).alias("verdict"), F.max("started_at").alias("at"))
+    fresh = (F.col("verdict") == "PRODUCTIVE") & (F.col("at") > now - F.expr(f"INTERVAL {FRESH_DAYS} DAYS"))
+    severity = F.array_position(F.array(*[F.lit(x) for x in YIELD_SEVERITY]), F.col("verdict"))
+    worst = F.max_by("verdict", severity)
+    return last.groupBy("source").agg(F.when(F.bool_or(fresh), "PRODUCTIVE").otherwise(worst).alias("verdict"), F.count(F.lit(1)).alias("channels"))
 
 
 def tick_gaps(runs: DataFrame, limit_minutes: int = 20) -> DataFrame:
@@ -35,53 +72,125 @@ def tick_gaps(runs: DataFrame, limit_minutes: int = 20) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > limit_minutes).alias("long_gaps"))
 
 
+class _Recent:
+    """Values of the last days, kept in order of size: the median of any moment is two look-ups."""
+
+    def __init__(self, days: int):
+        self.span, self.rows, self.sorted = days * 86_400_000_000, deque(), []
+
+    def median(self, now: int) -> float | None:
+        while self.rows and self.rows[0][0] < now - self.span:
+            del self.sorted[bisect_left(self.sorted, self.rows.popleft()[1])]
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
+
+    def add(self, at: int, value: float) -> None:
+        self.rows.append((at, value))
+        insort(self.sorted, value)
+
+
+def _drop(now: float | None, reference: float | None) -> str | None:
+    if now is None or not reference:
+        return None
+    lost = max(0.0, (reference - now) / reference)
+    return "CRITICAL" if lost >= 0.6 else "INCOMPLETE" if lost >= 0.3 else "WARNING" if lost >= 0.1 else "HEALTHY"
+
+
+def judge(run: dict, reference: float | None, pages: float | None) -> str:
+    """Verdict of a run (records, pages, rejected, blocked, complete) against the medians of its source's good runs."""
+    if run["blocked"]:
+        return "BLOCKED"
+    if not run["complete"]:
+        return "INCOMPLETE"
+    if run["records"] is None:
+        return "RECOVERING"
+    if not reference:
+        return "NO_DATA" if run["records"] == 0 else "RECOVERING"
+    if run["records"] == 0:
+        return "CRITICAL"
+    order = ["HEALTHY", "WARNING", "INCOMPLETE", "CRITICAL"]
+    worst = max(filter(None, (_drop(run["records"], reference), _drop(run["pages"], pages))), key=order.index)
+    return "WARNING" if worst == "HEALTHY" and run["rejected"] >= 0.3 * run["records"] else worst
+
+
 def completeness(runs: DataFrame) -> DataFrame:
-    """Verdict of each run against the median of the earlier runs that were accepted, for each source.
+    """id, source, baseline, page_baseline and verdict of each run (started_at, records, pages, rejected, blocked, complete).
 
-    A run that fell by 60 % or more is CRITICAL, by 30 % INCOMPLETE, by 10 % WARNING. Only healthy and warned runs of the
-    30 before enter the median, so the verdict of a run decides about later ones: an ordered fold over each source's
-    history, which is bounded by the run log's retention.
+    The baseline is the median of the source's good runs of the last 7 days, else of 30 days, for records and pages
+    apart; good are HEALTHY runs, and the first ones of a source, which have nothing to be compared with. A verdict so
+    decides about later ones: each source's history is walked in order, once, and is bounded by the run log's retention.
     """
 
-    def fold(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values(["started_at", "id"])
-        accepted: list[float] = []
-        verdicts, medians = [], []
-        for created in history["created"].tolist():
-            base = float(pd.Series(accepted[-30:]).median()) if len(accepted) >= 3 else None
-            drop = 0.0 if not base else max(0.0, 1 - created / base)
-            verdict = "NO_DATA" if base is None else "CRITICAL" if drop >= 0.6 else "INCOMPLETE" if drop >= 0.3 else "WARNING" if drop >= 0.1 else "HEALTHY"
-            if verdict in ("NO_DATA", "HEALTHY", "WARNING"):
-                accepted.append(created)
-            verdicts.append(verdict)
-            medians.append(base)
-        return pd.DataFrame({"id": history["id"], "source": history["source"], "baseline": medians, "verdict": verdicts})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seen = None, {}
+        for batch in batches:
+            names = batch.schema.names
+            out = []
+            for row in zip(*(batch.column(n).to_pylist() if n != "started_at" else batch.column(n).cast(pa.int64()).to_pylist() for n in names)):
+                run = dict(zip(names, row))
+                if run["source"] != now:
+                    now, seen = run["source"], {(k, d): _Recent(d) for k in ("records", "pages") for d in (7, 30)}
+                at = run["started_at"]
+                found = {k: seen[k].median(at) for k in seen}
+                base, pages = (found[k, 7] if found[k, 7] is not None else found[k, 30] for k in ("records", "pages"))
+                verdict = judge(run, base, pages)
+                if verdict in ("HEALTHY", "RECOVERING"):
+                    for k, days in seen:
+                        if run[k] is not None:
+                            seen[k, days].add(at, run[k])
+                out.append((run["id"], now, base, pages, verdict))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()])], ["id", "source", "baseline", "page_baseline", "verdict"])
+
+    rows = runs.select("id", "source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "records", "pages", "rejected", "blocked", "complete")
+    return rows.repartition("source").sortWithinPartitions("source", "started_at", "id").mapInArrow(walk, "id long, source string, baseline double, page_baseline double, verdict string")
+
+
+def protection(verdicts: DataFrame) -> DataFrame:
+    """source, status and protected, by the newest run that carries a verdict; RECOVERING runs settle nothing."""
+    told = verdicts.filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'")
+    last = told.groupBy("source").agg(F.max_by("verdict", F.struct("started_at", "id")).alias("status"))
+    return verdicts.select("source").distinct().join(last, "source", "left").select("source", "status", F.coalesce(F.col("status").isin(*PROTECTIVE), F.lit(False)).alias("protected"))
 
-    return runs.select("id", "source", "started_at", "created").groupBy("source").applyInPandas(fold, "id long, source string, baseline double, verdict string")
+
+def anomaly_streak(verdicts: DataFrame) -> DataFrame:
+    """source and the flagged runs since its last unflagged verdict; RECOVERING runs neither count nor end it."""
+    told = verdicts.filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'").withColumn("flagged", F.col("verdict").isin(*PROTECTIVE))
+    newest = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    open_ = told.withColumn("ended", F.sum(F.when(F.col("flagged"), 0).otherwise(1)).over(newest)).filter("ended = 0")
+    return open_.groupBy("source").agg(F.count(F.lit(1)).alias("streak"))
 
 
 def recovery(runs: DataFrame, cooldown_hours: int = 12, expiry_hours: int = 24, most: int = 3) -> DataFrame:
-    """State of each source's recovery attempts after failed runs: at most three, half a day apart, given up after a day."""
-
-    def fold(history: pd.DataFrame) -> pd.DataFrame:
-        history = history.sort_values(["started_at", "id"])
-        state, attempts, first, last = "DONE", 0, None, None
-        out = []
-        for at, status in zip(history["started_at"], history["status"]):
-            if status == "ok":
-                state, attempts, first, last = "DONE", 0, None, None
-            elif state == "DONE":
-                state, attempts, first, last = "QUEUED", 1, at, at
-            elif at - first > pd.Timedelta(hours=expiry_hours):
-                state = "EXPIRED"
-            elif attempts >= most:
-                state = "EXHAUSTED"
-            elif at - last >= pd.Timedelta(hours=cooldown_hours):
-                state, attempts, last = "FAILED_ATTEMPT", attempts + 1, at
-            out.append((state, attempts))
-        return pd.DataFrame({"id": history["id"], "source": history["source"], "state": [s for s, _ in out], "attempts": [a for _, a in out]})
-
-    return runs.select("id", "source", "started_at", "status").groupBy("source").applyInPandas(fold, "id long, source string, state string, attempts int")
+    """State of each source's recovery attempts after failed runs: at most three, half a day apart, given up after a day.
+
+    The state is folded over each source's runs in order, in one pass over sorted rows.
+    """
+    hour = 3_600_000_000
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, attempts, first, last = None, "DONE", 0, 0, 0
+        for batch in batches:
+            out = []
+            for i, source, at, status in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.int64()).to_pylist(), batch.column(3).to_pylist()):
+                if source != now:
+                    now, state, attempts = source, "DONE", 0
+                if status == "ok":
+                    state, attempts = "DONE", 0
+                elif state == "DONE":
+                    state, attempts, first, last = "QUEUED", 1, at, at
+                elif at - first > expiry_hours * hour:
+                    state = "EXPIRED"
+                elif attempts >= most:
+                    state = "EXHAUSTED"
+                elif at - last >= cooldown_hours * hour:
+                    state, attempts, last = "FAILED_ATTEMPT", attempts + 1, at
+                out.append((i, source, state, attempts))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string(), pa.string(), pa.int32()])], ["id", "source", "state", "attempts"])
+
+    rows = runs.select("id", "source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "status")
+    return rows.repartition("source").sortWithinPartitions("source", "started_at", "id").mapInArrow(walk, "id long, source string, state string, attempts int")
 
 
 def last_seen_sweep(sightings: DataFrame, passes: DataFrame) -> DataFrame:
@@ -89,12 +198,16 @@ def last_seen_sweep(sightings: DataFrame, passes: DataFrame) -> DataFrame:
 
     A source that misses more than a fifth of its twenty or more items is left alone: it is the source that failed.
     """
-    last = sightings.groupBy("source", "item").agg(F.max("seen_at").alias("seen_at"))
-    missed = last.join(passes.filter("complete").select("source", "pass_at"), "source", "left").groupBy("source", "item", "seen_at").agg(F.count_if(F.col("pass_at") > F.col("seen_at")).alias("missed"))
+    last = sightings.groupBy("source", "item").agg(F.max("seen_at").alias("at"))
+    # passes and last sightings in one order of time: the passes after a sighting are those of the source less those up to it
+    both = passes.filter("complete").select("source", F.lit(None).cast(last.schema["item"].dataType).alias("item"), F.col("pass_at").alias("at"), F.lit(1).alias("pass"))
+    both = both.unionByName(last.select("source", "item", "at", F.lit(0).alias("pass")))
+    so_far = F.sum("pass").over(Window.partitionBy("source").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("pass").over(Window.partitionBy("source"))
+    missed = both.select("source", "item", "pass", (whole - so_far).alias("missed")).filter("pass = 0").drop("pass")
     share = missed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("missed") > 0, 1.0).otherwise(0.0)).alias("share"))
-    out = missed.join(F.broadcast(share), "source")
     held = (F.col("n") >= 20) & (F.col("share") > 0.2)
-    return out.select("source", "item", "missed", (~held & (F.col("missed") >= 2)).alias("flagged"))
+    return missed.join(share, "source").select("source", "item", "missed", (~held & (F.col("missed") >= 2)).alias("flagged"))
 
 
 def coverage_flags(auctions: DataFrame, properties: DataFrame, over) -> DataFrame:
@@ -104,3 +217,49 @@ def coverage_flags(auctions: DataFrame, properties: DataFrame, over) -> DataFram
     current = (F.col("property_status") == "PUBLISHED") & (open_ | (F.col("status") == "POSTPONED"))
     actionable = current & (F.col("reserve_price") > 0) & F.col("auction_start").isNotNull() & (F.col("address_text").isNotNull() | F.col("geo_city").isNotNull())
     return rows.select("id", "bank_id", current.alias("current"), F.coalesce(actionable, F.lit(False)).alias("actionable"))
+
+
+def acceptance(verdict: Column, records: Column) -> Column:
+    """May a run's size become the new baseline: only a flagged run with a trustworthy count that is not empty."""
+    return (
+        F.when(records.isNull(), "no count")
+        .when(verdict.isin("HEALTHY", "RECOVERING"), "nothing to accept")
+        .when(verdict == "BLOCKED", "not trustworthy")
+        .when(records == 0, "empty")
+        .otherwise("accepted")
+    )
+
+
+HEADER = "[DATA_ENGINE_V1] "
+
+
+def header(message: Column) -> Column:
+    """The JSON of a message's first line, null without one."""
+    return F.nullif(F.regexp_extract(message, r"^\[DATA_ENGINE_V1\] (\{[^\n]*\})\n", 1), F.lit(""))
+
+
+def with_header(full: Column, short: Column, text: Column, most: int = 2000) -> Column:
+    """A message with its metrics before it: in full, or where that is too long the short ones and as much text as fits."""
+    whole = F.concat(F.lit(HEADER), full, F.lit("\n"), text)
+    return F.when(F.length(whole) <= most, whole).otherwise(F.substring(F.concat(F.lit(HEADER), short, F.lit("\n"), text), 1, most))
+
+
+def time_shares(sources: Column, importing, limits: dict[bool, tuple[int, int, int]], seconds: int) -> Column:
+    """array of struct(source, seconds) for an array of sources in turn: a weighted share of the time left, between a least and a most.
+
+    limits: least, most and weight of importing and of other sources. A source for which less than its least is left
+    gets null.
+    """
+    pick = lambda s, k: F.when(importing(s), limits[True][k]).otherwise(limits[False][k]).cast("long")
+    empty = F.array().cast("array<struct<source:string,seconds:bigint>>")
+    start = F.struct(F.lit(seconds).cast("long").alias("left"), F.aggregate(sources, F.lit(0).cast("long"), lambda a, s: a + pick(s, 2)).alias("weights"), empty.alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        share = F.floor(acc["left"] * pick(s, 2) / acc["weights"]).cast("long")
+        given = F.when(acc["left"] >= pick(s, 0), F.least(acc["left"], F.greatest(pick(s, 0), F.least(pick(s, 1), share))))
+        return F.struct(
+            (acc["left"] - F.coalesce(given, F.lit(0).cast("long"))).alias("left"), (acc["weights"] - pick(s, 2)).alias("weights"),
+            F.concat(acc["out"], F.array(F.struct(s.alias("source"), given.alias("seconds")))).alias("out"),
+        )
+
+    return F.aggregate(sources, start, step, lambda acc: acc["out"])

@@ -40,22 +40,6 @@ def jn09(v: Views):
     return rows.join(known, "k", "left_anti").groupBy("k").agg(F.min("o_orderkey").alias("first"))
 
 
-@query("jn10_block_pairs", f"{_P} {_PAIRS} WHERE {_JAC} >= 0.3")
-def jn10(v: Views):
-    return E.pairs_in_blocks(parts(v), ["p_brand", "p_size"], "p_partkey", "t").filter("likeness >= 0.3")
-
-
-@query("jn11_first_match", f"{_P} SELECT a AS incoming, known FROM (SELECT a.p_partkey AS a, b.p_partkey AS known, row_number() OVER (PARTITION BY a.p_partkey ORDER BY CASE WHEN a.p_partkey % 97 = b.p_partkey % 97 THEN 0 ELSE 1 END, b.p_partkey) AS n FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0 WHERE a.p_partkey % 97 = b.p_partkey % 97 OR {_JAC} >= 0.8) WHERE n = 1")
-def jn11(v: Views):
-    """Of the known rows of the same block that match, the one with the same id, else the first."""
-    p = parts(v)
-    a = p.filter("p_partkey % 2 = 1").select("p_brand", F.col("p_partkey").alias("incoming"), F.col("t").alias("ta"))
-    b = p.filter("p_partkey % 2 = 0").select("p_brand", F.col("p_partkey").alias("known"), F.col("t").alias("tb"))
-    same = F.col("incoming") % 97 == F.col("known") % 97
-    hits = a.join(b, "p_brand").filter(same | (T.jaccard(F.col("ta"), F.col("tb")) >= 0.8))
-    return S.latest(hits, ["incoming"], F.when(same, 0).otherwise(1).asc(), F.col("known").asc()).select("incoming", "known")
-
-
 @query("jn12_same_price", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON floor(a.o_totalprice) = floor(b.o_totalprice) AND a.o_orderkey < b.o_orderkey AND a.o_custkey <> b.o_custkey")
 def jn12(v: Views):
     rows = v.orders.select(F.floor("o_totalprice").alias("price"), "o_orderkey", "o_custkey")
@@ -73,75 +57,17 @@ def jn14(v: Views):
     return a.join(b, "n_regionkey").filter((F.col("a") < F.col("b")) & (km < 65)).select("a", "b")
 
 
-@query("sj01_jaccard", f"{_P} {_PAIRS}")
-def sj01(v: Views):
-    return E.pairs_in_blocks(parts(v), ["p_brand", "p_size"], "p_partkey", "t")
-
-
 @query("sj02_digit_tokens", "SELECT s_suppkey, list_filter(string_split(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: regexp_matches(x, '[0-9]')) AS t FROM supplier")
 def sj02(v: Views):
     return v.supplier.select("s_suppkey", T.with_digit(T.tokens(F.col("s_name"), [])).alias("t"))
 
 
-@query("ag22_duplicate_groups", f"{_P}, q AS ({_PAIRS}) SELECT p_brand, p_size, avg(likeness) AS likeness, (SELECT list_sort(list(p_partkey)) FROM p WHERE p.p_brand = q.p_brand AND p.p_size = q.p_size) AS members FROM q GROUP BY p_brand, p_size")
-def ag22(v: Views):
-    return E.duplicate_groups(parts(v), ["p_brand", "p_size"], "p_partkey", "t")
-
-
-_ADDRESSES = [
-    ("Plot 12 Sector 5 Vashi Navi Mumbai 400703", "plot no 12, sector 5, vashi, navi mumbai - 400703", "match"),
-    ("Plot 12 Sector 5 Vashi Navi Mumbai 400703", "Plot 12 Sector 5 Vashi Navi Mumbai 400705", "conflict"),
-    ("Plot 12 Sector 5 Vashi Navi Mumbai", "Plot 13 Sector 5 Vashi Navi Mumbai", "conflict"),
-    ("Mumbai", "Mumbai", "unknown"),
-    ("Shop 4 Main Bazaar Hadapsar Pune", "Survey 4 Green Hills Lonavala Khandala", "different"),
-]
-
-
-def _pairs(v: Views):
-    return v.spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_ADDRESSES)], "i int, a string, b string")
-
-
-@query("er01_address_relation", "SELECT i, r FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, (_, _, r) in enumerate(_ADDRESSES)) + ") t(i, r)")
-def er01(v: Views):
-    return _pairs(v).select("i", E.address_relation(F.col("a"), F.col("b")).alias("r"))
-
-
-_RULES = ["same_source_id", None, "same_address", "distinctive_title", None]
-
-
-@query("er02_decide_same", "SELECT i, r IS NOT NULL AS match, r AS rule FROM (VALUES " + ", ".join(f"({i}, {'NULL' if r is None else repr(r)})" for i, r in enumerate(_RULES)) + ") t(i, r)")
-def er02(v: Views):
-    a, b = _ADDRESSES[0][0], _ADDRESSES[0][1]
-    rows = [
-        (0, "x", None, "src:h:1", "y", None, "src:h:1"),
-        (1, "Flat 12 Green Park Tower B", a, None, "Flat 12 Green Park Tower B", _ADDRESSES[1][1], None),
-        (2, "x", a, None, "y", b, None),
-        (3, "Shop 12 Green Park Tower B", None, "7", "Shop 12 Green Park Tower B", None, "7"),
-        (4, "House", None, "7", "House", None, "7"),
-    ]
-    df = v.spark.createDataFrame(rows, "i int, t1 string, a1 string, e1 string, t2 string, a2 string, e2 string")
-    d = E.decide_same(*[F.col(c) for c in ("t1", "a1", "e1", "t2", "a2", "e2")])
-    return df.select("i", d.alias("d")).select("i", "d.match", "d.rule")
-
-
-@query("er03_exact_title", "SELECT i, ok FROM (VALUES (0, true), (1, false), (2, false), (3, true), (4, false)) t(i, ok)")
-def er03(v: Views):
-    title = F.when(F.col("i") == 2, "Shops").otherwise("Row House Unit Seven")
-    return _pairs(v).select("i", E.exact_title_merge_allowed(title, F.col("a"), title, F.col("b")).alias("ok"))
-
-
 @query("er04_clean_pass", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keeper FROM part")
 def er04(v: Views):
     """Equal titles in one block: all point to the first."""
     return v.part.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand")).alias("keeper"))
 
 
-@query("er05_greedy", f"{_P} SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_brand, list_sort(t)) AS kept_id FROM p")
-def er05(v: Views):
-    rows = v.part.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), T.tokens(F.col("p_name"), []).alias("tokens"))
-    return E.greedy_survivors(rows, ["p_brand"])
-
-
 @query("er06_title_groups", "SELECT p_name, min(p_partkey) AS keeper, count(*) - 1 AS hidden FROM part GROUP BY p_name HAVING count(*) > 1")
 def er06(v: Views):
     return v.part.groupBy("p_name").agg(F.min("p_partkey").alias("keeper"), (F.count(F.lit(1)) - 1).alias("hidden")).filter("hidden > 0")
@@ -180,3 +106,108 @@ def er16(v: Views):
 @query("sc11_institution", "SELECT i, k FROM (VALUES (0, 'x arc'), (1, 'saraswat cooperative bank'), (2, 'y finance')) t(i, k)")
 def sc11(v: Views):
     return values(v, "c", ["X Asset Reconstruction Company Limited", "The Saraswat Co-operative Bank Ltd.", "Y Finance (Pvt)"]).select("i", M.institution_key(F.col("c")).alias("k"))
+
+
+# -- pairs of listings -------------------------------------------------------------------------------------------
+
+_WORDS = "list_sort(list_distinct(list_filter(string_split(p_name, ' ') || ['s' || p_size % 4], lambda x: x <> '')))"
+_SETS = f"p AS (SELECT *, {_WORDS} AS t FROM part), s AS (SELECT p_brand, t, count(*) AS n, min(p_partkey) AS first FROM p GROUP BY ALL)"
+_LIKE = "len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))"
+
+
+def named(v: Views):
+    """Parts with the words of their names and one of their size, so that sets are equal, alike or not."""
+    words = T.tokens(F.concat_ws(" ", "p_name", F.concat(F.lit("s"), (F.col("p_size") % 4).cast("string"))), [])
+    return v.part.select("p_partkey", "p_brand", words.alias("t"))
+
+
+@query("jn10_block_pairs", f"""WITH {_SETS} SELECT x.p_brand, x.first AS a, y.first AS b, {_LIKE} AS likeness, (x.n * y.n)::BIGINT AS pairs FROM s x JOIN s y ON x.p_brand = y.p_brand AND x.first < y.first WHERE {_LIKE} >= 0.5
+UNION ALL SELECT p_brand, first, first, 1.0, (n * (n - 1) // 2)::BIGINT FROM s WHERE n > 1""")
+def jn10(v: Views):
+    return E.pairs_in_blocks(named(v), ["p_brand"], "p_partkey", "t", 0.5)
+
+
+@query("sj01_jaccard", "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS b FROM part) SELECT p_partkey, len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) AS likeness, len(a) = len(b) AS same FROM p")
+def sj01(v: Views):
+    a, b = T.tokens(F.col("p_name"), []), T.tokens(F.concat_ws(" ", "p_name", "p_type"), [])
+    return v.part.select("p_partkey", T.jaccard(a, b).alias("likeness"), T.same_set(a, b).alias("same"))
+
+
+@query("jn11_first_match", f"""WITH p AS (SELECT *, {_WORDS} AS t FROM part), k AS (SELECT p_brand, t, min(p_partkey) AS known FROM p WHERE p_partkey % 2 = 0 GROUP BY ALL),
+i AS (SELECT DISTINCT p_brand, t FROM p WHERE p_partkey % 2 = 1),
+m AS (SELECT x.p_brand, x.t, min(y.known) AS known FROM i x JOIN k y ON x.p_brand = y.p_brand WHERE {_LIKE} >= 0.8 GROUP BY ALL)
+SELECT p.p_partkey AS incoming, coalesce(o.p_partkey, m.known) AS known FROM p LEFT JOIN part o ON p.p_partkey % 6 = 1 AND o.p_partkey = p.p_partkey - 1 AND o.p_brand = p.p_brand LEFT JOIN m ON m.p_brand = p.p_brand AND m.t = p.t WHERE p.p_partkey % 2 = 1 AND coalesce(o.p_partkey, m.known) IS NOT NULL""")
+def jn11(v: Views):
+    """The known listing of the same bank that has the incoming one's own id, else the first that is alike; by distinct token sets."""
+    p = named(v).withColumn("words", F.array_sort("t"))
+    known, incoming = p.filter("p_partkey % 2 = 0"), p.filter("p_partkey % 2 = 1")
+    sets = E.token_sets(p.withColumn("place", F.col("p_partkey") % 2 * (1 << 40) + F.col("p_partkey")), ["p_brand"], "place", "t")
+    first_known = known.groupBy("p_brand", "words").agg(F.min("p_partkey").alias("known"))
+    near = E.alike_sets(sets, ["p_brand"], 0.8)
+    both = near.select("p_brand", "a", "b").unionByName(near.select("p_brand", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(sets.select("p_brand", F.col("first").alias("a"), F.col("first").alias("b")))
+    of = sets.select("p_brand", "first", "words")
+    found = both.join(of.withColumnsRenamed({"first": "b", "words": "known_words"}), ["p_brand", "b"]).join(first_known.withColumnRenamed("words", "known_words"), ["p_brand", "known_words"])
+    found = found.groupBy("p_brand", F.col("a").alias("first")).agg(F.min("known").alias("known")).join(of, ["p_brand", "first"]).select("p_brand", "words", "known")
+    own = known.select("p_brand", F.col("p_partkey").alias("own"))
+    out = incoming.withColumn("own", F.when(F.col("p_partkey") % 6 == 1, F.col("p_partkey") - 1)).join(own.withColumn("hit", F.col("own")), ["p_brand", "own"], "left")
+    return out.join(found, ["p_brand", "words"], "left").select(F.col("p_partkey").alias("incoming"), F.coalesce("hit", "known").alias("known")).filter("known IS NOT NULL")
+
+
+@query("ag22_duplicate_groups", f"""WITH p AS (SELECT *, {_WORDS} AS t FROM part) SELECT p_brand, p_size, n, oldest, likeness FROM (SELECT x.p_brand, x.p_size, avg({_LIKE}) AS likeness FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey GROUP BY ALL) JOIN (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS oldest FROM p GROUP BY ALL) USING (p_brand, p_size)""")
+def ag22(v: Views):
+    rows = named(v).join(v.part.select("p_partkey", "p_size"), "p_partkey")
+    return E.duplicate_groups(rows, ["p_brand", "p_size"], "p_partkey", "t")
+
+
+@query("er05_greedy")
+def er05(v: Views):
+    rows = named(v).join(v.part.select("p_partkey", "p_size"), "p_partkey").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_partkey").alias("place"), F.col("t").alias("tokens"))
+    return E.greedy_survivors(rows, ["p_brand"], least=0.6)
+
+
+#: Addresses and titles of pairs of listings; each pair of orders' keys has one of each side.
+SIDES = ["Plot 12 Sector 5 Vashi Navi Mumbai 400703", "plot no 12, sector 5, vashi, navi mumbai - 400703", "Plot 12 Sector 5 Vashi Navi Mumbai 400705", "Plot 13 Sector 5 Vashi Navi Mumbai", "Mumbai", "Shop 4 Main Bazaar Hadapsar Pune", "Survey 4 Green Hills Lonavala Khandala", "Green Hills Main Bazaar Lonavala Khandala Pune Road East", None]
+TITLES = ["Flat 12 Green Park Tower B", "Green Park Tower B Flat 12 for sale", "House", "Row House Unit Seven", "Shop 13 Green Park Tower B"]
+
+
+def _side(texts: list, by: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN " + ("NULL" if x is None else f"'{x}'") for i, x in enumerate(texts))
+    return f"CASE {by} % {len(texts)} {cases} END"
+
+
+_A, _B = _side(SIDES, "o_orderkey"), _side(SIDES, "CAST(floor(o_orderkey / 9) AS BIGINT)")
+_TA, _TB = _side(TITLES, "CAST(floor(o_orderkey / 81) AS BIGINT)"), _side(TITLES, "CAST(floor(o_orderkey / 405) AS BIGINT)")
+_IDA, _IDB = "CASE o_orderkey % 4 WHEN 0 THEN 'src:h:1' WHEN 1 THEN '7' END", "CASE CAST(floor(o_orderkey / 3) AS BIGINT) % 3 WHEN 0 THEN 'src:h:1' WHEN 1 THEN '7' ELSE 'src:h:2' END"
+_PIN_SQL = r"nullif(regexp_extract({0}, '(?:^|[^0-9])([1-9][0-9]{{5}})(?:[^0-9]|$)', 1), '')"
+
+
+def _sql_tokens(c: str, stop: list[str]) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains({stop}, w)))"
+
+
+_FACTS = f"""WITH o AS (SELECT o_orderkey, {_A} AS a, {_B} AS b, {_TA} AS ta, {_TB} AS tb, {_IDA} AS ia, {_IDB} AS ib FROM orders),
+f AS (SELECT *, {_PIN_SQL.format('a')} AS pa, {_PIN_SQL.format('b')} AS pb, {_sql_tokens("regexp_replace(a, '[1-9][0-9]{5}', ' ')", E.ADDRESS_STOP)} AS wa, {_sql_tokens("regexp_replace(b, '[1-9][0-9]{5}', ' ')", E.ADDRESS_STOP)} AS wb, {_sql_tokens('ta', E.TITLE_STOP)} AS na, {_sql_tokens('tb', E.TITLE_STOP)} AS nb FROM o),
+g AS (SELECT *, list_sort(list_filter(wa, lambda w: regexp_matches(w, '[0-9]'))) AS da, list_sort(list_filter(wb, lambda w: regexp_matches(w, '[0-9]'))) AS db, CASE WHEN len(wa) * len(wb) = 0 THEN 0 ELSE len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb))) END AS j,
+  list_sort(list_filter(na, lambda w: regexp_matches(w, '[0-9]'))) AS ea, list_sort(list_filter(nb, lambda w: regexp_matches(w, '[0-9]'))) AS eb, CASE WHEN len(na) * len(nb) = 0 THEN 0 ELSE len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb))) END AS k FROM f),
+r AS (SELECT *, CASE WHEN pa IS NOT NULL AND pb IS NOT NULL AND pa <> pb THEN 'conflict' WHEN NOT (len(wa) >= 4 AND (len(da) > 0 OR len(wa) >= 6) AND len(wb) >= 4 AND (len(db) > 0 OR len(wb) >= 6)) THEN 'unknown' WHEN len(da) > 0 AND len(db) > 0 AND da <> db THEN 'conflict' WHEN j >= 0.8 AND da = db THEN 'match' WHEN j < 0.3 THEN 'different' ELSE 'unknown' END AS relation FROM g)"""
+
+
+def _facts(v: Views):
+    rows = v.orders.selectExpr("o_orderkey", f"{_A} AS a", f"{_B} AS b", f"{_TA} AS ta", f"{_TB} AS tb", f"{_IDA} AS ia", f"{_IDB} AS ib")
+    return rows.select("o_orderkey", "ia", "ib", E.facts(F.col("ta"), F.col("a")).alias("a"), E.facts(F.col("tb"), F.col("b")).alias("b"))
+
+
+@query("er01_address_relation", f"{_FACTS} SELECT o_orderkey, relation FROM r")
+def er01(v: Views):
+    return _facts(v).select("o_orderkey", E.address_relation(F.col("a"), F.col("b")).alias("relation"))
+
+
+@query("er02_decide_same", f"""{_FACTS}, d AS (SELECT o_orderkey, CASE WHEN ia = ib AND ia LIKE 'src:%' THEN 'same_source_id' WHEN relation = 'conflict' THEN NULL WHEN relation = 'match' THEN 'same_address'
+  WHEN relation <> 'different' AND len(na) >= 4 AND len(nb) >= 4 AND len(ea) > 0 AND len(eb) > 0 AND ea = eb AND k >= 0.8 THEN 'distinctive_title' END AS rule FROM r) SELECT o_orderkey, rule IS NOT NULL AS match, rule FROM d""")
+def er02(v: Views):
+    return _facts(v).select("o_orderkey", E.decide_same(F.col("a"), F.col("ia"), F.col("b"), F.col("ib")).alias("d")).select("o_orderkey", "d.*")
+
+
+@query("er03_exact_title", f"{_FACTS} SELECT o_orderkey, len(na) >= 3 AND len(nb) >= 3 AND relation NOT IN ('conflict', 'different') AS allowed FROM r")
+def er03(v: Views):
+    return _facts(v).select("o_orderkey", E.exact_title_merge_allowed(F.col("a"), F.col("b")).alias("allowed"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import rollups as R
+from ..operators.staging import shared_dir
 from ..sources import readers as S
+from ..sources.paged import PagedJson
 from .proxies import Views
 from .registry import query
 from .scalars import sql_values, values
@@ -17,18 +21,6 @@ def rows_():
     return F.count(F.lit(1))
 
 
-@query("src02_csv_cells", "SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier")
-def src02(v: Views):
-    line = F.concat_ws(",", F.col("s_suppkey").cast("string"), F.concat(F.lit('"'), F.replace(F.col("s_name"), F.lit('"'), F.lit('""')), F.lit('"')))
-    cells = F.from_csv(line, "id string, name string", {"quote": '"', "escape": '"'})
-    return v.supplier.select(cells.alias("c")).select("c.*")
-
-
-@query("src03_import_table", "SELECT count(*) AS n FROM (SELECT * FROM orders LIMIT 500)")
-def src03(v: Views):
-    return S.import_table(v.orders.select(F.col("o_orderkey").alias("title"))).agg(rows_().alias("n"))
-
-
 _EXPORTS = ['[{"a":1},{"a":2}]', '{"total":5,"items":[{"a":3}]}', '{"count":1,"records":[]}', "no json"]
 
 
@@ -133,16 +125,6 @@ def snk07(v: Views):
     return v.property.select("id", F.to_json(F.struct("id", "title", "status")).alias("body"))
 
 
-_ROBOTS = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow: /*.pdf$\n\nUser-agent: other\nDisallow: /"
-
-
-@query("fl25_robots", "SELECT url_path, allowed FROM (VALUES ('/', true), ('/private/x', false), ('/private/open/y', true), ('/a.pdf', false), ('/a.pdfx', true)) t(url_path, allowed)")
-def fl25(v: Views):
-    rules = values(v, "c", [_ROBOTS]).select(F.explode(S.robots_rules(F.col("c"))).alias("r")).select("r.*")
-    paths = v.spark.createDataFrame([(p,) for p in ("/", "/private/x", "/private/open/y", "/a.pdf", "/a.pdfx")], "url_path string")
-    return S.robots_decision(paths, rules, "bot")
-
-
 @query("er08_import_outcomes", """WITH s AS (SELECT o_custkey AS key, min(o_orderkey) AS id, max(o_orderdate) AS start FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
 i AS (SELECT o_orderkey AS row, o_custkey AS key, o_orderdate + interval 400 day AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice > 20000),
 j AS (SELECT o_orderkey AS row, NULL AS key, o_orderdate AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 1000 = 1),
@@ -269,3 +251,49 @@ def tx18(v: Views):
     score = F.col("n_chars") % 100
     rows = v.documents.filter(score >= 30).withColumn("tier", F.when(score >= 51, 1).otherwise(0))
     return rows.groupBy("lang").agg(F.max_by("doc_id", F.struct("tier", "n_chars", "doc_id")).alias("best"))
+
+
+def scratch(v: Views, name: str) -> str:
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("src02_csv_cells", """SELECT s_suppkey::VARCHAR AS id, s_name || ', "' || s_suppkey || '"' || chr(10) || 'end' AS name FROM supplier""")
+def src02(v: Views):
+    """Written as CSV with quotes, commas and line breaks in its cells and a blank row, and read back."""
+    name = F.concat("s_name", F.lit(', "'), F.col("s_suppkey").cast("string"), F.lit('"\nend'))
+    rows = v.supplier.select(F.col("s_suppkey").cast("string").alias(" ID "), name.alias("Name")).unionByName(v.spark.createDataFrame([(None, "  ")], "` ID ` string, Name string"))
+    path = scratch(v, "csv")
+    rows.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    return S.read_csv(v.spark, path)
+
+
+@query("src03_import_table", "SELECT o_orderkey AS title, o_orderstatus AS status FROM orders ORDER BY o_orderkey LIMIT 500")
+def src03(v: Views):
+    return S.import_table(v.orders.select(F.col("o_orderkey").alias(" Title "), F.col("o_orderstatus").alias("STATUS")), "title")
+
+
+_PER_PAGE = 10
+
+
+@query("src06_paged_json", f"""SELECT CASE WHEN p = 3 THEN 'invalid' WHEN p = 4 THEN 'denied' WHEN p = 5 THEN 'temporary' ELSE 'ok' END AS outcome, CASE WHEN p NOT IN (3, 4, 5) THEN s_suppkey END AS k, CASE WHEN p NOT IN (3, 4, 5) THEN (p + 1)::VARCHAR END AS next
+FROM (SELECT *, CAST(floor(s_suppkey / {_PER_PAGE}) AS BIGINT) AS p FROM supplier) WHERE p NOT IN (3, 4, 5) OR s_suppkey % {_PER_PAGE} = 0""")
+def src06(v: Views):
+    """Pages of suppliers as files, some of them broken, refused or not ready."""
+    page = F.floor(F.col("s_suppkey") / _PER_PAGE)
+    bad = F.when(F.col("p") == 3, "<html>").when(F.col("p") == 4, '{"error":"no","code":403}').when(F.col("p") == 5, '{"error":"wait"}')
+    pages = v.supplier.withColumn("p", page).groupBy("p").agg(F.collect_list(F.struct("s_suppkey", "s_name")).alias("items"))
+    pages = pages.select(F.coalesce(bad, F.to_json(F.struct("items", (F.col("p") + 1).alias("next")))).alias("body"))
+    path = scratch(v, "pages")
+    pages.write.option("maxRecordsPerFile", 1).text(path)  # one file a page
+    v.spark.dataSource.register(PagedJson)
+    found = v.spark.read.format("paged_json").option("path", path).load()
+    return found.select("outcome", F.get_json_object("record", "$.s_suppkey").cast("long").alias("k"), "next")
+
+
+_ROBOTS = "User-agent: *\nDisallow: /es\nAllow: /es/1\nDisallow: /*7$\n\nUser-agent: other\nUser-agent: bad\nDisallow: /"
+
+
+@query("fl25_robots", r"""SELECT DISTINCT p AS url_path, CASE WHEN starts_with(p, '/es/1') THEN true WHEN ends_with(p, '7') THEN false WHEN starts_with(p, '/es') THEN false ELSE true END AS allowed FROM (SELECT regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^$', '/') AS p FROM pages)""")
+def fl25(v: Views):
+    path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
+    return S.robots_decision(v.pages.select(path.alias("url_path")).distinct(), _ROBOTS, "bot")

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: The modules that register queries.
-MODULES = ("search", "counts", "scalars", "runlog", "entities", "ingesting", "listings", "site")
+MODULES = ("search", "counts", "scalars", "runlog", "entities", "ingesting", "listings", "pages", "site")
 
 
 def query(name: str, oracle: str | None = None):

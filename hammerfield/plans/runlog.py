@@ -54,14 +54,6 @@ def ag21(v: Views):
     return Q.baselines(v.run_log, at_())
 
 
-@query("wn02_trend", """SELECT scope, date, value, value - lag(value) OVER w AS change, greatest(0, date_diff('day', lag(date) OVER w, date) - 1)::INT AS gap_days FROM (
-  SELECT source AS scope, CAST(started_at + interval 330 minute AS DATE) AS date, arg_max(created, (started_at, id)) AS value FROM run_log WHERE id % 9 = 0 GROUP BY ALL) WINDOW w AS (PARTITION BY scope ORDER BY date)""")
-def wn02(v: Views):
-    rows = v.run_log.filter("id % 9 = 0").select(F.col("source").alias("scope"), L.ist_date(F.col("started_at")).alias("date"), F.struct("started_at", "id").alias("at"), F.col("created").alias("value"))
-    out = R.trend(rows)
-    return out.withColumn("gap_days", F.when(F.lag("date").over(Window.partitionBy("scope").orderBy("date")).isNotNull(), F.col("gap_days")).otherwise(F.lit(0)))
-
-
 @query("wn03_tick_gaps", "SELECT source, count(*) AS n, max(started_at) AS last, max(gap)::BIGINT AS longest, count(*) FILTER (WHERE gap > 20) AS long_gaps FROM (SELECT *, floor((floor(epoch(started_at)) - floor(epoch(lag(started_at) OVER (PARTITION BY source ORDER BY started_at, id)))) / 60 + 0.5) AS gap FROM run_log) GROUP BY source")
 def wn03(v: Views):
     return Q.tick_gaps(v.run_log)
@@ -72,32 +64,6 @@ def wn04(v: Views):
     return R.changes_only(v.run_log, ["source"], ["started_at", "id"], F.col("created") % 3).select("id")
 
 
-_STREAK = "sum(CASE WHEN {c} THEN 1 ELSE 0 END) OVER (PARTITION BY source, {i} ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)"
-
-
-@query("wn05_streaks", """WITH r AS (SELECT *, sum(CASE WHEN created = 0 THEN 0 ELSE 1 END) OVER w AS i1, sum(CASE WHEN created < 5 AND status = 'error' THEN 0 ELSE 1 END) OVER w AS i2 FROM run_log WINDOW w AS (PARTITION BY source ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)),
-s AS (SELECT id, source, (""" + _STREAK.format(c="created = 0", i="i1") + ")::BIGINT AS zero_streak, (" + _STREAK.format(c="created < 5 AND status = 'error'", i="i2") + """)::BIGINT AS reject_streak FROM r)
-SELECT *, CASE WHEN reject_streak >= 3 THEN 'ALL_REJECTED' WHEN zero_streak >= 3 THEN 'ZERO_YIELD' WHEN zero_streak >= 1 THEN 'EMPTY' ELSE 'PRODUCTIVE' END AS verdict FROM s""")
-def wn05(v: Views):
-    return Q.yield_states(v.run_log)
-
-
-@query("wn06_latest_evaluated", "SELECT source, arg_max(id, (started_at, id)) AS id FROM run_log WHERE kind <> 'error' GROUP BY source")
-def wn06(v: Views):
-    return v.run_log.filter("kind <> 'error'").groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
-
-
-@query("wn07_anomaly_streak", "SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM run_log) WHERE ok = 0 GROUP BY source")
-def wn07(v: Views):
-    w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    return v.run_log.withColumn("ok", F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).over(w)).filter("ok = 0").groupBy("source").agg(rows_().alias("streak"))
-
-
-@query("snk04_retention", "SELECT source, count(*) AS kept FROM run_log WHERE started_at >= timestamp '2024-01-30' - interval 14 day GROUP BY source")
-def snk04(v: Views):
-    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz") - F.expr("INTERVAL 14 DAYS")).groupBy("source").agg(rows_().alias("kept"))
-
-
 @query("sd11_scheduler_health", "SELECT source, CASE WHEN max(started_at) < timestamp '2024-01-30 23:00:00' - interval 60 minute THEN 'late' ELSE 'ok' END AS health FROM run_log GROUP BY source")
 def sd11(v: Views):
     last = F.max("started_at")
@@ -112,66 +78,11 @@ def st08(v: Views):
     return last.select("source", F.row_number().over(Window.orderBy(starved, "last", "source")).cast("long").alias("place"))
 
 
-@query("st09_time_shares")
-def st09(v: Views):
-    """Shares of a tick for each source in turn: its weight of what is left, between a least and a most; less is put off."""
-    left, rows = 262.0, []
-    weights = [("a", 3.0), ("b", 1.0), ("c", 1.0), ("d", 5.0)]
-    for i, (name, weight) in enumerate(weights):
-        share = min(90.0, left * weight / sum(w for _, w in weights[i:]))
-        rows.append((name, share if share >= 20 else None))
-        left -= share if share >= 20 else 0
-    return v.spark.createDataFrame(rows, "source string, seconds double")
-
-
-@query("st22_lease", "SELECT source, arg_min(id, (started_at, id)) AS winner FROM run_log WHERE started_at >= timestamp '2024-01-30' GROUP BY source")
-def st22(v: Views):
-    return v.run_log.filter(F.col("started_at") >= F.lit("2024-01-30").cast("timestamp_ntz")).groupBy("source").agg(F.min_by("id", F.struct("started_at", "id")).alias("winner"))
-
-
 @query("st23_dedup_state", "SELECT source, message, min(id) AS id FROM run_log GROUP BY source, message")
 def st23(v: Views):
     return S.latest(v.run_log, ["source", "message"], F.col("id").asc()).select("source", "message", "id")
 
 
-@query("st24_yield_machine", "SELECT source, count(*) FILTER (WHERE created = 0) AS zeros, count(*) AS runs FROM run_log GROUP BY source")
-def st24(v: Views):
-    states = Q.yield_states(v.run_log)
-    return states.groupBy("source").agg(F.count_if(F.col("zero_streak") > 0).alias("zeros"), rows_().alias("runs"))
-
-
-@query("st25_last_seen", """WITH l AS (SELECT source, kind AS item, max(started_at) AS seen FROM run_log WHERE id % 17 = 0 GROUP BY ALL), p AS (SELECT source, started_at AS pass_at FROM run_log WHERE id % 101 = 0),
-m AS (SELECT l.source, item, count(p.pass_at) FILTER (WHERE pass_at > seen) AS missed FROM l LEFT JOIN p USING (source) GROUP BY l.source, item, seen),
-h AS (SELECT source, count(*) AS n, avg(CASE WHEN missed > 0 THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY source)
-SELECT m.source, item, missed, NOT (n >= 20 AND share > 0.2) AND missed >= 2 AS flagged FROM m JOIN h USING (source)""")
-def st25(v: Views):
-    seen = v.run_log.filter("id % 17 = 0").select("source", F.col("kind").alias("item"), F.col("started_at").alias("seen_at"))
-    passes = v.run_log.filter("id % 101 = 0").select("source", F.col("started_at").alias("pass_at"), F.lit(True).alias("complete"))
-    return Q.last_seen_sweep(seen, passes)
-
-
-@query("st26_recovery")
-def st26(v: Views):
-    return Q.recovery(v.run_log)
-
-
-@query("st27_completeness")
-def st27(v: Views):
-    return Q.completeness(v.run_log)
-
-
-@query("st28_protection", "SELECT source, arg_max(CASE WHEN status = 'error' THEN 'protected' ELSE 'open' END, (started_at, id)) AS gate FROM run_log WHERE kind <> 'view' GROUP BY source")
-def st28(v: Views):
-    gate = F.when(F.col("status") == "error", "protected").otherwise("open")
-    return v.run_log.filter("kind <> 'view'").groupBy("source").agg(F.max_by(gate, F.struct("started_at", "id")).alias("gate"))
-
-
-@query("st29_accept_baseline", "SELECT source, id, created >= 30 AND status = 'ok' AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM run_log) WHERE n = 1")
-def st29(v: Views):
-    last = S.latest(v.run_log, ["source"], F.col("started_at").desc(), F.col("id").desc())
-    return last.select("source", "id", ((F.col("created") >= 30) & (F.col("status") == "ok")).alias("accepted"))
-
-
 @query("st30_daily_snapshot", "SELECT CAST(started_at + interval 330 minute AS DATE) AS day, source, arg_max(created, (started_at, id)) AS reading FROM run_log GROUP BY ALL")
 def st30(v: Views):
     return v.run_log.groupBy(L.ist_date(F.col("started_at")).alias("day"), "source").agg(F.max_by("created", F.struct("started_at", "id")).alias("reading"))
@@ -214,13 +125,6 @@ def src07(v: Views):
     return rows.filter("title <> 'error' AND price IS NOT NULL")
 
 
-@query("sj04_header", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 2 = 0")
-def sj04(v: Views):
-    message = F.concat(F.lit("[DATA_ENGINE_V1] "), F.col("props"), F.lit("\nread"))
-    header = F.regexp_extract(message, r"\[DATA_ENGINE_V1\] (\{[^\n]*\})", 1)
-    return v.events.filter("event_id % 2 = 0").select("event_id", F.from_json(header, "k string").getField("k").alias("k"))
-
-
 @query("sj08_state_merge", "SELECT event_id, json_merge_patch(props, '{\"done\":1}') AS state FROM events")
 def sj08(v: Views):
     merged = F.map_concat(F.map_filter(F.from_json("props", "map<string,int>"), lambda k, _: k != "done"), F.create_map(F.lit("done"), F.lit(1)))
@@ -230,3 +134,149 @@ def sj08(v: Views):
 @query("sj10_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def sj10(v: Views):
     return v.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+# -- source health -----------------------------------------------------------------------------------------------
+
+_RUNS = "SELECT id, source, kind AS channel, started_at, CASE WHEN created % 3 = 0 THEN 0 ELSE created END AS discovered, CASE WHEN id % 4 = 0 THEN 0 ELSE created % 5 END AS created, CASE WHEN id % 4 = 0 THEN 0 ELSE created % 2 END AS duplicates, created % 7 AS rejected FROM run_log"
+_YIELD = f"""WITH q AS ({_RUNS}), e AS (SELECT *, discovered <= 0 AS empty, discovered > 0 AND created + duplicates = 0 AND rejected > 0 AS bad FROM q),
+i AS (SELECT *, sum(CASE WHEN empty THEN 0 ELSE 1 END) OVER w AS i1, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER w AS i2 FROM e WINDOW w AS (PARTITION BY source, channel ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT *, sum(empty::INT) OVER a AS zero_streak, sum(bad::INT) OVER b AS reject_streak, min(CASE WHEN empty THEN started_at END) OVER a AS first_zero FROM i
+  WINDOW a AS (PARTITION BY source, channel, i1 ORDER BY started_at, id ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY source, channel, i2 ORDER BY started_at, id ROWS UNBOUNDED PRECEDING)),
+y AS (SELECT id, source, channel, started_at, zero_streak::BIGINT AS zero_streak, reject_streak::BIGINT AS reject_streak, CASE WHEN NOT empty AND reject_streak >= 3 THEN 'ALL_REJECTED' WHEN NOT empty THEN 'PRODUCTIVE' WHEN i1 > 0 THEN 'DROPPED'
+  WHEN zero_streak >= 3 AND started_at - interval 6 hour >= first_zero THEN 'ZERO_YIELD' ELSE 'EMPTY' END AS verdict FROM z)"""
+
+
+def _runs(v: Views):
+    created = F.col("created")
+    busy = F.col("id") % 4 != 0
+    return v.run_log.select(
+        "id", "source", F.col("kind").alias("channel"), "started_at", F.when(created % 3 == 0, 0).otherwise(created).alias("discovered"),
+        F.when(busy, created % 5).otherwise(0).alias("created"), F.when(busy, created % 2).otherwise(0).alias("duplicates"), (created % 7).alias("rejected"),
+    )
+
+
+@query("wn05_streaks", f"{_YIELD} SELECT * FROM y")
+def wn05(v: Views):
+    return Q.yield_states(_runs(v))
+
+
+@query("st24_yield_machine", f"""{_YIELD}, l AS (SELECT source, channel, arg_max(verdict, (started_at, id)) AS verdict, max(started_at) AS newest FROM y GROUP BY ALL)
+SELECT source, CASE WHEN bool_or(verdict = 'PRODUCTIVE' AND newest > timestamp '2024-01-25' - interval 14 day) THEN 'PRODUCTIVE' ELSE ['PRODUCTIVE', 'EMPTY', 'ALL_REJECTED', 'ZERO_YIELD', 'DROPPED'][max(list_position(['PRODUCTIVE', 'EMPTY', 'ALL_REJECTED', 'ZERO_YIELD', 'DROPPED'], verdict))] END AS verdict, count(*) AS channels FROM l GROUP BY source""")
+def st24(v: Views):
+    return Q.overall_yield(Q.yield_states(_runs(v)), at_())
+
+
+_VERDICT = "CASE created % 9 WHEN 0 THEN NULL WHEN 1 THEN 'RECOVERING' WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'WARNING' WHEN 4 THEN 'BLOCKED' ELSE CASE WHEN status = 'ok' THEN 'HEALTHY' ELSE 'FAILED' END END"
+
+
+def _judged(v: Views):
+    return v.run_log.selectExpr("id", "source", "started_at", f"{_VERDICT} AS verdict")
+
+
+@query("wn06_latest_evaluated", f"SELECT source, arg_max(id, (started_at, id)) AS id FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING' GROUP BY source")
+def wn06(v: Views):
+    told = _judged(v).filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'")
+    return told.groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
+
+
+@query("wn07_anomaly_streak", f"""SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN verdict = 'HEALTHY' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') WHERE ok = 0 GROUP BY source""")
+def wn07(v: Views):
+    return Q.anomaly_streak(_judged(v))
+
+
+@query("st28_protection", f"""SELECT source, arg_max(verdict, (started_at, id)) FILTER (WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') AS status, coalesce(arg_max(verdict, (started_at, id)) FILTER (WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') <> 'HEALTHY', false) AS protected FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) GROUP BY source""")
+def st28(v: Views):
+    return Q.protection(_judged(v))
+
+
+@query("st26_recovery")
+def st26(v: Views):
+    return Q.recovery(v.run_log)
+
+
+@query("st27_completeness")
+def st27(v: Views):
+    rows = v.run_log.select(
+        "id", "source", "started_at", F.when(F.col("id") % 31 > 0, F.col("created").cast("double")).alias("records"), F.when(F.col("id") % 5 > 0, F.col("created") / 10).alias("pages"),
+        (F.col("created") % 40).cast("double").alias("rejected"), (F.col("status") == "error").alias("blocked"), (F.col("id") % 37 > 0).alias("complete"),
+    )
+    return Q.completeness(rows)
+
+
+@query("st25_last_seen", """WITH l AS (SELECT source, json_extract_string(message, '$.k') AS item, max(started_at) AS seen FROM run_log WHERE kind <> 'error' GROUP BY ALL), p AS (SELECT source, started_at AS at FROM run_log WHERE kind = 'error'),
+m AS (SELECT l.source, item, count(p.at) AS missed FROM l LEFT JOIN p ON p.source = l.source AND p.at > l.seen GROUP BY l.source, item, seen),
+h AS (SELECT source, count(*) AS n, avg(CASE WHEN missed > 0 THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY source)
+SELECT m.source, item, missed, NOT (n >= 20 AND share > 0.2) AND missed >= 2 AS flagged FROM m JOIN h USING (source)""")
+def st25(v: Views):
+    """Every run is a sighting of its item, or a complete pass."""
+    seen = v.run_log.filter("kind <> 'error'").select("source", F.get_json_object("message", "$.k").alias("item"), F.col("started_at").alias("seen_at"))
+    passes = v.run_log.filter("kind = 'error'").select("source", F.col("started_at").alias("pass_at"), F.lit(True).alias("complete"))
+    return Q.last_seen_sweep(seen, passes)
+
+
+@query("st29_accept_baseline", f"""SELECT source, id, CASE WHEN records IS NULL THEN 'no count' WHEN verdict IN ('HEALTHY', 'RECOVERING') THEN 'nothing to accept' WHEN verdict = 'BLOCKED' THEN 'not trustworthy' WHEN records = 0 THEN 'empty' ELSE 'accepted' END AS outcome
+FROM (SELECT *, {_VERDICT} AS verdict, CASE WHEN id % 31 > 0 THEN created END AS records, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM run_log WHERE created % 9 <> 0) WHERE n = 1""")
+def st29(v: Views):
+    """Whether the size of each source's newest judged run may become its baseline."""
+    rows = v.run_log.filter("created % 9 <> 0").selectExpr("id", "source", "started_at", f"{_VERDICT} AS verdict", "CASE WHEN id % 31 > 0 THEN created END AS records")
+    last = S.latest(rows, ["source"], F.col("started_at").desc(), F.col("id").desc())
+    return last.select("source", "id", Q.acceptance(F.col("verdict"), F.col("records")).alias("outcome"))
+
+
+@query("snk04_retention", "SELECT source, kind, count(*) AS kept FROM run_log WHERE CASE WHEN kind = 'view' THEN started_at >= timestamp '2025-02-20' - interval 400 day ELSE started_at >= timestamp '2024-03-15' - interval 60 day END GROUP BY ALL")
+def snk04(v: Views):
+    """Runs are kept for 60 days, snapshots (here: views) for 400."""
+    at = F.col("started_at")
+    snapshot = at >= F.lit("2025-02-20").cast("timestamp_ntz") - F.expr("INTERVAL 400 DAYS")
+    kept = F.when(F.col("kind") == "view", snapshot).otherwise(at >= F.lit("2024-03-15").cast("timestamp_ntz") - F.expr("INTERVAL 60 DAYS"))
+    return v.run_log.filter(kept).groupBy("source", "kind").agg(rows_().alias("kept"))
+
+
+@query("st22_lease", """WITH m AS (SELECT source, id, started_at FROM run_log WHERE kind = 'click'), t AS (SELECT max(started_at) AS now FROM run_log)
+SELECT source, arg_min(id, (started_at, id)) AS winner, count(*) AS waiting FROM m, t WHERE started_at > now - interval 12 hour GROUP BY source""")
+def st22(v: Views):
+    """The earliest marker that is not stale holds the lease; ties go to the smaller id."""
+    now = v.run_log.agg(F.max("started_at").alias("now"))
+    live = v.run_log.filter("kind = 'click'").join(F.broadcast(now)).filter("started_at > now - INTERVAL 12 HOURS")  # one row
+    return live.groupBy("source").agg(F.min_by("id", F.struct("started_at", "id")).alias("winner"), rows_().alias("waiting"))
+
+
+@query("wn02_trend", """SELECT scope, date, value, value - lag(value) OVER w AS change, greatest(0, date_diff('day', lag(date) OVER w, date) - 1)::INT AS gap_days FROM (
+  SELECT source || kind AS scope, CAST(started_at + interval 330 minute AS DATE) AS date, arg_max(created, (started_at, id)) AS value FROM run_log GROUP BY ALL) WINDOW w AS (PARTITION BY scope ORDER BY date)""")
+def wn02(v: Views):
+    rows = v.run_log.select(F.concat("source", "kind").alias("scope"), L.ist_date(F.col("started_at")).alias("date"), F.struct("started_at", "id").alias("at"), F.col("created").alias("value"))
+    return R.trend(rows)
+
+
+@query("sj04_header", "SELECT event_id, json_extract_string(props, '$.k') AS k, length(CASE WHEN length(f) <= 60 THEN f ELSE s END)::INT AS n FROM (SELECT *, '[DATA_ENGINE_V1] {\"k\":' || json_extract_string(props, '$.k') || ',\"baseline\":' || value || '}\n' AS h, '[DATA_ENGINE_V1] {\"k\":' || json_extract_string(props, '$.k') || '}\n' AS g, repeat('read ', (event_id % 9)::INT) AS t, h || t AS f, substr(g || t, 1, 60) AS s FROM events)")
+def sj04(v: Views):
+    """A header of metrics before a message: the baseline goes first where the whole is too long, then the text is cut."""
+    k = F.get_json_object("props", "$.k")
+    text = F.repeat(F.lit("read "), (F.col("event_id") % 9).cast("int"))
+    made = Q.with_header(F.concat(F.lit('{"k":'), k, F.lit(',"baseline":'), F.col("value").cast("string"), F.lit("}")), F.concat(F.lit('{"k":'), k, F.lit("}")), text, 60)
+    return v.events.select("event_id", F.get_json_object(Q.header(made), "$.k").alias("k"), F.length(made).alias("n"))
+
+
+#: Weights of sources in the time shares; fixed values in seconds: least and most of a share, for importing and plain sources.
+SHARES = {True: (20, 150, 3), False: (10, 60, 1)}
+
+
+@query("st09_time_shares", """WITH RECURSIVE s AS (SELECT source, source IN ('src1', 'src4') AS importing, row_number() OVER (ORDER BY source) AS n, count(*) OVER () AS many FROM (SELECT DISTINCT source FROM run_log)),
+w AS (SELECT *, CASE WHEN importing THEN 3 ELSE 1 END AS weight, CASE WHEN importing THEN 20 ELSE 10 END AS least, CASE WHEN importing THEN 150 ELSE 60 END AS most FROM s),
+t AS (SELECT *, sum(weight) OVER (ORDER BY n DESC) AS rest FROM w),
+r AS (SELECT 0::BIGINT AS n, ''::VARCHAR AS source, NULL::BIGINT AS seconds, 262::BIGINT AS remaining UNION ALL
+  SELECT t.n, t.source, g, r.remaining - coalesce(g, 0) FROM r JOIN t ON t.n = r.n + 1, LATERAL (SELECT CASE WHEN r.remaining >= t.least THEN least(r.remaining, greatest(t.least, least(t.most, floor(r.remaining * t.weight / t.rest)::BIGINT))) END AS g))
+SELECT source, seconds FROM r WHERE n > 0""")
+def st09(v: Views):
+    """Shares of a tick of 262 seconds for the sources in turn; null is put off. One fold over the sources, which are few."""
+    sources = v.run_log.select("source").distinct().groupBy().agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    return sources.select(F.explode(Q.time_shares(F.col("sources"), lambda s: s.isin("src1", "src4"), SHARES, 262)).alias("r")).select("r.*")
+
+
+@query("st32_scan_order", """SELECT source, row_number() OVER (ORDER BY starved DESC, CASE WHEN starved THEN last END, importing DESC, last, source) AS place FROM (SELECT source, max(started_at) AS last, source IN ('src1', 'src4') AS importing, max(started_at) < timestamp '2024-01-30 22:00:00' AS starved FROM run_log GROUP BY source)""")
+def st32(v: Views):
+    """Starved sources first, the longest waiting before; then importing ones; then by waiting time."""
+    last = v.run_log.groupBy("source").agg(F.max("started_at").alias("last"))
+    starved, importing = F.col("last") < F.lit("2024-01-30 22:00:00").cast("timestamp_ntz"), F.col("source").isin("src1", "src4")
+    return last.select("source", F.row_number().over(Window.orderBy(starved.desc(), F.when(starved, F.col("last")), importing.desc(), "last", "source")).cast("long").alias("place"))

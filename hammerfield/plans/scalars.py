@@ -174,7 +174,7 @@ def sm08(v: Views):
     return v.lineitem.select("l_orderkey", "l_linenumber", M.drop_class(F.col("l_discount") * 7).alias("class"))
 
 
-@query("sm09_fnv1a")
+@query("sm09_fnv1a", "SELECT s_suppkey, lower(to_base(list_reduce([2166136261] || list_transform(string_split(s_name, ''), lambda c: ord(c)::BIGINT), lambda h, x: (xor(h, x) * 16777619) % 4294967296), 36)) AS hash FROM supplier")
 def sm09(v: Views):
     return v.supplier.select("s_suppkey", F.lower(F.conv(M.fnv1a(F.col("s_name")).cast("string"), 10, 36)).alias("hash"))
 

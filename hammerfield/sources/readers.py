@@ -21,11 +21,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(some)
 
 
-def import_table(df: DataFrame, required: str = "title", most: int = 500) -> DataFrame:
-    """The first rows of a table that has the required column; the limit is the import's own."""
-    if required not in df.columns:
+def import_table(df: DataFrame, order: str, required: str = "title", most: int = 500) -> DataFrame:
+    """The first rows of a table, by a column of their order, that has the required column; the limit is the import's own."""
+    names = {c.strip().lower(): c for c in df.columns}
+    if required not in names:
         raise ValueError(f"column {required} is missing")
-    return df.limit(most)
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in names.items()]).orderBy(order).limit(most)
 
 
 LISTS = ("records", "data", "items", "results", "properties", "listings")
@@ -43,47 +44,95 @@ def export_total(body: Column) -> Column:
 
 
 def json_lines(lines: DataFrame, schema: str) -> DataFrame:
-    """Parsed lines and, in _broken, those that are no JSON; blank lines are no lines."""
+    """The records of the lines of a column value and, in broken, which lines are no JSON; blank lines are no lines."""
     parsed = F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    return lines.filter(F.trim("value") != "").select(parsed.alias("r"), "value").select("r.*", F.col("r._corrupt").isNotNull().alias("_broken")).drop("_corrupt")
+    return lines.filter(F.trim("value") != "").select(parsed.alias("r")).select("r.*").withColumn("broken", F.col("_corrupt").isNotNull()).drop("_corrupt")
+
+
+def enabled_rules(body: Column) -> Column:
+    """The rules of a text, one a line: those of a JSON array (text, on) that are on, or the lines without their bullets."""
+    listed = F.from_json(body, "array<struct<text:string,on:boolean>>")
+    on = F.transform(F.filter(listed, lambda r: F.coalesce(r["on"], F.lit(True)) & r["text"].isNotNull()), lambda r: F.trim(r["text"]))
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\s*-]+", ""))), lambda x: x != "")
+    return F.coalesce(F.array_join(F.when(F.ltrim(body).startswith("["), on).otherwise(lines), "\n"), F.lit(""))
+
+
+def wrap_source(html: Column) -> Column:
+    """A page as a browser saves its source view: each line in a table cell, marks escaped."""
+    escaped = F.replace(F.replace(F.replace(html, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    cells = F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit('<td class="line-content">'), x, F.lit("</td>")))
+    return F.concat(F.lit('<html><body class="view-source"><table>'), F.array_join(cells, ""), F.lit("</table></body></html>"))
+
+
+def unwrap_source(html: Column) -> Column:
+    """The page that a saved source view shows; any other page as it is."""
+    cells = F.regexp_extract_all(html, F.lit(r'(?s)<td class="line-content">(.*?)</td>'), F.lit(1))
+    inner = F.regexp_replace(F.array_join(cells, "\n"), r"<[^>]*>", "")
+    plain = F.replace(F.replace(F.replace(inner, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.size(cells) > 0, plain).otherwise(html)
+
+
+def names_any(html: Column, words: list[str]) -> Column:
+    """Whether the heading or the title of a page has one of the words."""
+    heading = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " ")
+    return F.concat_ws(" ", heading, F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+
+
+#: Endings of document files, and what a link to a notice says.
+DOCUMENT_FILE = r"(?i)\.(pdf|docx?|xlsx?|zip|csv)(\?.*)?$"
+NOTICE_TEXT = r"(?i)(sale notice|auction notice|possession notice|e-?auction notice|tender document|terms and conditions|bid form"
+
+
+def notice_links(html: Column, also: str = "", most: int = 1000) -> Column:
+    """array of struct(href, kind) of a page's links to documents: by the ending of the file, or by what the link says."""
+    anchors = F.regexp_extract_all(html, F.lit(r'(?is)<a\b[^>]*href="[^"]+"[^>]*>.*?</a>'), F.lit(0))
+
+    def link(a: Column) -> Column:
+        href = F.regexp_extract(a, r'(?i)href="([^"]+)"', 1)
+        text = F.regexp_replace(F.regexp_extract(a, r"(?is)>(.*)</a>", 1), "<[^>]*>", "")
+        kind = F.when(href.rlike(DOCUMENT_FILE), "file").when(text.rlike(NOTICE_TEXT + (f"|{also})" if also else ")")), "named")
+        return F.struct(href.alias("href"), kind.alias("kind"))
+
+    return F.slice(F.filter(F.transform(anchors, link), lambda x: x["kind"].isNotNull()), 1, most)
 
 
 def sitemap_urls(xml: Column, part: str = "/auction/") -> Column:
     return F.filter(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), 1), lambda u: u.contains(part))
 
 
+RULE = "struct<agent:string,allow:boolean,pattern:string>"
+
+
 def robots_rules(body: Column) -> Column:
-    """array of (agent, allow, pattern) of a robots.txt; blank patterns allow everything and are left out."""
-
-    @F.pandas_udf("array<struct<agent:string,allow:boolean,pattern:string>>")
-    def parse(bodies: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list:
-            rules, agents, open_ = [], [], False
-            for line in (text or "").splitlines():
-                name, _, value = line.split("#")[0].partition(":")
-                name, value = name.strip().lower(), value.strip()
-                if name == "user-agent":
-                    agents = [*agents, value.lower()] if open_ else [value.lower()]
-                    open_ = True
-                elif name in ("allow", "disallow"):
-                    open_ = False
-                    if value:
-                        rules += [{"agent": a, "allow": name == "allow", "pattern": value} for a in agents]
-            return rules
-
-        return bodies.map(one)
-
-    return parse(body)
-
-
-def robots_decision(paths: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
-    """url_path, allowed: of the agent's own group, else of *, the longest matching pattern decides; Allow wins a tie."""
-    own = rules.filter(F.col("agent") == agent)
-    used = own.unionByName(rules.filter("agent = '*'").join(own.limit(1).select(F.lit(1).alias("x")), how="left_anti", on=F.lit(True)))
-    pattern = F.regexp_replace(F.regexp_replace("pattern", r"([.?+^\[\](){}|\\])", r"\\$1"), r"\*", ".*")
-    hits = paths.join(F.broadcast(used.withColumn("rx", F.concat(F.lit("^"), pattern))), F.expr("url_path rlike rx"), "left")
-    best = hits.groupBy("url_path").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("allow"))
-    return best.select("url_path", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    """array of (agent, allow, pattern) of a robots.txt; blank patterns allow everything and are left out.
+
+    Agents named one after another share the rules that follow; a rule ends the naming.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("agents"), F.lit(False).alias("ruled"), F.array().cast(f"array<{RULE}>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        plain = F.regexp_replace(line, "#.*$", "")
+        key, value = F.lower(F.trim(F.split_part(plain, F.lit(":"), F.lit(1)))), F.trim(F.regexp_replace(plain, "^[^:]*:?", ""))
+        agents = F.when(key != "user-agent", acc["agents"]).when(acc["ruled"], F.array(F.lower(value))).otherwise(F.array_append(acc["agents"], F.lower(value)))
+        rule = key.isin("allow", "disallow")
+        made = F.transform(acc["agents"], lambda a: F.struct(a.alias("agent"), (key == "allow").alias("allow"), value.alias("pattern")))
+        ruled = F.when(rule, True).when(key == "user-agent", False).otherwise(acc["ruled"])
+        return F.struct(agents.alias("agents"), ruled.alias("ruled"), F.when(rule & (value != ""), F.concat(acc["out"], made)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.split(body, r"\r?\n"), start, step, lambda acc: acc["out"])
+
+
+def robots_decision(paths: DataFrame, body: str, agent: str) -> DataFrame:
+    """url_path, allowed, by the robots.txt of one host: the agent's own group, else that of *; the longest matching
+    pattern decides, and Allow wins a tie. The rules of a file (500 KB at most are read) are one row for all paths."""
+    rules = paths.sparkSession.createDataFrame([(body[:500_000],)], "body string").select(robots_rules(F.col("body")).alias("rules"))
+    own = F.filter("rules", lambda r: r["agent"] == agent.lower())
+    used = F.when(F.size(own) > 0, own).otherwise(F.filter("rules", lambda r: r["agent"] == "*"))
+    escaped = lambda r: F.regexp_replace(F.regexp_replace(r["pattern"], r"([.?+^\[\](){}|\\])", r"\\$1"), r"\*", ".*")
+    ready = F.transform(used, lambda r: F.struct(F.length(r["pattern"]).alias("size"), r["allow"].alias("allow"), F.concat(F.lit("^"), escaped(r)).alias("rx")))
+    joined = paths.join(F.broadcast(rules.select(ready.alias("rules"))))
+    best = F.array_max(F.filter("rules", lambda r: F.regexp_like("url_path", r["rx"])))
+    return joined.select("url_path", F.coalesce(best["allow"], F.lit(True)).alias("allowed"))
 
 
 def page_pairs(html: Column) -> Column:
@@ -147,21 +196,14 @@ def notice_lots(texts: DataFrame) -> DataFrame:
 
 def text_chunks(texts: DataFrame, most: int = 12_000) -> DataFrame:
     """doc, n, chunk: whole texts packed into chunks of at most `most` characters, cut at line breaks where there are any."""
+    lines = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
+    cuts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / most).cast("int")), lambda k: F.substring(x, k * most + 1, F.lit(most)))
+    pieces = F.flatten(F.transform(lines, cuts))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc"], frame["text"]):
-                held, n = "", 0
-                for line in (text or "").splitlines(keepends=True):
-                    for k in range(0, len(line), most):
-                        piece = line[k : k + most]
-                        if held and len(held) + len(piece) > most:
-                            out.append((doc, n, held))
-                            held, n = "", n + 1
-                        held += piece
-                if held:
-                    out.append((doc, n, held))
-            yield pd.DataFrame(out, columns=["doc", "n", "chunk"])
-
-    return texts.select("doc", "text").mapInPandas(run, "doc long, n int, chunk string")
+    def step(acc: Column, piece: Column) -> Column:
+        full = (F.length(acc["held"]) > 0) & (F.length(acc["held"]) + F.length(piece) > most)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["held"])).otherwise(acc["done"]).alias("done"), F.when(full, piece).otherwise(F.concat(acc["held"], piece)).alias("held"))
+
+    chunks = F.aggregate(pieces, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["held"])))
+    return texts.select("doc", F.posexplode(chunks).alias("n", "chunk"))

@@ -77,3 +77,148 @@ def test_streams_resume_from_their_checkpoint(spark, tmp_path):
     assert latest.agg(F.sum("n")).first()[0] == 40 and latest.count() == 4
     changes = T.run_ticks(T.changes_only(T.read_runs(spark, f"file://{tmp_path}/in/events/*.parquet", 9), "user_id", "event_type"), "changes")
     assert {r.key for r in changes.collect()} == {0, 1, 2}
+
+
+def test_greedy_survivors_equal_a_walk_in_order(spark):
+    import random
+
+    from hammerfield.operators.resolution import greedy_survivors
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{rng.randrange(4)}{k}" if rng.random() < 0.25 else f"c{k}" for k in range(8)]
+        rows.append((i, i // 100, rng.randrange(10**9), words if i % 50 else []))
+    got = {r.id: r.kept_id for r in greedy_survivors(spark.createDataFrame(rows, "id long, block int, place long, tokens array<string>"), ["block"]).collect()}
+    want = {}
+    for block in range(3):
+        kept = []
+        for i, _, _, words in sorted((r for r in rows if r[1] == block), key=lambda r: r[2]):
+            mine = set(words)
+            hit = next((k for k, other in kept if mine and other and len(mine & other) / len(mine | other) >= 0.8), None)
+            if hit is None:
+                kept.append((i, mine))
+            want[i] = i if hit is None else hit
+    assert got == want and sum(a != b for a, b in want.items()) > 30
+
+
+def test_completeness_and_recovery_equal_plain_folds(spark):
+    import random
+    from datetime import datetime, timedelta
+    from statistics import median
+
+    from hammerfield.operators import quality as Q
+
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    runs = []
+    for i in range(500):
+        at = start + timedelta(minutes=rng.randrange(60 * 24 * 90))
+        records = rng.choice([None, 0.0, 100.0, 95.0, 80.0, 60.0, 30.0, 105.0, 100.0, 98.0])
+        runs.append((i, f"s{i % 3}", at, records, rng.choice([None, 10.0, 9.5, 5.0]), float(rng.choice([0, 50])), rng.random() < 0.05, rng.random() < 0.95, rng.choice(["ok", "error", "error"])))
+    frame = spark.createDataFrame(runs, "id long, source string, started_at timestamp_ntz, records double, pages double, rejected double, blocked boolean, complete boolean, status string")
+    got = {r.id: (r.baseline, r.page_baseline, r.verdict) for r in Q.completeness(frame).collect()}
+    states = {r.id: (r.state, r.attempts) for r in Q.recovery(frame).collect()}
+    seen_verdicts, seen_states = set(), set()
+    for source in ("s0", "s1", "s2"):
+        good, state, attempts, first, last = [], "DONE", 0, None, None
+        for i, _, at, records, pages, rejected, blocked, complete, status in sorted((r for r in runs if r[1] == source), key=lambda r: (r[2], r[0])):
+            def of(k, days):
+                values = [g[k] for g in good if g[k] is not None and g[0] >= at - timedelta(days=days)]
+                return median(values) if values else None
+
+            base, page_base = (of(k, 7) if of(k, 7) is not None else of(k, 30) for k in (1, 2))
+            drops = [max(0, (b - x) / b) for x, b in ((records, base), (pages, page_base)) if x is not None and b]
+            if blocked:
+                verdict = "BLOCKED"
+            elif not complete:
+                verdict = "INCOMPLETE"
+            elif records is None:
+                verdict = "RECOVERING"
+            elif not base:
+                verdict = "RECOVERING" if records else "NO_DATA"
+            elif records == 0:
+                verdict = "CRITICAL"
+            else:
+                worst = max(drops)
+                verdict = "CRITICAL" if worst >= 0.6 else "INCOMPLETE" if worst >= 0.3 else "WARNING" if worst >= 0.1 or rejected / records >= 0.3 else "HEALTHY"
+            if verdict in ("HEALTHY", "RECOVERING"):
+                good.append((at, records, pages))
+            assert got[i] == (base, page_base, verdict)
+            seen_verdicts.add(verdict)
+            if status == "ok":
+                state, attempts = "DONE", 0
+            elif state == "DONE":
+                state, attempts, first, last = "QUEUED", 1, at, at
+            elif at - first > timedelta(hours=24):
+                state = "EXPIRED"
+            elif attempts >= 3:
+                state = "EXHAUSTED"
+            elif at - last >= timedelta(hours=12):
+                state, attempts, last = "FAILED_ATTEMPT", attempts + 1, at
+            assert states[i] == (state, attempts)
+            seen_states.add(state)
+    assert len(seen_verdicts) == 7 and {"DONE", "QUEUED", "EXPIRED", "FAILED_ATTEMPT"} <= seen_states
+
+
+def test_fnv_and_spellings_and_chunks_equal_plain_python(spark):
+    from hammerfield.functions.money import fnv1a
+    from hammerfield.sources.readers import text_chunks
+
+    texts = ["", "a", "Supplier#000000001", "zzzz zzz", "x" * 50]
+
+    def plain(text):
+        h = 2166136261
+        for c in text:
+            h = (h ^ ord(c)) * 16777619 % (1 << 32)
+        return h
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.h for r in rows.orderBy("i").select(fnv1a(F.col("t")).alias("h")).collect()] == [plain(t) for t in texts]
+    for term in ("mumbai", "puune", "kallyan", "abc", "nanded"):
+        found = S.spelling_variants(term)
+        assert len(found) == len(set(found)) <= 14 and term not in found
+    assert S.spelling_variants("puune") == ["pune", "ppuune", "puunne"] and S.spelling_variants("abc") == []
+
+    docs = ["one\ntwo\n\nthree", "", None, "y" * 25 + "\nend", "a\n" * 30, "\n"]
+    want = []
+    for i, text in enumerate(docs):
+        held, n = "", 0
+        for line in (text or "").splitlines(keepends=True):
+            for k in range(0, len(line), 10):
+                if held and len(held) + len(line[k : k + 10]) > 10:
+                    want.append((i, n, held))
+                    held, n = "", n + 1
+                held += line[k : k + 10]
+        if held:
+            want.append((i, n, held))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc long, text string")
+    assert sorted(map(tuple, text_chunks(frame, 10).collect())) == want
+
+
+def test_kinds_statuses_and_responses_at_the_boundaries(spark):
+    from hammerfield.functions import kinds as K
+    from hammerfield.functions import names as N
+
+    def values(f, *items):
+        frame = spark.createDataFrame([(i, x) for i, x in enumerate(items)], "i int, c string")
+        return [r.v for r in frame.orderBy("i").select(f(F.col("c")).alias("v")).collect()]
+
+    assert values(K.property_kind, "farmland", "farm house", "movable plant and machinery", "plant & machinery, truck", "open land and building", "land & building", "site") == ["AGRICULTURAL", "RESIDENTIAL", "VEHICLE", "INDUSTRIAL", "LAND_PLOT", "RESIDENTIAL", "LAND_PLOT"]
+    assert values(K.explicit_status, "live", "closed", "ended", "withdrawn", "called off", "put on hold", "not sold", "sold") == [None, None, None, "CANCELLED", "CANCELLED", "POSTPONED", None, "COMPLETED"]
+    assert values(N.canon_state, "Jammu & Kashmir", "NCT of Delhi", "orissa") == ["Jammu And Kashmir", "Delhi", "Odisha"]
+    assert values(lambda c: F.array_sort(N.state_variants(c)), "odisha") == [["Odisha", "Orissa", "odisha"]]
+    big = "<div class=g-recaptcha>" + "x" * 20_000
+    rows = spark.createDataFrame([(0, 401, ""), (1, 503, ""), (2, 200, big), (3, 200, big[:100]), (4, 403, big), (5, 404, "x"), (6, 301, ""), (7, 200, "<title> Access Denied")], "i int, code int, body string")
+    got = [r.s for r in rows.orderBy("i").select(K.fetch_status(F.col("code"), F.col("body")).alias("s")).collect()]
+    assert got == ["unauthorized", "service_unavailable", "success", "captcha", "captcha", "temporary_error", "success", "blocked"]
+
+
+def test_longest_run_and_officer(spark):
+    from hammerfield.functions import text as T
+
+    rows = spark.createDataFrame([(0, [3, 1, 2, 9, 3, 4]), (1, [7]), (2, [5, 5, 6, 1, 2]), (3, [])], "i int, n array<bigint>")
+    got = [tuple(r.r) for r in rows.orderBy("i").select(T.longest_run(F.col("n")).alias("r")).collect()]
+    assert got == [(1, 4), (7, 1), (5, 2), (None, 0)]
+    line = spark.createDataFrame([("Mr A. B Rao M: 98765-43210, Ms C and Mr D, Mr E x@y.co.in Ph 12",)], "c string").select(T.officer(F.col("c")).alias("o")).first().o
+    assert (line.name, line.phone, line.email) == ("Mr A. B Rao, Ms C, Mr D", "98765-43210", "x@y.co.in")
