@@ -126,16 +126,15 @@ def snk07(v: Views):
 
 
 @query("er08_import_outcomes", """WITH s AS (SELECT o_custkey AS key, min(o_orderkey) AS id, max(o_orderdate) AS start FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
-i AS (SELECT o_orderkey AS row, o_custkey AS key, o_orderdate + interval 400 day AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 10 = 0 AND o_totalprice > 20000),
-j AS (SELECT o_orderkey AS row, NULL AS key, o_orderdate AS start, o_totalprice AS price FROM orders WHERE o_orderkey % 1000 = 1),
-a AS (SELECT * FROM i UNION ALL SELECT * FROM j)
+a AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 1000 <> 1 THEN o_custkey END AS key, o_orderdate + interval 1 day * ((o_orderkey % 5) * 200) AS start, o_totalprice AS price FROM orders)
 SELECT row, CASE WHEN a.key IS NULL THEN 'skip: no key' WHEN row_number() OVER (PARTITION BY a.key, a.start ORDER BY row) > 1 THEN 'repeated' WHEN s.id IS NULL THEN 'create' WHEN a.start > s.start + interval 36 hour THEN 'round' ELSE 'enrich' END AS outcome, s.id AS known
 FROM a LEFT JOIN s ON s.key = a.key""")
 def er08(v: Views):
     stored = v.orders.filter("o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderkey").alias("id"), F.max("o_orderdate").alias("start"))
-    a = v.orders.filter("o_orderkey % 10 = 0 AND o_totalprice > 20000").select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("key"), (F.col("o_orderdate") + F.expr("INTERVAL 400 DAYS")).alias("start"), F.col("o_totalprice").alias("price"))
-    b = v.orders.filter("o_orderkey % 1000 = 1").select(F.col("o_orderkey").alias("row"), F.lit(None).cast(a.schema["key"].dataType).alias("key"), F.col("o_orderdate").alias("start"), F.col("o_totalprice").alias("price"))
-    return I.import_outcomes(a.unionByName(b), stored)
+    key = F.when(F.col("o_orderkey") % 1000 != 1, F.col("o_custkey"))
+    start = F.col("o_orderdate") + F.make_dt_interval((F.col("o_orderkey") % 5 * 200).cast("int"))
+    incoming = v.orders.select(F.col("o_orderkey").alias("row"), key.alias("key"), start.alias("start"), F.col("o_totalprice").alias("price"))
+    return I.import_outcomes(incoming, stored)
 
 
 @query("er09_fill_only", "SELECT p.id, coalesce(nullif(geo_city, ''), 'CITY ' || p.id) AS geo_city, category AS category FROM property p WHERE category IS NOT NULL OR true")
