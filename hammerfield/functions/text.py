@@ -231,3 +231,8 @@ def longest_run(numbers: Column) -> Column:
         return F.struct(runs.alias("runs"), F.when(better, n).otherwise(acc["first"]).alias("first"), F.when(better, run).otherwise(acc["length"]).alias("length"))
 
     return F.aggregate(F.reverse(numbers), start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["length"].alias("length")))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """A JSON object of the fields with its keys in order, so that equal records give equal texts."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import STATE_ALIASES
 from .lifecycle import INACTIVE, OPEN, status_predicate
 
 
@@ -88,13 +90,70 @@ def round_predicate(f: Filters, now: Column) -> Column:
     ])
 
 
+def in_state(state: str) -> Column:
+    """Stored under any spelling of the state; a listing without a place is looked for in its texts."""
+    spellings = state_spellings(state)
+    texts = any_of([contains_ci(F.col(c), x) for x in spellings for c in ("title", "address_text")])
+    return F.coalesce(F.lower("geo_state").isin(*[x.lower() for x in spellings]), F.lit(False)) | (F.col("geo_city").isNull() & texts)
+
+
+def state_spellings(state: str) -> list[str]:
+    """As names.state_variants(), of a value that is known when the query is made."""
+    title = lambda s: re.sub(r"(^|[\s-])([a-z])", lambda m: m[1] + m[2].upper(), s.strip().lower())
+    key = re.sub(r"\s+", " ", re.sub(r"\s*&\s*", " and ", state.strip().lower()))
+    canon = STATE_ALIASES.get(key) or title(key)
+    out = [canon, state.strip(), re.sub("(?i) and ", " & ", canon), *(title(k) for k, v in STATE_ALIASES.items() if v == canon)]
+    return [x for x in dict.fromkeys(out) if x]
+
+
+def admin_predicate(status: str | None = None, q: str | None = None) -> Column:
+    """Listings of a status, or all that are no duplicate and not removed, with a text in title or address."""
+    wanted = F.col("status") == status if status else ~F.col("status").isin("DUPLICATE", "REMOVED")
+    return all_of([wanted, any_of([contains_ci(F.col(c), q) for c in ("title", "address_text")]) if q else None])
+
+
+def bulk_remove(properties: DataFrame, status: str | None = None, q: str | None = None) -> DataFrame:
+    """properties with the status REMOVED where the filter fits, and changed; refused without a filter that narrows."""
+    if not status and not (q and q.strip()):
+        raise ValueError("give a status or a text: all listings cannot be removed at once")
+    hit = admin_predicate(status, q) & (F.col("status") != "REMOVED")
+    return properties.withColumn("changed", F.coalesce(hit, F.lit(False))).withColumn("status", F.when(F.col("changed"), "REMOVED").otherwise(F.col("status")))
+
+
+@dataclass(frozen=True)
+class ApiQuery:
+    """The parameters of a request as they come, checked by api_query()."""
+
+    filters: "Filters"
+    updated_since: str | None
+    page: int
+    limit: int
+
+
+def api_query(raw: dict[str, str], banks: set[str] = frozenset()) -> ApiQuery | None:
+    """A request's parameters: active rounds unless told otherwise, page 1 and 20 rows (1 to 50) unless numbers say so.
+
+    None where no row can be meant: a bank that does not exist. A date that is none raises.
+    """
+    number = lambda k, default, low, high: min(high, max(low, int(raw[k]))) if re.fullmatch(r"-?[0-9]+", raw.get(k, "")) else default
+    price = lambda k: float(raw[k]) if re.fullmatch(r"[0-9]+(\.[0-9]+)?", raw.get(k, "")) else None
+    if raw.get("bank") and raw["bank"] not in banks:
+        return None
+    since = raw.get("updatedSince")
+    if since:
+        datetime.fromisoformat(since.replace("Z", "+00:00"))
+    group = raw.get("status", "active")
+    filters = Filters(q=raw.get("q") or None, category=raw.get("category"), state=raw.get("state"), city=raw.get("city"), bank_id=int(raw["bank"]) if raw.get("bank") else None, min_price=price("min"), max_price=price("max"), group=group if group in ("active", "inactive") else None)
+    return ApiQuery(filters, since, number("page", 1, 1, 1 << 30), number("limit", 20, 1, 50))
+
+
 def listing_predicate(f: Filters) -> Column:
     place = [("title", F.col("title")), ("address", F.col("address_text")), ("city", F.col("geo_city")), ("state", F.col("geo_state"))]
     return all_of([
         F.col("status") == "PUBLISHED",
         F.col("category") == f.category if f.category else None,
         # a listing that has no place yet is looked for in its text
-        (F.lower("geo_state") == f.state.lower()) | (F.col("geo_city").isNull() & contains_ci(F.col("address_text"), f.state)) if f.state else None,
+        in_state(f.state) if f.state else None,
         F.lower("geo_city") == f.city.lower() if f.city else None,
         keyword_predicate(f.q, dict(place)) if f.q else None,
     ])

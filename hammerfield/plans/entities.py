@@ -62,12 +62,6 @@ def sj02(v: Views):
     return v.supplier.select("s_suppkey", T.with_digit(T.tokens(F.col("s_name"), [])).alias("t"))
 
 
-@query("er04_clean_pass", "SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS keeper FROM part")
-def er04(v: Views):
-    """Equal titles in one block: all point to the first."""
-    return v.part.select(F.col("p_partkey").alias("id"), F.min("p_partkey").over(Window.partitionBy("p_name", "p_brand")).alias("keeper"))
-
-
 @query("er06_title_groups", "SELECT p_name, min(p_partkey) AS keeper, count(*) - 1 AS hidden FROM part GROUP BY p_name HAVING count(*) > 1")
 def er06(v: Views):
     return v.part.groupBy("p_name").agg(F.min("p_partkey").alias("keeper"), (F.count(F.lit(1)) - 1).alias("hidden")).filter("hidden > 0")
@@ -89,25 +83,6 @@ def er14(v: Views):
     return E.unify_spellings(v.part.select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("s")), "s")
 
 
-@query("er15_alias_rewrite", "SELECT c_custkey AS id, n_name AS old, 'RENAMED' AS new FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_name = 'NATION_7'")
-def er15(v: Views):
-    """What a rewrite changes, kept so that it can be undone."""
-    rows = v.customer.join(v.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("old"))
-    return rows.withColumn("new", F.when(F.col("old") == "NATION_7", "RENAMED").otherwise(F.col("old"))).filter("new <> old")
-
-
-@query("er16_mapping_report", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'MISSING' WHEN s_suppkey % 3 = 0 THEN 'CONFIRMED' ELSE 'UNCERTAIN' END AS status FROM supplier")
-def er16(v: Views):
-    known = v.supplier.filter("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(F.upper("s_name")).alias("name"))
-    out = v.supplier.join(known, M.bank_key(F.col("s_name")) == M.bank_key(F.col("name")), "left")
-    return out.select("s_suppkey", F.when(F.col("k").isNull(), "MISSING").when(F.col("name") == F.col("s_name"), "CONFIRMED").otherwise("UNCERTAIN").alias("status"))
-
-
-@query("sc11_institution", "SELECT i, k FROM (VALUES (0, 'x arc'), (1, 'saraswat cooperative bank'), (2, 'y finance')) t(i, k)")
-def sc11(v: Views):
-    return values(v, "c", ["X Asset Reconstruction Company Limited", "The Saraswat Co-operative Bank Ltd.", "Y Finance (Pvt)"]).select("i", M.institution_key(F.col("c")).alias("k"))
-
-
 # -- pairs of listings -------------------------------------------------------------------------------------------
 
 _WORDS = "list_sort(list_distinct(list_filter(string_split(p_name, ' ') || ['s' || p_size % 4], lambda x: x <> '')))"

@@ -112,19 +112,6 @@ def snk05(v: Views):
     return v.part.select(F.to_csv(F.struct(name.alias("a"), F.col("p_partkey").cast("string").alias("b"))).alias("line"))
 
 
-@query("snk06_sitemap", "SELECT 'property' AS kind, id::VARCHAR AS slug FROM (SELECT id FROM property WHERE status = 'PUBLISHED' ORDER BY id DESC LIMIT 400) UNION ALL SELECT 'city', geo_city FROM property WHERE status = 'PUBLISHED' AND geo_city IS NOT NULL GROUP BY geo_city HAVING count(*) >= 5")
-def snk06(v: Views):
-    live = v.property.filter("status = 'PUBLISHED'")
-    newest = live.orderBy(F.desc("id")).limit(400).select(F.lit("property").alias("kind"), F.col("id").cast("string").alias("slug"))
-    cities = live.filter("geo_city IS NOT NULL").groupBy("geo_city").agg(rows_().alias("n")).filter("n >= 5").select(F.lit("city").alias("kind"), F.col("geo_city").alias("slug"))
-    return newest.unionByName(cities)
-
-
-@query("snk07_api_shape", "SELECT id, '{\"id\":' || id || ',\"title\":\"' || title || '\",\"status\":\"' || status || '\"}' AS body FROM property")
-def snk07(v: Views):
-    return v.property.select("id", F.to_json(F.struct("id", "title", "status")).alias("body"))
-
-
 @query("er08_import_outcomes", """WITH s AS (SELECT o_custkey AS key, min(o_orderkey) AS id, max(o_orderdate) AS start FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1),
 a AS (SELECT o_orderkey AS row, CASE WHEN o_orderkey % 1000 <> 1 THEN o_custkey END AS key, o_orderdate + interval 1 day * ((o_orderkey % 5) * 200) AS start, o_totalprice AS price FROM orders)
 SELECT row, CASE WHEN a.key IS NULL THEN 'skip: no key' WHEN row_number() OVER (PARTITION BY a.key, a.start ORDER BY row) > 1 THEN 'repeated' WHEN s.id IS NULL THEN 'create' WHEN a.start > s.start + interval 36 hour THEN 'round' ELSE 'enrich' END AS outcome, s.id AS known
@@ -165,31 +152,12 @@ def er13(v: Views):
     return seen.join(stored, "page_id", "left").select("page_id", F.when(F.col("hash") == F.col("stored"), "same").otherwise("changed").alias("outcome"))
 
 
-@query("sj03_json_list", "SELECT i, n FROM (VALUES (0, 1), (1, 0), (2, 0)) t(i, n)")
-def sj03(v: Views):
-    urls = F.coalesce(F.filter(F.from_json("c", "array<string>"), lambda u: u.rlike("^https?://")), F.array().cast("array<string>"))
-    return values(v, "c", ['["https://x/a.pdf","ftp://y"]', "broken", None]).select("i", F.size(urls).alias("n"))
-
-
-@query("sj05_yield_marker", "SELECT i, verdict FROM (VALUES (0, 'EMPTY'), (1, NULL)) t(i, verdict)")
-def sj05(v: Views):
-    found = F.from_json(F.regexp_extract("c", r"\[YIELD_V1\] (\{[^\n]*\})", 1), "verdict string")
-    return values(v, "c", ['done [YIELD_V1] {"verdict":"EMPTY"}\nmore', "nothing"]).select("i", found.getField("verdict").alias("verdict"))
-
-
 @query("sj06_observation", "SELECT id, geo_state AS value FROM property WHERE geo_state IS NOT NULL")
 def sj06(v: Views):
     encoded = v.property.filter("geo_state IS NOT NULL").select("id", F.to_json(F.struct(F.col("geo_state").alias("v"), F.lit("feed").alias("s"))).alias("j"))
     return encoded.select("id", F.from_json("j", "v string, s string").getField("v").alias("value"))
 
 
-@query("sj07_snapshot", "SELECT i, total FROM (VALUES (0, 3), (1, NULL), (2, NULL)) t(i, total)")
-def sj07(v: Views):
-    r = F.from_json("c", "v int, counts struct<total int>")
-    total = F.when(r.getField("v") == 1, r.getField("counts").getField("total"))
-    return values(v, "c", ['{"v":1,"counts":{"total":3}}', '{"v":2,"counts":{"total":3}}', "x"]).select("i", total.alias("total"))
-
-
 @query("sj09_attributes", "SELECT id, ['Category', 'State'] AS labels FROM property WHERE category IS NOT NULL")
 def sj09(v: Views):
     m = F.create_map(F.lit("category"), F.col("category"), F.lit("state"), F.col("geo_state"), F.lit("_hidden"), F.lit("x"))
@@ -197,12 +165,6 @@ def sj09(v: Views):
     return v.property.filter("category IS NOT NULL").select("id", F.array_sort(F.map_keys(shown)).alias("labels"))
 
 
-@query("sj11_saved_filters", "SELECT i, k FROM (VALUES (0, ['city', 'q']), (1, [])) t(i, k)")
-def sj11(v: Views):
-    kept = F.map_filter(F.from_json("c", "map<string,string>"), lambda k, x: k.isin("q", "city", "state", "bank") & (F.trim(x) != "") & (F.length(x) <= 80))
-    return values(v, "c", ['{"q":"flat","city":"Pune","evil":"1","state":" "}', "{}"]).select("i", F.array_sort(F.map_keys(kept)).alias("k"))
-
-
 @query("tx10_page_stats", r"SELECT page_id, (length(html) - length(replace(html, '<a ', ''))) // 3 AS links, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs FROM pages")
 def tx10(v: Views):
     return v.pages.select("page_id", F.regexp_count("html", F.lit("<a ")).cast("long").alias("links"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))

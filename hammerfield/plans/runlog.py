@@ -99,12 +99,6 @@ def pg01(v: Views):
     return v.run_log.orderBy(F.desc("started_at"), F.desc("id")).limit(150).filter("status = 'error'").select("id", "kind")
 
 
-@query("pg08_problem_list", "SELECT source, unnest(list_filter([CASE WHEN errors > 150 THEN 'many errors' END, CASE WHEN created < 10000 THEN 'few records' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT source, count(*) FILTER (WHERE status = 'error') AS errors, sum(created) AS created FROM run_log GROUP BY source)")
-def pg08(v: Views):
-    sums = v.run_log.groupBy("source").agg(F.count_if(F.col("status") == "error").alias("errors"), F.sum("created").alias("created"))
-    return sums.select("source", F.explode(F.array_compact(F.array(F.when(F.col("errors") > 150, "many errors"), F.when(F.col("created") < 10000, "few records")))).alias("problem"))
-
-
 @query("pg26_open_request", """SELECT e.event_id FROM events e WHERE e.event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.ts < e.ts AND x.ts >= e.ts - interval 7 day)""")
 def pg26(v: Views):
     """First of its kind in seven days: the one before decides."""
@@ -131,11 +125,6 @@ def sj08(v: Views):
     return v.events.select("event_id", F.to_json(merged).alias("state"))
 
 
-@query("sj10_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
-def sj10(v: Views):
-    return v.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
-
-
 # -- source health -----------------------------------------------------------------------------------------------
 
 _RUNS = "SELECT id, source, kind AS channel, started_at, CASE WHEN created % 3 = 0 THEN 0 ELSE created END AS discovered, CASE WHEN id % 4 = 0 THEN 0 ELSE created % 5 END AS created, CASE WHEN id % 4 = 0 THEN 0 ELSE created % 2 END AS duplicates, created % 7 AS rejected FROM run_log"

@@ -95,11 +95,6 @@ def fl08(v: Views):
     return v.listing.filter(S.keyword_predicate("punne", {"title": F.col("title")})).select("id")
 
 
-@query("fl09_state", "SELECT id FROM property WHERE status = 'PUBLISHED' AND (lower(geo_state) = 'asia' OR (geo_city IS NULL AND contains(lower(address_text), 'asia')))")
-def fl09(v: Views):
-    return v.property.filter(S.listing_predicate(S.Filters(state="Asia"))).select("id")
-
-
 @query("fl10_city", "SELECT id FROM property WHERE status = 'PUBLISHED' AND lower(geo_city) = 'nation_8'")
 def fl10(v: Views):
     return v.property.filter(S.listing_predicate(S.Filters(city="nation_8"))).select("id")
@@ -111,29 +106,11 @@ def fl11(v: Views):
     return v.property.filter((F.col("status") == "PUBLISHED") & ((F.lower("geo_city") == "nation_3") | (F.col("geo_city").isNull() & text))).select("id")
 
 
-@query("fl12_admin", "SELECT id FROM property p WHERE status NOT IN ('DUPLICATE', 'REMOVED') AND contains(lower(title), '1') AND EXISTS (SELECT 1 FROM auction a WHERE a.property_id = p.id AND a.bank_id = 3)")
-def fl12(v: Views):
-    rounds = v.auction.filter("bank_id = 3").select(F.col("property_id").alias("id"))
-    return v.property.filter(~F.col("status").isin("DUPLICATE", "REMOVED") & S.contains_ci(F.col("title"), "1")).join(rounds, "id", "left_semi").select("id")
-
-
 @query("fl13_none", "SELECT id FROM property p WHERE NOT EXISTS (SELECT 1 FROM auction a WHERE a.property_id = p.id AND a.status = 'LIVE')")
 def fl13(v: Views):
     return v.property.join(v.auction.filter("status = 'LIVE'").select(F.col("property_id").alias("id")), "id", "left_anti").select("id")
 
 
-@query("fl14_api_filters", _FL02.replace("category = 'RESIDENTIAL' AND", "").replace("a.reserve_price BETWEEN 50000 AND 250000 AND", "a.bank_id = 5 AND") + " ORDER BY id DESC LIMIT 20")
-def fl14(v: Views):
-    limit = min(50, max(1, 20))
-    return S.published(v.property, v.auction, S.Filters(bank_id=5, group="active"), now_col()).orderBy(F.col("id").desc()).limit(limit).select("id", "title")
-
-
-@query("fl20_thin", "SELECT id FROM property p WHERE status = 'PUBLISHED' AND EXISTS (SELECT 1 FROM auction a WHERE a.property_id = p.id AND a.bank_id IS NULL AND coalesce(a.reserve_price, 0) < 20000)")
-def fl20(v: Views):
-    thin = v.auction.filter("bank_id IS NULL AND coalesce(reserve_price, 0) < 20000").select(F.col("property_id").alias("id"))
-    return v.property.filter("status = 'PUBLISHED'").join(thin, "id", "left_semi").select("id")
-
-
 @query("jn01_inner", "SELECT a.id, p.title, b.name AS bank FROM auction a JOIN property p ON p.id = a.property_id JOIN bank b ON b.id = a.bank_id")
 def jn01(v: Views):
     a = v.auction.select("id", "property_id", "bank_id")
@@ -167,16 +144,6 @@ def jn05(v: Views):
     return detail.join(listed, "k", "full_outer").select("k", F.coalesce(F.nullif("d", F.lit("")), "l").alias("s"))
 
 
-@query("jn06_reconcile", """SELECT coalesce(o.o_orderkey, l.l_orderkey) AS k, CASE WHEN o.o_orderkey IS NULL THEN 'NOT_LISTED' WHEN l.l_orderkey IS NULL THEN 'DETAIL_MISSING' WHEN l.n < 2 THEN 'DETAIL_INCOMPLETE' ELSE 'DETAIL_COMPLETE' END AS status,
-  l.n IS NOT NULL AND abs(l.total - o.o_totalprice) > 1000 AS differs
-  FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) o FULL OUTER JOIN (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice) AS total FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey""")
-def jn06(v: Views):
-    listed = v.orders.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k"), "o_totalprice")
-    detail = v.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_extendedprice").alias("total"))
-    status = F.when(F.col("o_totalprice").isNull(), "NOT_LISTED").when(F.col("n").isNull(), "DETAIL_MISSING").when(F.col("n") < 2, "DETAIL_INCOMPLETE").otherwise("DETAIL_COMPLETE")
-    return listed.join(detail, "k", "full_outer").select("k", status.alias("status"), (F.col("n").isNotNull() & (F.abs(F.col("total") - F.col("o_totalprice")) > 1000)).alias("differs"))
-
-
 @query("jn07_sheet_lookup", "SELECT p.id, coalesce(nullif(p.geo_city, ''), a.status) AS filled, a.latest FROM property p LEFT JOIN (SELECT property_id, arg_max(status, (auction_start, id)) AS status, max(auction_start) AS latest FROM auction WHERE status <> 'CANCELLED' GROUP BY 1) a ON a.property_id = p.id")
 def jn07(v: Views):
     a = v.auction.filter("status <> 'CANCELLED'").groupBy(F.col("property_id").alias("id")).agg(F.max_by("status", F.struct("auction_start", "id")).alias("s"), F.max("auction_start").alias("latest"))

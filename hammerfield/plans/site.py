@@ -34,18 +34,6 @@ def pg03(v: Views):
     return v.orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), rows_().alias("n"), F.max("o_orderdate").alias("latest"))
 
 
-@query("pg05_bulk_remove", "SELECT id, CASE WHEN category = 'INDUSTRIAL' AND status NOT IN ('DUPLICATE', 'REMOVED') THEN 'REMOVED' ELSE status END AS status FROM property")
-def pg05(v: Views):
-    hit = (F.col("category") == "INDUSTRIAL") & ~F.col("status").isin("DUPLICATE", "REMOVED")
-    return v.property.select("id", F.when(hit, "REMOVED").otherwise(F.col("status")).alias("status"))
-
-
-@query("pg09_directory", "SELECT CASE WHEN regexp_matches(upper(left(s_name, 1)), '[A-Z]') THEN upper(left(s_name, 1)) ELSE '#' END AS letter, count(*) AS n, min(s_name) AS first FROM supplier GROUP BY 1")
-def pg09(v: Views):
-    first = F.upper(F.substring("s_name", 1, 1))
-    return v.supplier.groupBy(F.when(first.rlike("[A-Z]"), first).otherwise("#").alias("letter")).agg(rows_().alias("n"), F.min("s_name").alias("first"))
-
-
 @query("pg10_cities_by_state", "SELECT geo_state, city, n, count(*) OVER (PARTITION BY city) > 1 AS shared, row_number() OVER (PARTITION BY geo_state ORDER BY n DESC, city) AS place FROM (SELECT geo_state, city, count(*) AS n FROM property GROUP BY ALL)")
 def pg10(v: Views):
     cities = R.grouped_count(v.property, "geo_state", "city")
@@ -96,14 +84,6 @@ def pg20(v: Views):
     return slices.agg(F.sum("n").alias("n")).withColumn("capped", F.col("n") >= 3000)
 
 
-@query("pg22_scorecard", "SELECT bank_id, count(*) AS rounds, count(DISTINCT property_id) + max(CASE WHEN property_id IS NULL THEN 1 ELSE 0 END) AS ids, count(*) FILTER (WHERE p.status = 'PUBLISHED') AS published FROM auction a LEFT JOIN property p ON p.id = a.property_id GROUP BY bank_id")
-def pg22(v: Views):
-    state = v.property.select(F.col("id").alias("property_id"), F.col("status").alias("listing"))
-    rows = v.auction.select("bank_id", "property_id").join(state, "property_id", "left")
-    ids = F.countDistinct("property_id") + F.max(F.col("property_id").isNull().cast("int"))
-    return rows.groupBy("bank_id").agg(rows_().alias("rounds"), ids.alias("ids"), F.count_if(F.col("listing") == "PUBLISHED").alias("published"))
-
-
 @query("pg24_dashboard", f"SELECT count(*) AS rounds, count(*) FILTER (WHERE s = 'LIVE') AS live, count(*) FILTER (WHERE s = 'AUCTION_TODAY') AS today, count(*) FILTER (WHERE s = 'COMPLETED') AS completed FROM (SELECT {EFFECTIVE} AS s FROM auction)")
 def pg24(v: Views):
     s = L.effective_status(F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col())
@@ -132,18 +112,6 @@ def pg34(v: Views):
     return rows.select("i", part(1).alias("lat"), part(2).alias("lng"))
 
 
-@query("pg37_plans", "SELECT id, price FROM (VALUES ('month', 99.0::DOUBLE), ('year', 900.0::DOUBLE)) t(id, price)")
-def pg37(v: Views):
-    rows = v.spark.createDataFrame([('[{"id":"month","price":99},{"id":"free","price":0},{"id":"year","price":900},{"id":"bad"}]',)], "j string")
-    plans = F.from_json("j", "array<struct<id:string,price:double>>")
-    return rows.select(F.explode(F.filter(plans, lambda p: p["price"] > 0)).alias("p")).select("p.*")
-
-
-@query("pg35_shapes", "SELECT host, count(*) AS n FROM (SELECT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS host FROM pages) GROUP BY host ORDER BY n DESC, host LIMIT 6")
-def pg35(v: Views):
-    return R.grouped_count(v.pages.select(X.host(F.col("url")).alias("host")), "host").orderBy(F.desc("n"), "host").limit(6)
-
-
 def _runs(v: Views):
     return T.read_runs(v.spark, f"{v.sf_dir}/events.parquet")
 
