@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 
 def staging_rows(cards: DataFrame, staged: DataFrame, stored: DataFrame, known: DataFrame, needed: Sequence[str]) -> DataFrame:
     """key, state and missing of the first card (page_id) of each key that is not staged yet.
@@ -47,3 +49,29 @@ def next_pages(rows: DataFrame, visited: DataFrame) -> DataFrame:
     good = F.col("u").startswith("https://") & (host(F.col("u")) == host(F.col("url"))) & (F.col("u") != F.col("url"))
     marked = rows.join(visited.select("u", F.lit(True).alias("_seen")), "u", "left")
     return marked.select("page_id", F.when(good & F.col("_seen").isNull(), F.col("u")).alias("next"))
+
+
+def crawl(links: DataFrame, start: DataFrame, weights: dict[str, int], per_round: int, most_of_kind: int, rounds: int) -> DataFrame:
+    """url, kind, depth and round of the pages that a crawl takes, over known links (source, url, kind, bonus).
+
+    From the frontier each round takes the per_round pages of highest priority (the weight of the kind, less the depth,
+    plus the link's bonus; ties by url), at most most_of_kind of a kind in all. Of several links to a page the first to
+    be seen counts. It ends with an empty frontier or after the rounds.
+    """
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("kind")), F.lit(0))
+    frontier = stage(start.select("url", "kind", F.lit(0).alias("depth"), F.lit(0).alias("bonus")), "frontier")
+    taken = stage(frontier.select("url", "kind", "depth", F.lit(0).alias("round")).filter("false"), "taken")
+    for k in range(1, rounds + 1):
+        left = taken.groupBy("kind").agg((F.lit(most_of_kind) - F.count(F.lit(1))).alias("left"))
+        open_ = frontier.join(left, "kind", "left").withColumn("priority", weight - F.col("depth") + F.col("bonus"))
+        place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("priority"), "url"))
+        able = open_.withColumn("place", place).filter(F.col("place") <= F.coalesce("left", F.lit(most_of_kind)))
+        now = stage(able.orderBy(F.desc("priority"), "url").limit(per_round).select("url", "kind", "depth", F.lit(k).alias("round")), "round")
+        if now.isEmpty():
+            break
+        found = links.join(now.select(F.col("url").alias("source"), F.col("depth").alias("from")), "source").groupBy("url").agg(F.min_by(F.struct("kind", (F.col("from") + 1).alias("depth"), "bonus"), F.struct("from", "source")).alias("l"))
+        taken = stage(taken.unionByName(now), "taken")
+        rest = frontier.join(now.select("url"), "url", "left_anti")
+        fresh = found.select("url", "l.kind", "l.depth", "l.bonus").join(taken.select("url"), "url", "left_anti").join(rest.select("url"), "url", "left_anti")
+        frontier = stage(rest.unionByName(fresh), "frontier")
+    return taken

@@ -196,6 +196,23 @@ def pg33(v: Views):
 _RULES = "CASE id % 4 WHEN 0 THEN '[{\"text\":\"Keep ' || id || '\",\"on\":true},{\"text\":\"Off\",\"on\":false}]' WHEN 1 THEN '- First ' || id || '\n\n* Second' WHEN 2 THEN '[broken' END"
 
 
+_WEIGHTS = {"detail": 6, "list": 4, "other": 1}
+
+
+def crawl_links(v: Views):
+    """Links between pages: each leads to two others."""
+    n = v.pages.agg(F.max("page_id").alias("n"))
+    both = v.pages.select("page_id").join(F.broadcast(n)).select(F.col("page_id").alias("source"), F.explode(F.array((F.col("page_id") * 7 + 1) % F.col("n"), (F.col("page_id") * 3 + 2) % F.col("n"))).alias("url"))
+    kind = F.when(F.col("url") % 5 == 0, "detail").when(F.col("url") % 5 < 3, "list").otherwise("other")
+    return both.select("source", "url", kind.alias("kind"), (F.col("source") % 3).cast("int").alias("bonus"))
+
+
+@query("pg36_crawl_frontier")
+def pg36(v: Views):
+    start = v.pages.filter("page_id = 0").select(F.col("page_id").alias("url"), F.lit("list").alias("kind"))
+    return G.crawl(crawl_links(v), start, _WEIGHTS, 8, 15, 6)
+
+
 @query("pg38_rules_text", f"""SELECT id, CASE WHEN r IS NULL THEN '' WHEN r LIKE '[%' THEN CASE WHEN json_valid(r) THEN 'Keep ' || id ELSE '' END ELSE array_to_string(list_filter(list_transform(string_split(r, chr(10)), lambda x: trim(regexp_replace(x, '^[\\s*-]+', ''))), lambda x: x <> ''), chr(10)) END AS rules FROM (SELECT id, {_RULES.replace(chr(10), "' || chr(10) || '")} AS r FROM listing)""")
 def pg38(v: Views):
     """The enabled rules of a text, one a line: a JSON array, or lines with bullets."""

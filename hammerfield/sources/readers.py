@@ -207,3 +207,81 @@ def text_chunks(texts: DataFrame, most: int = 12_000) -> DataFrame:
 
     chunks = F.aggregate(pieces, start, step, lambda acc: F.when(acc["held"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["held"])))
     return texts.select("doc", F.posexplode(chunks).alias("n", "chunk"))
+
+
+def card_list(html: Column) -> Column:
+    """struct(cards, total, next) of a list page: cards of id, title, city and price, the headline total, the next address."""
+    blocks = F.regexp_extract_all(html, F.lit(r'(?s)<div class="card">(.*?)</div>'), F.lit(1))
+    part = lambda b, p: F.nullif(F.trim(F.regexp_replace(F.regexp_extract(b, p, 1), "<[^>]*>", "")), F.lit(""))
+
+    def card(b: Column) -> Column:
+        return F.struct(
+            part(b, r'href="[^"]*/([0-9]+)"').try_cast("long").alias("id"), part(b, r"(?s)<a\b[^>]*>(.*?)</a>").alias("title"),
+            part(b, r'(?s)<span class="city">(.*?)</span>').alias("city"), part(b, r'(?s)<span class="price">(.*?)</span>').alias("price"),
+        )
+
+    whole = F.filter(F.transform(blocks, card), lambda c: c["id"].isNotNull() & c["city"].isNotNull() & c["price"].isNotNull())
+    total = F.replace(F.regexp_extract(html, r"(?i)([0-9][0-9,]*)\s+(?:results|properties|auctions)\b", 1), F.lit(","), F.lit("")).try_cast("long")
+    return F.struct(whole.alias("cards"), total.alias("total"), next_link(html).alias("next"))
+
+
+def detail_record(html: Column, page_id: Column) -> Column:
+    """struct(bank, price, start, errors) of a detail page: its label table, checked, and its canonical address against the id."""
+    pairs = page_pairs(html)
+    get = lambda name: F.nullif(F.trim(F.try_element_at(pairs, F.lit(name))), F.lit(""))
+    canonical = F.regexp_extract(html, r'(?i)<link rel="canonical" href="[^"]*?([0-9]+)"', 1).try_cast("long")
+    price = F.regexp_replace(get("reserve price"), "[^0-9.]", "").try_cast("double")
+    start = F.try_to_timestamp(get("auction start"), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
+    rules = {
+        "no canonical address": canonical.isNull(),
+        "canonical address of another": canonical != page_id,
+        "no bank": get("bank").isNull(),
+        "no price": price.isNull() | (price <= 0),
+        "no start": start.isNull(),
+    }
+    errors = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
+    return F.struct(get("bank").alias("bank"), price.alias("price"), start.alias("start"), errors.alias("errors"))
+
+
+def label_lines(text: Column) -> Column:
+    """map of label to value of a rendered text: "Label: value" on a line, or a label's line and its value on the next.
+
+    Labels are lower-cased; of a label that comes twice the first counts.
+    """
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    pair = F.transform(
+        lines,
+        lambda x, i: F.when(x.rlike(r"^[^:]{2,40}:\s*\S"), F.struct(F.lower(F.trim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("v"))).when(
+            x.rlike("^[^:]{2,40}:$"), F.struct(F.lower(F.trim(F.replace(x, F.lit(":"), F.lit("")))).alias("k"), F.get(lines, i + 1).alias("v"))
+        ),
+    )
+    kept = F.filter(pair, lambda p: p.isNotNull() & p["v"].isNotNull())
+    keys = F.transform(kept, lambda p: p["k"])
+    return F.map_from_entries(F.filter(kept, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+
+
+def raw_record(raw: Column) -> Column:
+    """map of label to value of a workbook cell in any of its three shapes: a markdown table, JSON with fields, card text."""
+    rows = F.regexp_extract_all(raw, F.lit(r"(?m)^\|[^|\n]*\|[^|\n]*\|"), F.lit(0))
+    cell = lambda r, k: F.trim(F.get(F.split(r, r"\|"), F.lit(k)))
+    table = F.transform(rows, lambda r: F.struct(F.lower(F.regexp_replace(cell(r, 1), r"\s*:$", "")).alias("k"), cell(r, 2).alias("v")))
+    table = F.filter(table, lambda p: (p["k"] != "") & (p["v"] != "") & ~p["k"].rlike("^-+$"))
+    keys = F.transform(table, lambda p: p["k"])
+    table = F.map_from_entries(F.filter(table, lambda p, i: F.array_position(keys, p["k"]) == i + 1))
+    fields = F.from_json(F.get_json_object(raw, "$.fields"), "map<string,string>")
+    price = F.nullif(F.regexp_extract(raw, r"(?i)reserve price\s*₹?\s*([\d,.]+)", 1), F.lit(""))
+    place = F.nullif(F.trim(F.regexp_extract(raw, r"## Property location\s*\n([^\n#]+)", 1)), F.lit(""))
+    card = F.map_filter(F.create_map(F.lit("reserve price"), price, F.lit("location"), place), lambda _, x: x.isNotNull())
+    return F.when(F.ltrim(raw).startswith("|"), table).when(F.ltrim(raw).startswith("{"), F.transform_keys(fields, lambda k, _: F.lower(k))).otherwise(card)
+
+
+def sheet_rows(tabs: dict[str, DataFrame], cursors: dict[str, int]) -> DataFrame:
+    """The rows of a workbook's tab "Properties" (row, id, title) after its cursor, with the latest row of tab "Auctions" of each id.
+
+    The other tab is a side to be looked up in whole, whatever its own cursor.
+    """
+    properties = tabs["Properties"].filter(F.col("row") > cursors.get("Properties", 0))
+    if "Auctions" not in tabs:
+        return properties.withColumns({"price": F.lit(None).cast("double"), "start": F.lit(None).cast("timestamp_ntz")})
+    last = tabs["Auctions"].groupBy("id").agg(F.max_by(F.struct("price", "start"), F.struct("start", "row")).alias("a"))
+    return properties.join(last, "id", "left").select("row", "id", "title", "a.price", "a.start")

@@ -222,3 +222,36 @@ def test_longest_run_and_officer(spark):
     assert got == [(1, 4), (7, 1), (5, 2), (None, 0)]
     line = spark.createDataFrame([("Mr A. B Rao M: 98765-43210, Ms C and Mr D, Mr E x@y.co.in Ph 12",)], "c string").select(T.officer(F.col("c")).alias("o")).first().o
     assert (line.name, line.phone, line.email) == ("Mr A. B Rao, Ms C, Mr D", "98765-43210", "x@y.co.in")
+
+
+def test_crawl_equals_a_plain_loop(spark):
+    from hammerfield.plans.pages import _WEIGHTS, crawl_links
+
+    links = {}
+    for r in crawl_links(Views(spark, SF)).collect():
+        links.setdefault(r.source, []).append((r.url, r.kind, r.bonus))
+    frontier, taken = {0: ("list", 0, 0)}, {}
+    for k in range(1, 7):
+        able, used = [], {}
+        for kind, _, _ in taken.values():
+            used[kind] = used.get(kind, 0) + 1
+        ranked = sorted(frontier, key=lambda u: (-(_WEIGHTS[frontier[u][0]] - frontier[u][1] + frontier[u][2]), u))
+        room = {kind: 15 - used.get(kind, 0) for kind in _WEIGHTS}
+        for u in ranked:
+            if room[frontier[u][0]] > 0:
+                room[frontier[u][0]] -= 1
+                able.append(u)
+        now = able[:8]
+        seen = {}
+        for u in now:
+            taken[u] = (frontier[u][0], frontier[u][1], k)
+        for u in sorted(now, key=lambda u: (taken[u][1], u)):
+            for url, kind, bonus in links.get(u, []):
+                seen.setdefault(url, (kind, taken[u][1] + 1, bonus))
+        for u in now:
+            del frontier[u]
+        for url, link in seen.items():
+            if url not in taken and url not in frontier:
+                frontier[url] = link
+    got = {r.url: (r.kind, r.depth, r.round) for r in QUERIES["pg36_crawl_frontier"](spark, SF).collect()}
+    assert got == taken and len(got) > 20
