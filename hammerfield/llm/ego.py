@@ -4,7 +4,7 @@ Unit vectors are rotated to their principal axes, found from sums over all of th
 leading axes are cut into cells of the join distance, and vectors are sorted by cell, axis after axis. Consecutive
 stretches of that order are written as blocks with the box they fill. Blocks whose boxes lie within the join distance
 meet, one pair of blocks a task unit, and are halved again and again: pairs of intervals whose boxes are too far apart
-are skipped, pairs that are close throughout are counted without looking, and small ones are compared in full.
+are skipped, and small ones are compared in full.
 
 Equal vectors are one, with a count. A pair of blocks gives one row for each vector with partners (how many, and the
 smallest vector of its component in the pair), never a row for each pair of vectors.
@@ -224,8 +224,8 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.98, axes: int = AXES, blo
     nameless = reps.filter("rep IS NULL").select("h1", "h2", "label", (F.col("n") - 1).alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     solved = solved.unionByName(nameless)
 
-    full = rows.withColumn("good", F.coalesce(valid_vectors(rows), F.lit(False)))
-    keyed = full.select("vec_id", *[F.when(F.col("good"), k).alias(n) for k, n in zip(key, ("h1", "h2"))], F.when(F.col("good"), F.col("label")).alias("label"))
-    out = keyed.join(solved, ["h1", "h2", "label"], "left")
-    component = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    # written first, so that a vector that many rows share can be dealt to several tasks; rows without a vector stay apart
+    solved = stage(solved, "solved")
+    out = good.select("vec_id", "label", *key).join(solved.hint("merge"), ["h1", "h2", "label"]).select("vec_id", "n_links", "component_id")
+    rest = rows.filter(~F.coalesce(valid_vectors(rows), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(rest).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
