@@ -204,6 +204,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(5) == 1, F.lit(False))
 
 
+def distinct(key: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; by sorting, which is faster here than hashing."""
+    key = np.sort(key)
+    return key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+
+
+class Lookup:
+    """Values of keys by open addressing in a small table; every key asked for must be there."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.bits = max(4, int(2 * len(key)).bit_length())
+        self.key, self.value = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits)
+        used = np.zeros(1 << self.bits, bool)
+        slot, todo = self._slot(key), np.arange(len(key))
+        while len(todo):
+            free = todo[~used[slot[todo]]]
+            self.key[slot[free]] = key[free]  # of several for one slot the last stays
+            used[slot[free]] = True
+            placed = self.key[slot[todo]] == key[todo]
+            self.value[slot[todo[placed]]] = value[todo[placed]]
+            todo = todo[~placed]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, key: np.ndarray) -> np.ndarray:
+        slot = self._slot(key)
+        todo = np.flatnonzero(self.key[slot] != key)
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            todo = todo[self.key[slot[todo]] != key[todo]]
+        return self.value[slot]
+
+
 def word_keys(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Key and document of each token: the words and one end for each document."""
     h, doc = X.word_hashes(raw, off)
@@ -283,7 +318,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def _in_order(key: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys by part and value, the parts there are, and where each starts."""
-    key = np.unique(key)
+    key = distinct(key)
     part = layout.part(key)
     order = np.argsort(part, kind="stable")
     part = part[order]
@@ -306,9 +341,9 @@ def questions(dealt: DataFrame, layout: Layout, order: int) -> DataFrame:
                 for i, j in X.chunks(off):
                     code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
                     found = held.setdefault(now, [])
-                    found.append(np.unique(np.r_[code, word]))
+                    found.append(distinct(np.r_[code, word]))
                     if len(found) >= 12:
-                        held[now] = [np.unique(np.concatenate(found))]
+                        held[now] = [distinct(np.concatenate(found))]
         for now in list(held):
             key, part, start = _in_order(np.concatenate(held.pop(now)), layout)
             stop = np.r_[start[1:], len(key)]
@@ -395,21 +430,21 @@ def _scorer(layout: Layout, order: int):
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         raw, off = X.text_bytes(left.column("text").combine_chunks())
-        chunks = [(i, j) for i, j in X.chunks(off)]
-        found = []
-        for i, j in chunks:
-            code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
-            found.append(np.unique(np.r_[code, word]))
-        key, part, start = _in_order(np.concatenate(found) if found else np.zeros(0, np.int64), layout)
+        held = []  # each chunk's rows and distinct keys
+        for i, j in X.chunks(off):
+            code, doc, word, of = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
+            held.append((i, j, distinct(np.r_[code, word])))
+        key, part, start = _in_order(np.concatenate([k for _, _, k in held] or [np.zeros(0, np.int64)]), layout)
         got = dict(zip(right.column("part").to_pylist(), right.column("values")))
         value = np.concatenate([np.frombuffer(got[p].as_py(), np.float64 if p >= layout.tries else np.float32) for p in part.tolist()] or [np.zeros(0)])
         sort = np.argsort(key)
         key, value = key[sort], value[sort].astype(np.float64)
         tokens, known, base, score = (np.zeros(len(off) - 1) for _ in range(4))
-        for i, j in chunks:
+        for i, j, own in held:
             code, doc, word, of = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
-            score[i:j] = np.bincount(doc, value[np.searchsorted(key, code)], minlength=j - i)
-            v = value[np.searchsorted(key, word)]
+            found = Lookup(own, value[np.searchsorted(key, own)])
+            score[i:j] = np.bincount(doc, found[code], minlength=j - i)
+            v = found[word]
             tokens[i:j] = np.bincount(of, minlength=j - i)
             known[i:j] = np.bincount(of, v > 0, minlength=j - i)  # log10(1.5) at least
             base[i:j] = np.bincount(of, v, minlength=j - i)
