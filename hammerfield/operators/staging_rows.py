@@ -45,7 +45,7 @@ def file_plan(files: DataFrame, stored: DataFrame, state: str, most: int) -> Dat
 
 def next_pages(rows: DataFrame, visited: DataFrame) -> DataFrame:
     """page_id and next: u of each row (page_id, url, u), null unless it is another page of the same host, by https, not visited."""
-    host = lambda c: F.lower(F.try_parse_url(c, F.lit("HOST")))
+    host = lambda c: F.regexp_extract(F.lower(c), "^[a-z]+://([^/?#:]+)", 1)
     good = F.col("u").startswith("https://") & (host(F.col("u")) == host(F.col("url"))) & (F.col("u") != F.col("url"))
     marked = rows.join(visited.select("u", F.lit(True).alias("_seen")), "u", "left")
     return marked.select("page_id", F.when(good & F.col("_seen").isNull(), F.col("u")).alias("next"))

@@ -128,10 +128,10 @@ def jn11(v: Views):
     return out.join(found, ["p_brand", "words"], "left").select(F.col("p_partkey").alias("incoming"), F.coalesce("hit", "known").alias("known")).filter("known IS NOT NULL")
 
 
-@query("ag22_duplicate_groups", f"""WITH p AS (SELECT *, {_WORDS} AS t FROM part) SELECT p_brand, p_size, n, oldest, likeness FROM (SELECT x.p_brand, x.p_size, avg({_LIKE}) AS likeness FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey GROUP BY ALL) JOIN (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS oldest FROM p GROUP BY ALL) USING (p_brand, p_size)""")
+@query("ag22_duplicate_groups", f"""WITH p AS (SELECT *, {_WORDS} AS t FROM part) SELECT p_brand, p_size, n, oldest, round(likeness, 9) AS likeness FROM (SELECT x.p_brand, x.p_size, avg({_LIKE}) AS likeness FROM p x JOIN p y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey GROUP BY ALL) JOIN (SELECT p_brand, p_size, count(*) AS n, min(p_partkey) AS oldest FROM p GROUP BY ALL) USING (p_brand, p_size)""")
 def ag22(v: Views):
     rows = named(v).join(v.part.select("p_partkey", "p_size"), "p_partkey")
-    return E.duplicate_groups(rows, ["p_brand", "p_size"], "p_partkey", "t")
+    return E.duplicate_groups(rows, ["p_brand", "p_size"], "p_partkey", "t").withColumn("likeness", F.round("likeness", 9))
 
 
 @query("er05_greedy")

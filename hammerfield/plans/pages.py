@@ -219,7 +219,7 @@ def pg38(v: Views):
     return v.listing.select("id", X.enabled_rules(F.expr(_RULES.replace("\n", "' || chr(10) || '"))).alias("rules"))
 
 
-@query("pg39_page_names_state", r"SELECT page_id, regexp_matches(h || ' ' || t, '(?i)\b(the|que)\b') AS named FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') AS h, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)")
+@query("pg39_page_names_state", r"SELECT page_id, regexp_matches(h || ' ' || t, '(?i)(^|[^\p{L}\p{N}_])(the|que)([^\p{L}\p{N}_]|$)') AS named FROM (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g') AS h, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages)")
 def pg39(v: Views):
     """Pages whose heading or title names one of some words; a page saved as view-source is unwrapped before."""
     wrapped = F.when(F.col("page_id") % 2 == 0, X.wrap_source(F.col("html"))).otherwise(F.col("html"))

@@ -75,7 +75,7 @@ def unwrap_source(html: Column) -> Column:
 def names_any(html: Column, words: list[str]) -> Column:
     """Whether the heading or the title of a page has one of the words."""
     heading = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " ")
-    return F.concat_ws(" ", heading, F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+    return F.concat_ws(" ", heading, F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).rlike(r"(?i)(^|[^\p{L}\p{N}_])(" + "|".join(words) + r")([^\p{L}\p{N}_]|$)")
 
 
 #: Endings of document files, and what a link to a notice says.
