@@ -268,8 +268,8 @@ def sc17(v: Views):
     return v.listing.select("id", T.officer(F.col("officer_text")).alias("o")).select("id", "o.*")
 
 
-@query("wn13_longest_run", """WITH RECURSIVE m AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL)) AS n, row_number() OVER () AS k FROM documents),
-o AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM m),
+@query("wn13_longest_run", """WITH RECURSIVE m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x AS BIGINT)), lambda x: x IS NOT NULL) AS l FROM documents),
+o AS (SELECT doc_id, l[i] AS n, i FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM m)),
 e AS (SELECT a.doc_id, a.i, a.n, min(b.i) AS j FROM o a LEFT JOIN o b ON b.doc_id = a.doc_id AND b.n = a.n + 1 AND b.i > a.i GROUP BY ALL),
 r AS (SELECT doc_id, i AS start, n AS first, j, 1 AS length FROM e UNION ALL SELECT r.doc_id, r.start, r.first, e.j, r.length + 1 FROM r JOIN e ON e.doc_id = r.doc_id AND e.i = r.j),
 l AS (SELECT doc_id, start, first, max(length) AS length FROM r GROUP BY ALL)
