@@ -54,6 +54,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.written = {v: k for k, v in (self.vocab | self.special).items()}
         self.alphabet = byte_alphabet()
+        #: by token: the rank that makes it, and its parts
+        self._made = {a + b: (k, a, b) for k, (a, b) in reversed(list(enumerate(pairs)))}
         self.lookahead = sufficient_lookahead(pairs)
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self._lengths = _lengths(self.vocab)
@@ -84,9 +86,30 @@ class Bpe:
         if known is None:
             if len(self._apart) >= PAIRS:
                 self._apart.clear()
-            known = self._apart[left, right] = self.merge(symbols(left) + symbols(right)) == [left, right]
+            known = self._apart[left, right] = not self._cross(left, right)
         return known
 
+    def _cross(self, left: str, right: str) -> bool:
+        """Whether some merge takes parts of both tokens.
+
+        Goes back in time over the parts that touch at the boundary: two that were there together are merged when their
+        merge comes before those that made the next larger part of either; of equal merges the one to the left comes first.
+        """
+        made, rank = self._made, self.rank
+        end_left = end_right = 1 << 60
+        a, b = left, right
+        while True:
+            k = rank.get((a, b))
+            if k is not None and k < end_left and k <= end_right:
+                return True
+            of_a, of_b = made.get(a), made.get(b)
+            if of_b is not None and (of_a is None or of_b[0] >= of_a[0]):
+                end_right, b = of_b[0], of_b[1]
+            elif of_a is not None:
+                end_left, a = of_a[0], of_a[2]
+            else:
+                return False
+
     def path(self, window: str, before: str | None, ended: bool) -> list[str]:
         """The tokens of a stretch of symbols after the token `before`; ended: the stretch is the last of its piece.
 
@@ -106,8 +129,12 @@ class Bpe:
                 token = window[at:stop] + END if ended and stop == n else window[at:stop]
                 if token not in vocab:
                     continue
-                if before is not None and not (apart.get((before, token)) or self.stay_apart(before, token)):
-                    continue
+                if before is not None:
+                    known = apart.get((before, token))
+                    if known is None:
+                        known = self.stay_apart(before, token)
+                    if not known:
+                        continue
                 out.append(token)
                 back.append((at, tries))
                 before, at = token, stop

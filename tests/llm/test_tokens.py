@@ -63,7 +63,7 @@ def small_model(tmp_path, rng, letters="abc", merges=14):
     pairs = []
     while len(pairs) < merges:
         a, b = rng.choice(tokens), rng.choice(tokens)
-        if not a.endswith(bpe.END) and a + b not in tokens and model().stay_apart(a, b):
+        if not a.endswith(bpe.END) and a + b not in tokens and model().merge(bpe.symbols(a) + bpe.symbols(b)) == [a, b]:
             pairs.append((a, b))
             tokens.append(a + b)
     return model()
@@ -96,6 +96,23 @@ def test_transducer_equals_whole_merge():
             assert fed(model, word, rng, 700) == merged(model, word)
 
 
+def test_tokens_stay_apart_as_the_merges_leave_them(tmp_path):
+    model, rng = bpe.load(bpe.tokenizer_path(NAME)), random.Random(6)
+    tokens = [t for t in model.vocab if t not in model.special]
+    first = [t for t in tokens if not t.endswith(bpe.END)]
+    pairs = [(rng.choice(first), rng.choice(tokens)) for _ in range(20_000)]
+    pairs += [(a, b) for a in rng.sample(first, 150) for b in rng.sample(tokens, 40)] + [(a, a) for a in first[:3000]]
+    for a, b in pairs:
+        if model.merge(bpe.symbols(a)) == [a] and model.merge(bpe.symbols(b)) == [b]:
+            assert model.stay_apart(a, b) == (model.merge(bpe.symbols(a) + bpe.symbols(b)) == [a, b]), (a, b)
+    for _ in range(40):
+        small = small_model(tmp_path, rng, "ab", 12)
+        for a in small.vocab:
+            for b in small.vocab:
+                if not a.endswith(bpe.END):
+                    assert small.stay_apart(a, b) == (small.merge(bpe.symbols(a) + bpe.symbols(b)) == [a, b]), (a, b)
+
+
 def test_lookahead_suffices_for_random_merge_lists(tmp_path):
     rng = random.Random(4)
     for _ in range(60):
