@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textops as X
 from .workspace import discard, stage, text_batches
 
-ORDER, PART_EDGES, BLOCK_BYTES = 5, 1_000_000, 16 << 20
+ORDER, PART_EDGES, BLOCK_BYTES, HELD_KEYS = 5, 400_000, 16 << 20, 1_000_000
 END, SYMBOLS = 256, 257
 END_WORD = np.uint64(0xE5D)
 _U = np.uint64
@@ -259,8 +259,11 @@ def dictionary(rows: DataFrame, order: int = ORDER) -> DataFrame:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return key, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+            key = np.concatenate([c for c, _ in held])
+            order = np.argsort(key)
+            key, n = key[order], np.concatenate([n for _, n in held])[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            return key[start], np.add.reduceat(n, start) if len(start) else n
 
         def send(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(key), 200_000):
@@ -272,9 +275,9 @@ def dictionary(rows: DataFrame, order: int = ORDER) -> DataFrame:
             for i, j in X.chunks(off):
                 code, _, word, _ = _keys(raw[off[i] : off[j]], off[i : j + 1] - off[i], order)
                 held.append(np.unique(np.r_[code, word], return_counts=True))
-                if len(held) >= 12:
+                if sum(len(k) for k, _ in held) > 2 * HELD_KEYS:
                     held = [merged()]
-                    if len(held[0][0]) > 2_000_000:
+                    if len(held[0][0]) > HELD_KEYS:
                         yield from send(*held.pop())
         if held:
             yield from send(*merged())
