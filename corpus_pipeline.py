@@ -53,10 +53,9 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in whose text no benchmark item is found; rows are judged by their texts, whatever their ids."""
-    text = F.xxhash64("text")
-    leaks = decontam.find_leaks(docs.select(text.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = leaks.select(F.col("doc_id").alias("leak")).distinct()
-    return docs.select(COLUMNS).join(gone, text == F.col("leak"), "left_anti").select(COLUMNS)
+    text = F.md5(F.col("text").cast("binary"))
+    leaks = decontam.find_leaks(docs.select(text.alias("leak"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="leak")
+    return docs.select(COLUMNS).join(leaks.select("leak").distinct(), text == F.col("leak"), "left_anti").select(COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

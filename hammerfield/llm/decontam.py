@@ -44,7 +44,7 @@ def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     capital = np.flatnonzero((low[:-1] == 0xC3) & (low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97)) + 1 if len(low) else []
     low[capital] += 0x20
     s, e, doc = X.words(raw, off, NOT_WORD)
-    return X.span_hash(X.prefix_hash(low), s, e), doc
+    return X.block_hash(low, s, e), doc
 
 
 def walk(words: np.ndarray, start: np.ndarray, steps: int) -> Iterator[np.ndarray]:
@@ -365,17 +365,20 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tu
             yield held.column("item_id").to_pylist(), held.column("text")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, target: float = TARGET) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, target: float = TARGET, key: str = "doc_id") -> DataFrame:
     """doc_id, item_id, distance, similarity and last_word: a row for each document row and item found in it.
 
     An item is found where some stretch of the document is within (1 - similarity) x its words of it by edit distance
     in words; distance is the least, last_word the number of words up to the end of the first such stretch. Null or
     empty texts hold nothing; items of fewer than LEAST_WORDS words are never found; equal items are each reported;
-    repeated rows of docs each give their own rows. Other columns are ignored.
+    repeated rows of docs each give their own rows. Other columns are ignored. key names the column that stands for a
+    row in place of doc_id; it keeps its name and, unless it is doc_id, its type.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    rows = docs.select(docs[key].cast("long").alias(key) if key == "doc_id" else docs[key], "text")
+    schema = SCHEMA.replace("doc_id long", f"{key} {rows.schema[key].dataType.simpleString()}")
+    names = [x.split()[0] for x in schema.split(", ")]
     out = None
     for ids, texts in item_blocks(items):
         index = build(ids, texts, similarity, target)
@@ -394,8 +397,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY
                         rows.append((doc_ids[i + d], index.item_ids[item], got, 1 - got / len(index.items[item]), end))
                 if rows:
                     cols = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()])], [x.split()[0] for x in SCHEMA.split(", ")])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [batch.schema.types[0], pa.int64(), pa.int32(), pa.float64(), pa.int64()])], names)
 
-        found = rows.mapInArrow(run, SCHEMA)
+        found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], SCHEMA) if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out

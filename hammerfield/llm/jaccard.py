@@ -213,7 +213,7 @@ def members(docs: DataFrame, k: int) -> DataFrame:
                 size[i:j], name[i:j] = set_names(h, doc, j - i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(name, mask=size == 0)], ["doc_id", "row", "n_shingles", "set"])
 
-    return stage(docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row long, n_shingles long, set long"), "members")
+    return stage(docs.select("doc_id", "text", "row").mapInArrow(run, "doc_id long, row string, n_shingles long, set long"), "members")
 
 
 def post(docs: DataFrame, k: int, num: int, den: int, hot: int = HOT) -> DataFrame:
@@ -369,8 +369,9 @@ def whole_runs(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterat
 
 
 def row_key(docs: DataFrame) -> Column:
-    """A hash of the id and the text of a row."""
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    """A hash of the id and the text of a row, of 128 bits: an equal one decides which rows stay."""
+    text = F.when(docs["text"].isNull(), F.lit("")).otherwise(F.concat(F.lit(" "), docs["text"]))
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")), text).cast("binary"))
 
 
 def similar_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, family: int = FAMILY, hot: int = HOT) -> DataFrame:

@@ -48,9 +48,8 @@ def buckets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     it is no part of the method by name, but without it one junk document in thirteen passes (see README).
     """
     n_docs, n = len(off) - 1, len(raw)
-    c = X.prefix_hash(raw)
     s, e, doc = X.words(raw, off)
-    word = X.span_hash(c, s, e)
+    word = X.block_hash(raw, s, e)
     again = np.flatnonzero((word[1:] == word[:-1]) & (doc[1:] == doc[:-1])) + 1
     parts, docs = [word, np.full(len(again), _SALT)], [doc, doc[again]]
     at = np.arange(n)

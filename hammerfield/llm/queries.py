@@ -101,7 +101,7 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS m FROM c G
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_documents
 
-    return similar_documents(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+    return similar_documents(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 @query(

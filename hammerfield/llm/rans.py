@@ -174,11 +174,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros(0, np.uint64)  # sorted
+        self.key = self.check = np.zeros(0, np.uint64)  # sorted by key
         self.start = self.size = np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, key: np.ndarray, runs: list[str]) -> None:
+    def _learn(self, key: np.ndarray, check: np.ndarray, runs: list[str]) -> None:
         start, size = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         for k in range(0, len(runs), 20_000):
             lists = [e.ids for e in self.library.encode_batch_fast(runs[k : k + 20_000], add_special_tokens=False)]
@@ -190,23 +190,32 @@ class Encoder:
             size[k : k + len(lists)], start[k : k + len(lists)] = count, self.used + np.cumsum(count) - count
             self.used += total
         at = np.searchsorted(self.key, key)
-        self.key, self.start, self.size = np.insert(self.key, at, key), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.key, self.check, self.start, self.size = (np.insert(a, at, b) for a, b in ((self.key, key), (self.check, check), (self.start, start), (self.size, size)))
+
+    def _plainly(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids without the table, a text at a time."""
+        data, cuts = raw.tobytes(), off.tolist()
+        lists = [np.array(self.library.encode(data[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate(lists), np.array(list(map(len, lists)), np.int64)
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a chunk of texts, and the number of ids of each."""
         s, e, doc = X.words(raw, off)
         data = raw.tobytes()
         # the marks of special tokens are told apart by case, ordinary text is not
-        key = X.span_hash(X.prefix_hash(raw if b"<|" in data else X.LOWER[raw]), s, e)
+        told = raw if b"<|" in data else X.LOWER[raw]
+        key, check = X.block_hash(told, s, e), X.block_hash(told, s, e, 1 << 32)
         one, first, which = np.unique(key, return_index=True, return_inverse=True)
         if len(self.key) + len(one) > self.most:
             self._clear()
         at = np.searchsorted(self.key, one)
         new = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] != one) if len(self.key) else np.arange(len(one))
         if len(new):
-            self._learn(one[new], [data[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
+            self._learn(one[new], check[first[new]], [data[a:b].decode() for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
             at = np.searchsorted(self.key, one)
         at = at[which]
+        if (self.check[at] != check).any():  # words with one key that the second hash tells apart
+            return self._plainly(raw, off)
         size = self.size[at]
         place = np.arange(int(size.sum())) + np.repeat(self.start[at] - np.cumsum(size) + size, size)
         return self.pool[place], np.bincount(doc, size, minlength=len(off) - 1).astype(np.int64)

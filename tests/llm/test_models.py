@@ -86,10 +86,10 @@ def plain_features(text):
         for i in range(len(raw) - k + 1):
             g = int.from_bytes(raw[i : i + k], "big")
             out.append(((g + k) * int(quality._SALT) % (1 << 64)) >> 48)
-    c = quality.X.prefix_hash(np.frombuffer(raw, np.uint8))
+    body = np.frombuffer(raw, np.uint8)
     before = None
     for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
-        out.append(int(quality.X.span_hash(c, np.array([m.start()]), np.array([m.end()]))[0]) >> 48)
+        out.append(int(quality.X.block_hash(body, np.array([m.start()]), np.array([m.end()]))[0]) >> 48)
         if m.group() == before:
             out.append(int(quality._SALT) >> 48)
         before = m.group()
