@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +140,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ppm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_entropy_secrets")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import KINDS, find_secrets
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("found", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*KINDS)).cast("binary"), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
