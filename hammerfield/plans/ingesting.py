@@ -64,20 +64,6 @@ def src16(v: Views):
     return values(v, "c", [xml]).select(F.explode(S.sitemap_urls(F.col("c"))).alias("u"))
 
 
-_NOTICE = "\n".join(f"Lot {k}: Plot {k} in Sector {k}, Navi Mumbai near the lake and the main road junction\nReserve Price: Rs. {k}00,000\nEMD: Rs. {k}0,000\nDate of auction: 1{k}/10/2026" for k in (1, 2, 3))
-
-
-@query("src18_notice_lots", "SELECT doc, status, lot::BIGINT AS lot, reserve::BIGINT AS reserve, emd::BIGINT AS emd, date, complete FROM (VALUES (0, 'LOTS', 1, 100000, 10000, '11/10/2026', true), (0, 'LOTS', 2, 200000, 20000, '12/10/2026', true), (0, 'LOTS', 3, 300000, 30000, '13/10/2026', true), (1, 'SCANNED', NULL, NULL, NULL, NULL, false)) t(doc, status, lot, reserve, emd, date, complete)")
-def src18(v: Views):
-    return S.notice_lots(v.spark.createDataFrame([(0, _NOTICE), (1, "scan")], "doc long, text string"))
-
-
-@query("tx12_lots_to_records", "SELECT doc || '-' || lot AS external_id, reserve::BIGINT AS reserve_price FROM (VALUES (0, 1, 100000), (0, 2, 200000), (0, 3, 300000)) t(doc, lot, reserve)")
-def tx12(v: Views):
-    lots = S.notice_lots(v.spark.createDataFrame([(0, _NOTICE), (1, "scan")], "doc long, text string"))
-    return lots.filter("complete").select(F.concat_ws("-", F.col("doc").cast("string"), F.col("lot").cast("string")).alias("external_id"), F.col("reserve").alias("reserve_price"))
-
-
 @query("src19_collect_pages", "SELECT count(*) AS pages, count(DISTINCT html) AS distinct_pages FROM pages")
 def src19(v: Views):
     return v.pages.agg(rows_().alias("pages"), F.countDistinct("html").alias("distinct_pages"))

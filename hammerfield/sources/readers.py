@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,43 +153,6 @@ def next_link(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r'(?i)<a\b[^>]*rel="next"[^>]*href="([^"]+)"', 1), F.lit(""))
 
 
-_LOT = re.compile(r"(?im)^\s*(?:lot|property|item)\s*(?:no\.?)?\s*[:.-]?\s*(\d{1,3})\b")
-_VALUE = {"reserve": re.compile(r"(?i)reserve\s*price\s*[:.-]?\s*(?:rs\.?|₹)?\s*([\d,]+)"), "emd": re.compile(r"(?i)\bemd\s*[:.-]?\s*(?:rs\.?|₹)?\s*([\d,]+)"), "date": re.compile(r"(?i)date\s*(?:of\s*auction)?\s*[:.-]?\s*(\d{1,2}[/.-]\d{1,2}[/.-]\d{4})")}
-
-
-def notice_lots(texts: DataFrame) -> DataFrame:
-    """doc, status, lot, reserve, emd, date, complete: the lots of sale notices given as text.
-
-    A text of under 120 letters and digits is scanned. Lots start at numbered markers that count up from 1; without two
-    of them the text is one lot. A value stated twice and differently in a lot is null.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc, text in zip(frame["doc"], frame["text"]):
-                text = text or ""
-                if sum(c.isalnum() for c in text) < 120:
-                    out.append((doc, "SCANNED", None, None, None, None, False))
-                    continue
-                marks, want = [], 1
-                for m in _LOT.finditer(text):
-                    if int(m[1]) == want:
-                        marks.append(m.start())
-                        want += 1
-                parts = [text[a:b] for a, b in zip(marks, [*marks[1:], len(text)])] if len(marks) >= 2 else [text]
-                for k, part in enumerate(parts, 1):
-                    found = {}
-                    for name, pattern in _VALUE.items():
-                        values = {v.replace(",", "") for v in pattern.findall(part)}
-                        found[name] = values.pop() if len(values) == 1 else None
-                    money = [int(found[n]) if found[n] else None for n in ("reserve", "emd")]
-                    out.append((doc, "LOTS" if len(parts) > 1 else "SINGLE", k, *money, found["date"], None not in (*money, found["date"])))
-            yield pd.DataFrame(out, columns=["doc", "status", "lot", "reserve", "emd", "date", "complete"]).astype({"lot": "Int64", "reserve": "Int64", "emd": "Int64"})
-
-    return texts.select("doc", "text").mapInPandas(run, "doc long, status string, lot long, reserve long, emd long, date string, complete boolean")
-
-
 def text_chunks(texts: DataFrame, most: int = 12_000) -> DataFrame:
     """doc, n, chunk: whole texts packed into chunks of at most `most` characters, cut at line breaks where there are any."""
     lines = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
