@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import ingest as I
 from ..operators import rollups as R
 from ..operators.staging import shared_dir
+from ..sources import payloads as P
 from ..sources import readers as S
 from ..sources.paged import PagedJson
 from .proxies import Views
@@ -44,13 +45,33 @@ def src10(v: Views):
     return values(v, "c", [_TABLE, "<p>none</p>"]).select("i", F.size(S.page_links(F.col("c"))).alias("n"), S.next_link(F.col("c")).alias("nxt"))
 
 
-_FLIGHT = 'self.push([1,"x"]);data({"id":"7","price":100});data({"id":"9","price":50})'
+_HEADING = r"(?s)<h1[^>]*>(.*?)</h1>"
+_EMBEDDED = """WITH RECURSIVE p AS (SELECT page_id, '{"auctionData":{"data":[{"_index":"listing","_source":{"id":' || page_id || ',"url":' || to_json(url) || ',"heading":' || to_json(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's')) || '}},{"_index":"other","_source":{"id":-1}},{"_index":"listing"}],"total":1}}' AS leaf FROM pages WHERE page_id % 7 <> 0),
+n AS (SELECT page_id, 0 AS d, leaf AS j FROM p UNION ALL SELECT page_id, d + 1, CASE WHEN d % 2 = 0 THEN '["$","L1",null,' || j || ']' ELSE '{"children":' || j || ',"auctionData":{"data":"none"}}' END FROM n WHERE d < page_id % 6),
+t AS (SELECT page_id, t.value AS v FROM n, json_tree(n.j::JSON) t WHERE d = page_id % 6 AND t.key = 'auctionData'),
+i AS (SELECT page_id, unnest(json_extract(v, '$.data[*]')) AS item FROM t)
+SELECT page_id, json_extract_string(item, '$._source.id') AS id, json_extract_string(item, '$._source.url') AS url, json_extract_string(item, '$._source.heading') AS heading FROM i WHERE json_extract_string(item, '$._index') = 'listing' AND json_extract(item, '$._source') IS NOT NULL"""
 
 
-@query("src12_embedded_json", "SELECT id, price FROM (VALUES ('7', 100), ('9', 50)) t(id, price)")
+def embedding_pages(v: Views):
+    """The pages, six of seven with a script that pushes a record of the page, nested up to five deep, in one to three chunks."""
+    source = F.struct(F.col("page_id").alias("id"), "url", F.regexp_extract("html", _HEADING, 1).alias("heading"))
+    j = F.concat(F.lit('{"auctionData":{"data":[{"_index":"listing","_source":'), F.to_json(source), F.lit('},{"_index":"other","_source":{"id":-1}},{"_index":"listing"}],"total":1}}'))
+    for d in range(5):
+        wrapped = F.concat(F.lit('["$","L1",null,'), j, F.lit("]")) if d % 2 == 0 else F.concat(F.lit('{"children":'), j, F.lit(',"auctionData":{"data":"none"}}'))
+        j = F.when(F.col("page_id") % 6 > d, wrapped).otherwise(j)
+    row = F.concat(F.lower(F.hex("page_id")), F.lit(":"), j)
+    cut = F.ceil(F.length("row") / (F.col("page_id") % 3 + 1)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda k: F.substring("row", k * F.col("cut") + 1, F.col("cut")))
+    script = lambda text: F.concat(F.lit("<script>self.__next_f.push([1,"), F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1), F.lit("])</script>"))
+    scripts = F.concat(script(F.lit('0:I["no json"]\n')), F.array_join(F.transform(parts, script), ""), script(F.lit('f:["$",{"rest":"auctionData"}]')))
+    rows = v.pages.withColumn("row", row).withColumn("cut", cut)
+    return rows.select("page_id", F.when(F.col("page_id") % 7 == 0, F.col("html")).otherwise(F.concat("html", scripts)).alias("html"))
+
+
+@query("src12_embedded_json", _EMBEDDED)
 def src12(v: Views):
-    rows = values(v, "c", [_FLIGHT]).select(F.explode(F.regexp_extract_all("c", F.lit(r"data\((\{[^)]*\})\)"), 1)).alias("j"))
-    return rows.select(F.from_json("j", "id string, price int").alias("r")).select("r.*")
+    return P.embedded_records(embedding_pages(v), "auctionData", "listing", {"id": "$.id", "url": "$.url", "heading": "$.heading"})
 
 
 @query("src13_record_dedupe", "SELECT text, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
