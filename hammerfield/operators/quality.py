@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .health import PROTECTIVE
 from .rollups import streaks
 
 
@@ -26,8 +22,6 @@ def baselines(runs: DataFrame, now) -> DataFrame:
 #: Runs and hours before an empty source is called so, and days that a productive channel vouches for it.
 EMPTY_RUNS, EMPTY_HOURS, REJECTED_RUNS, FRESH_DAYS = 3, 6, 3, 14
 YIELD_SEVERITY = ["PRODUCTIVE", "EMPTY", "ALL_REJECTED", "ZERO_YIELD", "DROPPED"]
-#: Verdicts under which nothing that a source no longer shows is removed.
-PROTECTIVE = ["WARNING", "INCOMPLETE", "CRITICAL", "BLOCKED", "FAILED", "NO_DATA"]
 
 
 def yield_states(runs: DataFrame) -> DataFrame:
@@ -72,142 +66,85 @@ def tick_gaps(runs: DataFrame, limit_minutes: int = 20) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last"), F.max("gap").alias("longest"), F.count_if(F.col("gap") > limit_minutes).alias("long_gaps"))
 
 
-class _Recent:
-    """Values of the last days, kept in order of size: the median of any moment is two look-ups."""
-
-    def __init__(self, days: int):
-        self.span, self.rows, self.sorted = days * 86_400_000_000, deque(), []
-
-    def median(self, now: int) -> float | None:
-        while self.rows and self.rows[0][0] < now - self.span:
-            del self.sorted[bisect_left(self.sorted, self.rows.popleft()[1])]
-        n = len(self.sorted)
-        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
-
-    def add(self, at: int, value: float) -> None:
-        self.rows.append((at, value))
-        insort(self.sorted, value)
+def deciding(verdicts: DataFrame) -> DataFrame:
+    """Per source the run that decides about its protection: the newest with a verdict; a RECOVERING one only if it protects."""
+    told = verdicts.filter("verdict IS NOT NULL AND (verdict <> 'RECOVERING' OR coalesce(protect, false))")
+    last = told.groupBy("source").agg(F.max_by(F.struct("id", "verdict", "protect"), F.struct("started_at", "id")).alias("r"))
+    return last.select("source", "r.*")
 
 
-def _drop(now: float | None, reference: float | None) -> str | None:
-    if now is None or not reference:
-        return None
-    lost = max(0.0, (reference - now) / reference)
-    return "CRITICAL" if lost >= 0.6 else "INCOMPLETE" if lost >= 0.3 else "WARNING" if lost >= 0.1 else "HEALTHY"
+def _flag() -> Column:
+    """Whether a run protects: its own word, else its verdict's (rows older than the flag)."""
+    return F.coalesce("protect", F.col("verdict").isin(*PROTECTIVE))
 
 
-def judge(run: dict, reference: float | None, pages: float | None) -> str:
-    """Verdict of a run (records, pages, rejected, blocked, complete) against the medians of its source's good runs."""
-    if run["blocked"]:
-        return "BLOCKED"
-    if not run["complete"]:
-        return "INCOMPLETE"
-    if run["records"] is None:
-        return "RECOVERING"
-    if not reference:
-        return "NO_DATA" if run["records"] == 0 else "RECOVERING"
-    if run["records"] == 0:
-        return "CRITICAL"
-    order = ["HEALTHY", "WARNING", "INCOMPLETE", "CRITICAL"]
-    worst = max(filter(None, (_drop(run["records"], reference), _drop(run["pages"], pages))), key=order.index)
-    return "WARNING" if worst == "HEALTHY" and run["rejected"] >= 0.3 * run["records"] else worst
+def protection(verdicts: DataFrame, readable: Column | None = None) -> DataFrame:
+    """source, status, protected, basis and may_disappear of each source's runs (id, started_at, verdict, protect).
 
-
-def completeness(runs: DataFrame) -> DataFrame:
-    """id, source, baseline, page_baseline and verdict of each run (started_at, records, pages, rejected, blocked, complete).
-
-    The baseline is the median of the source's good runs of the last 7 days, else of 30 days, for records and pages
-    apart; good are HEALTHY runs, and the first ones of a source, which have nothing to be compared with. A verdict so
-    decides about later ones: each source's history is walked in order, once, and is bounded by the run log's retention.
+    basis: verdict, none (no run decides: nothing to protect from) or unreadable: where `readable`, a condition on the
+    source, does not hold, the source is protected whatever its runs say. may_disappear: whether a listing that the
+    source no longer shows may be acted on, for which only a HEALTHY verdict will do.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, {}
-        for batch in batches:
-            names = batch.schema.names
-            out = []
-            for row in zip(*(batch.column(n).to_pylist() if n != "started_at" else batch.column(n).cast(pa.int64()).to_pylist() for n in names)):
-                run = dict(zip(names, row))
-                if run["source"] != now:
-                    now, seen = run["source"], {(k, d): _Recent(d) for k in ("records", "pages") for d in (7, 30)}
-                at = run["started_at"]
-                found = {k: seen[k].median(at) for k in seen}
-                base, pages = (found[k, 7] if found[k, 7] is not None else found[k, 30] for k in ("records", "pages"))
-                verdict = judge(run, base, pages)
-                if verdict in ("HEALTHY", "RECOVERING"):
-                    for k, days in seen:
-                        if run[k] is not None:
-                            seen[k, days].add(at, run[k])
-                out.append((run["id"], now, base, pages, verdict))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.string()])], ["id", "source", "baseline", "page_baseline", "verdict"])
-
-    rows = runs.select("id", "source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "records", "pages", "rejected", "blocked", "complete")
-    return rows.repartition("source").sortWithinPartitions("source", "started_at", "id").mapInArrow(walk, "id long, source string, baseline double, page_baseline double, verdict string")
-
-
-def protection(verdicts: DataFrame) -> DataFrame:
-    """source, status and protected, by the newest run that carries a verdict; RECOVERING runs settle nothing."""
-    told = verdicts.filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'")
-    last = told.groupBy("source").agg(F.max_by("verdict", F.struct("started_at", "id")).alias("status"))
-    return verdicts.select("source").distinct().join(last, "source", "left").select("source", "status", F.coalesce(F.col("status").isin(*PROTECTIVE), F.lit(False)).alias("protected"))
+    rows = verdicts.select("source").distinct().join(deciding(verdicts), "source", "left")
+    known = F.col("verdict").isNotNull()
+    read = F.lit(True) if readable is None else F.coalesce(readable, F.lit(False))
+    guarded = F.when(~read, True).when(known, _flag()).otherwise(False)
+    status = F.when(read, F.col("verdict"))
+    return rows.select(
+        "source", status.alias("status"), guarded.alias("protected"), F.when(~read, "unreadable").when(known, "verdict").otherwise("none").alias("basis"),
+        F.coalesce(~guarded & (status == "HEALTHY"), F.lit(False)).alias("may_disappear"),
+    )
 
 
 def anomaly_streak(verdicts: DataFrame) -> DataFrame:
-    """source and the flagged runs since its last unflagged verdict; RECOVERING runs neither count nor end it."""
-    told = verdicts.filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'").withColumn("flagged", F.col("verdict").isin(*PROTECTIVE))
+    """source and the flagged runs since its last unflagged verdict; RECOVERING runs that do not protect neither count nor end it."""
+    told = verdicts.filter("verdict IS NOT NULL AND (verdict <> 'RECOVERING' OR coalesce(protect, false))").withColumn("flagged", _flag())
     newest = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
     open_ = told.withColumn("ended", F.sum(F.when(F.col("flagged"), 0).otherwise(1)).over(newest)).filter("ended = 0")
     return open_.groupBy("source").agg(F.count(F.lit(1)).alias("streak"))
 
 
-def recovery(runs: DataFrame, cooldown_hours: int = 12, expiry_hours: int = 24, most: int = 3) -> DataFrame:
-    """State of each source's recovery attempts after failed runs: at most three, half a day apart, given up after a day.
-
-    The state is folded over each source's runs in order, in one pass over sorted rows.
-    """
-    hour = 3_600_000_000
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, attempts, first, last = None, "DONE", 0, 0, 0
-        for batch in batches:
-            out = []
-            for i, source, at, status in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.int64()).to_pylist(), batch.column(3).to_pylist()):
-                if source != now:
-                    now, state, attempts = source, "DONE", 0
-                if status == "ok":
-                    state, attempts = "DONE", 0
-                elif state == "DONE":
-                    state, attempts, first, last = "QUEUED", 1, at, at
-                elif at - first > expiry_hours * hour:
-                    state = "EXPIRED"
-                elif attempts >= most:
-                    state = "EXHAUSTED"
-                elif at - last >= cooldown_hours * hour:
-                    state, attempts, last = "FAILED_ATTEMPT", attempts + 1, at
-                out.append((i, source, state, attempts))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.string(), pa.string(), pa.int32()])], ["id", "source", "state", "attempts"])
-
-    rows = runs.select("id", "source", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "status")
-    return rows.repartition("source").sortWithinPartitions("source", "started_at", "id").mapInArrow(walk, "id long, source string, state string, attempts int")
+#: Passes missed before an item is flagged, and the share of missed items from which a pass of so many counts for none.
+MISSED_PASSES, GUARD_SHARE, GUARD_LEAST = 2, 0.2, 20
 
 
 def last_seen_sweep(sightings: DataFrame, passes: DataFrame) -> DataFrame:
-    """Per item the complete passes of its source since it was last seen; flagged from the second on.
+    """source, item, missed and flagged: the passes in a row that each item was not seen in, flagged from the second on.
 
-    A source that misses more than a fifth of its twenty or more items is left alone: it is the source that failed.
+    sightings: source, item, seen_at. passes: source, pass_at, done_at, and the gate: verdict, complete; only complete
+    HEALTHY passes are counted, and passes of a source do not overlap. An item is seen in a pass when a sighting lies
+    between its start and its end; that, or any sighting of a flagged item, starts its count anew. A pass that misses
+    more than GUARD_SHARE of the GUARD_LEAST or more items known by its end counts for none of them: it is the source
+    that failed. Sightings are placed in the short list of their source's passes, so no source meets in one task.
     """
-    last = sightings.groupBy("source", "item").agg(F.max("seen_at").alias("at"))
-    # passes and last sightings in one order of time: the passes after a sighting are those of the source less those up to it
-    both = passes.filter("complete").select("source", F.lit(None).cast(last.schema["item"].dataType).alias("item"), F.col("pass_at").alias("at"), F.lit(1).alias("pass"))
-    both = both.unionByName(last.select("source", "item", "at", F.lit(0).alias("pass")))
-    so_far = F.sum("pass").over(Window.partitionBy("source").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("pass").over(Window.partitionBy("source"))
-    missed = both.select("source", "item", "pass", (whole - so_far).alias("missed")).filter("pass = 0").drop("pass")
-    share = missed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("missed") > 0, 1.0).otherwise(0.0)).alias("share"))
-    held = (F.col("n") >= 20) & (F.col("share") > 0.2)
-    return missed.join(share, "source").select("source", "item", "missed", (~held & (F.col("missed") >= 2)).alias("flagged"))
+    good = passes.filter("verdict = 'HEALTHY' AND coalesce(complete, false)")
+    listed = good.groupBy("source").agg(F.sort_array(F.collect_set(F.struct("pass_at", "done_at"))).alias("passes"))  # bounded by the log's retention
+    seen = sightings.join(listed, "source", "left")
+    seen = seen.withColumn("k", F.coalesce(F.size(F.filter("passes", lambda p: p["pass_at"] <= F.col("seen_at"))), F.lit(0)))
+    in_pass = F.coalesce(F.col("seen_at") <= F.get("passes", F.col("k") - 1)["done_at"], F.lit(False))
+    before = F.coalesce(F.size(F.filter("passes", lambda p: p["done_at"] < F.col("seen_at"))), F.lit(0))  # passes over before the sighting
+    # one row for an item and a pass, or the time until the next
+    placed = seen.groupBy("source", "item", "k", in_pass.alias("in_pass")).agg(F.min(before).alias("before"))
+    items = placed.groupBy("source", "item").agg(
+        (F.min("before") + 1).alias("known_from"), F.coalesce(F.max(F.when(F.col("in_pass"), F.col("k"))), F.lit(0)).alias("last"), F.collect_set(F.when(~F.col("in_pass"), F.col("k"))).alias("between")
+    )
+    found = placed.filter("in_pass").groupBy("source", "k").agg(F.count(F.lit(1)).alias("found"))
+    added = items.groupBy("source", F.col("known_from").alias("k")).agg(F.count(F.lit(1)).alias("added"))
+    each = listed.select("source", F.explode(F.sequence(F.lit(1), F.size("passes"))).alias("k")).join(found, ["source", "k"], "left").join(added, ["source", "k"], "left")
+    known = F.sum(F.coalesce("added", F.lit(0))).over(Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.select("source", "k", F.coalesce("found", F.lit(0)).alias("found"), known.alias("known"))
+    counts = ~((F.col("known") >= GUARD_LEAST) & ((F.col("known") - F.col("found")) / F.col("known") > GUARD_SHARE))
+    counted = each.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", counts.alias("counts")))), lambda p: p["counts"]).alias("counts"))
+    rows = items.join(counted, "source", "left")
+    after = F.greatest(F.col("last") + 1, F.col("known_from"))
+    missable = F.when(after <= F.size("counts"), F.sequence(after, F.size("counts")))
+
+    def step(n: Column, k: Column) -> Column:
+        now = n + F.get("counts", k - 1).cast("int")
+        return F.when((now >= MISSED_PASSES) & F.array_contains("between", k), 0).otherwise(now)
+
+    missed = F.coalesce(F.aggregate(missable, F.lit(0), step), F.lit(0)).cast("long")
+    return rows.select("source", "item", missed.alias("missed")).withColumn("flagged", F.col("missed") >= MISSED_PASSES)
 
 
 def coverage_flags(auctions: DataFrame, properties: DataFrame, over) -> DataFrame:
@@ -219,15 +156,43 @@ def coverage_flags(auctions: DataFrame, properties: DataFrame, over) -> DataFram
     return rows.select("id", "bank_id", current.alias("current"), F.coalesce(actionable, F.lit(False)).alias("actionable"))
 
 
-def acceptance(verdict: Column, records: Column) -> Column:
-    """May a run's size become the new baseline: only a flagged run with a trustworthy count that is not empty."""
-    return (
-        F.when(records.isNull(), "no count")
-        .when(verdict.isin("HEALTHY", "RECOVERING"), "nothing to accept")
-        .when(verdict == "BLOCKED", "not trustworthy")
-        .when(records == 0, "empty")
+def acceptance(verdicts: DataFrame) -> DataFrame:
+    """source, id and outcome: may the size of a source's deciding run become its baseline? Only where that run is flagged
+    and measured the whole source cleanly. verdicts: id, source, started_at, verdict, protect, records, blocked,
+    structure_changed, failed, eligible, complete.
+    """
+    details = verdicts.select("source", "id", "records", "blocked", "structure_changed", "failed", "eligible", "complete")
+    rows = verdicts.select("source").distinct().join(deciding(verdicts), "source", "left").join(details, ["source", "id"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    outcome = (
+        F.when(~F.coalesce(_flag(), F.lit(False)), "nothing to accept")
+        .when(F.col("verdict").isin("BLOCKED", "FAILED", "NO_DATA"), "not trustworthy")
+        .when(yes("blocked") | yes("structure_changed") | yes("failed"), "not clean")
+        .when(~F.coalesce("eligible", F.lit(True)), "a slice")
+        .when(~F.coalesce("complete", F.lit(True)), "not complete")
+        .when(F.coalesce("records", F.lit(0)) <= 0, "empty")
         .otherwise("accepted")
     )
+    return rows.select("source", "id", outcome.alias("outcome"))
+
+
+#: Minutes after which a claim is stale, and between the starts of two ticks.
+CLAIM_STALE, TICK_GAP = 6, 3
+
+
+def lease(markers: DataFrame, now: Column) -> DataFrame:
+    """key, winner, waiting and blocked of the claims of each key (key, id, kind, at): claim, claim_done or tick.
+
+    Of the claims that are neither stale nor released (by a later claim_done) the earliest holds the lease, ties by id.
+    No tick may start while one holds it, nor within TICK_GAP minutes of the start of the last.
+    """
+    age = lambda minutes: F.col("at") > now - F.expr(f"INTERVAL {minutes} MINUTES")
+    released = markers.filter("kind = 'claim_done'").groupBy("key").agg(F.max("at").alias("released"))
+    rows = markers.filter(F.col("at") <= now).join(released, "key", "left")
+    live = (F.col("kind") == "claim") & age(CLAIM_STALE) & F.coalesce(F.col("at") >= F.col("released"), F.lit(True))
+    ticked = (F.col("kind") == "tick") & age(TICK_GAP)
+    out = rows.groupBy("key").agg(F.min_by(F.when(live, F.col("id")), F.when(live, F.struct("at", "id"))).alias("winner"), F.count_if(live).alias("waiting"), F.bool_or(ticked).alias("ticked"))
+    return out.select("key", "winner", "waiting", F.when(F.col("waiting") > 0, "another tick is running").when(F.col("ticked"), "a tick just ran").alias("blocked"))
 
 
 HEADER = "[DATA_ENGINE_V1] "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import health as H
 from ..operators import lifecycle as L
 from ..operators import quality as Q
 from ..operators import rollups as R
@@ -157,60 +158,81 @@ def st24(v: Views):
 
 
 _VERDICT = "CASE created % 9 WHEN 0 THEN NULL WHEN 1 THEN 'RECOVERING' WHEN 2 THEN 'CRITICAL' WHEN 3 THEN 'WARNING' WHEN 4 THEN 'BLOCKED' ELSE CASE WHEN status = 'ok' THEN 'HEALTHY' ELSE 'FAILED' END END"
+_PROTECT = "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN created % 9 <> 1 ELSE created % 2 = 0 END"
+#: What the deciding runs say: those without a verdict, and RECOVERING ones that do not protect, are passed over.
+_TOLD = f"j AS (SELECT *, {_VERDICT} AS verdict, {_PROTECT} AS protect FROM run_log), k AS (SELECT *, coalesce(protect, verdict <> 'HEALTHY') AS flagged FROM j WHERE verdict IS NOT NULL AND (verdict <> 'RECOVERING' OR coalesce(protect, false)))"
+_DECIDING = f"{_TOLD}, d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM k) WHERE n = 1), r AS (SELECT DISTINCT source FROM run_log)"
 
 
 def _judged(v: Views):
-    return v.run_log.selectExpr("id", "source", "started_at", f"{_VERDICT} AS verdict")
+    return v.run_log.selectExpr("id", "source", "started_at", f"{_VERDICT} AS verdict", f"{_PROTECT} AS protect")
 
 
-@query("wn06_latest_evaluated", f"SELECT source, arg_max(id, (started_at, id)) AS id FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING' GROUP BY source")
+@query("wn06_latest_evaluated", f"WITH {_DECIDING} SELECT source, id, verdict, protect FROM d")
 def wn06(v: Views):
-    told = _judged(v).filter("verdict IS NOT NULL AND verdict <> 'RECOVERING'")
-    return told.groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("id"))
+    return Q.deciding(_judged(v))
 
 
-@query("wn07_anomaly_streak", f"""SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN verdict = 'HEALTHY' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') WHERE ok = 0 GROUP BY source""")
+@query("wn07_anomaly_streak", f"WITH {_TOLD} SELECT source, count(*) AS streak FROM (SELECT *, sum(CASE WHEN flagged THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY started_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS ok FROM k) WHERE ok = 0 GROUP BY source")
 def wn07(v: Views):
     return Q.anomaly_streak(_judged(v))
 
 
-@query("st28_protection", f"""SELECT source, arg_max(verdict, (started_at, id)) FILTER (WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') AS status, coalesce(arg_max(verdict, (started_at, id)) FILTER (WHERE verdict IS NOT NULL AND verdict <> 'RECOVERING') <> 'HEALTHY', false) AS protected FROM (SELECT *, {_VERDICT} AS verdict FROM run_log) GROUP BY source""")
+@query("st28_protection", f"""WITH {_DECIDING} SELECT r.source, CASE WHEN r.source <> 'src3' THEN verdict END AS status, CASE WHEN r.source = 'src3' THEN true ELSE coalesce(flagged, false) END AS protected, CASE WHEN r.source = 'src3' THEN 'unreadable' WHEN verdict IS NULL THEN 'none' ELSE 'verdict' END AS basis,
+coalesce(r.source <> 'src3' AND NOT flagged AND verdict = 'HEALTHY', false) AS may_disappear FROM r LEFT JOIN d USING (source)""")
 def st28(v: Views):
-    return Q.protection(_judged(v))
+    """The history of one source cannot be read: it is protected."""
+    return Q.protection(_judged(v), F.col("source") != "src3")
+
+
+def _measured(v: Views):
+    """Runs with what they measured: one in 31 has no count, some are slices, incomplete, blocked or see another structure."""
+    return v.run_log.select(
+        "id", "source", "started_at", F.when(F.col("id") % 31 > 0, F.col("created").cast("double")).alias("records"), F.when(F.col("id") % 5 > 0, F.floor(F.col("created") / 10).cast("double")).alias("pages"),
+        (F.col("created") % 40).cast("double").alias("rejected"), ((F.col("status") == "error") & (F.col("id") % 3 == 0)).alias("blocked"), (F.col("id") % 37 > 0).alias("complete"), (F.col("id") % 11 > 0).alias("eligible"),
+        (F.col("id") % 97 == 1).alias("structure_changed"), ((F.col("id") % 31 == 0) & (F.col("id") % 2 == 0)).alias("failed"), (F.col("id") % 101 == 100).alias("accepted"),
+        F.col("created").cast("double").alias("index_size"), F.when(F.col("id") % 2 == 0, F.lit(300.0)).alias("index_before"),
+    )
 
 
 @query("st26_recovery")
 def st26(v: Views):
-    return Q.recovery(v.run_log)
+    return H.source_health(_measured(v)).select("id", "source", "action", "state", "attempts")
 
 
 @query("st27_completeness")
 def st27(v: Views):
-    rows = v.run_log.select(
-        "id", "source", "started_at", F.when(F.col("id") % 31 > 0, F.col("created").cast("double")).alias("records"), F.when(F.col("id") % 5 > 0, F.col("created") / 10).alias("pages"),
-        (F.col("created") % 40).cast("double").alias("rejected"), (F.col("status") == "error").alias("blocked"), (F.col("id") % 37 > 0).alias("complete"),
-    )
-    return Q.completeness(rows)
+    return H.source_health(_measured(v)).select("id", "source", "baseline", "page_baseline", "verdict", "protect", "record_health", "page_health")
+
+
+_ITEM = "cast(id % CASE WHEN source < 'src4' THEN 7 ELSE 60 END AS {string})"
 
 
-@query("st25_last_seen", """WITH l AS (SELECT source, json_extract_string(message, '$.k') AS item, max(started_at) AS seen FROM run_log WHERE kind <> 'error' GROUP BY ALL), p AS (SELECT source, started_at AS at FROM run_log WHERE kind = 'error'),
-m AS (SELECT l.source, item, count(p.at) AS missed FROM l LEFT JOIN p ON p.source = l.source AND p.at > l.seen GROUP BY l.source, item, seen),
-h AS (SELECT source, count(*) AS n, avg(CASE WHEN missed > 0 THEN 1.0 ELSE 0.0 END) AS share FROM m GROUP BY source)
-SELECT m.source, item, missed, NOT (n >= 20 AND share > 0.2) AND missed >= 2 AS flagged FROM m JOIN h USING (source)""")
+@query("st25_last_seen", f"""WITH RECURSIVE s AS (SELECT source, {_ITEM.replace("{string}", "VARCHAR")} AS item, started_at AS t FROM run_log WHERE kind <> 'error'),
+p AS (SELECT id, source, started_at AS a, coalesce(lead(started_at) OVER (PARTITION BY source ORDER BY started_at, id) - interval 1 microsecond, started_at + interval 6 hour) AS b FROM run_log WHERE kind = 'error'),
+q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY a, b) AS k FROM (SELECT DISTINCT source, a, b FROM p WHERE id % 3 <> 0 AND id % 7 <> 0)),
+x AS (SELECT s.source, item, t, count(q.a) AS k, coalesce(t <= arg_max(q.b, q.k), false) AS inside FROM s LEFT JOIN q ON q.source = s.source AND q.a <= t GROUP BY s.source, item, t),
+y AS (SELECT DISTINCT source, item, k, inside FROM x), i AS (SELECT f.source, item, f.f AS f, count(q.a) + 1 AS since FROM (SELECT source, item, min(t) AS f FROM s GROUP BY ALL) f LEFT JOIN q ON q.source = f.source AND q.b < f.f GROUP BY f.source, item, f.f),
+e AS (SELECT source, k, (SELECT count(*) FROM i WHERE i.source = q.source AND i.f <= q.b) AS known, (SELECT count(*) FROM y WHERE y.source = q.source AND y.k = q.k AND inside) AS found FROM q),
+g AS (SELECT source, k, NOT (known >= 20 AND (known - found) / known > 0.2) AS counts FROM e),
+r AS (SELECT source, item, since - 1 AS k, 0::BIGINT AS n FROM i UNION ALL SELECT r.source, r.item, g.k, CASE WHEN o.item IS NOT NULL AND m >= 2 THEN 0 ELSE m END FROM r JOIN g ON g.source = r.source AND g.k = r.k + 1
+  LEFT JOIN y z ON z.source = r.source AND z.item = r.item AND z.k = g.k AND z.inside LEFT JOIN y o ON o.source = r.source AND o.item = r.item AND o.k = g.k AND NOT o.inside, LATERAL (SELECT CASE WHEN z.item IS NOT NULL THEN 0 WHEN counts THEN r.n + 1 ELSE r.n END AS m))
+SELECT source, item, n AS missed, n >= 2 AS flagged FROM r QUALIFY row_number() OVER (PARTITION BY source, item ORDER BY k DESC) = 1""")
 def st25(v: Views):
-    """Every run is a sighting of its item, or a complete pass."""
-    seen = v.run_log.filter("kind <> 'error'").select("source", F.get_json_object("message", "$.k").alias("item"), F.col("started_at").alias("seen_at"))
-    passes = v.run_log.filter("kind = 'error'").select("source", F.col("started_at").alias("pass_at"), F.lit(True).alias("complete"))
+    """Every run is a sighting of its item, or a pass that lasts until the next one; some passes are not healthy or not complete."""
+    seen = v.run_log.filter("kind <> 'error'").selectExpr("source", f"{_ITEM.replace('{string}', 'string')} AS item", "started_at AS seen_at")
+    following = F.lead("started_at").over(Window.partitionBy("source").orderBy("started_at", "id"))
+    done = F.coalesce(following - F.expr("INTERVAL '0.000001' SECOND"), F.col("started_at") + F.expr("INTERVAL 6 HOURS"))
+    passes = v.run_log.filter("kind = 'error'").select("id", "source", F.col("started_at").alias("pass_at"), done.alias("done_at"))
+    passes = passes.select("source", "pass_at", "done_at", F.when(F.col("id") % 3 != 0, "HEALTHY").otherwise("WARNING").alias("verdict"), (F.col("id") % 7 != 0).alias("complete"))
     return Q.last_seen_sweep(seen, passes)
 
 
-@query("st29_accept_baseline", f"""SELECT source, id, CASE WHEN records IS NULL THEN 'no count' WHEN verdict IN ('HEALTHY', 'RECOVERING') THEN 'nothing to accept' WHEN verdict = 'BLOCKED' THEN 'not trustworthy' WHEN records = 0 THEN 'empty' ELSE 'accepted' END AS outcome
-FROM (SELECT *, {_VERDICT} AS verdict, CASE WHEN id % 31 > 0 THEN created END AS records, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS n FROM run_log WHERE created % 9 <> 0) WHERE n = 1""")
+@query("st29_accept_baseline", f"""WITH {_DECIDING} SELECT r.source, id, CASE WHEN NOT coalesce(flagged, false) THEN 'nothing to accept' WHEN verdict IN ('BLOCKED', 'FAILED', 'NO_DATA') THEN 'not trustworthy' WHEN (status = 'error' AND id % 3 = 0) OR id % 97 = 1 OR (id % 31 = 0 AND id % 2 = 0) THEN 'not clean'
+WHEN id % 11 = 0 THEN 'a slice' WHEN id % 37 = 0 THEN 'not complete' WHEN id % 31 = 0 OR created <= 0 THEN 'empty' ELSE 'accepted' END AS outcome FROM r LEFT JOIN d USING (source)""")
 def st29(v: Views):
-    """Whether the size of each source's newest judged run may become its baseline."""
-    rows = v.run_log.filter("created % 9 <> 0").selectExpr("id", "source", "started_at", f"{_VERDICT} AS verdict", "CASE WHEN id % 31 > 0 THEN created END AS records")
-    last = S.latest(rows, ["source"], F.col("started_at").desc(), F.col("id").desc())
-    return last.select("source", "id", Q.acceptance(F.col("verdict"), F.col("records")).alias("outcome"))
+    """Whether the size of each source's deciding run may become its baseline."""
+    return Q.acceptance(_measured(v).join(_judged(v).select("id", "verdict", "protect"), "id"))
 
 
 @query("snk04_retention", "SELECT source, kind, count(*) AS kept FROM run_log WHERE CASE WHEN kind = 'view' THEN started_at >= timestamp '2025-02-20' - interval 400 day ELSE started_at >= timestamp '2024-03-15' - interval 60 day END GROUP BY ALL")
@@ -222,13 +244,16 @@ def snk04(v: Views):
     return v.run_log.filter(kept).groupBy("source", "kind").agg(rows_().alias("kept"))
 
 
-@query("st22_lease", """WITH m AS (SELECT source, id, started_at FROM run_log WHERE kind = 'click'), t AS (SELECT max(started_at) AS now FROM run_log)
-SELECT source, arg_min(id, (started_at, id)) AS winner, count(*) AS waiting FROM m, t WHERE started_at > now - interval 12 hour GROUP BY source""")
+@query("st22_lease", """WITH m AS (SELECT CAST(started_at AS DATE) AS key, id, started_at AS t, CASE kind WHEN 'click' THEN 'claim' WHEN 'signup' THEN 'claim_done' WHEN 'view' THEN 'tick' END AS kind FROM run_log),
+n AS (SELECT key, max(t) AS now, max(t) FILTER (WHERE kind = 'claim_done') AS released FROM m GROUP BY key),
+l AS (SELECT m.*, coalesce(kind = 'claim', false) AND t > now - interval 6 minute AND coalesce(t >= released, true) AS live, coalesce(kind = 'tick', false) AND t > now - interval 3 minute AS ticked FROM m JOIN n USING (key))
+SELECT key, arg_min(id, (t, id)) FILTER (WHERE live) AS winner, count(*) FILTER (WHERE live) AS waiting, CASE WHEN count(*) FILTER (WHERE live) > 0 THEN 'another tick is running' WHEN bool_or(ticked) THEN 'a tick just ran' END AS blocked FROM l GROUP BY key""")
 def st22(v: Views):
-    """The earliest marker that is not stale holds the lease; ties go to the smaller id."""
-    now = v.run_log.agg(F.max("started_at").alias("now"))
-    live = v.run_log.filter("kind = 'click'").join(F.broadcast(now)).filter("started_at > now - INTERVAL 12 HOURS")  # one row
-    return live.groupBy("source").agg(F.min_by("id", F.struct("started_at", "id")).alias("winner"), rows_().alias("waiting"))
+    """The lease of each day's ticks, as it stands at the day's last event."""
+    kind = F.when(F.col("kind") == "click", "claim").when(F.col("kind") == "signup", "claim_done").when(F.col("kind") == "view", "tick")
+    rows = v.run_log.select(F.col("started_at").cast("date").alias("key"), "id", F.col("started_at").alias("at"), kind.alias("kind"))
+    last = rows.groupBy("key").agg(F.max("at").alias("now"))
+    return Q.lease(rows.join(last, "key"), F.col("now"))
 
 
 @query("wn02_trend", """SELECT scope, date, value, value - lag(value) OVER w AS change, greatest(0, date_diff('day', lag(date) OVER w, date) - 1)::INT AS gap_days FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,14 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.staging import shared_dir
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="ticks-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_runs(spark: SparkSession, path: str, files_per_tick: int = 1) -> DataFrame:
@@ -35,12 +32,12 @@ def run_ticks(rows: DataFrame, name: str, mode: str = "update") -> DataFrame:
     Each batch overwrites its own folder, so a batch that runs again leaves the same rows.
     """
     spark = rows.sparkSession
-    out = shared_dir(spark, name)
+    out = new_dir(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/tick={number}")
 
-    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark, f"{name}-state")).trigger(availableNow=True)
+    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", new_dir(spark, f"{name}-state")).trigger(availableNow=True)
     stream.foreachBatch(write).start().awaitTermination()
     return spark.read.option("basePath", out).schema(T.StructType([*rows.schema.fields, T.StructField("tick", T.IntegerType())])).parquet(out)
 

@@ -102,65 +102,6 @@ def test_greedy_survivors_equal_a_walk_in_order(spark):
     assert got == want and sum(a != b for a, b in want.items()) > 30
 
 
-def test_completeness_and_recovery_equal_plain_folds(spark):
-    import random
-    from datetime import datetime, timedelta
-    from statistics import median
-
-    from hammerfield.operators import quality as Q
-
-    rng = random.Random(5)
-    start = datetime(2024, 1, 1)
-    runs = []
-    for i in range(500):
-        at = start + timedelta(minutes=rng.randrange(60 * 24 * 90))
-        records = rng.choice([None, 0.0, 100.0, 95.0, 80.0, 60.0, 30.0, 105.0, 100.0, 98.0])
-        runs.append((i, f"s{i % 3}", at, records, rng.choice([None, 10.0, 9.5, 5.0]), float(rng.choice([0, 50])), rng.random() < 0.05, rng.random() < 0.95, rng.choice(["ok", "error", "error"])))
-    frame = spark.createDataFrame(runs, "id long, source string, started_at timestamp_ntz, records double, pages double, rejected double, blocked boolean, complete boolean, status string")
-    got = {r.id: (r.baseline, r.page_baseline, r.verdict) for r in Q.completeness(frame).collect()}
-    states = {r.id: (r.state, r.attempts) for r in Q.recovery(frame).collect()}
-    seen_verdicts, seen_states = set(), set()
-    for source in ("s0", "s1", "s2"):
-        good, state, attempts, first, last = [], "DONE", 0, None, None
-        for i, _, at, records, pages, rejected, blocked, complete, status in sorted((r for r in runs if r[1] == source), key=lambda r: (r[2], r[0])):
-            def of(k, days):
-                values = [g[k] for g in good if g[k] is not None and g[0] >= at - timedelta(days=days)]
-                return median(values) if values else None
-
-            base, page_base = (of(k, 7) if of(k, 7) is not None else of(k, 30) for k in (1, 2))
-            drops = [max(0, (b - x) / b) for x, b in ((records, base), (pages, page_base)) if x is not None and b]
-            if blocked:
-                verdict = "BLOCKED"
-            elif not complete:
-                verdict = "INCOMPLETE"
-            elif records is None:
-                verdict = "RECOVERING"
-            elif not base:
-                verdict = "RECOVERING" if records else "NO_DATA"
-            elif records == 0:
-                verdict = "CRITICAL"
-            else:
-                worst = max(drops)
-                verdict = "CRITICAL" if worst >= 0.6 else "INCOMPLETE" if worst >= 0.3 else "WARNING" if worst >= 0.1 or rejected / records >= 0.3 else "HEALTHY"
-            if verdict in ("HEALTHY", "RECOVERING"):
-                good.append((at, records, pages))
-            assert got[i] == (base, page_base, verdict)
-            seen_verdicts.add(verdict)
-            if status == "ok":
-                state, attempts = "DONE", 0
-            elif state == "DONE":
-                state, attempts, first, last = "QUEUED", 1, at, at
-            elif at - first > timedelta(hours=24):
-                state = "EXPIRED"
-            elif attempts >= 3:
-                state = "EXHAUSTED"
-            elif at - last >= timedelta(hours=12):
-                state, attempts, last = "FAILED_ATTEMPT", attempts + 1, at
-            assert states[i] == (state, attempts)
-            seen_states.add(state)
-    assert len(seen_verdicts) == 7 and {"DONE", "QUEUED", "EXPIRED", "FAILED_ATTEMPT"} <= seen_states
-
-
 def test_fnv_and_spellings_and_chunks_equal_plain_python(spark):
     from hammerfield.functions.money import fnv1a
     from hammerfield.sources.readers import text_chunks
