@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
@@ -204,9 +204,17 @@ OUT = "id long, source string, started_at timestamp_ntz, baseline double, page_b
 
 
 def run_rows(runs: DataFrame) -> DataFrame:
-    """id, source, started_at and the columns of RUN; those that runs do not have are null, nulls mean what RUN says."""
+    """id, source, started_at and the columns of RUN; those that runs do not have are null, and nulls (and no numbers) mean what RUN says."""
     have = set(runs.columns)
-    columns = [(F.coalesce(F.col(c).cast(t), F.lit(null)) if null is not None else F.col(c).cast(t)).alias(c) if c in have else F.lit(null).cast(t).alias(c) for c, (t, null) in RUN.items()]
+
+    def value(name: str, kind: str, null) -> Column:
+        if name not in have:
+            return F.lit(null).cast(kind)
+        given = F.col(name).cast(kind)
+        given = F.when(~F.isnan(given), given) if kind == "double" else given
+        return given if null is None else F.coalesce(given, F.lit(null))
+
+    columns = [value(c, kind, null).alias(c) for c, (kind, null) in RUN.items()]
     return runs.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("started_at").cast("timestamp_ntz").alias("started_at"), *columns)
 
 

@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: The modules that register queries.
-MODULES = ("search", "counts", "scalars", "runlog", "entities", "ingesting", "notices", "listings", "pages", "site", "sites", "upkeep")
+MODULES = ("search", "counts", "scalars", "runlog", "entities", "ingesting", "notices", "listings", "pages", "site", "streams", "sites", "upkeep")
 
 
 def query(name: str, oracle: str | None = None):

@@ -208,7 +208,7 @@ def st27(v: Views):
 _ITEM = "cast(id % CASE WHEN source < 'src4' THEN 7 ELSE 60 END AS {string})"
 
 
-@query("st25_last_seen", f"""WITH RECURSIVE s AS (SELECT source, {_ITEM.replace("{string}", "VARCHAR")} AS item, started_at AS t FROM run_log WHERE kind <> 'error'),
+LAST_SEEN = f"""WITH RECURSIVE s AS (SELECT source, {_ITEM.replace("{string}", "VARCHAR")} AS item, started_at AS t FROM run_log WHERE kind <> 'error'),
 p AS (SELECT id, source, started_at AS a, coalesce(lead(started_at) OVER (PARTITION BY source ORDER BY started_at, id) - interval 1 microsecond, started_at + interval 6 hour) AS b FROM run_log WHERE kind = 'error'),
 q AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY a, b) AS k FROM (SELECT DISTINCT source, a, b FROM p WHERE id % 3 <> 0 AND id % 7 <> 0)),
 x AS (SELECT s.source, item, t, count(q.a) AS k, coalesce(t <= arg_max(q.b, q.k), false) AS inside FROM s LEFT JOIN q ON q.source = s.source AND q.a <= t GROUP BY s.source, item, t),
@@ -217,15 +217,22 @@ e AS (SELECT source, k, (SELECT count(*) FROM i WHERE i.source = q.source AND i.
 g AS (SELECT source, k, NOT (known >= 20 AND (known - found) / known > 0.2) AS counts FROM e),
 r AS (SELECT source, item, since - 1 AS k, 0::BIGINT AS n FROM i UNION ALL SELECT r.source, r.item, g.k, CASE WHEN o.item IS NOT NULL AND m >= 2 THEN 0 ELSE m END FROM r JOIN g ON g.source = r.source AND g.k = r.k + 1
   LEFT JOIN y z ON z.source = r.source AND z.item = r.item AND z.k = g.k AND z.inside LEFT JOIN y o ON o.source = r.source AND o.item = r.item AND o.k = g.k AND NOT o.inside, LATERAL (SELECT CASE WHEN z.item IS NOT NULL THEN 0 WHEN counts THEN r.n + 1 ELSE r.n END AS m))
-SELECT source, item, n AS missed, n >= 2 AS flagged FROM r QUALIFY row_number() OVER (PARTITION BY source, item ORDER BY k DESC) = 1""")
+SELECT source, item, n AS missed, n >= 2 AS flagged FROM r QUALIFY row_number() OVER (PARTITION BY source, item ORDER BY k DESC) = 1"""
+
+
+@query("st25_last_seen", LAST_SEEN)
 def st25(v: Views):
+    return Q.last_seen_sweep(*sightings_and_passes(v))
+
+
+def sightings_and_passes(v: Views):
     """Every run is a sighting of its item, or a pass that lasts until the next one; some passes are not healthy or not complete."""
     seen = v.run_log.filter("kind <> 'error'").selectExpr("source", f"{_ITEM.replace('{string}', 'string')} AS item", "started_at AS seen_at")
     following = F.lead("started_at").over(Window.partitionBy("source").orderBy("started_at", "id"))
     done = F.coalesce(following - F.expr("INTERVAL '0.000001' SECOND"), F.col("started_at") + F.expr("INTERVAL 6 HOURS"))
     passes = v.run_log.filter("kind = 'error'").select("id", "source", F.col("started_at").alias("pass_at"), done.alias("done_at"))
     passes = passes.select("source", "pass_at", "done_at", F.when(F.col("id") % 3 != 0, "HEALTHY").otherwise("WARNING").alias("verdict"), (F.col("id") % 7 != 0).alias("complete"))
-    return Q.last_seen_sweep(seen, passes)
+    return seen, passes
 
 
 @query("st29_accept_baseline", f"""WITH {_DECIDING} SELECT r.source, id, CASE WHEN NOT coalesce(flagged, false) THEN 'nothing to accept' WHEN verdict IN ('BLOCKED', 'FAILED', 'NO_DATA') THEN 'not trustworthy' WHEN (status = 'error' AND id % 3 = 0) OR id % 97 = 1 OR (id % 31 = 0 AND id % 2 = 0) THEN 'not clean'
