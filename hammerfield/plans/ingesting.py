@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators import pages as PG
 from ..operators import rollups as R
 from ..operators.staging import shared_dir
 from ..sources import payloads as P
@@ -202,6 +203,32 @@ def tx15(v: Views):
     return v.pages.select("page_id", F.when(url.rlike("page=[0-9]+"), "pagination").when(url.rlike(r"/[0-9]+(\.html|/)?([?#]|$)"), "detail").otherwise("listing").alias("kind"))
 
 
+def _link_points(score: str) -> str:
+    """The table of link signals as SQL: of the rules with one name the first that holds."""
+    test = {"like": "regexp_matches({f}, '{v}')", "least": "{f} >= {v}", "most": "{f} <= {v}"}
+    names: dict[str, str] = {}
+    for name, worth, (field, how, value) in PG.LINK_SIGNALS[score]:
+        names[name] = names.get(name, "CASE") + f" WHEN {test[how].format(f=field, v=value)} THEN {worth}"
+    verdict = names.pop("VERDICT", "CASE") + (" END" if "VERDICT" in {r[0] for r in PG.LINK_SIGNALS[score]} else " WHEN false THEN 0 END")
+    return f"coalesce({verdict}, {' + '.join(f'{c} ELSE 0 END' for c in names.values())})"
+
+
+_ANCHOR = r'<a\b[^>]*href="([^"]+)"[^>]*>([^<]*)</a>'
+
+
+@query("tx15_link_points", f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '{_ANCHOR}')) AS a FROM pages), l AS (SELECT DISTINCT page_id, regexp_extract(a, '{_ANCHOR}', 1) AS href, regexp_extract(a, '{_ANCHOR}', 2) AS words FROM a
+  UNION SELECT page_id, url, regexp_extract(html, '<h1[^>]*>([^<]*)', 1) FROM pages),
+p AS (SELECT *, href AS url, words AS text, trim(words) AS label, length(words) AS text_chars, lower(regexp_extract(href, '^(?:[a-z]+://[^/?#]+)?([^?#]*)', 1)) AS path FROM l), q AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
+r AS (SELECT *, coalesce(parts[-1], '') AS last, len(parts) AS depth FROM q), s AS (SELECT *, len(string_split(last, '-')) AS last_words FROM r)
+SELECT page_id, href, words, ({_link_points("detail")})::INT AS detail, ({_link_points("listing")})::INT AS listing, ({_link_points("pagination")}) > 0 AS pagination FROM s""")
+def tx15_points(v: Views):
+    """The scores of every link of every page, and of the page's own address with its heading."""
+    anchors = v.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(0))).alias("a"))
+    links = anchors.select("page_id", F.regexp_extract("a", _ANCHOR, 1).alias("href"), F.regexp_extract("a", _ANCHOR, 2).alias("words"))
+    links = links.unionByName(v.pages.select("page_id", F.col("url").alias("href"), F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1).alias("words"))).distinct()
+    return links.select("page_id", "href", "words", PG.link_scores(F.col("href"), F.col("words")).alias("s")).select("page_id", "href", "words", "s.*")
+
+
 @query("tx16_shapes", "SELECT shape, count(*) AS n FROM (SELECT regexp_replace(regexp_replace(url, '^[a-z]+://[^/]+', ''), '[0-9]+', '#', 'g') AS shape FROM pages) GROUP BY shape HAVING count(*) >= 3 ORDER BY n DESC, shape LIMIT 4")
 def tx16(v: Views):
     shape = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]+", ""), "[0-9]+", "#")

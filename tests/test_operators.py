@@ -89,7 +89,9 @@ def test_greedy_survivors_equal_a_walk_in_order(spark):
     for i in range(300):
         words = [f"w{rng.randrange(4)}{k}" if rng.random() < 0.25 else f"c{k}" for k in range(8)]
         rows.append((i, i // 100, rng.randrange(10**9), words if i % 50 else []))
-    got = {r.id: r.kept_id for r in greedy_survivors(spark.createDataFrame(rows, "id long, block int, place long, tokens array<string>"), ["block"]).collect()}
+    frame = spark.createDataFrame(rows, "id long, block int, place long, tokens array<string>")
+    got, in_rounds = ({r.id: r.kept_id for r in greedy_survivors(frame, ["block"], small=small).collect()} for small in (10**6, 0))
+    assert got == in_rounds
     want = {}
     for block in range(3):
         kept = []
@@ -196,3 +198,29 @@ def test_crawl_equals_a_plain_loop(spark):
                 frontier[url] = link
     got = {r.url: (r.kind, r.depth, r.round) for r in QUERIES["pg36_crawl_frontier"](spark, SF).collect()}
     assert got == taken and len(got) > 20
+
+
+def test_a_long_chain_of_alike_sets_is_settled(spark):
+    from hammerfield.operators.resolution import greedy_survivors
+
+    # each set is alike its neighbours alone, so the order is settled one after another
+    rows = [(i, 0, i, [f"w{k}" for k in range(i, i + 10)]) for i in range(300)]
+    got = greedy_survivors(spark.createDataFrame(rows, "id long, block int, place long, tokens array<string>"), ["block"]).collect()
+    assert {r.id: r.kept_id for r in got} == {i: i - i % 2 for i in range(300)}
+
+
+def test_link_scores(spark):
+    from hammerfield.operators.pages import link_scores
+
+    cases = {
+        ("https://x.org/property/flat-in-pune-12345", "View details of a flat at ₹ 5 lakh"): (13, 3, False),
+        ("https://x.org/a/b/c?id=7", "x"): (3, 0, False),
+        ("/properties?page=2", "Next"): (-5, 3, True),
+        ("/a/b/c/d", "page 3"): (0, 0, True),
+        ("/files/notice.pdf", "Sale notice"): (-10, -5, False),
+        ("/login", None): (-5, -5, False),
+        ("/search/residential", "View all properties"): (0, 5, False),
+    }
+    frame = spark.createDataFrame(list(cases), "u string, t string")
+    got = {(r.u, r.t): (r.s.detail, r.s.listing, r.s.pagination) for r in frame.select("u", "t", link_scores(F.col("u"), F.col("t")).alias("s")).collect()}
+    assert got == cases
