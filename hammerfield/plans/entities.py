@@ -11,7 +11,6 @@ from ..operators import resolution as E
 from ..operators import search as S
 from .proxies import Views
 from .registry import query
-from .scalars import sql_values, values
 
 _TOK = "list_distinct(string_split(p_name, ' '))"
 _JAC = "len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))"

@@ -16,34 +16,56 @@ from ..sources import readers as S
 from ..sources.paged import PagedJson
 from .proxies import Views
 from .registry import query
-from .scalars import sql_values, values
 
 
 def rows_():
     return F.count(F.lit(1))
 
 
-_EXPORTS = ['[{"a":1},{"a":2}]', '{"total":5,"items":[{"a":3}]}', '{"count":1,"records":[]}', "no json"]
+_EXPORT_KINDS = "customer % 6"
 
 
-@query("src04_export", "SELECT i, n, total::BIGINT AS total FROM (VALUES (0, 2, NULL), (1, 1, 5), (2, 0, 1), (3, NULL, NULL)) t(i, n, total)")
+@query("src04_export", f"""SELECT customer, CASE WHEN {_EXPORT_KINDS} = 4 THEN NULL WHEN {_EXPORT_KINDS} = 3 THEN 0 ELSE count(*) END::INT AS n, CASE {_EXPORT_KINDS} WHEN 1 THEN count(*) + 1 WHEN 2 THEN count(*) WHEN 3 THEN 0 END::BIGINT AS total FROM listing GROUP BY customer""")
 def src04(v: Views):
-    found = S.export_records(F.col("c"))
-    return values(v, "c", _EXPORTS).select("i", F.when(found.isNotNull(), F.size(found)).alias("n"), S.export_total(F.col("c")).alias("total"))
-
-
-_TABLE = '<table><tr><th>Bank:</th><td>Some <b>Bank</b></td></tr><tr><td>Reserve Price</td><td>12,000</td></tr><tr><td>Bank</td><td>Other</td></tr></table><a rel="next" href="/p2">n</a>'
-
-
-@query("src08_label_table", "SELECT i, bank, price FROM (VALUES (0, 'Some Bank', '12,000'), (1, NULL, NULL)) t(i, bank, price)")
+    """A JSON export of each customer: an array, a list under one of the usual names, an empty one, text that is none."""
+    kind = F.col("customer") % 6
+    rows = v.listing.groupBy("customer").agg(F.to_json(F.collect_list(F.struct("id", "title"))).alias("list"), rows_().alias("rows"))
+    body = (
+        F.when(kind == 0, F.concat(F.lit(" "), F.col("list"))).when(kind == 1, F.concat(F.lit('{"total":'), (F.col("rows") + 1).cast("string"), F.lit(',"items":'), F.col("list"), F.lit("}")))
+        .when(kind == 2, F.concat(F.lit('{"records":'), F.col("list"), F.lit(',"count":'), F.col("rows").cast("string"), F.lit("}"))).when(kind == 3, '{"count":0,"records":[]}').when(kind == 4, "no json")
+        .otherwise(F.concat(F.lit('{"data":'), F.col("list"), F.lit("}")))
+    )
+    found = S.export_records(F.col("body"))
+    return rows.select("customer", body.alias("body")).select("customer", F.when(found.isNotNull(), F.size(found)).alias("n"), S.export_total(F.col("body")).alias("total"))
+
+
+def label_pages(v: Views):
+    """id and html: a table of labels and values of each listing row, with tags in its cells, a second row of one label, and document links."""
+    cell = lambda label, value: F.concat(F.lit(f"<tr class='r'><th>{label}:</th>\n<td> <b>"), value, F.lit("</b> </td></tr>"))
+    rows = F.concat_ws("", cell("Bank", F.col("bank_text")), cell("Reserve  Price", F.col("price_text")), cell("Bank", F.lit("Other")), F.lit("<tr><td>one cell</td></tr>"))
+    links = F.concat(F.lit('<a href="/doc/'), F.col("id").cast("string"), F.lit('.pdf">Sale notice</a><a href="/about">About</a>'))
+    return v.listing.select("id", F.concat(F.lit("<table>"), rows, F.lit("</table>"), F.when(F.col("id") % 3 > 0, links).otherwise("")).alias("html"))
+
+
+@query("src08_label_table", r"""SELECT id, CASE WHEN bank_text IS NULL OR trim(bank_text) = '' THEN 'Other' ELSE trim(regexp_replace(bank_text, '\s+', ' ', 'g')) END AS bank, trim(regexp_replace(price_text, '\s+', ' ', 'g')) AS price, CASE WHEN id % 3 > 0 THEN '/doc/' || id || '.pdf' END AS document FROM listing""")
 def src08(v: Views):
-    m = S.page_pairs(F.col("c"))
-    return values(v, "c", [_TABLE, "<p>none</p>"]).select("i", F.try_element_at(m, F.lit("bank")).alias("bank"), F.try_element_at(m, F.lit("reserve price")).alias("price"))
+    m = S.page_pairs(F.col("html"))
+    rows = label_pages(v).select("id", m.alias("m"), F.get(S.notice_links(F.col("html")), F.lit(0))["href"].alias("document"))
+    return rows.select("id", F.try_element_at("m", F.lit("bank")).alias("bank"), F.try_element_at("m", F.lit("reserve price")).alias("price"), "document")
 
 
-@query("src10_list_page", "SELECT i, n, nxt FROM (VALUES (0, 1, '/p2'), (1, 0, NULL)) t(i, n, nxt)")
+@query("src10_list_page", """SELECT customer, count(*)::INT AS cards, count(*) * 10 AS total, CASE WHEN customer % 4 > 0 THEN '/list?page=' || (customer % 9 + 2) END AS next, CASE WHEN customer % 5 > 0 THEN (customer % 30)::INT END AS last FROM listing WHERE city_text IS NOT NULL AND trim(city_text) <> '' GROUP BY customer""")
 def src10(v: Views):
-    return values(v, "c", [_TABLE, "<p>none</p>"]).select("i", F.size(S.page_links(F.col("c"))).alias("n"), S.next_link(F.col("c")).alias("nxt"))
+    """A list page of each customer's rows: cards, a headline total, the next address and the last page's number."""
+    i, c = F.col("id").cast("string"), F.col("customer")
+    cards = F.concat(F.lit('<div class="card"><a href="/l/'), i, F.lit('">Listing '), i, F.lit('</a><span class="city">'), "city_text", F.lit('</span><span class="price">'), F.col("price").cast("string"), F.lit("</span></div>"))
+    pages = v.listing.filter("city_text IS NOT NULL AND trim(city_text) <> ''").groupBy("customer").agg(F.array_join(F.collect_list(cards), "\n").alias("cards"), rows_().alias("n"))
+    following = F.when(c % 4 > 0, F.concat(F.lit('<a class="n" rel="next" href="/list?page='), (c % 9 + 2).cast("string"), F.lit('">Next</a>'))).otherwise("")
+    last = F.when(c % 5 > 0, F.concat(F.lit('<a href="/list?page='), (c % 30).cast("string"), F.lit('">Last</a>'))).otherwise("")
+    html = F.concat(F.lit("<h1>"), F.format_number(F.col("n") * 10, 0), F.lit(" properties found</h1>"), "cards", following, last)
+    found = S.card_list(F.col("html"))
+    rows = pages.select("customer", html.alias("html")).select("customer", found.alias("f"), S.last_page(F.col("html")).alias("last"))
+    return rows.select("customer", F.size("f.cards").alias("cards"), "f.total", "f.next", "last")
 
 
 _HEADING = r"(?s)<h1[^>]*>(.*?)</h1>"
@@ -80,10 +102,12 @@ def src13(v: Views):
     return v.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"), rows_().alias("copies"))
 
 
-@query("src16_sitemap", "SELECT u FROM (VALUES ('https://x.org/auction/1'), ('https://x.org/auction/2')) t(u)")
+@query("src16_sitemap", "SELECT DISTINCT url || CASE WHEN page_id % 3 > 0 THEN '/auction/' || page_id ELSE '' END AS u FROM pages WHERE page_id % 3 > 0")
 def src16(v: Views):
-    xml = "<urlset><url><loc>https://x.org/auction/1</loc></url><url><loc>https://x.org/about</loc></url><url><loc> https://x.org/auction/2 </loc></url></urlset>"
-    return values(v, "c", [xml]).select(F.explode(S.sitemap_urls(F.col("c"))).alias("u"))
+    """A sitemap of each language's pages, some of them auctions, with blanks about some addresses."""
+    entry = F.concat(F.lit("<url><loc>"), F.when(F.col("page_id") % 2 == 0, " ").otherwise(""), "url", F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("/auction/"), F.col("page_id").cast("string"))).otherwise(""), F.lit("\n</loc></url>"))
+    maps = v.pages.groupBy(F.floor(F.col("page_id") / 50)).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    return maps.select(F.explode(S.sitemap_urls(F.col("xml"))).alias("u")).distinct()
 
 
 @query("src19_collect_pages", "SELECT count(*) AS pages, count(DISTINCT html) AS distinct_pages FROM pages")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -13,14 +14,16 @@ from .proxies import NOW, Views
 from .registry import query
 
 
-def values(v: Views, column: str, items: list) -> object:
-    kind = {int: "int", float: "double"}.get(type(items[0]), "string")
-    return v.spark.createDataFrame([(i, x) for i, x in enumerate(items)], f"i int, {column} {kind}")
+def worded(v: Views, items: list) -> DataFrame:
+    """id and c: for each listing row one of the wordings, by its key, with the key for each {id} in it."""
+    picked = F.element_at(F.array(*[F.lit(x) for x in items]), (F.col("id") % len(items) + 1).cast("int"))
+    return v.listing.select("id", "start", F.replace(picked, F.lit("{id}"), F.col("id").cast("string")).alias("c"))
 
 
-def sql_values(column: str, items: list) -> str:
-    rows = ", ".join(f"({i}, {'NULL' if x is None else repr(x) if isinstance(x, (int, float)) else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)})" for i, x in enumerate(items))
-    return f"(VALUES {rows}) AS t(i, {column})"
+def sql_worded(items: list) -> str:
+    """The same in the oracle's SQL, as a table."""
+    texts = ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in items)
+    return f"(SELECT id, start, replace([{texts}][(id % {len(items)})::INT + 1], '{{id}}', id::VARCHAR) AS c FROM listing) AS t"
 
 
 @query("sc01_slugify", "SELECT s_suppkey, substr(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 100) AS slug FROM supplier")
@@ -33,21 +36,20 @@ def sc02(v: Views):
     return v.nation.select("n_nationkey", T.city_slug(F.col("n_name")).alias("slug"))
 
 
-_CITIES = ["navi-mumbai east", "  KOCHI ", "new  delhi", "Bombay", "vasai-virar", "pune", "x y-z", None]
 _TITLE = "(SELECT string_agg(upper(w[1]) || w[2:], '' ORDER BY n) FROM (SELECT unnest(regexp_extract_all({0}, '[^ -]*[ -]?')) AS w, generate_subscripts(regexp_extract_all({0}, '[^ -]*[ -]?'), 1) AS n))"
 
 
-@query("sc03_title_case", f"SELECT i, {_TITLE.format('lower(trim(c))')} AS t FROM {sql_values('c', _CITIES)}")
+@query("sc03_title_case", f"SELECT id, {_TITLE.format('lower(trim(city_text))')} AS t FROM listing")
 def sc03(v: Views):
-    return values(v, "c", _CITIES).select("i", T.title_case(F.col("c")).alias("t"))
+    return v.listing.select("id", T.title_case(F.col("city_text")).alias("t"))
 
 
-_PLACEHOLDERS = ["", "--", "N/A", "na", " Not Available ", "ok", None, "-x"]
+_PLACEHOLDERS = ["", "--", "N/A", "na", " Not Available ", "ok {id}", None, "-{id}", "not applicable", "–", "—", "n/a {id}"]
 
 
-@query("sc14_placeholder", f"SELECT i, CASE WHEN regexp_full_match(lower(trim(c)), '-*|–|—|n/?a|not available|not applicable') THEN NULL ELSE c END AS c FROM {sql_values('c', _PLACEHOLDERS)}")
+@query("sc14_placeholder", f"SELECT id, CASE WHEN regexp_full_match(lower(trim(c)), '-*|–|—|n/?a|not available|not applicable') THEN NULL ELSE c END AS c FROM {sql_worded(_PLACEHOLDERS)}")
 def sc14(v: Views):
-    return values(v, "c", _PLACEHOLDERS).select("i", T.null_if_placeholder(F.col("c")).alias("c"))
+    return worded(v, _PLACEHOLDERS).select("id", T.null_if_placeholder(F.col("c")).alias("c"))
 
 
 @query("sc13_tidy_text", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '([a-z])([A-Z])', '\1 \2', 'g'), '[\s\x{00A0}]+', ' ', 'g')) AS t FROM documents")
@@ -55,20 +57,22 @@ def sc13(v: Views):
     return v.documents.select("doc_id", T.tidy_text(F.col("text")).alias("t"))
 
 
-_CONTACTS = ["A.B@Example.com ", "no mail", "x@y", "+91 98765 43210", "098765-43210", "12345", None]
+_CONTACTS = ["A.B{id}@Example.com ", "no mail", "x@y", "+91 98765 43210", "098765-43210", "{id}", None, "9{id}", "a b@c.de", "919876543210", "0091 98765 43210"]
 
 
-@query("sc16_contacts", r"SELECT i, CASE WHEN regexp_matches(lower(trim(c)), '^[^@\s]+@[^@\s]+\.[a-z]{2,}$') THEN lower(trim(c)) END AS email, CASE WHEN length(d) = 10 THEN d END AS phone FROM (SELECT *, regexp_replace(regexp_replace(c, '[^0-9]', '', 'g'), '^(0|91)([0-9]{10})$', '\2') AS d FROM " + sql_values("c", _CONTACTS) + ")")
+@query("sc16_contacts", r"SELECT id, CASE WHEN regexp_matches(lower(trim(c)), '^[^@\s]+@[^@\s]+\.[a-z]{2,}$') THEN lower(trim(c)) END AS email, CASE WHEN length(d) = 10 THEN d END AS phone FROM (SELECT *, regexp_replace(regexp_replace(c, '[^0-9]', '', 'g'), '^(0|91)([0-9]{10})$', '\2') AS d FROM " + sql_worded(_CONTACTS) + ")")
 def sc16(v: Views):
-    return values(v, "c", _CONTACTS).select("i", T.email_or_null(F.col("c")).alias("email"), T.phone_digits(F.col("c")).alias("phone"))
+    return worded(v, _CONTACTS).select("id", T.email_or_null(F.col("c")).alias("email"), T.phone_digits(F.col("c")).alias("phone"))
 
 
-_SECRETS = ["Authorization: Bearer abc.def x", "token=12345&x=1", "Cookie: sid=1; b", "plain"]
+_SECRETS = ["Authorization: Bearer abc{id}.def x", "token=12345{id}&x=1", "Cookie: sid={id}; b", "plain {id}", "two token={id} and bearer  {id}", None]
 
 
-@query("sc18_redact", r"SELECT i, substr(regexp_replace(c, '(?i)\b(bearer\s+|token=|cookie:\s*)[^\s;&]+', '\1***', 'g'), 1, 1500) AS t FROM " + sql_values("c", _SECRETS))
+@query("sc18_redact", r"SELECT id, substr(regexp_replace(c || repeat(' and so on', (id % 300)::INT), '(?i)\b(bearer\s+|token=|cookie:\s*)[^\s;&]+', '\1***', 'g'), 1, 1500) AS t FROM " + sql_worded(_SECRETS))
 def sc18(v: Views):
-    return values(v, "c", _SECRETS).select("i", T.redact(F.col("c")).alias("t"))
+    """Excerpts of up to 3,000 characters, cut at 1,500 after masking."""
+    text = F.concat("c", F.repeat(F.lit(" and so on"), (F.col("id") % 300).cast("int")))
+    return worded(v, _SECRETS).select("id", T.redact(text).alias("t"))
 
 
 _HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)), '^www\.', '')"
@@ -141,22 +145,22 @@ def sc30(v: Views):
     return v.pages.select("page_id", T.page_title(F.col("html")).alias("title"))
 
 
-_MESSAGES = ["timeout after 30 s", "HTTP 403 forbidden", "created 4 records", "robots.txt disallows", ""]
+_MESSAGES = ["timeout after {id} s", "HTTP 403 forbidden", "created {id} records", "robots.txt disallows /{id}", "", "Forbidden", "UPDATED {id}", "read {id} rows", None]
 
 
-@query("sc31_message_kind", f"SELECT i, CASE WHEN contains(lower(c), 'timeout') THEN 'temporary' WHEN regexp_matches(lower(c), '403|forbidden') THEN 'blocked' WHEN contains(lower(c), 'robots') THEN 'robots' WHEN regexp_matches(lower(c), 'created|updated') THEN 'ok' ELSE 'other' END AS kind FROM {sql_values('c', _MESSAGES)}")
+@query("sc31_message_kind", f"SELECT id, CASE WHEN contains(lower(c), 'timeout') THEN 'temporary' WHEN regexp_matches(lower(c), '403|forbidden') THEN 'blocked' WHEN contains(lower(c), 'robots') THEN 'robots' WHEN regexp_matches(lower(c), 'created|updated') THEN 'ok' ELSE 'other' END AS kind FROM {sql_worded(_MESSAGES)}")
 def sc31(v: Views):
     m = F.lower("c")
     kind = F.when(m.contains("timeout"), "temporary").when(m.rlike("403|forbidden"), "blocked").when(m.contains("robots"), "robots").when(m.rlike("created|updated"), "ok").otherwise("other")
-    return values(v, "c", _MESSAGES).select("i", kind.alias("kind"))
+    return worded(v, _MESSAGES).select("id", kind.alias("kind"))
 
 
-_MONEY = ["32,21,000", "₹ 5000", "--", "abc", "-12.5", "0", None, "1e3", "12.5.6"]
+_MONEY = ["32,21,{id}", "₹ {id}", "--", "abc", "-12.5{id}", "0", None, "1e3", "12.5.6", "{id}.", ".{id}", " {id} 000", "+{id}"]
 
 
-@query("sm01_parse_money", r"SELECT i, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(t AS DOUBLE) END AS n FROM (SELECT i, regexp_replace(c, '[₹,\s]', '', 'g') AS t FROM " + sql_values("c", _MONEY) + ")")
+@query("sm01_parse_money", r"SELECT id, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(ltrim(t, '+') AS DOUBLE) END AS n FROM (SELECT id, regexp_replace(c, '[₹,\s]', '', 'g') AS t FROM " + sql_worded(_MONEY) + ")")
 def sm01(v: Views):
-    return values(v, "c", _MONEY).select("i", M.parse_money(F.col("c")).alias("n"))
+    return worded(v, _MONEY).select("id", M.parse_money(F.col("c")).alias("n"))
 
 
 @query("sm06_lost_unit", "SELECT o_orderkey, CASE WHEN o_orderkey % 700 < 1000 AND o_totalprice >= 100 * (o_orderkey % 700) THEN o_totalprice ELSE o_orderkey % 700 END::DOUBLE AS price FROM orders")
@@ -164,9 +168,10 @@ def sm06(v: Views):
     return v.orders.select("o_orderkey", M.lost_unit((F.col("o_orderkey") % 700).cast("double"), F.col("o_totalprice").cast("double")).alias("price"))
 
 
-@query("sm07_percent", "SELECT i, p FROM (VALUES (0, '12.5%'), (1, '—'), (2, '100.0%')) t(i, p)")
+@query("sm07_percent", "SELECT o_orderkey, coalesce(format('{:,.1f}%', 12.5 * nullif(o_orderkey % 101, 100)), '—') AS p FROM orders")
 def sm07(v: Views):
-    return values(v, "c", [0.125, None, 1.0]).select("i", M.percent(F.col("c"), 1).alias("p"))
+    """Shares in eighths, of which every tenth of a per cent is exact."""
+    return v.orders.select("o_orderkey", M.percent(F.nullif(F.col("o_orderkey") % 101, F.lit(100)) / 8, 1).alias("p"))
 
 
 @query("sm08_drop_class", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 7 >= 0.6 THEN 'CRITICAL' WHEN l_discount * 7 >= 0.3 THEN 'INCOMPLETE' WHEN l_discount * 7 >= 0.1 THEN 'WARNING' ELSE 'HEALTHY' END AS class FROM lineitem")
@@ -202,22 +207,40 @@ def sd01(v: Views):
     return v.events.select("event_id", L.ist_day_start(F.col("ts")).alias("day_start"), L.ist_date(F.col("ts")).alias("day"))
 
 
-_DATES = ["07-10-2026 11:30 am", "31-12-2026 12:05 AM", "01-01-2027 1:00 pm", "31-02-2026 1:00 pm", "2026-10-07", "", None]
 
 
-@query("sd02_indian_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 06:00:00'), (1, '2026-12-30 18:35:00'), (2, '2027-01-01 07:30:00'), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) x(i, t)")
+def _clock(k: int) -> str:
+    return f"regexp_extract(lower(time_text), '^([0-9]{{1,2}}):([0-9]{{2}})\\s*(am|pm)$', {k})"
+
+
+@query("sd02_indian_date", f"SELECT id, CASE WHEN id % 13 > 0 AND regexp_full_match(lower(time_text), '[0-9]{{1,2}}:[0-9]{{2}}\\s*(am|pm)') THEN date_trunc('day', start) + to_minutes(60 * ({_clock(1)}::INT % 12 + CASE {_clock(3)} WHEN 'pm' THEN 12 ELSE 0 END) + {_clock(2)}::INT - 330) END AS t FROM listing")
 def sd02(v: Views):
-    return values(v, "c", _DATES).select("i", D.indian_date_time(F.col("c")).alias("t"))
+    """The day of each round and its clock time as one text; one in thirteen names a day that does not exist."""
+    day = F.when(F.col("id") % 13 == 0, "31-02-2026").otherwise(F.date_format("start", "dd-MM-yyyy"))
+    return v.listing.select("id", D.indian_date_time(F.concat_ws(" ", day, "time_text")).alias("t"))
 
 
-@query("sd03_listing_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 05:30:00'), (1, '2026-10-07 10:00:00'), (2, '2026-10-07 04:30:00'), (3, NULL)) x(i, t)")
+@query("sd03_listing_date", "SELECT id, CASE id % 4 WHEN 0 THEN date_trunc('day', start) + to_minutes(330) WHEN 1 THEN date_trunc('day', start) + to_minutes(60 * (id % 24)) WHEN 2 THEN date_trunc('day', start) + to_minutes(60 * (id % 24) - 330) END AS t FROM listing")
 def sd03(v: Views):
-    return values(v, "c", ["2026-10-07", "2026-10-07T10:00:00Z", "2026-10-07 10:00:00", "soon"]).select("i", D.listing_date(F.col("c")).alias("t"))
+    """A bare date, one with Z, one without a zone, and no date."""
+    i, day = F.col("id"), F.date_format("start", "yyyy-MM-dd")
+    clock = F.concat(F.lpad((i % 24).cast("string"), 2, "0"), F.lit(":00:00"))
+    text = F.when(i % 4 == 0, day).when(i % 4 == 1, F.concat(day, F.lit("T"), clock, F.lit("Z"))).when(i % 4 == 2, F.concat(day, F.lit(" "), clock)).otherwise("soon")
+    return v.listing.select("id", D.listing_date(text).alias("t"))
+
+
+_SHEET = "CASE id % 5 WHEN 4 THEN NULL WHEN 2 THEN date_trunc('day', start) + CASE WHEN year(start) < 2000 THEN interval 100 year ELSE interval 0 year END ELSE date_trunc('day', start) END"
+
 
+def sheet_text():
+    """d/m/y, a month's name, a year of two digits (20xx), dots, and a day that does not exist."""
+    i, f = F.col("id"), lambda p: F.date_format("start", p)
+    return F.when(i % 5 == 0, f("d/M/yyyy")).when(i % 5 == 1, f("d MMM yyyy")).when(i % 5 == 2, f("d-M-yy")).when(i % 5 == 3, f("dd.MM.yyyy")).otherwise("32/1/2026")
 
-@query("sd04_sheet_date", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-12-31 05:30:00'), (1, '2026-12-31 05:30:00'), (2, '2026-03-01 05:30:00'), (3, NULL)) x(i, t)")
+
+@query("sd04_sheet_date", f"SELECT id, {_SHEET} + to_minutes(330) AS t FROM listing")
 def sd04(v: Views):
-    return values(v, "c", ["31/12/2026", "31 Dec 2026", "1-3-26", "32/1/2026"]).select("i", D.sheet_date(F.col("c")).alias("t"))
+    return v.listing.select("id", D.sheet_date(sheet_text()).alias("t"))
 
 
 @query("sd06_date_range", "SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 1997 AND 1999 THEN o_orderdate END AS t FROM orders")
@@ -225,9 +248,9 @@ def sd06(v: Views):
     return v.orders.select("o_orderkey", D.in_range(F.col("o_orderdate"), 1997, 1999).alias("t"))
 
 
-@query("sd07_noon_dates", "SELECT i, t::TIMESTAMP AS t FROM (VALUES (0, '2026-10-07 06:30:00'), (1, NULL)) x(i, t)")
+@query("sd07_noon_dates", f"SELECT id, {_SHEET} + to_minutes(390) AS t FROM listing")
 def sd07(v: Views):
-    return values(v, "c", ["07/10/2026", "30/02/2026"]).select("i", D.sheet_date(F.col("c"), 12).alias("t"))
+    return v.listing.select("id", D.sheet_date(sheet_text(), 12).alias("t"))
 
 
 _DERIVED = f"CASE WHEN auction_start IS NULL THEN 'UPCOMING' WHEN timestamp '{NOW}' > coalesce(auction_end, auction_start) THEN 'COMPLETED' WHEN timestamp '{NOW}' >= auction_start THEN 'LIVE' WHEN CAST(auction_start AS DATE) = DATE '1998-06-15' THEN 'AUCTION_TODAY' ELSE 'UPCOMING' END"
@@ -250,15 +273,19 @@ def sd12(v: Views):
     return w.select("event_id", F.col("w.start").cast("timestamp_ntz").alias("slot"), F.col("w.end").cast("timestamp_ntz").alias("next"))
 
 
-@query("sd13_retry_after", "SELECT i, n FROM (VALUES (0, 120), (1, 0), (2, NULL)) x(i, n)")
+@query("sd13_retry_after", "SELECT id, CASE WHEN id % 11 > 0 THEN greatest(0, id % 300 - 50)::INT END AS n FROM listing")
 def sd13(v: Views):
-    rows = values(v, "c", ["120", "-5", "later"])
-    return rows.select("i", F.when(F.trim("c").try_cast("int").isNotNull(), D.retry_after(F.col("c"))).alias("n"))
+    text = F.when(F.col("id") % 11 == 0, "later").otherwise(F.concat(F.lit(" "), (F.col("id") % 300 - 50).cast("string")))
+    rows = v.listing.select("id", text.alias("c"))
+    return rows.select("id", F.when(F.trim("c").try_cast("int").isNotNull(), D.retry_after(F.col("c"))).alias("n"))
+
+
+_EXTENSIONS = ["end time will increase by {id} minutes.", "Yes", "no", "INCREASE BY  {id} minute", "increase", " YES ", None]
 
 
-@query("sd14_extension", "SELECT i, n, y FROM (VALUES (0, 5, NULL), (1, NULL, true), (2, NULL, false)) x(i, n, y)")
+@query("sd14_extension", f"SELECT id, CASE WHEN id % 7 IN (0, 3) THEN id::INT END AS n, CASE WHEN id % 7 IN (1, 5) THEN true WHEN id % 7 = 2 THEN false END AS y FROM {sql_worded(_EXTENSIONS)}")
 def sd14(v: Views):
-    return values(v, "c", ["end time will increase by 5 minutes.", "Yes", "no"]).select("i", D.extension_minutes(F.col("c")).alias("n"), D.yes_no(F.col("c")).alias("y"))
+    return worded(v, _EXTENSIONS).select("id", D.extension_minutes(F.col("c")).alias("n"), D.yes_no(F.col("c")).alias("y"))
 
 
 @query("sd15_label", "SELECT event_id, strftime(ts + interval 330 minute, '%-d %b %Y, %H:%M') AS label FROM events")
@@ -271,6 +298,12 @@ def fl17(v: Views):
     return v.pages.select("page_id", T.blocked_host(F.col("url"), ["example.net"]).alias("blocked"))
 
 
-@query("fl27_private_address", "SELECT i, p FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, true), (5, false), (6, true)) x(i, p)")
+_PRIVATE = "a IN (0, 10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR a >= 224"
+
+
+@query("fl27_private_address", f"SELECT id, a > 255 OR b > 255 OR c > 255 OR id % 19 = 0 OR {_PRIVATE} AS p FROM (SELECT id, [10, 172, 192, 169, 100, 8, 127, 0, 224, 223, 256, id % 256][(id % 12)::INT + 1] AS a, [16, 31, 168, 254, 64, 127, 15, 32, id % 260][(id % 9)::INT + 1] AS b, id % 258 AS c FROM listing)")
 def fl27(v: Views):
-    return values(v, "c", ["10.0.0.1", "172.20.1.1", "8.8.8.8", "192.168.0.4", "not an ip", "172.32.0.1", "999.1.1.1"]).select("i", K.private_address(F.col("c")).alias("p"))
+    """Addresses at the borders of each range; some have a number too many, some are no addresses."""
+    pick = lambda *xs: F.element_at(F.array(*[x.cast("string") if isinstance(x, Column) else F.lit(str(x)) for x in xs]), (F.col("id") % len(xs) + 1).cast("int"))
+    ip = F.concat_ws(".", pick(10, 172, 192, 169, 100, 8, 127, 0, 224, 223, 256, F.col("id") % 256), pick(16, 31, 168, 254, 64, 127, 15, 32, F.col("id") % 260), (F.col("id") % 258).cast("string"), F.lit("1"))
+    return v.listing.select("id", K.private_address(F.when(F.col("id") % 19 == 0, "not an ip").otherwise(ip)).alias("p"))
\ No newline at end of file

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import money as M
 from ..functions import text as X
 from ..operators import lifecycle as L
 from ..operators import rollups as R
@@ -105,11 +106,15 @@ def pg28(v: Views):
     return docs.join(shared, "h", "left_semi").select("doc_id")
 
 
-@query("pg34_map_point", "SELECT i, lat, lng FROM (VALUES (0, 19.07, 72.87), (1, 18.5, 73.85), (2, NULL, NULL)) t(i, lat, lng)")
+@query("pg34_map_point", "SELECT id, CASE WHEN k < 4 THEN lat END AS lat, CASE WHEN k < 4 THEN lng END AS lng, k < 4 AND lat BETWEEN 6 AND 37.6 AND lng BETWEEN 68 AND 97.5 AS inside FROM (SELECT id, id % 6 AS k, (id % 40 - 2 + 0.25)::DOUBLE AS lat, (60 + id % 45 + 0.5)::DOUBLE AS lng FROM listing)")
 def pg34(v: Views):
-    rows = v.spark.createDataFrame([(0, "https://m/?q=19.07,72.87"), (1, "https://m/@18.5,73.85,15z"), (2, "https://m/place")], "i int, u string")
+    """Points of map links of two shapes, inside the country's box or not; others have none."""
+    i = F.col("id")
+    pair = F.concat((i % 40 - 2 + 0.25).cast("decimal(8,2)").cast("string"), F.lit(","), (60 + i % 45 + 0.5).cast("decimal(8,1)").cast("string"))
+    link = F.when(i % 6 < 2, F.concat(F.lit("https://maps.example.org/?q="), pair)).when(i % 6 < 4, F.concat(F.lit("https://maps.example.org/@"), pair, F.lit(",15z"))).when(i % 6 == 4, "https://maps.example.org/place/x")
     part = lambda k: F.nullif(F.regexp_extract("u", r"(?:q=|@)(-?[0-9.]+),(-?[0-9.]+)", k), F.lit("")).cast("double")
-    return rows.select("i", part(1).alias("lat"), part(2).alias("lng"))
+    rows = v.listing.select("id", link.alias("u")).select("id", part(1).alias("lat"), part(2).alias("lng"))
+    return rows.withColumn("inside", M.valid_point(F.col("lat"), F.col("lng")))
 
 
 def _runs(v: Views):

@@ -184,6 +184,11 @@ def card_list(html: Column) -> Column:
     return F.struct(whole.alias("cards"), total.alias("total"), next_link(html).alias("next"))
 
 
+def last_page(html: Column) -> Column:
+    """The number of the last page that a list links to by a link named so; null without one."""
+    return F.nullif(F.regexp_extract(html, r'(?i)<a\b[^>]*href="[^"]*?[?&]page=(\d+)[^"]*"[^>]*>\s*last\b', 1), F.lit("")).try_cast("int")
+
+
 def detail_record(html: Column, page_id: Column) -> Column:
     """struct(bank, price, start, errors) of a detail page: its label table, checked, and its canonical address against the id."""
     pairs = page_pairs(html)
