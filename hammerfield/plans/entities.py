@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import names as M
 from ..functions import text as T
+from ..operators import geo as GEO
+from ..operators import phrases as P
 from ..operators import resolution as E
 from ..operators import search as S
 from .proxies import Views
@@ -31,6 +33,20 @@ def jn08(v: Views):
     return found.select("s_suppkey", F.when(F.col("name") == F.col("known"), "exact").otherwise("normalized").alias("method"))
 
 
+_TOKENS = "list_filter(string_split(regexp_replace(replace(lower(coalesce(text, '')), '&', ' & '), '[^a-z0-9&]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+@query("jn08_phrases", f"""WITH t AS (SELECT doc_id AS id, {_TOKENS} AS w FROM documents), g AS (SELECT id, unnest(range(1, len(w) + 1)) AS i, w FROM t),
+d AS (SELECT DISTINCT w[1:2 + (id % 3)::INT] AS phrase FROM t WHERE id % 4 = 0 AND len(w) > 0), f AS (SELECT id, i, w[i:i + n - 1] AS phrase FROM g, (SELECT DISTINCT len(phrase) AS n FROM d) WHERE i + n - 1 <= len(w))
+SELECT id, phrase_text AS name, count(*) AS n FROM (SELECT f.id, array_to_string(d.phrase, ' ') AS phrase_text FROM f JOIN d USING (phrase)) GROUP BY ALL""")
+def jn08_phrases(v: Views):
+    """How often the first words of every fourth document stand in each document: a dictionary that grows with the texts."""
+    words = P.words_of(F.col("text"))
+    names = v.documents.filter("doc_id % 4 = 0").select(F.array_join(F.slice(words, F.lit(1), (2 + F.col("doc_id") % 3).cast("int")), " ").alias("phrase")).filter("phrase <> ''").distinct()
+    found = P.find_phrases(v.documents.select(F.col("doc_id").alias("id"), "text"), P.phrase_table(names.withColumn("name", F.col("phrase"))), 4)
+    return found.groupBy("id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("jn09_resolve_or_create", "SELECT k, min(o_orderkey) AS first FROM (SELECT o_orderkey, o_custkey % 50 AS k FROM orders) WHERE k NOT IN (SELECT s_suppkey % 50 FROM supplier WHERE s_suppkey < 30) GROUP BY k")
 def jn09(v: Views):
     """Keys that no dimension row has; the first row of a key makes it."""
@@ -46,14 +62,15 @@ def jn12(v: Views):
     return a.join(b, "price").filter("a < b AND ca <> cb").select("a", "b")
 
 
-@query("jn14_within_distance", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE 2 * 6371 * asin(sqrt(pow(sin(radians((b.n_nationkey - a.n_nationkey) / 10.0) / 2), 2))) < 65")
-def jn14(v: Views):
-    from ..functions.money import haversine_km
+_POINTS = "SELECT c_custkey AS id, CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 50 = 0 THEN 10 + (c_custkey * 37 % 300) / 100.0 ELSE 8 + (c_custkey * 37 % 2900) / 100.0 END AS lat, CASE WHEN c_custkey % 100 = 50 THEN 179.9 WHEN c_custkey % 50 = 0 THEN -179.95 ELSE 68 + (c_custkey * 53 % 2900) / 100.0 END AS lng FROM"
+_KM = "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
+
 
-    a = v.nation.select("n_regionkey", F.col("n_nationkey").alias("a"))
-    b = v.nation.select("n_regionkey", F.col("n_nationkey").alias("b"))
-    km = haversine_km(F.col("a") / 10.0, F.lit(77.0), F.col("b") / 10.0, F.lit(77.0))
-    return a.join(b, "n_regionkey").filter((F.col("a") < F.col("b")) & (km < 65)).select("a", "b")
+@query("jn14_within_distance", f"WITH p AS ({_POINTS} customer) SELECT a.id AS a, b.id AS b, round({_KM}, 3) AS km FROM p a JOIN p b ON a.id < b.id WHERE {_KM} < 65")
+def jn14(v: Views):
+    """Customers within 65 km; their coordinates come from their keys, some on both sides of the date line."""
+    points = v.spark.sql(f"{_POINTS} {{customer}}", customer=v.customer)
+    return GEO.within_distance(points, 65).select("a", "b", F.round("km", 3).alias("km"))
 
 
 @query("sj02_digit_tokens", "SELECT s_suppkey, list_filter(string_split(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: regexp_matches(x, '[0-9]')) AS t FROM supplier")

@@ -10,6 +10,7 @@ from ..functions import money as M
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import gates as G
+from ..operators import phrases as PH
 from ..operators import rollups as R
 from .proxies import Views
 from .registry import query
@@ -338,6 +339,30 @@ def fl23(v: Views):
     return v.listing.select("id", _verdicts(v).alias("verdict"))
 
 
+_HERE = list(dict.fromkeys(" ".join(x.lower().replace("-", " ").split()) for x in G.DISTRICTS + G.CITIES if x.lower() not in {y.lower() for y in G.AMBIGUOUS}))
+_LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_EVIDENCE = rf"""WITH a AS (SELECT id, nullif(trim(CASE WHEN id % 2 = 0 THEN state_text END), '') AS state, coalesce(city_text, '') AS city, concat_ws(' ', nullif(trim({_ADDRESS}), ''), city_text) AS t FROM listing),
+b AS (SELECT *, CASE WHEN state IS NOT NULL THEN {sql_state('state')} END AS named, regexp_replace(regexp_extract(t, '(?i)pin\s*code\s*[-:]?\s*(\d{{3}}\s?\d{{3}})\b', 1), '\s', '', 'g') AS pin, regexp_matches(t, '(?i)\bmaharashtra\b') AS in_name,
+  list_filter({_LIST(G.OTHER_STATES)}, lambda s: regexp_matches(t, '(?i)\b' || replace(s, ' ', '\s+') || '\b')) AS others, list_filter({_LIST(_HERE)}, lambda p: contains(' ' || {_KEYOF.format('t')} || ' ', ' ' || p || ' ')) AS inside, {_KEYOF.format('city')} AS key FROM a),
+c AS (SELECT *, CASE WHEN pin = '' THEN NULL ELSE left(pin, 3)::INT BETWEEN 400 AND 402 OR left(pin, 3)::INT BETWEEN 404 AND 445 END AS pin_ok, coalesce(CASE WHEN list_contains({_LIST(_HERE)}, key) THEN key END, inside[1]) AS place,
+  CASE WHEN list_contains({_LIST([x.lower() for x in G.AMBIGUOUS])}, key) THEN key END AS unsure FROM b),
+d AS (SELECT *, coalesce(named = 'Maharashtra', false) AS own, coalesce(named = 'Maharashtra', false) OR in_name OR place IS NOT NULL AS yes FROM c),
+e AS (SELECT *, list_filter([CASE WHEN own THEN 'state field says Maharashtra' END, CASE WHEN in_name THEN 'address text names Maharashtra' END, CASE WHEN pin_ok THEN 'PIN ' || pin || ' is a Maharashtra PIN' END, CASE WHEN place IS NOT NULL THEN 'district / city "' || place || '" is in Maharashtra' END], lambda x: x IS NOT NULL) AS basis,
+  list_filter([CASE WHEN NOT pin_ok AND yes THEN 'PIN ' || pin || ' is not a Maharashtra PIN but other evidence says Maharashtra' END, CASE WHEN len(others) > 0 AND yes THEN 'the address also names ' || array_to_string(others, ', ') END], lambda x: x IS NOT NULL) AS conflicts FROM d),
+f AS (SELECT *, CASE WHEN named <> 'Maharashtra' THEN 1 WHEN len(conflicts) > 0 THEN 2 WHEN NOT pin_ok THEN 3 WHEN len(others) > 0 THEN 4 WHEN yes THEN 5 WHEN unsure IS NOT NULL AND pin_ok THEN 6 WHEN unsure IS NOT NULL THEN 7 ELSE 8 END AS rule FROM e)
+SELECT id, ['reject', 'review', 'reject', 'reject', 'accept', 'accept', 'review', 'review'][rule] AS verdict, CASE WHEN rule = 1 THEN '' ELSE array_to_string(basis, '; ') || CASE WHEN rule = 6 THEN '; "' || unsure || '" is ambiguous but the PIN settles it' ELSE '' END END AS basis,
+CASE rule WHEN 1 THEN 'the property''s state is "' || state || '"' WHEN 2 THEN array_to_string(conflicts, '; ') WHEN 3 THEN 'PIN ' || pin || ' is not a Maharashtra PIN' WHEN 4 THEN 'the address names ' || array_to_string(others, ', ') || ' and not Maharashtra' WHEN 7 THEN '"' || unsure || '" exists in more than one state and no state or PIN settles it'
+  WHEN 8 THEN CASE WHEN t <> '' THEN 'the location text does not name a Maharashtra district, city or state, and there is no state field or PIN code' ELSE 'no location evidence' END ELSE '' END AS reasons FROM f"""
+
+
+@query("fl23_location_evidence", _EVIDENCE)
+def fl23_evidence(v: Views):
+    none = F.lit(None).cast("string")
+    state = F.when(F.col("id") % 2 == 0, F.col("state_text"))
+    rows = v.listing.select("id", state.alias("state"), none.alias("district"), F.col("city_text").alias("city"), none.alias("area"), F.expr(_ADDRESS).alias("address"), none.alias("pin"))
+    return PH.location_evidence(rows).select("id", "verdict", F.array_join("basis", "; ").alias("basis"), F.array_join("reasons", "; ").alias("reasons"))
+
+
 _CONFIRMED = ("state bank of india", "punjab national bank", "union bank of india", "xyz co operative bank")
 _ALIAS = f"{sql_map(N.BANK_ALIASES)}[{sql_bank_key('bank_text')}]"
 _GATE_KEY = f"coalesce({sql_bank_key(_ALIAS)}, {sql_bank_key('bank_text')})"
