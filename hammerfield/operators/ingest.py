@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .resolution import alike_sets
+
 
 def reasons(**conditions: Column) -> Column:
     """Names of the conditions that hold, in order."""
@@ -62,3 +64,41 @@ def import_outcomes(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         .otherwise("enrich")
     )
     return out.select("row", outcome.alias("outcome"), "known")
+
+
+def match_known(incoming: DataFrame, known: DataFrame, block: Sequence[str], least: float = 0.8) -> DataFrame:
+    """row, known and method of each incoming row (row, ext_id, key, tokens and the block columns): the known listing (id and
+    the same columns) of its own external id, else of its key, else the first of its block that is alike; null without one.
+
+    Each step joins what the steps before left over. Likeness is told between distinct token sets.
+    """
+    first = lambda rows, *by: rows.groupBy(*by).agg(F.min("id").alias("known"))
+    told = lambda rows, method: rows.select("row", "known", F.lit(method).alias("method"))
+    by_id = incoming.join(first(known.filter("ext_id IS NOT NULL"), "ext_id"), "ext_id")
+    rest = incoming.join(by_id.select("row"), "row", "left_anti")
+    by_key = rest.join(first(known.filter("key IS NOT NULL"), "key"), "key")
+    rest = rest.join(by_key.select("row"), "row", "left_anti").withColumn("words", F.array_sort(F.array_distinct("tokens")))
+    known_sets = first(known.withColumn("words", F.array_sort(F.array_distinct("tokens"))), *block, "words")
+    both = known_sets.select(*block, "words", F.lit(1).alias("n")).unionByName(rest.select(*block, "words", F.lit(1).alias("n"))).distinct()
+    # sets are named by a hash of their words
+    sets = both.filter(F.size("words") > 0).withColumn("first", F.sha2(F.to_json("words"), 256))
+    near = alike_sets(sets, list(block), least).select(*block, "a", "b")
+    pairs = near.unionByName(near.select(*block, F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(sets.select(*block, F.col("first").alias("a"), F.col("first").alias("b")))
+    named = known_sets.withColumn("b", F.sha2(F.to_json("words"), 256)).select(*block, "b", "known")
+    best = pairs.join(named, [*block, "b"]).groupBy(*block, "a").agg(F.min("known").alias("known"))
+    alike = rest.withColumn("a", F.sha2(F.to_json("words"), 256)).join(best, [*block, "a"])
+    found = told(by_id, "id").unionByName(told(by_key, "key")).unionByName(told(alike, "alike"))
+    return incoming.select("row").join(found, "row", "left")
+
+
+def import_counted(outcomes: DataFrame, path: str, kind: str = "outcome") -> dict[str, int]:
+    """Write import outcomes as Parquet and return how many rows had each, counted in the write itself.
+
+    The counters are metrics of the job that writes: rows are not read twice, and a task that runs again counts once.
+    """
+    seen = Observation("import")
+    names = ["create", "enrich", "round", "repeated", "skip"]
+    is_ = lambda n: F.col(kind).startswith("skip") if n == "skip" else F.col(kind) == n
+    metrics = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(is_(n), F.lit(False))).alias(n) for n in names]]
+    outcomes.observe(seen, *metrics).write.parquet(path)
+    return dict(seen.get)

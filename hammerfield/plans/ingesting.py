@@ -15,7 +15,7 @@ from ..sources import payloads as P
 from ..sources import readers as S
 from ..sources.paged import PagedJson
 from .proxies import Views
-from .registry import query
+from .registry import ORACLE_SQL, query
 
 
 def rows_():
@@ -156,6 +156,24 @@ def er08(v: Views):
     return I.import_outcomes(incoming, stored)
 
 
+@query("er08_import_counters", f"SELECT 'rows' AS counter, count(*) AS n FROM ({ORACLE_SQL['er08_import_outcomes']}) UNION ALL SELECT split_part(outcome, ':', 1), count(*) FROM ({ORACLE_SQL['er08_import_outcomes']}) GROUP BY 1")
+def er08_counters(v: Views):
+    """The counters of the import, taken while its outcomes are written."""
+    counted = I.import_counted(er08(v), scratch(v, "outcomes"))
+    return v.spark.createDataFrame([(k, n) for k, n in counted.items() if n], "counter string, n long")
+
+
+@query("er08_match_chain", """WITH p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 > 0 THEN p_partkey // 3 END AS ext_id, CASE WHEN p_partkey % 7 > 0 THEN p_name || p_size END AS key, list_sort(list_distinct(string_split(p_name, ' '))) AS w FROM part), k AS (SELECT * FROM p WHERE p_partkey % 2 = 0), i AS (SELECT * FROM p WHERE p_partkey % 2 = 1),
+a AS (SELECT i.p_partkey AS row, min(k.p_partkey) AS known FROM i JOIN k USING (ext_id) GROUP BY 1), b AS (SELECT i.p_partkey AS row, min(k.p_partkey) AS known FROM i JOIN k USING (key) GROUP BY 1),
+c AS (SELECT i.p_partkey AS row, min(k.p_partkey) AS known FROM i JOIN k USING (p_brand) WHERE len(list_intersect(i.w, k.w)) >= 0.5 * (len(i.w) + len(k.w) - len(list_intersect(i.w, k.w))) GROUP BY 1)
+SELECT i.p_partkey AS row, coalesce(a.known, b.known, c.known) AS known, CASE WHEN a.known IS NOT NULL THEN 'id' WHEN b.known IS NOT NULL THEN 'key' WHEN c.known IS NOT NULL THEN 'alike' END AS method FROM i LEFT JOIN a ON a.row = i.p_partkey LEFT JOIN b ON b.row = i.p_partkey LEFT JOIN c ON c.row = i.p_partkey""")
+def er08_chain(v: Views):
+    """Odd parts matched with even ones: by an external id, by a key, or alike within the brand."""
+    i = F.col("p_partkey")
+    rows = v.part.select(i.alias("id"), "p_brand", F.when(i % 5 > 0, F.floor(i / 3)).alias("ext_id"), F.when(i % 7 > 0, F.concat("p_name", F.col("p_size").cast("string"))).alias("key"), F.split("p_name", " ").alias("tokens"))
+    return I.match_known(rows.filter("id % 2 = 1").withColumnRenamed("id", "row"), rows.filter("id % 2 = 0"), ["p_brand"], 0.5)
+
+
 @query("er09_fill_only", "SELECT p.id, coalesce(nullif(geo_city, ''), 'CITY ' || p.id) AS geo_city, category AS category FROM property p WHERE category IS NOT NULL OR true")
 def er09(v: Views):
     incoming = v.property.select("id", F.concat(F.lit("CITY "), F.col("id").cast("string")).alias("geo_city"), F.lit(None).cast("string").alias("category"))
@@ -259,6 +277,19 @@ def tx16(v: Views):
     return R.grouped_count(v.pages.select(shape.alias("shape")), "shape").filter("n >= 3").orderBy(F.desc("n"), "shape").limit(4)
 
 
+_SHAPE = r"regexp_replace(regexp_replace({u}, '^[a-z]+://[^/]+', ''), '[0-9]+', '#'{g})"
+
+
+@query("tx16_shape_verdicts", f"""WITH p AS (SELECT regexp_extract(url, '^[a-z]+://[^/]*?([a-z]+[.][a-z]+)(/|$)', 1) AS site, {_SHAPE.format(u="url", g=", 'g'")} AS shape, url, html FROM pages), s AS (SELECT site, shape, count(DISTINCT url) AS urls FROM p GROUP BY ALL HAVING count(DISTINCT url) >= 3),
+t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY site ORDER BY urls DESC, shape) <= 4)
+SELECT t.site, t.shape, t.urls, bool_and(regexp_matches(html, '<h1>[^<]')) AS verified FROM t JOIN p USING (site, shape) GROUP BY ALL""")
+def tx16_verdicts(v: Views):
+    """The largest shapes of each host's addresses; here a page is one of a listing where its heading has a text, which all have."""
+    host = F.regexp_extract("url", r"^[a-z]+://[^/]*?([a-z]+[.][a-z]+)(/|$)", 1)
+    pages = v.pages.select(host.alias("site"), "url", "html")
+    return PG.shape_verdicts(pages, ["site"], F.expr(_SHAPE.format(u="url", g="")), [r"\S"]).drop("sample")
+
+
 @query("tx17_value_in_source", "SELECT page_id, contains(regexp_replace(lower(html), '[^a-z0-9]', '', 'g'), regexp_replace(lower(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)), '[^a-z0-9]', '', 'g')) AS found FROM pages")
 def tx17(v: Views):
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from ..operators import rollups as R
 from ..operators import search as S
 from ..sources import readers as X
 from .listings import sql_bank_key, sql_map, sql_tidy
+from ..operators.staging import shared_dir
+from ..sources import sinks as K
 from .proxies import Views
-from .registry import query
+from .registry import ORACLE_SQL, query
 from .search import _ACTIVE, EFFECTIVE, now_col
 
 
@@ -101,6 +105,20 @@ def snk06(v: Views):
     return newest.unionByName(banks).unionByName(cities)
 
 
+SITEMAP = {"head": '<?xml version="1.0" encoding="UTF-8"?>\n<urlset>\n', "tail": "\n</urlset>\n", "suffix": "xml", "most": 40_000}
+
+
+@query("snk06_published_sitemap", f"SELECT 'https://listings.example.org/' || kind || '/' || slug AS loc FROM ({ORACLE_SQL['snk06_sitemap']})")
+def snk06_published(v: Views):
+    """The sitemap as published documents, read back by their manifest."""
+    loc = F.concat(F.lit("https://listings.example.org/"), "kind", F.lit("/"), "slug")
+    escaped = F.replace(F.replace(loc, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    path = f"{shared_dir(v.spark)}/sitemap-{uuid.uuid4().hex}"
+    K.publish(snk06(v).select(F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc></url>")).alias("body")), path, **SITEMAP)
+    found = K.published(v.spark, path).select(F.explode(F.regexp_extract_all("text", F.lit("<loc>([^<]*)</loc>"), F.lit(1))).alias("loc"))
+    return found.select(F.replace(F.replace("loc", F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&")).alias("loc"))
+
+
 @query("snk07_api_shape", f"""WITH n AS (SELECT * FROM (SELECT *, {EFFECTIVE} AS s, row_number() OVER (PARTITION BY property_id ORDER BY created_at DESC, id DESC) AS k FROM auction) WHERE k = 1)
 SELECT p.id, p.title, n.s AS status, n.reserve_price AS price, strftime(n.auction_start, '%Y-%m-%dT%H:%M:%S.000Z') AS start, p.category AS kind, NOT (n.id IS NULL) AS has_round FROM property p LEFT JOIN n ON n.property_id = p.id""")
 def snk07(v: Views):
