@@ -322,6 +322,12 @@ def token_digests(docs: DataFrame, path: str | None = None, name: str = "word_bp
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(crc), pa.string()), pa.array(file.doc_ids, mask=~file.valid), pa.array(before), pa.array(file.lengths), pa.array(crc, pa.int64())], ["file", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     rows = _files(spark, folder).mapInArrow(read, "file string, doc_id long, before long, n_tokens long, ids_crc32 long")
-    # one row for each file of file_bytes
-    starts = files.select("file", F.coalesce(F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return rows.join(F.broadcast(starts), "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    # Files are numbered by task: a running sum within each task's files, and one over the totals of the tasks. A window
+    # without partitions sees one row for each task of the writing job, never one for each file.
+    numbered = files.select("file", "tokens", F.split_part("file", F.lit("-"), F.lit(2)).cast("int").alias("part"))
+    totals = numbered.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("tokens").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = numbered.withColumn("within", within).join(totals.select("part", before.alias("before_part")), "part")
+    starts = starts.select("file", (F.col("before_part") + F.col("within")).alias("first"))
+    return rows.join(starts, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
