@@ -19,6 +19,21 @@ def baselines(runs: DataFrame, now) -> DataFrame:
     return runs.groupBy("source").agg(*out)
 
 
+def baseline_trend(runs: DataFrame) -> DataFrame:
+    """source, latest, previous and trend of the good runs (id, started_at, records, good, accepted) since a baseline was last accepted.
+
+    An accepted run starts the history anew and is part of it. trend is the change from the run before as a share of it;
+    null without one, or where it was empty.
+    """
+    at = F.struct("started_at", "id")
+    reset = runs.filter("accepted").groupBy("source").agg(F.max(at).alias("reset"))
+    rows = runs.join(reset, "source", "left").filter(F.col("reset").isNull() | (at >= F.col("reset"))).filter("(good OR accepted) AND records IS NOT NULL")
+    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id")))).filter("_n <= 2")
+    pick = lambda n: F.max(F.when(F.col("_n") == n, F.col("records")))
+    out = ranked.groupBy("source").agg(pick(1).alias("latest"), pick(2).alias("previous"))
+    return out.select("source", "latest", "previous", ((F.col("latest") - F.col("previous")) / F.nullif("previous", F.lit(0))).alias("trend"))
+
+
 #: Runs and hours before an empty source is called so, and days that a productive channel vouches for it.
 EMPTY_RUNS, EMPTY_HOURS, REJECTED_RUNS, FRESH_DAYS = 3, 6, 3, 14
 YIELD_SEVERITY = ["PRODUCTIVE", "EMPTY", "ALL_REJECTED", "ZERO_YIELD", "DROPPED"]

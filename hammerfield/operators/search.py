@@ -187,3 +187,15 @@ def capped(df: DataFrame, order: Sequence[Column], cap: int) -> DataFrame:
     rows = df.orderBy(*order).limit(cap + 1)
     n = F.row_number().over(Window.orderBy(*order))
     return rows.withColumn("_n", n).withColumn("capped", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) > cap).filter(F.col("_n") <= cap).drop("_n")
+
+
+def near_in_time(rows: DataFrame, key: str, name: str, at: str, seconds: int) -> DataFrame:
+    """a, b: pairs of rows (by `name`, a < b) of one key whose times are less than so many seconds apart.
+
+    Times are cut into stretches of that length: a row meets those of its own and the two adjoining stretches only, so a
+    key with a long history makes no pairs across it.
+    """
+    moment = F.unix_timestamp(F.col(at).cast("timestamp"))
+    held = rows.select(key, F.col(name).alias("b"), moment.alias("tb"), F.floor(moment / seconds).alias("stretch")).filter("stretch IS NOT NULL")
+    asked = held.select(key, F.col("b").alias("a"), F.col("tb").alias("ta"), F.explode(F.array(*[F.col("stretch") + d for d in (-1, 0, 1)])).alias("stretch"))
+    return asked.join(held, [key, "stretch"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) < seconds)).select("a", "b")

@@ -55,6 +55,22 @@ def ag21(v: Views):
     return Q.baselines(v.run_log, at_())
 
 
+@query("ag21_trend", """WITH r AS (SELECT source, max((started_at, id)) AS reset FROM run_log WHERE id % 101 = 100 GROUP BY source), g AS (SELECT l.*, row_number() OVER (PARTITION BY l.source ORDER BY started_at DESC, id DESC) AS n FROM run_log l LEFT JOIN r USING (source) WHERE (reset IS NULL OR (started_at, id) >= reset) AND (status = 'ok' OR id % 101 = 100) AND created IS NOT NULL)
+SELECT source, max(created) FILTER (WHERE n = 1)::DOUBLE AS latest, max(created) FILTER (WHERE n = 2)::DOUBLE AS previous, (max(created) FILTER (WHERE n = 1) - max(created) FILTER (WHERE n = 2)) / nullif(max(created) FILTER (WHERE n = 2), 0)::DOUBLE AS trend FROM g GROUP BY source""")
+def ag21_trend(v: Views):
+    """The trend of each source since a run of it was last accepted as its baseline."""
+    rows = v.run_log.select("id", "source", "started_at", F.col("created").cast("double").alias("records"), (F.col("status") == "ok").alias("good"), (F.col("id") % 101 == 100).alias("accepted"))
+    return Q.baseline_trend(rows)
+
+
+@query("ag18_coverage_totals", f"WITH {_FLAGS} SELECT CASE WHEN grouping(bank_id) = 1 THEN 'all' ELSE coalesce(bank_id::VARCHAR, 'none') END AS scope, count(*) AS total, count(*) FILTER (WHERE current) AS current, count(*) FILTER (WHERE actionable) AS actionable FROM f GROUP BY GROUPING SETS ((), (bank_id))")
+def ag18_totals(v: Views):
+    """Coverage by source and over all."""
+    flags = Q.coverage_flags(v.auction, v.property, L.is_over(F.col("auction_start"), F.col("auction_end"), now_col()))
+    out = flags.rollup("bank_id").agg(F.grouping("bank_id").alias("g"), rows_().alias("total"), F.count_if("current").alias("current"), F.count_if("actionable").alias("actionable"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.coalesce(F.col("bank_id").cast("string"), F.lit("none"))).alias("scope"), "total", "current", "actionable")
+
+
 @query("wn03_tick_gaps", "SELECT source, count(*) AS n, max(started_at) AS last, max(gap)::BIGINT AS longest, count(*) FILTER (WHERE gap > 20) AS long_gaps FROM (SELECT *, floor((floor(epoch(started_at)) - floor(epoch(lag(started_at) OVER (PARTITION BY source ORDER BY started_at, id)))) / 60 + 0.5) AS gap FROM run_log) GROUP BY source")
 def wn03(v: Views):
     return Q.tick_gaps(v.run_log)

@@ -152,10 +152,7 @@ def jn07(v: Views):
 
 @query("jn13_near_in_time", "SELECT a.id AS a, b.id AS b FROM auction a JOIN auction b ON a.property_id = b.property_id AND a.id < b.id AND abs(epoch(a.auction_start) - epoch(b.auction_start)) < 129600")
 def jn13(v: Views):
-    a = v.auction.select("property_id", F.col("id").alias("a"), F.col("auction_start").alias("sa"))
-    b = v.auction.select("property_id", F.col("id").alias("b"), F.col("auction_start").alias("sb"))
-    apart = F.abs(F.unix_timestamp(F.col("sa").cast("timestamp")) - F.unix_timestamp(F.col("sb").cast("timestamp")))
-    return a.join(b, "property_id").filter((F.col("a") < F.col("b")) & (apart < 36 * 3600)).select("a", "b")
+    return S.near_in_time(v.auction, "property_id", "id", "auction_start", 36 * 3600)
 
 
 @query("jn15_computed_key", "SELECT p.id, n.n_nationkey FROM property p JOIN nation n ON regexp_replace(lower(p.city), '[^a-z0-9]+', '-', 'g') = regexp_replace(lower(n.n_name), '[^a-z0-9]+', '-', 'g')")
