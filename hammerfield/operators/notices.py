@@ -107,7 +107,8 @@ def chain(marks: Column) -> Column:
 
 def _marks(lines: Column, pattern: str) -> Column:
     """The lines that a marker starts: array of struct(line, n)."""
-    marked = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.regexp_extract(x, pattern, 1).try_cast("int").alias("n")))
+    # few lines are marks: only those are taken apart
+    marked = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1).cast("int")).alias("n")))
     return F.filter(marked, lambda m: m["n"].isNotNull())
 
 
@@ -140,7 +141,7 @@ def _table(lines: Column) -> tuple[Column, Column]:
 
     def step(acc: Column, x: Column) -> Column:
         n, rows = F.size(acc["rows"]), acc["rows"]
-        starts = F.coalesce(F.regexp_extract(x, TABLE_ROW, 1).try_cast("int") == n + 1, F.lit(False)) & ~acc["over"]
+        starts = F.coalesce(F.when(x.rlike(TABLE_ROW), F.regexp_extract(x, TABLE_ROW, 1).cast("int")) == n + 1, F.lit(False)) & ~acc["over"]
         goes_on = ~starts & ~acc["over"] & (n > 0) & ~x.rlike(r"^[ \t]*$")
         ends = goes_on & x.rlike(TRAILER)
         last = F.get(rows, n - 1)
