@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import money as M
+from .staging import stage
 
 #: How lots are numbered, in the order in which the ways are tried.
 MARKERS = [
@@ -215,7 +216,9 @@ def segment(notices: DataFrame) -> DataFrame:
         .when(F.size("blocks") < claimed, "PARTIAL")
         .otherwise("OK")
     )
-    return rows.select("doc", status.alias("status"), "strategy", claimed.alias("claimed"), F.when(F.size("stated") == 1, F.col("stated")[0]).alias("header_date"), F.when(noticed != "invalid", noticed).alias("notice_date"), "blocks")
+    out = rows.select("doc", status.alias("status"), "strategy", claimed.alias("claimed"), F.when(F.size("stated") == 1, F.col("stated")[0]).alias("header_date"), F.when(noticed != "invalid", noticed).alias("notice_date"), "blocks")
+    # written once: joined with what reads the lots, one plan would cut the texts again for each value
+    return stage(out, "notices")
 
 
 def lots(segmented: DataFrame) -> DataFrame:
