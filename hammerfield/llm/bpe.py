@@ -31,7 +31,7 @@ from .workspace import text_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 SLICE = 1 << 16
-CACHE = 100_000
+CACHE = 300_000
 PAIRS = 1 << 18
 #: Characters that str.split takes for white space and the pattern does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -57,6 +57,7 @@ class Bpe:
         #: by token: the rank that makes it, and its parts
         self._made = {a + b: (k, a, b) for k, (a, b) in reversed(list(enumerate(pairs)))}
         self.lookahead = sufficient_lookahead(pairs)
+        self.step = 4 * self.lookahead
         self.table = {b: c for b, c in enumerate(self.alphabet)}
         self._lengths = _lengths(self.vocab)
         self._apart: dict[tuple[str, str], bool] = {}
@@ -161,7 +162,7 @@ class Bpe:
 
     def _encode_chunk(self, chunk: str) -> bytes:
         pieces, out = self._pieces, []
-        for piece in _pattern().findall(chunk):
+        for piece in (chunk,) if chunk.isascii() and chunk.isalpha() else _pattern().findall(chunk):
             ids = pieces.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece)
@@ -212,13 +213,19 @@ class Bpe:
 class Transducer:
     """Tokens of one piece that comes in parts of any length; a token is given once nothing that follows can change it."""
 
+    __slots__ = ("model", "kind", "window", "before")
+
     def __init__(self, model: Bpe, kind=None):
         self.model, self.kind, self.window, self.before = model, kind, "", None
 
     def feed(self, part: str, ended: bool = False) -> list[str]:
         """The tokens that are stable after more symbols; ended: there are no more."""
+        step, at = self.model.step, 0
+        if ended and part and not self.window and len(part) <= step:
+            # all that is left is one window
+            before, self.before = self.before, None
+            return self.model.path(part, before, True)
         out: list[str] = []
-        step, at = 4 * self.model.lookahead, 0
         while len(self.window) + len(part) - at > step:
             take = step - len(self.window)
             self.window += part[at : at + take]
