@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import readers as S
+from ..sources.rendered import rendered_records
 from .proxies import Views
 from .registry import query
 
@@ -65,3 +66,37 @@ def src17(v: Views):
     place = F.try_element_at(m, F.lit("location"))
     # an empty first mention leaves the label to the second
     return v.listing.select("id", F.try_element_at(m, F.lit("reserve price")).alias("price"), F.when(place == "again", None).otherwise(place).alias("place"))
+
+
+_CLEAN = "CASE WHEN TRY_CAST({0} AS DOUBLE) > 0 THEN round(CAST({0} AS DOUBLE), 2) END".format("regexp_replace(regexp_replace(lower({c}), '\\b(rs\\.?|inr)\\s*', '', 'g'), '[₹,\\s]', '', 'g')")
+
+
+@query("src14_rendered_records", f"""SELECT page_id, property_id, auction_id, title, property_type, category, bank, branch, borrower, city, reserve_price, emd, auction_start, emd_deadline, n_documents, usable,
+  array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title_missing' END, CASE WHEN city IS NULL THEN 'address_missing' END, CASE WHEN reserve_price IS NULL THEN 'reserve_price_missing' END, CASE WHEN auction_start IS NULL THEN 'auction_date_missing' END, CASE WHEN bank IS NULL THEN 'bank_missing' END, CASE WHEN borrower IS NULL THEN 'borrower_name_missing' END], lambda x: x IS NOT NULL), ',') AS missing
+FROM (SELECT *, title IS NOT NULL AND reserve_price IS NOT NULL AND city IS NOT NULL AND bank IS NOT NULL AS usable FROM (SELECT id AS page_id, CASE WHEN id % 5 > 0 THEN 'P' || id ELSE 'Q' || id END AS property_id, CASE WHEN id % 2 = 0 THEN id::VARCHAR END AS auction_id,
+  CASE id % 3 WHEN 0 THEN 'Sale lot ' || (id + 1000) WHEN 1 THEN '2 BHK for sale in Pune ' || id END AS title,
+  CASE id % 4 WHEN 0 THEN 'Individual House' WHEN 1 THEN 'Shop' END AS property_type, CASE id % 4 WHEN 0 THEN 'RESIDENTIAL' WHEN 1 THEN 'COMMERCIAL' END AS category,
+  nullif(trim(regexp_replace(bank_text, '\\s+', ' ', 'g')), '') AS bank, CASE WHEN id % 7 > 0 THEN 'Fort ' || id END AS branch, CASE WHEN id % 3 <> 1 THEN 'Mr ' || id END AS borrower,
+  trim(regexp_replace(city_text, '\\s+', ' ', 'g')) AS city, {_CLEAN.format(c="price_text")} AS reserve_price, CASE WHEN id % 2 = 1 THEN {_CLEAN.format(c="emd_text")} END AS emd,
+  CASE WHEN id % 11 > 0 THEN date_trunc('minute', start) + (id % 24) * INTERVAL 1 HOUR END AS auction_start, CASE WHEN id % 2 = 0 THEN TIMESTAMP '2026-10-06 10:15:00' END AS emd_deadline, 1::BIGINT AS n_documents FROM listing))""")
+def src14_records(v: Views):
+    """Pages with a table, a definition list and lines: labels with and without values, repeated ones and ones that say nothing."""
+    i, own = F.col("id"), F.col("id").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in parts])
+    html = put(
+        "<h1>", F.when(i % 3 == 0, put("Sale <b>lot</b> ", (i + 1000).cast("string"))).otherwise("Home"), "</h1><table><tr><th>Bank Name:</th><td>", F.col("bank_text"), "</td></tr><tr><td>Branch</td></tr></table>",
+        "<dl><dt>City</dt> <dd>", F.col("city_text"), '</dd></dl><a href="/n', own, '.pdf?x=1">Sale notice</a><a href="/user-manual.pdf">Manual</a><a href="/other">Other</a>',
+    )
+    begin = F.expr("date_trunc('minute', start) + make_interval(0, 0, 0, 0, cast(id % 24 as int), 0, 0)")
+    text = put(
+        F.when(i % 5 > 0, put("Bank Property ID\nP", own)).otherwise(put("Property ID Q", own)), "\n",
+        F.when(i % 4 == 0, "Individual House, Residential\n").when(i % 4 == 1, "Shop, Commercial\n"), F.when(i % 3 == 1, put("2 BHK for sale in Pune ", own, "\n")),
+        F.when(F.col("price_text").isNotNull(), put("Reserve Price (INR): ", F.col("price_text"), "\nReserve price: 77\n")),
+        F.when(i % 2 == 0, "EMD Amount\nEMD End Date\n2026-10-06T10:15\n").when(F.col("emd_text").isNotNull(), put("EMD Amount\n", F.col("emd_text"), "\n")),
+        F.when(i % 7 == 0, "Branch Name\nContact Us\n").otherwise(put("Branch Name\n  Fort   ", own, "\n")),
+        "Borrower's Name: ", F.when(i % 3 == 1, "N/A\nBorrower: Mr Second").otherwise(put("Mr ", own)), "\n",
+        "Auction Start Date & Time: ", F.when(i % 11 > 0, F.date_format(begin, "dd-MM-yyyy hh:mm a")).otherwise("31-02-2026 10:00"), "\nAuction End Date",
+    )
+    pages = v.listing.select(i.alias("page_id"), F.concat(F.lit("https://x.org/"), F.when(i % 2 == 0, "auction-detail/").otherwise("view/"), own).alias("url"), html.alias("html"), text.alias("text"))
+    shown = ("page_id", "property_id", "auction_id", "title", "property_type", "category", "bank", "branch", "borrower", "city", "reserve_price", "emd", "auction_start", "emd_deadline")
+    return rendered_records(pages).select(*shown, F.size("documents").cast("long").alias("n_documents"), "usable", F.array_join("missing", ",").alias("missing"))
