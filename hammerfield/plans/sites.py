@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.kinds import FEED_KINDS
 from ..sources import readers as S
+from ..sources.details import detail_records
 from ..sources.rendered import rendered_records
 from .proxies import Views
+from .listings import sql_kinds
 from .registry import query
 
 
@@ -100,3 +103,34 @@ def src14_records(v: Views):
     pages = v.listing.select(i.alias("page_id"), F.concat(F.lit("https://x.org/"), F.when(i % 2 == 0, "auction-detail/").otherwise("view/"), own).alias("url"), html.alias("html"), text.alias("text"))
     shown = ("page_id", "property_id", "auction_id", "title", "property_type", "category", "bank", "branch", "borrower", "city", "reserve_price", "emd", "auction_start", "emd_deadline")
     return rendered_records(pages).select(*shown, F.size("documents").cast("long").alias("n_documents"), "usable", F.array_join("missing", ",").alias("missing"))
+
+
+_TYPE = "nullif(trim(regexp_replace(kind_text, '\\s+', ' ', 'g')), '')"
+
+
+@query("src11_detail_records", f"""SELECT page_id, CASE WHEN e = '' AND kind = 'EXCLUDED' THEN 'no real estate' ELSE e END AS errors, reserve_price, pincode, CASE WHEN ok THEN title END AS title, CASE WHEN ok THEN kind END AS category, CASE WHEN ok THEN bank END AS bank,
+  CASE WHEN ok THEN locality END AS geo_locality, CASE WHEN ok THEN st END AS auction_start, CASE WHEN ok THEN 'src:x.org:' || page_id END AS external_id, CASE WHEN ok THEN page_id % 3 END AS n_documents
+FROM (SELECT *, e = '' AND kind <> 'EXCLUDED' AS ok FROM (SELECT *, CASE WHEN page_id % 17 = 0 THEN 'check page' WHEN page_id % 17 = 1 THEN 'empty page' ELSE array_to_string(list_filter([CASE WHEN page_id % 13 = 0 THEN 'no canonical address' WHEN page_id % 13 = 1 THEN 'canonical address on another host' WHEN page_id % 13 = 2 THEN 'canonical address of no property' END,
+    CASE WHEN page_id % 19 = 0 THEN 'no number' WHEN page_id % 13 = 3 THEN 'number of another property' END, CASE WHEN price_text IS NOT NULL AND reserve_price IS NULL THEN 'unreadable reserve price' END, CASE WHEN reserve_price IS NULL THEN 'no reserve price' END, CASE WHEN page_id % 7 = 0 THEN 'unreadable auction start' END, CASE WHEN page_id % 5 = 0 THEN 'no place' END, CASE WHEN type IS NULL AND page_id % 2 = 0 THEN 'no type or title' END], lambda x: x IS NOT NULL), ',') END AS e FROM (
+  SELECT id AS page_id, price_text, CASE WHEN id % 17 > 1 THEN {_CLEAN.format(c="price_text")} END AS reserve_price, CASE WHEN id % 17 > 1 AND id % 3 > 0 THEN '400601' END AS pincode, {_TYPE} AS type, coalesce({_TYPE}, 'Property') || ' for sale in ' || CASE WHEN id % 4 = 0 THEN 'old FORT.,, ' ELSE '' END || 'Town ' || id AS title,
+    CASE WHEN regexp_matches(k, '\\b(land|plot)\\b') AND NOT contains(k, 'building') THEN 'LAND_PLOT' WHEN regexp_matches(k, '\\b(house|flat|apartment|villa|bungalow)\\b') THEN 'RESIDENTIAL' WHEN f = 'EXCLUDED' THEN 'EXCLUDED' WHEN id % 3 = 1 THEN 'COMMERCIAL' ELSE coalesce(f, '') END AS kind,
+    nullif(trim(regexp_replace(bank_text, '\\s+', ' ', 'g')), '') AS bank, CASE WHEN id % 4 = 0 THEN 'Old Fort' END AS locality, CASE WHEN id % 6 > 0 THEN date_trunc('minute', start) + INTERVAL 30 YEAR - INTERVAL 330 MINUTE END AS st FROM (SELECT *, lower(coalesce({_TYPE}, '')) AS k, {sql_kinds("lower(" + _TYPE + ")", FEED_KINDS)} AS f FROM listing))))""")
+def src11_records(v: Views):
+    """Detail pages, some without a number, with another's address, with labels that have no value, or no page at all."""
+    i, own = F.col("id"), F.col("id").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x, F.lit("")) for x in parts])
+    item = lambda label, value: F.when(value.isNotNull(), put(f"<li><strong>{label} :</strong> <span>", value, "</span></li>"))
+    address = F.when(i % 13 == 1, put("https://y.org/properties/", own)).when(i % 13 == 2, "/about").when(i % 13 == 3, put("/properties/", (i + 1).cast("string"))).otherwise(put("https://www.x.org/properties/", own, "/"))
+    begin = F.date_format(F.expr("start + interval 30 years"), "dd-MM-yyyy hh:mm a")
+    page = put(
+        F.when(i % 13 > 0, put('<link rel="canonical" href="', address, '">')), "<title>Auction</title><body>", F.when(i % 19 > 0, put('<a class="text-dark fw-bold">Auction ID : #', own, "</a>")),
+        F.when(i % 2 == 1, "<h1>A <i>lot</i></h1>"), "<ul><li><strong>Borrower Name :</strong></li>", item("Property Type", F.col("kind_text")), item("Asset Category", F.when(i % 3 == 1, "Commercial").otherwise("Any")),
+        "<li><strong>Bank Name:</strong> ", F.col("bank_text"), "</li>", item("Reserve Price", F.col("price_text")), item("Reserve Price", F.when(F.col("price_text").isNotNull(), "5")),
+        item("Auction Start Date", F.when(i % 7 == 0, "31-02-2026 02:00 PM").when(i % 6 > 0, begin)), item("City/Town", F.when(i % 5 > 0, put("Town ", own))), item("Area/Town", F.when((i % 4 == 0) & (i % 5 > 0), "old FORT.,")),
+        "</ul><div class=\"card\"><h5>Description</h5><div class=\"card-body\"><p>A lot", F.when(i % 3 > 0, ", pin code - 400 601"), "</p></div></div><ul>", F.when(i % 3 > 0, '<li id="notice1"><a href="https://x.org/1.pdf">1</a></li>'),
+        F.when(i % 3 > 1, '<li id="notice2"><a href="https://x.org/2.pdf">2</a></li>'), '<li id="notice3"><a href="http://x.org/3.pdf">3</a></li></ul></body>',
+    )
+    html = F.when(i % 17 == 0, "<title>Just a moment...</title><body>Wait</body>").when(i % 17 > 1, page)
+    shown = detail_records(v.listing.select(i.alias("page_id"), html.alias("html")), "x.org")
+    record = ("title", "category", "bank", "geo_locality", "auction_start", "external_id")
+    return shown.select("page_id", F.array_join("errors", ",").alias("errors"), "reserve_price", "pincode", *[F.col(f"record.{x}").alias(x) for x in record], F.size("record.documents").cast("long").alias("n_documents"))
