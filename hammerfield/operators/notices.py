@@ -34,8 +34,8 @@ CLAIM = r"(?i)\b(?:total\s*(?:of\s*)?)?(\d{1,3})\s*(?:\(\s*[a-z-]+\s*\)\s*)?(?:p
 NOTICE_DATE = r"(?i)(?:dated?|notice\s*date)\s*[:\-]?\s*([^\n]{0,40})"
 TABLE_HEAD, TABLE_ROW, ROW_AMOUNT = r"(?i)(?:sr|s)\.?\s*no|description|property|date", r"^[ \t]*(\d{1,3})[ \t]+(\S.*)$", r"(?i)(?:rs\.?|₹)?\s*(\d{1,3}(?:,\d{2,3})+)\s*(?:/-)?"
 #: Bounds of an amount; shares of confidence of a reserve price, a date of the lot or of the notice, an address and
-#: a deposit; what an issue that blocks takes off. An impossible PIN code counts twice.
-LEAST, MOST, LETTERS = 10_000, 5e10, 120
+#: a deposit; what an issue that blocks takes off. An impossible PIN code counts twice. SHORTEST: characters of an address.
+LEAST, MOST, LETTERS, SHORTEST = 10_000, 5e10, 120, 15
 WEIGHTS = {"reserve": 0.35, "date": 0.25, "notice_date": 0.15, "address": 0.3, "emd": 0.1, "issue": -0.15}
 BLOCKING = ["price_inconsistent", "reserve_conflicting", "reserve_implausible", "date_conflicting", "date_invalid", "auction_before_notice", "pincode_invalid"]
 
@@ -160,8 +160,9 @@ def _labelled(row: Column, order: Column) -> Column:
     value = lambda name: F.when(fits, F.get(amounts, F.array_position(order, name).cast("int") - 1)).cast("string")
     date = D.notice_date(row)
     described = _flat(F.regexp_replace(row, r"(?is)(?:rs\.?|₹)?\s*\d{1,3}(?:,\d{2,3})+.*$", ""))
+    # what is too short for an address is not made one by the words of the label that follows
     parts = [
-        F.concat(F.lit("Description of Property: "), described), F.concat(F.lit("Reserve Price: "), value("reserve")), F.concat(F.lit("EMD: "), value("emd")),
+        F.when(F.length(described) >= SHORTEST, F.concat(F.lit("Description of Property: "), described)), F.concat(F.lit("Reserve Price: "), value("reserve")), F.concat(F.lit("EMD: "), value("emd")),
         F.when(date != "invalid", F.concat(F.lit("Auction Date: "), F.array_join(F.reverse(F.split(date, "-")), "."))),
     ]
     issues = F.array_compact(F.array(F.when(~fits, "columns_not_aligned"), F.when(date == "invalid", "date_invalid")))
@@ -230,15 +231,15 @@ def lots(segmented: DataFrame) -> DataFrame:
     """
     rows = segmented.select("doc", "strategy", "header_date", "notice_date", F.explode("blocks").alias("b"))
     block = F.col("b.text")
-    places = F.filter(F.transform(_after(block, ADDRESS, 420), _flat), lambda a: (F.length(a) >= 15) & a.rlike("[A-Za-z]{3}"))
+    places = F.filter(F.transform(_after(block, ADDRESS, 420), _flat), lambda a: (F.length(a) >= SHORTEST) & a.rlike("[A-Za-z]{3}"))
     rows = rows.withColumns({"reserves": _amounts(block, RESERVE), "emds": _amounts(block, EMD), "dates": _dates(block), "places": F.transform(places, lambda a: F.struct((-F.length(a)).alias("shorter"), a.alias("a")))})
     reserve, no_reserve = _amount(F.col("reserves"), "reserve")
     emd, no_emd = _amount(F.col("emds"), "emd")
     date, no_date = _one(_valid(F.col("dates")), "date", F.array_contains("dates", "invalid"))
     # the longest, of equally long ones the first
     address = F.get(F.array_sort("places", lambda x, y: x["shorter"] - y["shorter"]), F.lit(0))["a"]
-    pin = F.regexp_extract(address, r"\b(\d{6})\b", 1)
-    no_address = F.when(address.isNull(), "address_missing").when(pin.startswith("0"), "pincode_invalid")
+    # any number of six digits may be the PIN code: a plot's or a survey's may stand before it
+    no_address = F.when(address.isNull(), "address_missing").when(address.rlike(r"\b0\d{5}\b"), "pincode_invalid")
     rows = rows.select("doc", "strategy", "header_date", "notice_date", "b", reserve.alias("r"), no_reserve.alias("no_r"), emd.alias("e"), no_emd.alias("no_e"), date.alias("d"), no_date.alias("no_d"), address.alias("address"), no_address.alias("no_a"))
     swapped = F.coalesce(F.col("e") >= F.col("r"), F.lit(False))
     from_head = F.coalesce(F.col("d").isNull() & (F.col("no_d") == "date_missing") & F.col("header_date").isNotNull(), F.lit(False))

@@ -109,3 +109,12 @@ def test_records_of_complete_lots_alone(spark, found):
     got = N.listing_records(N.lots(rows), F.lit("https://www.bank.example/a.pdf"), F.lit(None).cast("string"), lambda u: F.lit("h")).collect()
     assert len(got) == 12 and {r.external_id for r in got} == {f"src:bank.example:pdf-h-lot{k}" for k in range(1, 13)}
     assert {r.bank for r in got} == {""} and {r.emd for r in got} == {str((k + 2) * 100_000) for k in range(1, 13)}
+
+
+def test_a_plot_of_six_digits_is_no_pin_code_and_a_label_no_address(spark):
+    lots = HEAD + "Lot No. 1\nDescription of Property: Plot 123456, Sector 3, Navi Mumbai {pin}\nReserve Price: 20,00,000\nAuction Date: 12.12.2026"
+    table = HEAD + "Sr No | Property | EMD | Reserve Price\n1 Broken row 12,00,000 12.11.2026"
+    rows = [(1, lots.format(pin="012345")), (2, lots.format(pin="400701")), (3, table)]
+    got = {r.doc: r for r in N.lots(N.segment(spark.createDataFrame(rows, "doc int, text string"))).collect()}
+    assert "pincode_invalid" in got[1].issues and not got[1].complete and got[2].complete
+    assert got[3].address is None and "address_missing" in got[3].issues and got[3].date == "2026-11-12"
