@@ -70,3 +70,24 @@ def changes_only(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null when b is not positive."""
     return F.when(b > 0, a / b)
+
+
+def trailing_sums(rows: DataFrame, key: str, at: str, value: str, span: int) -> DataFrame:
+    """rows with `used`, the sum of whole numbers `value` over the rows of the key in (at - span, at]; at are whole numbers.
+
+    What a row adds it takes away again `span` later, so the sum is a running one over the key's distinct times, whatever
+    a span holds. It runs within stretches of one span, beginning with what all stretches before leave. Null where the
+    span holds no value; rows with a null time are each other's span.
+    """
+    once = rows.groupBy(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at")).agg(F.sum(value).cast("long").alias("v"), F.count(value).alias("n"))
+    ends = once.filter("_at IS NOT NULL").select("_key", F.col("_at") + span, -F.col("v"), -F.col("n"))
+    steps = once.union(ends).groupBy("_key", "_at").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).withColumn("part", F.floor(F.col("_at") / span))
+    before = Window.partitionBy("_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = steps.filter("part IS NOT NULL").groupBy("_key", "part").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    parts = parts.select(F.col("_key").alias("k"), F.col("part").alias("p"), F.sum("v").over(before).alias("v0"), F.sum("n").over(before).alias("n0"))
+    inside = Window.partitionBy("_key", "part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = steps.select("_key", "_at", "part", F.sum("v").over(inside).alias("v"), F.sum("n").over(inside).alias("n"))
+    sums = sums.join(parts, F.col("_key").eqNullSafe(F.col("k")) & (F.col("part") == F.col("p")), "left")
+    total = lambda a, b: F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+    sums = sums.select("_key", "_at", F.when(total("n", "n0") > 0, total("v", "v0")).alias("used"))
+    return rows.join(sums, F.col(key).eqNullSafe(F.col("_key")) & F.col(at).cast("long").eqNullSafe(F.col("_at")), "left").drop("_key", "_at")

@@ -215,10 +215,10 @@ def ag25(v: Views):
   SELECT id, source, sum(created) OVER (PARTITION BY source ORDER BY floor(epoch(started_at)) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)::BIGINT AS used FROM run_log)""")
 def ag27(v: Views):
     """What the last 24 hours used at each run, against a cap; one source has none."""
-    at = F.unix_timestamp(F.col("started_at").cast("timestamp"))
-    used = F.sum("created").over(Window.partitionBy("source").orderBy(at).rangeBetween(-86_399, 0))
+    rows = v.run_log.select("id", "source", F.unix_timestamp(F.col("started_at").cast("timestamp")).alias("at"), "created")
+    used = R.trailing_sums(rows, "source", "at", "created", 86_400)
     cap = F.when(F.col("source") != "src0", 2000)
-    return v.run_log.select("id", "source", used.alias("used")).select("id", "used", F.when(cap.isNull(), "none").when(F.col("used") >= cap, "exceeded").when(F.col("used") >= 0.8 * cap, "warning").otherwise("ok").alias("level"))
+    return used.select("id", "used", F.when(cap.isNull(), "none").when(F.col("used") >= cap, "exceeded").when(F.col("used") >= 0.8 * cap, "warning").otherwise("ok").alias("level"))
 
 
 @query("ag29_verified", """SELECT file, declared, read, accounted, declared = read AND read = accounted AS verified FROM (SELECT o_custkey % 7 AS file, count(*) + CASE WHEN o_custkey % 7 = 3 THEN 1 ELSE 0 END AS declared, count(*) AS read, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O') OR o_custkey % 7 <> 5) AS accounted FROM orders GROUP BY o_custkey % 7)""")
