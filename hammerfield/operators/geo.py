@@ -27,7 +27,7 @@ def within_distance(points: DataFrame, km: float, key: str = "id") -> DataFrame:
 
     Points meet only in adjoining cells of a grid: bands of latitude `km` high, cut into cells at least as wide. A point
     is stored in its own cell and asks for its neighbours in three bands, so work grows with the points and the pairs
-    that are near, not with all pairs. Longitudes wrap around. Points with a null are near nothing; points of one key
+    that are near, not with all pairs. Neither side is sent whole to the driver, however small its files are. Longitudes wrap around. Points with a null are near nothing; points of one key
     are no pair; a pair of keys comes once for each pair of their points.
     """
     height = km * 1.0005 / DEGREE
@@ -43,4 +43,4 @@ def within_distance(points: DataFrame, km: float, key: str = "id") -> DataFrame:
     a = asked.select(F.col("k").alias("a"), F.col("lat").alias("lat_a"), F.col("east").alias("east_a"), "band", "cell")
     b = stored.select(F.col("k").alias("b"), F.col("lat").alias("lat_b"), F.col("east").alias("east_b"), "band", "cell")
     apart = haversine_km(F.col("lat_a"), F.col("east_a"), F.col("lat_b"), F.col("east_b"))
-    return a.join(b, ["band", "cell"]).filter("a < b").select("a", "b", apart.alias("km")).filter(F.col("km") < km)
+    return a.join(b.hint("merge"), ["band", "cell"]).filter("a < b").select("a", "b", apart.alias("km")).filter(F.col("km") < km)
