@@ -1,17 +1,18 @@
 """Names of many words and of any number in running text, found by a join; the evidence of where a listing lies.
 
-A dictionary of phrases is grouped by first word. Each word of a text meets the phrases that begin with it, with the
-words that follow it at hand, so a text costs its words, whatever the dictionary's size, and no pattern of all names is
-ever built.
+A dictionary of phrases is keyed by its words. At each place of a text only the lengths that phrases with its first word
+have are tried, and each try meets the phrase of just these words, so a text costs its words, whatever the dictionary's
+size and however many phrases begin alike, and no pattern of all names is ever built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from . import gates as G
+from .staging import stage
 
 
 def words_of(c: Column) -> Column:
@@ -20,29 +21,34 @@ def words_of(c: Column) -> Column:
 
 
 def phrase_table(phrases: DataFrame) -> DataFrame:
-    """first and phrases, an array of (n, words, and the columns but `phrase`), longest first, from phrases (phrase, ...).
+    """gram, first, n (the words of a phrase, the first of them and their number) and the columns but `phrase`, from phrases (phrase, ...).
 
-    Phrases without a word are left out; of equal rows one stays. A row holds the phrases with one first word.
+    Phrases without a word are left out; of equal rows one stays. It is written once, so that what is joined with it is
+    planned by its true size.
     """
     others = [c for c in phrases.columns if c != "phrase"]
     rows = phrases.select(words_of(F.col("phrase")).alias("words"), *others).filter(F.size("words") > 0)
-    entry = F.struct((-F.size("words")).alias("longest"), "words", *others)
-    return rows.groupBy(F.get("words", F.lit(0)).alias("first")).agg(F.sort_array(F.collect_set(entry)).alias("phrases"))
+    return stage(rows.select(F.array_join("words", " ").alias("gram"), F.get("words", F.lit(0)).alias("first"), F.size("words").alias("n"), *others).distinct(), "phrases")
 
 
 def find_phrases(texts: DataFrame, table: DataFrame, most: int, longest: bool = False) -> DataFrame:
     """Occurrences of phrases (a phrase_table() of phrases of up to `most` words) in texts (id, text): id, start (from 0), n
-    and the table's columns. With `longest`, at each place only the longest phrases count.
+    and the table's columns. With `longest`, at each place of an id only the longest phrases count.
     """
-    ahead = F.transform("words", lambda _, i: F.slice("words", i + 1, most))
-    # the words are a column of their own before they are looked at from each place
-    placed = texts.select("id", words_of(F.col("text")).alias("words")).select("id", F.posexplode(ahead).alias("start", "ahead"))
-    met = placed.join(table, F.get("ahead", F.lit(0)) == F.col("first"))
-    here = F.filter("phrases", lambda p: F.slice(F.col("ahead"), 1, F.size(p["words"])) == p["words"])
-    met = met.select("id", "start", here.alias("here")).filter(F.size("here") > 0)
+    table = table.filter(F.col("n") <= most)
+    lengths = table.groupBy("first").agg(F.collect_set("n").alias("lengths"))
+    # each word beside those after it, as arrays moved by one: no place copies or walks its whole text
+    names = [f"w{k}" for k in range(most)]
+    texts = texts.select("id", words_of(F.col("text")).alias("w0"))
+    texts = texts.select("id", "w0", *[F.slice("w0", F.lit(k + 1), F.size("w0")).alias(names[k]) for k in range(1, most)])
+    placed = texts.select("id", F.posexplode(F.arrays_zip(*names)).alias("start", "at")).select("id", "start", *[F.col("at")[w].alias(w) for w in names])
+    tried = placed.withColumnRenamed("w0", "first").join(lengths, "first").withColumn("n", F.explode("lengths"))
+    ahead = F.slice(F.array("first", *names[1:]), F.lit(1), F.col("n"))
+    grams = tried.select("id", "start", ahead.alias("ahead")).filter(F.element_at("ahead", -1).isNotNull()).select("id", "start", F.array_join("ahead", " ").alias("gram"))
+    found = grams.join(table.drop("first"), "gram").drop("gram")
     if longest:
-        met = met.withColumn("here", F.filter("here", lambda p: p["longest"] == F.get("here", F.lit(0))["longest"]))
-    return met.select("id", "start", F.explode("here").alias("p")).select("id", "start", (-F.col("p.longest")).alias("n"), "p.*").drop("longest", "words")
+        found = found.withColumn("longest", F.max("n").over(Window.partitionBy("id", "start"))).filter("n = longest").drop("longest")
+    return found.select("id", "start", "n", *[c for c in table.columns if c not in ("gram", "first", "n")])
 
 
 def place_names(spark) -> DataFrame:
