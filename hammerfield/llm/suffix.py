@@ -96,11 +96,12 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((x, first))
 
 
-def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list]:
+def extents(left: list[bytes], right: list[bytes], least: int = LEAST, listed: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
     """For suffixes `right` with the bytes `left` before them: how far left and right of each a repeat reaches.
 
     A repeat is a string of at least `least` bytes around two of the suffixes' starts. The third result lists the
-    groups: (bytes to the left, bytes to the right, members) of each repeat that no common byte extends.
+    groups: (bytes to the left, bytes to the right, members) of each repeat that no common byte extends; it is empty
+    unless they are to be listed, since nested groups name each member as often as they are deep.
     """
     n = len(right)
     order = np.array(sorted(range(n), key=right.__getitem__))
@@ -124,7 +125,7 @@ def extents(left: list[bytes], right: list[bytes], least: int = LEAST) -> tuple[
         m = member[good]
         far_left[m] = np.maximum(far_left[m], best[good])
         far_right[m] = np.maximum(far_right[m], length)
-        for reach, i, j in intervals(lcs):
+        for reach, i, j in intervals(lcs) if listed else ():
             if reach + length >= least:
                 groups.append((reach, length, member[i : j + 1].tolist()))
     return far_left, far_right, groups
@@ -228,11 +229,12 @@ def _uncrowded(contexts: DataFrame, least: int, crowd: int) -> DataFrame:
     """The contexts with every gram made longer until no more than `crowd` suffixes share it, or nothing is missing."""
     done = None
     while True:
-        open_ = (F.col("to_left") + F.col("to_right") < least) & F.col("around").isNotNull()
+        open_ = F.col("to_left") + F.col("to_right") < least
         many = stage(contexts.filter(open_).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("gram"), "crowded")
         if many.isEmpty():
             return contexts if done is None else done.unionByName(contexts)
-        many = many.hint("merge")
+        # at most one k-gram in `crowd` suffixes: small wherever it is sent, and the suffixes are not shuffled to be told apart
+        many = many.hint("broadcast")
         rest = contexts.filter(~open_).unionByName(contexts.filter(open_).join(many, "gram", "left_anti"))
         done = rest if done is None else done.unionByName(rest)
         contexts = stage(_longer(contexts.filter(open_).join(many, "gram", "left_semi"), least), "contexts")
@@ -276,13 +278,10 @@ def _solve(least: int, named: int = 0):
             k1, k2, place, before, around = (group.column(c).to_pylist() for c in ("k1", "k2", "place", "before", "around"))
             merged: dict[tuple[int, bytes], set] = {}
             for a, b, p, l, text in zip(k1, k2, place, before, around):
-                if text is None:
-                    out.append((a, b, p, l))
-                else:
-                    merged.setdefault((l, text), set()).add((a, b, p))
+                merged.setdefault((l, text), set()).add((a, b, p))
             distinct = list(merged)
             if len(distinct) > 1:
-                far_left, far_right, groups = extents([t[:l] for l, t in distinct], [t[l:] for l, t in distinct], least)
+                far_left, far_right, groups = extents([t[:l] for l, t in distinct], [t[l:] for l, t in distinct], least, bool(named))
                 far = list(zip(far_left.tolist(), far_right.tolist()))
             else:
                 far, groups = [(0, 0)] * len(distinct), []
@@ -364,8 +363,10 @@ def repeated_spans(rows: DataFrame, keys: DataFrame, least: int = LEAST, gram: i
     text_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     contexts = stage(_contexts(_repeated_anchors(rows, keys, least, gram), least, gram), "contexts")
-    dealt = _uncrowded(contexts, least, crowd).repartition(parts, "gram").sortWithinPartitions("gram")
-    spans = dealt.mapInArrow(_solve(least), SPAN)
+    dealt = _uncrowded(contexts.filter("around IS NOT NULL"), least, crowd).repartition(parts, "gram").sortWithinPartitions("gram")
+    # what is covered whole is a span already: a k-gram may have any number of such copies, and no task holds them
+    covered = contexts.filter("around IS NULL").select("k1", "k2", F.col("place").alias("first"), F.col("before").alias("last"))
+    spans = dealt.mapInArrow(_solve(least), SPAN).unionByName(covered)
     spans = stage(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans")
     discard(contexts)
     return spans.join(keys.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2"])

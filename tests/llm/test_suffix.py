@@ -117,5 +117,6 @@ def test_intervals_and_groups():
     _, _, groups = extents(left, right, 5)
     found = {(reach, length, tuple(sorted(m))) for reach, length, m in groups}
     assert (2, 4, (0, 1)) in found  # "ab" + "cdef"
+    assert extents(left, right, 5, False)[2] == [] and all((a == b).all() for a, b in zip(extents(left, right, 5)[:2], extents(left, right, 5, False)[:2]))
     far_left, far_right, _ = extents(left, right, 100)
     assert not far_left.any() and not far_right.any()
