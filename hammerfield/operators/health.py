@@ -8,10 +8,12 @@ by the log's retention) and the stream (streaming/health.py).
 
 from __future__ import annotations
 
+import base64
 import json
-from bisect import bisect_left, insort
-from collections import deque
-from collections.abc import Iterator
+import zlib
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -44,26 +46,74 @@ def drop_of(now: float | None, before: float | None) -> tuple[float | None, str
 
 
 class Sizes:
-    """Numbers of the last days, also in order of size: the median of any moment is two look-ups."""
+    """Numbers of the last days: two machine words for each, and the distinct ones in order of size with how often they come.
 
-    def __init__(self, days: int, rows: list | None = None):
-        self.span, self.rows, self.sorted = days * DAY, deque(), []
-        for at, value in rows or []:
+    A pointer at the median's place moves with what is added and dropped, so the median of any moment is two look-ups.
+    """
+
+    def __init__(self, days: int, times: Iterable[int] = (), values: Iterable[float] = ()):
+        self.span, self.times, self.values, self.first = days * DAY, array("q"), array("d"), 0
+        self.sorted, self.often = [], {}
+        self.place, self.below = 0, 0  # a place among the distinct, and how many numbers are below it
+        for at, value in zip(times, values):
             self.add(at, value)
 
+    def __len__(self) -> int:
+        return len(self.times) - self.first
+
     def add(self, at: int, value: float) -> None:
-        self.rows.append((at, value))
-        insort(self.sorted, value)
+        self.times.append(at)
+        self.values.append(value)
+        if value not in self.often:
+            i = bisect_left(self.sorted, value)
+            self.sorted.insert(i, value)
+            self.often[value] = 0
+            self.place += i <= self.place and len(self.sorted) > 1
+        self.often[value] += 1
+        self.below += value < self.sorted[self.place]
+
+    def _drop(self, value: float) -> None:
+        self.below -= value < self.sorted[self.place]
+        self.often[value] -= 1
+        if self.often[value]:
+            return
+        del self.often[value]
+        i = bisect_left(self.sorted, value)
+        del self.sorted[i]
+        self.place -= i < self.place
+        if self.place and self.place == len(self.sorted):
+            self.place -= 1
+            self.below -= self.often[self.sorted[self.place]]
 
     def at(self, now: int) -> Sizes:
-        while self.rows and self.rows[0][0] < now - self.span:
-            del self.sorted[bisect_left(self.sorted, self.rows.popleft()[1])]
+        while self.first < len(self.times) and self.times[self.first] < now - self.span:
+            self._drop(self.values[self.first])
+            self.first += 1
+        if self.first > 1000 and self.first * 2 > len(self.times):
+            del self.times[: self.first], self.values[: self.first]
+            self.first = 0
         return self
 
     @property
     def median(self) -> float | None:
-        n = len(self.sorted)
-        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
+        n = len(self)
+        if not n:
+            return None
+        while self.below > (n - 1) // 2:
+            self.place -= 1
+            self.below -= self.often[self.sorted[self.place]]
+        while (upto := self.below + self.often[self.sorted[self.place]]) <= (n - 1) // 2:
+            self.place, self.below = self.place + 1, upto
+        low = self.sorted[self.place]
+        return (low + (low if n // 2 < upto else self.sorted[self.place + 1])) / 2
+
+    def dump(self) -> list[str]:
+        return [base64.b64encode(zlib.compress(x[self.first :].tobytes(), 1)).decode() for x in (self.times, self.values)]
+
+    @classmethod
+    def load(cls, days: int, times: str, values: str) -> Sizes:
+        words = lambda kind, text: array(kind, zlib.decompress(base64.b64decode(text)))
+        return cls(days, words("q", times), words("d", values))
 
 
 @dataclass
@@ -98,7 +148,7 @@ class Source:
         seen = {k: s.at(at) for k, s in self.sizes.items()}
         first = lambda *values: next((v for v in values if v is not None), None)
         size = first(seen["records", 7].median, seen["records", 30].median, self.before[0] if len(self.before) == 2 else None)
-        known = bool(size) and bool(seen["records", 7].rows or seen["records", 30].rows)
+        known = bool(size) and bool(seen["records", 7] or seen["records", 30])
         pages = self._comparable_pages(seen)
         records, open_ = run["records"], self.protected and self.compared
         _, records_now = drop_of(records, size)
@@ -130,11 +180,11 @@ class Source:
 
     def _comparable_pages(self, seen: dict) -> float | None:
         week, month = seen["pages", 7], seen["pages", 30]
-        if max(len(week.rows) if len(week.rows) >= LEAST_PAGE_RUNS else 0, len(month.rows)) < LEAST_PAGE_RUNS:
+        if max(len(week) if len(week) >= LEAST_PAGE_RUNS else 0, len(month)) < LEAST_PAGE_RUNS:
             return None
         if week.sorted and week.sorted[0] and week.sorted[-1] / week.sorted[0] > PAGE_SPREAD:
             return None
-        return (week.median if week.rows else month.median) or None
+        return (week.median if week else month.median) or None
 
     def _remember(self, run: dict, at: int, verdict: Verdict) -> None:
         clean = not (verdict.protect or run["blocked"] or run["structure_changed"] or run["failed"] or run["complete"] is False)
@@ -190,13 +240,13 @@ class Source:
     # -- between batches of a stream ---------------------------------------------------------------------------------
 
     def dump(self) -> str:
-        sizes = [[k, d, list(s.rows)] for (k, d), s in self.sizes.items()]
+        sizes = [[k, d, *s.dump()] for (k, d), s in self.sizes.items()]
         return json.dumps({**{k: v for k, v in self.__dict__.items() if k != "sizes"}, "sizes": sizes})
 
     @classmethod
     def load(cls, text: str) -> Source:
         held = json.loads(text)
-        sizes = {(k, d): Sizes(d, [tuple(r) for r in rows]) for k, d, rows in held.pop("sizes")}
+        sizes = {(k, d): Sizes.load(d, *rows) for k, d, *rows in held.pop("sizes")}
         return cls(sizes=sizes, **held)
 
 

@@ -1,7 +1,11 @@
 """Steps whose work must not outgrow their input: their results against plain loops, and the shape of their plans."""
 
 import random
+from statistics import median
 
+import pandas as pd
+
+from hammerfield.operators import health as H
 from hammerfield.operators import phrases as P
 from hammerfield.operators import quality as Q
 from hammerfield.operators import rollups as R
@@ -75,3 +79,28 @@ def test_no_row_of_the_dictionary_holds_the_phrases_that_begin_alike(spark):
     assert table.count() == 500
     texts = spark.createDataFrame([(1, "The w7 x the w499 x the w500 x the"), (2, None)], "id int, text string")
     assert sorted((r.id, r.start, r.n, r.name) for r in P.find_phrases(texts, table, 3).collect()) == [(1, 0, 3, 7), (1, 3, 3, 499)]
+
+
+def test_runs_of_a_source_are_put_in_order_in_stretches():
+    rng = random.Random(3)
+    rows = [(rng.randrange(40), i, None if rng.random() < 0.2 else float(i % 7), rng.choice([None, True, False])) for i in range(300)]
+    rng.shuffle(rows)
+    frame = lambda part: pd.DataFrame([{**dict.fromkeys(H.RUN), "id": i, "started_at": pd.Timestamp(at, unit="s"), "records": n, "complete": c} for at, i, n, c in part])
+    got = list(S.runs_in_order((frame(rows[k : k + 20]) for k in range(0, 300, 20)), most=50))
+    assert [(r["at"] // 1_000_000, r["id"], r["records"], r["complete"]) for r in got] == sorted(rows, key=lambda r: r[:2])
+    assert not list(S.runs_in_order(iter(())))
+
+
+def test_sizes_hold_few_numbers_and_their_median_is_that_of_a_plain_list():
+    rng, sizes, rows = random.Random(5), H.Sizes(7), []
+    for k in range(5000):
+        now = k * H.HOUR // 3
+        rows = [(at, v) for at, v in rows if at >= now - 7 * H.DAY]
+        assert sizes.at(now).median == (median(v for _, v in rows) if rows else None) and len(sizes) == len(rows)
+        if k == 2500:
+            sizes = H.Sizes.load(7, *sizes.dump())
+        if k % 1700 > 600:
+            value = float(rng.choice([rng.randrange(5), rng.randrange(1000)]))
+            sizes.add(now, value)
+            rows.append((now, value))
+    assert len(sizes.times) < 2000 and len(sizes.sorted) == len({v for _, v in rows})
