@@ -55,7 +55,9 @@ TIMES = ("auction_start", "auction_end", "emd_deadline")
 
 def field_of(label: Column) -> Column:
     """The field that a label names; null where it names none."""
-    return F.coalesce(*[F.when(label.rlike("(?i)" + rx), F.lit(name)) for name, rx in LABELS.items()])
+    # most lines are no labels: one pattern tells, and the fields are tried only for the others
+    any_ = "(?i)" + "|".join(f"(?:{rx})" for rx in LABELS.values())
+    return F.when(label.rlike(any_), F.coalesce(*[F.when(label.rlike("(?i)" + rx), F.lit(name)) for name, rx in LABELS.items()]))
 
 
 def page_time(c: Column) -> Column:
@@ -119,7 +121,9 @@ def rendered_records(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     shown = F.filter(F.transform(F.split(F.coalesce("text", html_text(html)), "\n"), collapse), lambda x: x != "")
-    lines = F.transform(shown, lambda x: F.struct(x.alias("text"), field_of(F.regexp_replace(x, ":$", "")).alias("field"), F.regexp_replace(x, ":$", "").rlike(SECTION).alias("stop")))
+    # the label is a value of its own, so that it is made once and not for each pattern
+    labels = F.transform(shown, lambda x: F.struct(x.alias("text"), F.regexp_replace(x, ":$", "").alias("label")))
+    lines = F.transform(labels, lambda x: F.struct(x["text"].alias("text"), field_of(x["label"]).alias("field"), x["label"].rlike(SECTION).alias("stop")))
     read = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), lines.alias("lines"))
     pairs = read.select("*", F.concat(_markup_pairs(F.col("html")), _line_pairs(F.col("lines"))).alias("pairs"))
     named = F.filter(F.transform("pairs", lambda p: F.struct(field_of(p["label"]).alias("k"), p["value"].alias("v"))), lambda p: p["k"].isNotNull())

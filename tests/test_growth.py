@@ -10,6 +10,7 @@ from hammerfield.operators import phrases as P
 from hammerfield.operators import quality as Q
 from hammerfield.operators import rollups as R
 from hammerfield.plans.registry import QUERIES, load
+from hammerfield.sources.rendered import rendered_records
 from hammerfield.streaming import feeds as S
 
 load()
@@ -104,3 +105,10 @@ def test_sizes_hold_few_numbers_and_their_median_is_that_of_a_plain_list():
             sizes.add(now, value)
             rows.append((now, value))
     assert len(sizes.times) < 2000 and len(sizes.sorted) == len({v for _, v in rows})
+
+
+def test_a_line_is_stripped_once_for_all_labels(spark):
+    pages = spark.createDataFrame([(1, "u", "", "City:\nPune\nBank Name: A")], "page_id int, url string, html string, text string")
+    records = rendered_records(pages)
+    assert 0 < records._jdf.queryExecution().analyzed().toString().count(", :$,") < 5
+    assert [(r.city, r.bank) for r in records.collect()] == [("Pune", "A")]
