@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 IST = "INTERVAL 330 MINUTES"
 
 
@@ -105,15 +107,22 @@ def date_and_time(date: Column, time: Column, hour: int = 11) -> Column:
     return _utc(at)
 
 
+#: A date of a notice, numeric (groups 1 to 3) or worded (4 to 6).
+NOTICE_DATE = r"(?is)([0-9]{1,2})\s*[./-]\s*([0-9]{1,2})\s*[./-]\s*([0-9]{4})|([0-9]{1,2})(?:st|nd|rd|th)?[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s,.-]+([0-9]{4})"
+
+
 def notice_date(c: Column) -> Column:
     """The first date a notice prints, numeric or worded, as yyyy-mm-dd; "invalid" when no such day is in 2020 to 2100."""
-    numeric = r"(?s)^(.*?)([0-9]{1,2})\s*[./-]\s*([0-9]{1,2})\s*[./-]\s*([0-9]{4})"
-    worded = r"(?is)^(.*?)([0-9]{1,2})(?:st|nd|rd|th)?[\s-]+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s,.-]+([0-9]{4})"
-    get = lambda p, k: F.regexp_extract(c, p, k)
-    is_n, is_w = c.rlike(numeric), c.rlike(worded)
-    first_n = is_n & (~is_w | (F.length(get(numeric, 1)) <= F.length(get(worded, 1))))
-    year = F.when(first_n, get(numeric, 4)).otherwise(get(worded, 4)).try_cast("int")
-    month = F.when(first_n, get(numeric, 3).try_cast("int")).otherwise(_month(get(worded, 3)))
-    day = F.when(first_n, get(numeric, 2)).otherwise(get(worded, 2)).try_cast("int")
-    made = F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
-    return F.when(is_n | is_w, F.coalesce(F.when(year.between(2020, 2100), F.date_format(made, "yyyy-MM-dd")), F.lit("invalid")))
+
+    def day_of(found: Column) -> Column:
+        get = lambda k: F.regexp_extract(found, NOTICE_DATE, k)
+        month = F.coalesce(get(2).try_cast("int"), _month(get(5)))
+
+        def made(year: Column) -> Column:
+            at = F.try_make_timestamp_ntz(year, month, F.concat(get(1), get(4)).try_cast("int"), F.lit(0), F.lit(0), F.lit(0))
+            return F.when(year.between(2020, 2100), F.date_format(at, "yyyy-MM-dd"))
+
+        return F.when(found != "", F.coalesce(once(F.concat(get(3), get(6)).try_cast("int"), made), F.lit("invalid")))
+
+    # the text is searched once; what follows reads the date alone
+    return once(F.regexp_extract(c, NOTICE_DATE, 0), day_of)

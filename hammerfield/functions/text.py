@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\x{00A0}]+"
+#: The runs of SPACE that are not one blank: most words are parted by one, which need not be written again.
+UNEVEN_SPACE = r" [\s\x{00A0}]+|[\s\x{00A0}&&[^ ]][\s\x{00A0}]*"
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where f names its argument more than once and the value is to be found once."""
+    return F.transform(F.array(value), f)[0]
 
 
 def slugify(c: Column, most: int = 100) -> Column:
@@ -24,7 +33,7 @@ def title_case(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, SPACE, " "))
+    return F.trim(F.regexp_replace(c, UNEVEN_SPACE, " "))
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:

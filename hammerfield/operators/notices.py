@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import money as M
+from ..functions.text import once
 from .staging import stage
 
 #: How lots are numbered, in the order in which the ways are tried.
@@ -43,6 +44,10 @@ def _flat(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _has(c: Column, pattern: str) -> Column:
+    return c.rlike(f"(?i){pattern}")
+
+
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(f"(?i){pattern}"))
 
@@ -127,7 +132,7 @@ def _blocks(lines: Column, run: Column) -> Column:
 
 
 def _signal(text: Column) -> Column:
-    return (_count(text, RESERVE) > 0) | (_count(text, ADDRESS) > 0)
+    return _has(text, RESERVE) | _has(text, ADDRESS)
 
 
 def _table(lines: Column) -> tuple[Column, Column]:
@@ -141,8 +146,12 @@ def _table(lines: Column) -> tuple[Column, Column]:
     state = F.struct(F.array().cast("array<struct<num:string,text:string>>").alias("rows"), F.lit(False).alias("over"))
 
     def step(acc: Column, x: Column) -> Column:
-        n, rows = F.size(acc["rows"]), acc["rows"]
-        starts = F.coalesce(F.when(x.rlike(TABLE_ROW), F.regexp_extract(x, TABLE_ROW, 1).cast("int")) == n + 1, F.lit(False)) & ~acc["over"]
+        n = F.size(acc["rows"])
+        numbered = F.coalesce(F.when(x.rlike(TABLE_ROW), F.regexp_extract(x, TABLE_ROW, 1).cast("int")) == n + 1, F.lit(False))
+        return once(numbered & ~acc["over"], lambda starts: taken(acc, x, n, starts))
+
+    def taken(acc: Column, x: Column, n: Column, starts: Column) -> Column:
+        rows = acc["rows"]
         goes_on = ~starts & ~acc["over"] & (n > 0) & ~x.rlike(r"^[ \t]*$")
         ends = goes_on & x.rlike(TRAILER)
         last = F.get(rows, n - 1)
@@ -155,10 +164,13 @@ def _table(lines: Column) -> tuple[Column, Column]:
 
 def _labelled(row: Column, order: Column) -> Column:
     """A table's row as a block with labels, so that it is read as any other: amounts by the order of the columns where they line up."""
-    amounts = F.transform(F.regexp_extract_all(row, F.lit(ROW_AMOUNT), F.lit(0)), M.notice_amount)
+    found = F.transform(F.regexp_extract_all(row, F.lit(ROW_AMOUNT), F.lit(0)), M.notice_amount)
+    return once(found, lambda amounts: once(D.notice_date(row), lambda date: _with_labels(row, order, amounts, date)))
+
+
+def _with_labels(row: Column, order: Column, amounts: Column, date: Column) -> Column:
     fits = F.size(amounts) == F.size(order)
     value = lambda name: F.when(fits, F.get(amounts, F.array_position(order, name).cast("int") - 1)).cast("string")
-    date = D.notice_date(row)
     described = _flat(F.regexp_replace(row, r"(?is)(?:rs\.?|₹)?\s*\d{1,3}(?:,\d{2,3})+.*$", ""))
     # what is too short for an address is not made one by the words of the label that follows
     parts = [
@@ -175,7 +187,7 @@ def segment(notices: DataFrame) -> DataFrame:
     status: NEEDS_OCR (hardly any letters), NO_LOTS, AMBIGUOUS (several prices that nothing tells apart), PARTIAL (the
     notice claims more lots than were found) or OK. A null text is empty. Other columns are ignored.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), r"[ \t\f\x0B]+", " ")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", ""), r" [ \t\f\x0B]+|[\t\f\x0B][ \t\f\x0B]*", " ")
     rows = notices.select("doc", text.alias("text")).withColumn("lines", F.split("text", "\n"))
     lines = F.col("lines")
     for k, (_, pattern) in enumerate(MARKERS):
@@ -188,7 +200,7 @@ def segment(notices: DataFrame) -> DataFrame:
     rows = rows.withColumns({"table": table, "order": order, "prices": _count(F.col("text"), RESERVE)})
     has = [F.coalesce(F.size(f"found{k}") > 0, F.lit(False)) for k in range(len(MARKERS))]
     in_table = F.coalesce(F.size("table") > 0, F.lit(False))
-    scanned = F.length(F.regexp_replace("text", "[^A-Za-z0-9]", "")) < LETTERS
+    scanned = ~F.col("text").rlike(rf"^(?:[^A-Za-z0-9]*+[A-Za-z0-9]){{{LETTERS}}}")
     strategy = F.when(scanned, F.lit(None).cast("string"))
     none = F.array().cast("array<string>")
     plain = lambda blocks: F.transform(blocks, lambda b: F.struct(b["num"].alias("num"), b["text"].alias("text"), none.alias("issues"), b["text"].alias("raw")))
@@ -199,8 +211,7 @@ def segment(notices: DataFrame) -> DataFrame:
         before = before.when(has[k], F.array_join(F.slice(lines, 1, F.get(F.col(f"run{k}"), F.lit(0))["line"]), "\n"))
 
     def row(r: Column) -> Column:
-        made = _labelled(r["text"], F.col("order"))
-        return F.struct(r["num"].alias("num"), made["text"].alias("text"), made["issues"].alias("issues"), r["text"].alias("raw"))
+        return once(_labelled(r["text"], F.col("order")), lambda made: F.struct(r["num"].alias("num"), made["text"].alias("text"), made["issues"].alias("issues"), r["text"].alias("raw")))
 
     strategy = strategy.when(in_table, "table").when(F.col("prices") == 1, "single")
     single = plain(F.array(F.struct(F.lit("1").alias("num"), F.col("text").alias("text"))))

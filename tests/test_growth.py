@@ -1,11 +1,17 @@
 """Steps whose work must not outgrow their input: their results against plain loops, and the shape of their plans."""
 
 import random
+import re
 from statistics import median
 
 import pandas as pd
 
+from pyspark.sql import functions as F
+
+from hammerfield.functions import dates as D
+from hammerfield.functions.text import SPACE, collapse
 from hammerfield.operators import health as H
+from hammerfield.operators import notices as N
 from hammerfield.operators import phrases as P
 from hammerfield.operators import quality as Q
 from hammerfield.operators import rollups as R
@@ -112,3 +118,37 @@ def test_a_line_is_stripped_once_for_all_labels(spark):
     records = rendered_records(pages)
     assert 0 < records._jdf.queryExecution().analyzed().toString().count(", :$,") < 5
     assert [(r.city, r.bank) for r in records.collect()] == [("Pune", "A")]
+
+
+def test_a_date_is_searched_once_and_a_table_row_read_once(spark):
+    day = spark.range(1).select(D.notice_date(F.upper(F.col("id").cast("string"))).alias("d"))
+    assert day._jdf.queryExecution().analyzed().toString().count("upper(") == 1
+    row = spark.range(1).select(N._labelled(F.upper(F.col("id").cast("string")), F.array(F.lit("reserve"))).alias("r"))
+    assert row._jdf.queryExecution().analyzed().toString().count("(?:st|nd|rd|th)") == 7  # one search and the six parts of what it found
+
+
+def test_the_first_date_is_that_of_two_plain_searches(spark):
+    rng = random.Random(2)
+    bits = ["12", "3", "31", "31.02.2026", "1-1-19", "05/11/2030", "2 / 3 / 2024", "12th November 2026", "1st  may, 2031", "30-Sep-2101", "7 jun", "2026", " ", "x", "\n", ".", "-"]
+    texts = [None, ""] + ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+    months = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+    def plain(text):
+        a = re.search(r"([0-9]{1,2})[ \n]*[./-][ \n]*([0-9]{1,2})[ \n]*[./-][ \n]*([0-9]{4})", text)
+        b = re.search(r"(?i)([0-9]{1,2})(?:st|nd|rd|th)?[ \n-]+(" + "|".join(months) + r")[a-z]*[ \n,.-]+([0-9]{4})", text)
+        if not a and not b:
+            return None
+        numeric = a and (not b or a.start() <= b.start())
+        d, m, y = (a if numeric else b).groups()
+        at = pd.to_datetime(f"{y}-{int(m) if numeric else months.index(m.lower()) + 1}-{int(d)}", format="%Y-%m-%d", errors="coerce")
+        return at.strftime("%Y-%m-%d") if 2020 <= int(y) <= 2100 and not pd.isna(at) else "invalid"
+
+    got = {r.i: r.d for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", D.notice_date(F.col("t")).alias("d")).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+
+
+def test_even_space_is_left_alone(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(" \t\n\xa0ab") for _ in range(rng.randrange(12))) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", collapse(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", SPACE, " ")).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
