@@ -1,8 +1,10 @@
 """A streaming Python data source for feeds that are files of JSON lines which grow at their end.
 
-The offset of a file is how far it has been read: bytes, records and the SHA-256 of those bytes. A batch takes at most
-`batch` records more of each file, whole lines only. Where a stream resumes, the bytes that were read before must still
-be the same; a file that was changed, shortened or removed is an error, since its records could no longer be told from
+The offset of a file is how far it has been read: bytes, records and the SHA-256 of those bytes. A batch takes whole
+lines of each file, `batch` records at most or, where none are named, about STRETCH bytes: a batch costs a second or two
+whatever it holds, so their number must not grow with small counts of records. While a stream runs, a file that stays as
+it is is read and hashed on from where it stood. Where a stream resumes, the bytes that were read before must still be
+the same; a file that was changed, shortened or removed is an error, since its records could no longer be told from
 those imported. Spark's checkpoint says what a batch holds; the cursor, which commit() writes, only says where to look
 on after a restart, and may lag behind it by a batch.
 """
@@ -18,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 class RecordFeed(DataSource):
     """spark.readStream.format("record_feed") with path (a folder, read with its sub-folders), cursor (a file's place) and
-    batch (records of a file a batch, 1,000): file, n (place of the record in its file, from 1), outcome (ok, or invalid
+    batch (records of a file a batch; none: STRETCH bytes): file, n (place of the record in its file, from 1), outcome (ok, or invalid
     for a line that is no JSON object), record (JSON text, null unless ok). Blank lines are no records.
     """
 
@@ -30,7 +32,7 @@ class RecordFeed(DataSource):
         return "file string, n long, outcome string, record string"
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return FeedReader(self.options["path"], self.options["cursor"], int(self.options.get("batch", "1000")))
+        return FeedReader(self.options["path"], self.options["cursor"], int(self.options["batch"]) if "batch" in self.options else None)
 
 
 class Stretch(InputPartition):
@@ -49,10 +51,13 @@ def outcome_of(line: bytes) -> tuple[str, str | None]:
 
 
 class FeedReader(DataSourceStreamReader):
-    def __init__(self, path: str, cursor: str, batch: int):
+    STRETCH, CHUNK = 64 << 20, 1 << 20  # bytes of a file a batch, and bytes held at once
+
+    def __init__(self, path: str, cursor: str, batch: int | None):
         self.path, self.cursor, self.batch = path.rstrip("/"), cursor, batch
         self.ends: dict | None = None  # as last told or committed
         self.known: dict[str, tuple] = {}  # digest and state (size, time) of a file whose read part was checked in that state
+        self.hashed: dict[str, tuple] = {}  # the same, and the running hash of the read part
 
     # -- on the driver ---------------------------------------------------------------------------------------------
 
@@ -130,7 +135,7 @@ class FeedReader(DataSourceStreamReader):
         system, _ = self._system(self.path)
         stream, digest, left = system.open_input_stream(info.path), hashlib.sha256(), offset["bytes"]
         while left:
-            data = stream.read(min(left, 1 << 20))
+            data = stream.read(min(left, self.CHUNK))
             digest.update(data)
             left -= len(data)
         return stream, digest
@@ -138,37 +143,61 @@ class FeedReader(DataSourceStreamReader):
     def _further(self, name: str, info, offset: dict) -> dict:
         if info.size == offset["bytes"] and self.known.get(name) == (offset["sha256"], (info.size, info.mtime_ns)):
             return offset
-        stream, digest = self._open(info, offset)
-        if offset["bytes"] and digest.hexdigest() != offset["sha256"]:
-            raise ValueError(f"the part of {name} that was read has changed")
+        state = (info.size, info.mtime_ns)
+        stream, digest = self._resumed(name, info, offset)
         at, n, held = offset["bytes"], offset["records"], b""
+        most = float("inf") if self.batch is None else n + self.batch
+        last = at + self.STRETCH if self.batch is None else float("inf")
         with stream:
-            while n - offset["records"] < self.batch:
-                data = stream.read(1 << 16)
-                if not data:
-                    break
+            while n < most and at < last and (data := stream.read(self.CHUNK)):
                 held += data
-                while n - offset["records"] < self.batch and (cut := held.find(b"\n")) >= 0:
-                    line, held = held[: cut + 1], held[cut + 1 :]
-                    digest.update(line)
-                    at, n = at + len(line), n + bool(line.strip())
+                whole, held = self._lines(held, most - n)
+                digest.update(whole)
+                at, n = at + len(whole), n + sum(map(bool, map(bytes.strip, whole.split(b"\n"))))
         out = {"bytes": at, "records": n, "sha256": digest.hexdigest() if at else ""}
-        self.known[name] = (out["sha256"], (info.size, info.mtime_ns))
+        self.known[name], self.hashed[name] = (out["sha256"], state), (out["sha256"], state, digest)
         return out
 
+    def _resumed(self, name: str, info, offset: dict):
+        """As _open, checked; a file in the state in which it was hashed last is not read again."""
+        *hashed, digest = self.hashed.get(name, (None, None, None))
+        if offset["bytes"] and hashed == [offset["sha256"], (info.size, info.mtime_ns)]:
+            system, _ = self._system(self.path)
+            stream = system.open_input_file(info.path)
+            stream.seek(offset["bytes"])
+            return stream, digest.copy()
+        stream, digest = self._open(info, offset)
+        if offset["bytes"] and digest.hexdigest() != offset["sha256"]:
+            raise ValueError(f"the part of {name} that was read has changed")
+        return stream, digest
+
+    @staticmethod
+    def _lines(data: bytes, most: float) -> tuple[bytes, bytes]:
+        """The whole lines of data up to the one of record `most`, and the rest."""
+        end = data.rfind(b"\n") + 1
+        if data.count(b"\n") >= most:
+            at = 0
+            while most and at < end:
+                line = data[at : (cut := data.find(b"\n", at) + 1)]
+                at, most = cut, most - bool(line.strip())
+            end = at
+        return data[:end], data[end:]
+
     # -- on the executors --------------------------------------------------------------------------------------------
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
         system, path = self._system(partition.uri)
-        n, left = partition.first - 1, partition.end - partition.start
+        n, left, held = partition.first - 1, partition.end - partition.start, b""
         with system.open_input_file(path) as f:
             f.seek(partition.start)
-            data = f.read(left)  # `batch` records, unless a replayed batch was told otherwise
-        if len(data) != left or not data.endswith(b"\n"):
+            while left and (data := f.read(min(left, self.CHUNK))):
+                left -= len(data)
+                *lines, held = (held + data).split(b"\n")
+                for line in lines:
+                    if line.strip():
+                        n += 1
+                        yield partition.file, n, *outcome_of(line)
+        if left or held:
             raise ValueError(f"{partition.file} has changed while it was read")
-        for line in data.split(b"\n"):
-            if line.strip():
-                n += 1
-                yield partition.file, n, *outcome_of(line)
         if n != partition.first - 1 + partition.records:
             raise ValueError(f"{partition.file} has changed while it was read")

@@ -1,5 +1,6 @@
 """Steps whose work must not outgrow their input: their results against plain loops, and the shape of their plans."""
 
+import hashlib
 import random
 import re
 from statistics import median
@@ -16,6 +17,7 @@ from hammerfield.operators import phrases as P
 from hammerfield.operators import quality as Q
 from hammerfield.operators import rollups as R
 from hammerfield.plans.registry import QUERIES, load
+from hammerfield.sources.feed import FeedReader
 from hammerfield.sources.rendered import rendered_records
 from hammerfield.streaming import feeds as S
 
@@ -152,3 +154,29 @@ def test_even_space_is_left_alone(spark):
     texts = ["".join(rng.choice(" \t\n\xa0ab") for _ in range(rng.randrange(12))) for _ in range(300)]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", collapse(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", SPACE, " ")).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
+
+
+def feed_of(tmp_path, batch=None):
+    return FeedReader(f"file://{tmp_path}", f"file://{tmp_path}/.cursor", batch)
+
+
+def test_a_feed_takes_a_file_in_few_batches_and_hashes_it_once(tmp_path, monkeypatch):
+    data = b"".join(b'{"id": %d}\n%s' % (k, b" \n" * (k % 3 == 0)) for k in range(5000))
+    (tmp_path / "a").write_bytes(data + b'{"id"')
+    whole = feed_of(tmp_path)
+    end = whole.latestOffset()
+    assert end["a"] == {"bytes": len(data), "records": 5000, "sha256": hashlib.sha256(data).hexdigest()} == whole.latestOffset()["a"]
+    monkeypatch.setattr(FeedReader, "CHUNK", 1000)
+    monkeypatch.setattr(FeedReader, "STRETCH", 20_000)
+    opened = []
+    monkeypatch.setattr(FeedReader, "_open", lambda self, info, offset, real=FeedReader._open: opened.append(offset["bytes"]) or real(self, info, offset))
+    for reader in (feed_of(tmp_path), feed_of(tmp_path, 700)):
+        opened.clear()
+        at, got, batches = {}, [], 0
+        while at != end:
+            to = reader.latestOffset()
+            got += [row for part in reader.partitions(at, to) for row in reader.read(part)]
+            assert reader.batch is None or to["a"]["records"] == min(5000, 700 * (batches + 1))
+            at, batches = to, batches + 1
+        assert [(n, record) for _, n, _, record in got] == [(k + 1, '{"id": %d}' % k) for k in range(5000)]
+        assert opened == [0] and batches in (4, 8)
