@@ -75,8 +75,10 @@ def fl04(v: Views):
 
 @query("fl05_status_ranges", f"SELECT id, s AS wanted FROM (SELECT id, {EFFECTIVE} AS s FROM auction) WHERE s IN ('UPCOMING', 'LIVE', 'AUCTION_TODAY', 'COMPLETED')")
 def fl05(v: Views):
-    parts = [v.auction.filter(L.status_predicate({w}, F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col())).select("id", F.lit(w).alias("wanted")) for w in ("UPCOMING", "LIVE", "AUCTION_TODAY", "COMPLETED")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    """The rounds of each wanted status by its own predicate, all of them over one reading of the rounds."""
+    within = lambda w: F.when(L.status_predicate({w}, F.col("status"), F.col("auction_start"), F.col("auction_end"), now_col()), w)
+    wanted = F.array_compact(F.array(*map(within, ("UPCOMING", "LIVE", "AUCTION_TODAY", "COMPLETED"))))
+    return v.auction.select("id", F.explode(wanted).alias("wanted"))
 
 
 @query("fl06_groups", f"SELECT id, {_ACTIVE} AS active FROM auction")

@@ -180,3 +180,8 @@ def test_a_feed_takes_a_file_in_few_batches_and_hashes_it_once(tmp_path, monkeyp
             at, batches = to, batches + 1
         assert [(n, record) for _, n, _, record in got] == [(k + 1, '{"id": %d}' % k) for k in range(5000)]
         assert opened == [0] and batches in (4, 8)
+
+
+def test_ranges_of_all_statuses_read_the_rounds_once(spark):
+    text = QUERIES["fl05_status_ranges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Relation [") == 2 and "Union" not in text
