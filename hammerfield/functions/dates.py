@@ -61,7 +61,7 @@ def sheet_date(c: Column, hour: int = 11) -> Column:
 
 
 def in_range(ts: Column, first: int = 2010, last: int = 2100) -> Column:
-    return F.when(F.year(ts).between(first, last), ts)
+    return once(ts, lambda t: F.when(F.year(t).between(first, last), t))
 
 
 def ist_label(ts: Column) -> Column:

@@ -196,8 +196,8 @@ LABEL_WORDS = "ph phone tel telephone mob mobile m no contact email e-mail id of
 
 def first_of_each(items: Column, key) -> Column:
     """The items of an array without those whose key an earlier one has."""
-    keys = F.transform(items, key)
-    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    # the keys are found once, not again for each item
+    return once(items, lambda all_: once(F.transform(all_, key), lambda keys: F.filter(all_, lambda x, i: F.array_position(keys, key(x)) == i + 1)))
 
 
 def officer(c: Column) -> Column:

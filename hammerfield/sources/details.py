@@ -9,7 +9,7 @@ from ..functions.dates import in_range, indian_date_time
 from ..functions.kinds import site_kind
 from ..functions.money import clean_money
 from ..functions.names import canon_city
-from ..functions.text import collapse, first_of_each, title_case
+from ..functions.text import collapse, first_of_each, once, title_case
 from .readers import unwrap_source
 from .rendered import absolute_url
 
@@ -32,8 +32,8 @@ LABELS = {
     "area": ["area/town"],
 }
 CHECK_PAGE = r"(?i)just a moment|enable javascript and cookies to continue|verify you are human|attention required"
-#: Where the values beside a label end: its parent closes.
-PARENT = r"(?is)^(.*?)(?:</(?:li|div|td|tr|ul|section|body)\b|$)"
+#: What stands beside a label, after it where it ends, up to where its parent closes.
+BESIDE = r"(?is)^(?:[^>]*>.*?</strong>)?(.*?)(?:</(?:li|div|td|tr|ul|section|body)\b|$)"
 TYPED = ("reserve_text", "emd_text", "start_text", "end_text", "deadline_text")
 
 
@@ -47,14 +47,16 @@ def _found(html: Column, pattern: str) -> Column:
 
 def labelled_values(html: Column) -> Column:
     """array of struct(k, v): what stands beside each <strong> label, lower-cased: the first span, link or paragraph, else the text."""
-    parts = F.split(html, r"(?i)<strong\b")
+    parts = F.slice(F.split(html, r"(?i)<strong\b"), 2, 1 << 30)
+
+    def inside(beside: Column) -> Column:
+        return F.when(beside.rlike(r"(?is)<(span|a|p)\b"), F.regexp_extract(beside, r"(?is)<(span|a|p)\b[^>]*>(.*?)(?:</\1>|$)", 2)).otherwise(beside)
 
     def pair(part: Column) -> Column:
-        beside = F.regexp_extract(F.regexp_replace(part, r"(?is)^[^>]*>.*?</strong>", ""), PARENT, 1)
-        inner = F.when(beside.rlike(r"(?is)<(span|a|p)\b"), F.regexp_extract(beside, r"(?is)<(span|a|p)\b[^>]*>(.*?)(?:</\1>|$)", 2)).otherwise(beside)
+        inner = once(F.regexp_extract(part, BESIDE, 1), inside)
         return F.struct(F.lower(F.regexp_replace(_plain(F.regexp_extract(part, r"(?is)^[^>]*>(.*?)</strong>", 1)), r"\s*:$", "")).alias("k"), _plain(inner).alias("v"))
 
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), pair)
+    return F.transform(parts, pair)
 
 
 def detail_records(pages: DataFrame, host: str) -> DataFrame:
@@ -69,14 +71,16 @@ def detail_records(pages: DataFrame, host: str) -> DataFrame:
     listed = r'(?is)<a\b[^>]*class="[^"]*text-dark fw-bold[^"]*"[^>]*>(.*?)</a>'
     head = F.concat_ws(" ", _found(F.col("html"), r"(?is)<title\b[^>]*>(.*?)</title>"), F.substring(_plain(F.regexp_replace("html", r"(?is)^.*?<body\b[^>]*>", "")), 1, 600))
     own = F.nullif(F.regexp_extract(_plain(F.regexp_extract("html", listed, 1)), r"(?i)auction id\s*:?\s*#?\s*(\d+)", 1), F.lit(""))
-    state = F.when(F.trim("html") == "", "empty").when(head.rlike(CHECK_PAGE) & own.isNull(), "check").otherwise("page")
-    read = read.select("page_id", state.alias("page"), F.when(state == "page", F.col("html")).otherwise("").alias("html"), own.alias("own_id"))
+    # a page with a number is no check page, so its words need not be read for that
+    state = F.when(F.trim("html") == "", "empty").when(F.col("own_id").isNull(), F.when(head.rlike(CHECK_PAGE), "check").otherwise("page")).otherwise("page")
+    read = read.withColumn("own_id", own).select("page_id", state.alias("page"), "html", "own_id")
+    read = read.withColumn("html", F.when(F.col("page") == "page", F.col("html")).otherwise(""))
 
     href = F.nullif(F.regexp_extract("html", r"""(?i)<link\b[^>]*rel=["']canonical["'][^>]*href=["']([^"']*)["']""", 1), F.lit(""))
     notices = F.transform(F.regexp_extract_all("html", F.lit(r'(?is)<li\b[^>]*\bid="notice[^>]*>.*?</li>'), F.lit(0)), lambda x: F.regexp_extract(x, r'(?i)<a\b[^>]*href="(https://[^"]+)"', 1))
     values = F.filter(labelled_values(F.col("html")), lambda p: p["v"] != "")
-    read = read.select(
-        "page_id", "page", "own_id", absolute_url(href, F.lit(f"https://www.{host}/")).alias("address"), _found(F.col("html"), r"(?is)<h1\b[^>]*>(.*?)</h1>").alias("source_title"),
+    read = read.withColumn("href", href).select(
+        "page_id", "page", "own_id", absolute_url(F.col("href"), F.lit(f"https://www.{host}/")).alias("address"), _found(F.col("html"), r"(?is)<h1\b[^>]*>(.*?)</h1>").alias("source_title"),
         _found(F.col("html"), r"(?is)<h5\b[^>]*>[^<]*Description[^<]*</h5>.*?<p\b[^>]*>(.*?)</p>").alias("description"), F.filter(notices, lambda x: x != "").alias("notices"), values.alias("found"),
         F.col("html").rlike(r"(?i)<strong\b[^>]*>\s*contact details").alias("has_contact"),
     )

@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from hammerfield.functions import dates as D
-from hammerfield.functions.text import SPACE, collapse
+from hammerfield.functions.text import SPACE, collapse, first_of_each
 from hammerfield.operators import health as H
 from hammerfield.operators import notices as N
 from hammerfield.operators import phrases as P
 from hammerfield.operators import quality as Q
 from hammerfield.operators import rollups as R
 from hammerfield.plans.registry import QUERIES, load
+from hammerfield.sources.details import labelled_values
 from hammerfield.sources.feed import FeedReader
 from hammerfield.sources.rendered import rendered_records
 from hammerfield.streaming import feeds as S
@@ -185,3 +186,12 @@ def test_a_feed_takes_a_file_in_few_batches_and_hashes_it_once(tmp_path, monkeyp
 def test_ranges_of_all_statuses_read_the_rounds_once(spark):
     text = QUERIES["fl05_status_ranges"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Relation [") == 2 and "Union" not in text
+
+
+def test_a_page_is_cut_at_its_labels_once(spark):
+    values = labelled_values(F.upper(F.col("id").cast("string")))
+    page = spark.range(1).select(values.alias("v"), first_of_each(F.array(F.lower(F.col("id").cast("string"))), lambda x: x).alias("f"))
+    text = page._jdf.queryExecution().analyzed().toString()
+    assert text.count("upper(") == 1 and text.count("lower(cast(id") == 1 and text.count("|section|") == 1
+    html = "<ul><strong>A<span>1</span><strong> B :</strong> <b>2</b></li>x<strong>C</strong><a>3<br>4</a> 5</ul><strong>D"
+    assert [tuple(p) for p in spark.range(1).select(labelled_values(F.lit(html)).alias("v")).first().v] == [("", "1"), ("b", "2"), ("c", "3 4"), ("", ">D")]
