@@ -272,6 +272,11 @@ def lots(segmented: DataFrame) -> DataFrame:
     )
 
 
+def document_hash(url: Column) -> Column:
+    """A name for a document's address. 256 bits: of the 32 of FNV-1a a million documents use some twice."""
+    return F.sha2(url, 256)
+
+
 def listing_records(found: DataFrame, url: Column, bank: Column, source_hash: Callable[[Column], Column]) -> DataFrame:
     """Records of the complete lots, with an id that stays the same for a document and lot; incomplete lots give none."""
     host = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("pdf")), r"^www\.", "")

@@ -118,3 +118,20 @@ def test_a_plot_of_six_digits_is_no_pin_code_and_a_label_no_address(spark):
     got = {r.doc: r for r in N.lots(N.segment(spark.createDataFrame(rows, "doc int, text string"))).collect()}
     assert "pincode_invalid" in got[1].issues and not got[1].complete and got[2].complete
     assert got[3].address is None and "address_missing" in got[3].issues and got[3].date == "2026-11-12"
+
+
+def test_documents_whose_addresses_share_32_bits_keep_their_own_ids(spark, tmp_path):
+    import duckdb
+
+    from hammerfield.functions.money import fnv1a
+    from hammerfield.plans.registry import ORACLE_SQL, QUERIES, load
+
+    load()
+    docs = [479199, 662782]
+    urls = spark.createDataFrame([(f"https://www.bank.example/notice-{d}.pdf",) for d in docs], "u string")
+    assert urls.select(fnv1a(F.col("u")).alias("h")).distinct().count() == 1
+    orders = spark.createDataFrame([(k + 1, d, "O", 200_000.0) for k, d in enumerate(docs)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double")
+    orders.selectExpr("*", "timestamp_ntz'1996-05-05' AS o_orderdate").write.parquet(f"file://{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert QUERIES["tx13_record_ids"](spark, f"file://{tmp_path}").first().ids == con.execute(ORACLE_SQL["tx13_record_ids"]).fetchone()[0] == 2
