@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 
 def parse_money(c: Column) -> Column:
     """A plain number; rupee signs, commas and spaces are dropped; dashes and anything else are null."""
@@ -75,7 +77,12 @@ NOTICE_AMOUNT = r"(?i)(?:rs\.?|₹|inr)?\s*(\d{1,3}(?:,\d{2,3})+|\d+)(\.\d+)?\s*
 
 def notice_amount(c: Column) -> Column:
     """The first amount of a notice: Indian grouping, "/-", lakhs and crores; a whole number."""
-    part = lambda k: F.regexp_extract(c, NOTICE_AMOUNT, k)
-    n = F.concat(F.replace(part(1), F.lit(","), F.lit("")), part(2)).try_cast("double")
-    unit = F.lower(part(3))
-    return F.floor(n * F.when(unit.startswith("la"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0) + 0.5).cast("long")
+
+    def value(found: Column) -> Column:
+        part = lambda k: F.regexp_extract(found, NOTICE_AMOUNT, k)
+        n = F.concat(F.replace(part(1), F.lit(","), F.lit("")), part(2)).try_cast("double")
+        times = once(F.lower(part(3)), lambda unit: F.when(unit.startswith("la"), 1e5).when(unit.startswith("cr"), 1e7).otherwise(1.0))
+        return F.floor(n * times + 0.5).cast("long")
+
+    # the text is searched once; the parts are read from what was found
+    return once(F.regexp_extract(c, NOTICE_AMOUNT, 0), value)

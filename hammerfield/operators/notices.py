@@ -24,12 +24,13 @@ MARKERS = [
     ("marker:serial", r"(?i)^[ \t]*(?:sr\.?|s\.?)[ \t]*no\.?[ \t]*[:.\-]?[ \t]*(\d{1,3})\b"),
     ("numbered", r"^[ \t]*(\d{1,3})[ \t]*[.)][ \t]+\S"),
 ]
-#: Labels of fields, words that begin the next field, and what follows the last lot.
-RESERVE = r"(?:reserve|upset)\s*price"
+#: Labels of fields, words that begin the next field, and what follows the last lot. A label's first letters are
+#: looked at before its wordings are tried: most places of a text begin none.
+RESERVE = r"(?=[ru][ep])(?:reserve|upset)\s*price"
 EMD = r"\b(?:emd|earnest\s*money(?:\s*deposit)?)\b"
-AUCTION_DATE = r"(?:date\s*(?:&|and)?\s*time\s*of\s*(?:the\s*)?(?:e-?\s*)?auction|(?:e-?\s*)?auction\s*date|date\s*of\s*(?:the\s*)?(?:e-?\s*)?(?:auction|sale)|(?:e-?\s*)?auction\s*on)"
-ADDRESS = r"(?:description\s+of\s+(?:the\s+)?(?:immovable\s+|secured\s+)?propert(?:y|ies)|property\s+description|address\s+of\s+(?:the\s+)?propert(?:y|ies)|address|location|schedule\s+of\s+(?:the\s+)?propert(?:y|ies)|details\s+of\s+(?:the\s+)?propert(?:y|ies))\s*[:\-–]?"
-STOP = r"(?:(?:reserve|upset)\s*price|\bemd\b|earnest|\bdate\b|borrower|contact|inspection|\blot\s*no|name\s*of|possession|outstanding|encumbrance|bid\s*(?:increment|multiplier))"
+AUCTION_DATE = r"(?=[dea])(?:date\s*(?:&|and)?\s*time\s*of\s*(?:the\s*)?(?:e-?\s*)?auction|(?:e-?\s*)?auction\s*date|date\s*of\s*(?:the\s*)?(?:e-?\s*)?(?:auction|sale)|(?:e-?\s*)?auction\s*on)"
+ADDRESS = r"(?=[dpals][erdoc])(?:description\s+of\s+(?:the\s+)?(?:immovable\s+|secured\s+)?propert(?:y|ies)|property\s+description|address\s+of\s+(?:the\s+)?propert(?:y|ies)|address|location|schedule\s+of\s+(?:the\s+)?propert(?:y|ies)|details\s+of\s+(?:the\s+)?propert(?:y|ies))\s*[:\-–]?"
+STOP = r"(?=[ruedbcilnpo])(?:(?:reserve|upset)\s*price|\bemd\b|earnest|\bdate\b|borrower|contact|inspection|\blot\s*no|name\s*of|possession|outstanding|encumbrance|bid\s*(?:increment|multiplier))"
 TRAILER = r"(?i)^[ \t]*(?:terms\s*(?:&|and)\s*conditions|general\s*terms|important\s*(?:notes?|information)|note\s*:|for\s*detailed\s*terms)"
 CLAIM = r"(?i)\b(?:total\s*(?:of\s*)?)?(\d{1,3})\s*(?:\(\s*[a-z-]+\s*\)\s*)?(?:properties|lots|assets)\b"
 NOTICE_DATE = r"(?i)(?:dated?|notice\s*date)\s*[:\-]?\s*([^\n]{0,40})"
@@ -41,7 +42,7 @@ WEIGHTS = {"reserve": 0.35, "date": 0.25, "notice_date": 0.15, "address": 0.3, "
 BLOCKING = ["price_inconsistent", "reserve_conflicting", "reserve_implausible", "date_conflicting", "date_invalid", "auction_before_notice", "pincode_invalid"]
 
 def _flat(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r" \s+|[\s&&[^ ]]\s*", " "))
 
 
 def _has(c: Column, pattern: str) -> Column:
@@ -55,8 +56,7 @@ def _count(c: Column, pattern: str) -> Column:
 def _after(block: Column, label: str, most: int) -> Column:
     """What follows each place of a label, up to `most` characters or the next field's label."""
     rests = F.regexp_extract_all(block, F.lit(rf"(?i){label}(?=([\s\S]{{0,{most}}}))"), F.lit(1))
-    lead = r"^[\s:\-–.=|]*"
-    return F.transform(rests, lambda r: F.concat(F.regexp_extract(r, lead, 0), F.regexp_replace(F.regexp_replace(r, lead, ""), rf"(?is){STOP}.*$", "")))
+    return F.transform(rests, lambda r: F.regexp_extract(r, rf"(?is)^[\s:\-–.=|]*+.*?(?={STOP}|\z)", 0))
 
 
 def _one(values: Column, name: str, bad: Column | None = None) -> tuple[Column, Column]:
@@ -252,6 +252,8 @@ def lots(segmented: DataFrame) -> DataFrame:
     # any number of six digits may be the PIN code: a plot's or a survey's may stand before it
     no_address = F.when(address.isNull(), "address_missing").when(address.rlike(r"\b0\d{5}\b"), "pincode_invalid")
     rows = rows.select("doc", "strategy", "header_date", "notice_date", "b", reserve.alias("r"), no_reserve.alias("no_r"), emd.alias("e"), no_emd.alias("no_e"), date.alias("d"), no_date.alias("no_d"), address.alias("address"), no_address.alias("no_a"))
+    # a filter on what follows stops at a generator: written out down to the patterns it would search a block many times
+    rows = rows.select("doc", "strategy", "header_date", "notice_date", "b", F.inline(F.array(F.struct("r", "no_r", "e", "no_e", "d", "no_d", "address", "no_a"))))
     swapped = F.coalesce(F.col("e") >= F.col("r"), F.lit(False))
     from_head = F.coalesce(F.col("d").isNull() & (F.col("no_d") == "date_missing") & F.col("header_date").isNotNull(), F.lit(False))
     date = F.coalesce("d", F.when(from_head, F.col("header_date")))

@@ -135,3 +135,27 @@ def test_documents_whose_addresses_share_32_bits_keep_their_own_ids(spark, tmp_p
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert QUERIES["tx13_record_ids"](spark, f"file://{tmp_path}").first().ids == con.execute(ORACLE_SQL["tx13_record_ids"]).fetchone()[0] == 2
+
+
+def test_a_filter_of_complete_lots_does_not_search_a_block_again(spark):
+    blocks = spark.createDataFrame([], "doc long, strategy string, header_date string, notice_date string, blocks array<struct<num:string,text:string,issues:array<string>,raw:string>>")
+    records = N.listing_records(N.lots(blocks), F.lit("http://bank.example/a"), F.lit(None).cast("string"), N.document_hash)
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("time\\s*of\\s*") <= 1
+
+
+def test_what_follows_a_label_ends_at_the_next_one(spark):
+    import re
+
+    rng = random.Random(1)
+    bits = ["Reserve Price", "EMD", "emd", "Address", "Date", "lot no", "Rs. 5,000/-", "12 lakhs", "x", "remd", ":", " - ", "–", "\n", "  ", "=", "upset price", "Location:"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 14))) for _ in range(300)]
+
+    def plain(text, label, most):
+        rests = [m.group(1) for m in re.finditer(rf"(?i){label}(?=([\s\S]{{0,{most}}}))", text)]
+        cut = lambda r: (lead := re.match(r"[\s:\-–.=|]*", r).group(0)) + re.sub(rf"(?is){N.STOP}.*$", "", r[len(lead) :])
+        return [cut(r) for r in rests]
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for label, most in ((N.RESERVE, 80), (N.EMD, 12), (N.ADDRESS, 420)):
+        got = {r.i: r.x for r in frame.select("i", N._after(F.col("t"), label, most).alias("x")).collect()}
+        assert got == {i: plain(t, label, most) for i, t in enumerate(texts)}
