@@ -70,7 +70,7 @@ _KM = "2 * 6371 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + c
 def jn14(v: Views):
     """Customers within 65 km; their coordinates come from their keys, some on both sides of the date line."""
     points = v.spark.sql(f"{_POINTS} {{customer}}", customer=v.customer)
-    return GEO.within_distance(points, 65).select("a", "b", F.round("km", 3).alias("km"))
+    return GEO.within_distance(points, 65, digits=3).select("a", "b", "km")
 
 
 @query("sj02_digit_tokens", "SELECT s_suppkey, list_filter(string_split(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: regexp_matches(x, '[0-9]')) AS t FROM supplier")

@@ -195,3 +195,21 @@ def test_a_page_is_cut_at_its_labels_once(spark):
     assert text.count("upper(") == 1 and text.count("lower(cast(id") == 1 and text.count("|section|") == 1
     html = "<ul><strong>A<span>1</span><strong> B :</strong> <b>2</b></li>x<strong>C</strong><a>3<br>4</a> 5</ul><strong>D"
     assert [tuple(p) for p in spark.range(1).select(labelled_values(F.lit(html)).alias("v")).first().v] == [("", "1"), ("b", "2"), ("c", "3 4"), ("", ">D")]
+
+
+def test_points_of_a_place_are_listed_and_its_distances_found_once(spark, monkeypatch):
+    from hammerfield.operators import geo
+
+    monkeypatch.setattr(geo, "LISTED", 3)
+    rng = random.Random(9)
+    spots = [(10.0, 20.0), (10.1, 20.1), (-10.0, 179.99), (-10.0, -179.99), (50.0, 0.0)]
+    rows = [(rng.randrange(40), *rng.choice(spots)) for _ in range(60)] + [(41, None, 1.0)]
+    points = spark.createDataFrame(rows, "id long, lat double, lng double")
+    near = geo.within_distance(points, 30, digits=1)
+    text = near._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("explode(ks_q") < text.index("explode(ks_p") < text.index("ASIN")
+    km = lambda p, q: 0.0 if p == q else {20: 15.6, 179: 2.2}[20 if 10.0 in p + q else 179]
+    meet = lambda p, q: p == q or {p, q} in ({spots[0], spots[1]}, {spots[2], spots[3]})
+    at = [(k, (lat, lng)) for k, lat, lng in rows[:60]]
+    want = sorted((a, b, km(p, q)) for a, p in at for b, q in at if a < b and meet(p, q))
+    assert sorted(map(tuple, near.collect())) == want
